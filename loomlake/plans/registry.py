@@ -2,5 +2,11 @@
 
 from __future__ import annotations
 
+from importlib import import_module
+
 QUERIES: dict = {}
 ORACLES: dict = {}
+for _name in ("geometry", "rollouts"):
+    _plans = import_module(f"loomlake.plans.{_name}")
+    QUERIES |= _plans.QUERIES
+    ORACLES |= _plans.ORACLES
