@@ -182,26 +182,21 @@ def with_obb_iou(df: DataFrame, a: str, b: str, out: str = "iou") -> DataFrame:
     cross products sum to twice the area (Green). A stretch on a common edge counts for ``a`` only.
     """
     df = df.withColumn("__a", canonical_corners(F.col(a))).withColumn("__b", canonical_corners(F.col(b)))
-    # corners as plain columns, from the first corner of a, so that numbers stay small
-    df = df.select("*", *[(F.get(f"__{q}", i)[k] - F.get("__a", 0)[k]).alias(f"__{q}{k}{i}") for q in "ab" for i in range(4) for k in "xy"])
-
-    def xy(q: str, i: int) -> tuple[Column, Column]:
-        return F.col(f"__{q}x{i % 4}"), F.col(f"__{q}y{i % 4}")
-
-    cross = lambda u, v: u[0] * v[1] - u[1] * v[0]
-    less = lambda u, v: (u[0] - v[0], u[1] - v[1])
+    # corners as plain columns, from the first corner of a, so that numbers stay small; SQL text keeps this long sum quick to build
+    df = df.selectExpr("*", *[f"__{q}[{i}].{k} - __a[0].{k} as __{q}{k}{i}" for q in "ab" for i in range(4) for k in "xy"])
+    edge = lambda q, i, k: f"(__{q}{k}{(i + 1) % 4} - __{q}{k}{i})"
     planes = [(q, i, j, o) for q, o in ("ab", "ba") for i in range(4) for j in range(4)]
-    df = df.select("*", *[cross(less(xy(o, j + 1), xy(o, j)), less(xy(q, i), xy(o, j))).alias(f"__n{q}{i}{j}") for q, i, j, o in planes], *[cross(less(xy(o, j + 1), xy(o, j)), less(xy(q, i + 1), xy(q, i))).alias(f"__d{q}{i}{j}") for q, i, j, o in planes])
+    near = [f"{edge(o, j, 'x')} * (__{q}y{i} - __{o}y{j}) - {edge(o, j, 'y')} * (__{q}x{i} - __{o}x{j}) as __n{q}{i}{j}" for q, i, j, o in planes]
+    along = [f"{edge(o, j, 'x')} * {edge(q, i, 'y')} - {edge(o, j, 'y')} * {edge(q, i, 'x')} as __d{q}{i}{j}" for q, i, j, o in planes]
+    df = df.selectExpr("*", *near, *along)
 
-    def part(q: str, i: int) -> Column:
-        pairs = [(F.col(f"__n{q}{i}{j}"), F.col(f"__d{q}{i}{j}")) for j in range(4)]
-        t0 = F.greatest(F.lit(0.0), *[F.when(d > 1e-9, -n / d).otherwise(F.lit(0.0)) for n, d in pairs])
-        t1 = F.least(F.lit(1.0), *[F.when(d < -1e-9, -n / d).when((F.abs(d) <= 1e-9) & (n < -1e-9 if q == "a" else n <= 1e-9), F.lit(-1.0)).otherwise(F.lit(1.0)) for n, d in pairs])
-        return F.greatest(F.lit(0.0), t1 - t0) * cross(xy(q, i), less(xy(q, i + 1), xy(q, i)))
+    def part(q: str, i: int) -> str:
+        lows = ", ".join(f"case when __d{q}{i}{j} > 1e-9D then -__n{q}{i}{j} / __d{q}{i}{j} else 0D end" for j in range(4))
+        out = "< -1e-9D" if q == "a" else "<= 1e-9D"
+        highs = ", ".join(f"case when __d{q}{i}{j} < -1e-9D then -__n{q}{i}{j} / __d{q}{i}{j} when abs(__d{q}{i}{j}) <= 1e-9D and __n{q}{i}{j} {out} then -1D else 1D end" for j in range(4))
+        return f"greatest(0D, least(1D, {highs}) - greatest(0D, {lows})) * (__{q}x{i} * {edge(q, i, 'y')} - __{q}y{i} * {edge(q, i, 'x')})"
 
-    total = part("a", 0)
-    for q, i in [("a", 1), ("a", 2), ("a", 3), ("b", 0), ("b", 1), ("b", 2), ("b", 3)]:
-        total = total + part(q, i)
+    total = F.expr(" + ".join(part(q, i) for q in "ab" for i in range(4)))
     df = df.withColumn("__i", F.abs(total) / 2).withColumn("__u", poly_area(F.col("__a")) + poly_area(F.col("__b")) - F.col("__i"))
     df = df.withColumn(out, F.when(F.col("__u") > 1e-9, F.col("__i") / F.col("__u")).otherwise(F.lit(0.0)))
     return df.drop(*[c for c in df.columns if c.startswith("__")])

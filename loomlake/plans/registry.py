@@ -6,7 +6,7 @@ from importlib import import_module
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _name in ("geometry", "rollouts"):
+for _name in ("geometry", "references", "rollouts"):
     _plans = import_module(f"loomlake.plans.{_name}")
     QUERIES |= _plans.QUERIES
     ORACLES |= _plans.ORACLES
