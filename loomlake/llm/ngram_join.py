@@ -41,13 +41,17 @@ def band(n: int, percent: int) -> int:
     return b
 
 
-def signatures(some: np.ndarray, bits: Bits, percent: int) -> np.ndarray:
-    """Hashes that this set and any other set of at least ``percent`` % Jaccard similarity have one of in common."""
+def signatures(some: np.ndarray, bits: Bits, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes that this set and any other set of at least ``percent`` % Jaccard similarity have one of in common.
+
+    With each: -1 for that of a rare shingle, else the number of the set's rare shingles, all of which are
+    signatures too. Sets that meet in frequent shingles only have no rare one in common, see ``_close``.
+    """
     n = len(some)
     need = n - -(-percent * n // 100) + 1  # one more than the shingles that the other may lack
     frequent = bits.reached(some)
     rare = some[~frequent][:need]
-    out = [mix(rare + U64(1))]
+    single, out = mix(rare + U64(1)), []
     if len(rare) < need and n > 1:
         rest = some[frequent]
         for b in range(band(-(-percent * n // 100), percent), band(n, percent) + 1):
@@ -69,7 +73,8 @@ def signatures(some: np.ndarray, bits: Bits, percent: int) -> np.ndarray:
                         break
                     out.append(mix(token[:-step][same] * U64(0x9E3779B97F4A7C15) + token[step:][same] + U64(b + 2)))
                     step += 1
-    return np.unique(np.concatenate(out))
+    pairs = np.unique(np.concatenate(out)) if out else np.empty(0, U64)
+    return np.concatenate((single, pairs)), np.concatenate((np.full(len(single), -1), np.full(len(pairs), len(rare))))
 
 
 def _sets(docs: DataFrame, width: int) -> DataFrame:
@@ -89,29 +94,29 @@ def _sets(docs: DataFrame, width: int) -> DataFrame:
 
 
 def _postings(docs: DataFrame, bits, width: int, percent: int) -> DataFrame:
-    """(sig, node, n) of signatures that at least two nodes have: one shuffle, then a pass over sorted rows."""
+    """(sig, node, n, r) of signatures that at least two nodes have: one shuffle, then a pass over sorted rows."""
 
     def give(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells = bits.value
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                cols: tuple[list, ...] = ([], [], [])
+                cols: tuple[list, ...] = ([], [], [], [])
                 for i, text in zip(part.column(0).to_pylist(), part.column(1)):
                     s = shingles((text.as_py() or "").encode(), width)
                     if len(s):
-                        sig = signatures(s, cells, percent)
-                        for c, v in zip(cols, (sig.view(np.int64), np.full(len(sig), i), np.full(len(sig), len(s)))):
+                        sig, rare = signatures(s, cells, percent)
+                        for c, v in zip(cols, (sig.view(np.int64), np.full(len(sig), i), np.full(len(sig), len(s)), rare)):
                             c.append(v)
                 if cols[0]:
-                    yield pa.RecordBatch.from_pydict({k: pa.array(np.concatenate(c)) for k, c in zip(("sig", "node", "n"), cols)})
+                    yield pa.RecordBatch.from_pydict({k: pa.array(np.concatenate(c)) for k, c in zip(names, cols)})
 
     def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = None  # the row before, and whether it is in a run
         for batch in batches:
             if not batch.num_rows:
                 continue
-            cols = [batch.column(i).to_numpy() for i in range(3)]
+            cols = [batch.column(i).to_numpy() for i in range(4)]
             if last is not None:
                 cols = [np.concatenate((a[-1:], b)) for a, b in zip(last[0], cols)]
             new = np.concatenate(([True], (np.diff(cols[0]) != 0) | (np.diff(cols[1]) != 0)))
@@ -122,11 +127,11 @@ def _postings(docs: DataFrame, bits, width: int, percent: int) -> DataFrame:
             last = ([c[-1:] for c in cols], bool(keep[-1]))
             keep[-1] = False  # told by the next batch
             if keep.any():
-                yield pa.RecordBatch.from_pydict({k: pa.array(c[keep]) for k, c in zip(("sig", "node", "n"), cols)})
+                yield pa.RecordBatch.from_pydict({k: pa.array(c[keep]) for k, c in zip(names, cols)})
         if last is not None and last[1]:
-            yield pa.RecordBatch.from_pydict({k: pa.array(c) for k, c in zip(("sig", "node", "n"), last[0])})
+            yield pa.RecordBatch.from_pydict({k: pa.array(c) for k, c in zip(names, last[0])})
 
-    schema = "sig long, node long, n long"
+    names, schema = ("sig", "node", "n", "r"), "sig long, node long, n long, r long"
     every = docs.select("id", "text").mapInArrow(give, schema)
     return every.repartition("sig").sortWithinPartitions("sig", "node").mapInArrow(shared, schema)
 
@@ -201,10 +206,25 @@ def components(edges: DataFrame) -> DataFrame:
     return nodes.withColumn("comp", F.col("node")) if labels is None else labels
 
 
+def _close(percent: int):
+    """Whether sets of n and m shingles, r and q of them rare, can be similar enough if they share a signature.
+
+    One of a rare shingle (r is -1) leaves only the sizes to go by. Sets that share no rare shingle have all r + q
+    of them apart, and at most the lesser number of frequent ones in common.
+    """
+    n, m, r, q = (F.col(c) for c in ("n", "m", "r", "q"))
+    sizes = (n * 100 >= m * percent) & (m * 100 >= n * percent)
+    return F.when(r < 0, sizes).otherwise(F.least(n - r, m - q) * 100 >= (F.greatest(n - r, m - q) + r + q) * percent)
+
+
 def _links(postings: DataFrame, sets: DataFrame, percent: int, rounds: int) -> DataFrame:
-    """(node, comp) of the nodes that are linked to any other."""
-    close = F.col("n") * 100 >= F.col("m") * percent
-    close &= F.col("m") * 100 >= F.col("n") * percent
+    """(node, comp) of the nodes that are linked to any other.
+
+    A node is heavy at a signature of frequent shingles if its rare ones are so many that, by ``_close``,
+    it can only link to nodes with fewer: two heavy nodes are no candidates, and are never paired.
+    """
+    heavy = (F.col("r") * 2 * percent > (F.col("n") - F.col("r")) * (100 - percent)).cast("int")
+    postings = postings.withColumn("heavy", heavy)
     edges, tested, labels = None, None, None
 
     def add(pairs: DataFrame) -> None:
@@ -219,23 +239,28 @@ def _links(postings: DataFrame, sets: DataFrame, percent: int, rounds: int) -> D
 
     for turn in range(rounds + 1):
         if labels is not None:
-            named = postings.select("sig", "node", "n").join(labels, "node", "left").select("sig", "node", "n", F.coalesce("comp", "node").alias("comp"))
-            mixed = named.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("sig")
-            postings = materialize(named.join(mixed, "sig", "left_semi"), "postings")
+            named = postings.drop("comp").join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
         else:
-            postings = postings.withColumn("comp", F.col("node"))
-        each = postings.groupBy("sig", "comp").agg(F.count(F.lit(1)).alias("k")).groupBy("sig").agg(F.sum("k").alias("k"), F.sum(F.col("k") * F.col("k")).alias("k2"))
-        rows, pairs = each.agg(F.coalesce(F.sum("k"), F.lit(0)), F.coalesce(F.sum((F.col("k") * F.col("k") - F.col("k2")) / 2), F.lit(0))).first()
+            named = postings.withColumn("comp", F.col("node"))
+        # candidate pairs of each signature: of different components, not both heavy
+        each = named.groupBy("sig", "comp").agg(F.count(F.lit(1)).alias("k"), F.sum("heavy").alias("h"))
+        each = each.groupBy("sig").agg(*[F.sum(c).alias(c) for c in "kh"], *[F.sum(F.col(c) * F.col(c)).alias(f"{c}2") for c in "kh"])
+        each = each.withColumn("pairs", (F.col("k") * F.col("k") - F.col("k2") - F.col("h") * F.col("h") + F.col("h2")) / 2).where("pairs > 0")
+        each = materialize(each.select("sig", "k", "pairs"), "mixed")
+        rows, pairs = each.agg(F.coalesce(F.sum("k"), F.lit(0)), F.coalesce(F.sum("pairs"), F.lit(0))).first()
         if not pairs:
             break
+        postings = materialize(named.join(each.select("sig"), "sig", "left_semi").select("sig", "node", "n", "r", "heavy", "comp"), "postings")
         if turn == rounds or pairs <= 2 * rows:
-            other = postings.select("sig", F.col("node").alias("b"), F.col("n").alias("m"), F.col("comp").alias("comp2"))
-            add(postings.withColumnRenamed("node", "a").join(other, "sig").where("a < b and comp <> comp2").where(close).select("a", "b").distinct())
+            light = postings.where("heavy = 0").select("sig", F.col("node").alias("x"), "n", "r", F.col("comp").alias("cx"))
+            other = postings.select("sig", F.col("node").alias("y"), F.col("n").alias("m"), F.col("r").alias("q"), F.col("comp").alias("cy"), "heavy")
+            both = light.join(other, (light["sig"] == other["sig"]) & (F.col("cx") != F.col("cy")) & ((F.col("heavy") == 1) | (F.col("x") < F.col("y"))) & _close(percent))
+            add(both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
             break
-        # one hub for each signature: first the least node, later another one each round
-        place = F.struct(F.col("node") if not turn else F.xxhash64("node", F.lit(turn)), "node", "n", "comp")
-        hubs = postings.groupBy("sig").agg(F.min(place).alias("hub")).select("sig", F.col("hub.node").alias("hub"), F.col("hub.n").alias("m"), F.col("hub.comp").alias("comp2"))
-        star = postings.join(hubs, "sig").where("comp <> comp2").where(close)
+        # one hub for each signature, not a heavy one: first the least node, later another one each round
+        place = F.struct("heavy", (F.col("node") if not turn else F.xxhash64("node", F.lit(turn))).alias("place"), "node", "n", "r", "comp")
+        hubs = postings.groupBy("sig").agg(F.min(place).alias("hub")).select("sig", F.col("hub.node").alias("hub"), F.col("hub.n").alias("m"), F.col("hub.r").alias("q"), F.col("hub.comp").alias("comp2"))
+        star = postings.join(hubs, (postings["sig"] == hubs["sig"]) & (F.col("comp") != F.col("comp2")) & _close(percent))
         add(star.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct())
     return labels
 
