@@ -64,7 +64,8 @@ def train_model(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rest = F.col("text")
     for _, pattern, *_ in RULES:
         rest = F.regexp_replace(rest, pattern, " ")
-    ordinary = F.regexp_extract_all(F.lower(rest), F.lit(r"[a-z0-9+/_=-]{4,}"), F.lit(0))
+    # long tokens are what is to be told, so they are no samples, but for numbers
+    ordinary = F.filter(F.regexp_extract_all(F.lower(rest), F.lit(r"[a-z0-9+/_=-]{4,}"), F.lit(0)), lambda t: (F.length(t) < 16) | t.rlike("^[0-9]+$"))
     tokens = some.select(F.explode(F.array(F.struct(F.lit(1).alias("random"), F.transform(values, F.lower).alias("t")), F.struct(F.lit(0).alias("random"), ordinary.alias("t")))).alias("s"))
     tokens = tokens.select("s.random", F.explode("s.t").alias("t"))
     pairs = tokens.select("random", F.explode(F.transform(F.sequence(F.lit(1), F.length("t") - 1), lambda i: F.substring(F.col("t"), i, F.lit(2)))).alias("pair"))

@@ -75,7 +75,8 @@ def count_tokens(docs: DataFrame, ranks_path: str, pattern: str, rule: str = "ma
     kind = docs.schema[id_col].dataType.simpleString()
     cols = [F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")]
     if sections_col:
-        cols.append(F.array_sort(F.transform(f"`{sections_col}`", lambda s: F.struct(s[0].cast("long").alias("a"), s[1].cast("long").alias("z")))).alias("sections"))
+        start, end = docs.schema[sections_col].dataType.elementType.names[:2]
+        cols.append(F.array_sort(F.transform(F.col(f"`{sections_col}`"), lambda s: F.struct(s[start].cast("long").alias("a"), s[end].cast("long").alias("z")))).alias("sections"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = Encoder(parse_ranks(shared.value), pattern)

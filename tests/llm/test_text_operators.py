@@ -1,0 +1,385 @@
+"""The numbered operators against brute force on small tables with nulls, empty, long and repeated texts."""
+
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import public_tokenizers
+import pytest
+import tiktoken
+
+from loomlake.llm import bpe, common, decontaminate, html_extract, ngram_join, quality, secrets, sharding, substring_dedup, token_counts, toxicity
+
+RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id string, tag string, row string"
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def sha(x):
+    return hashlib.sha256(x.encode() if isinstance(x, str) else x).hexdigest()
+
+
+def table(spark, texts, ids=None):
+    """A documents table with columns whose names clash with the operators' own."""
+    ids = range(len(texts)) if ids is None else ids
+    rows = [(i, t, "en", "s", len(t or ""), "x", "y", "z") for i, t in zip(ids, texts)]
+    return spark.createDataFrame(rows, SCHEMA)
+
+
+def words(rng, n, some=400):
+    return [f"w{rng.randrange(some)}" for _ in range(n)]
+
+
+@pytest.fixture(scope="module")
+def corpus():
+    """Texts with exact and near copies, shared passages, ties, nulls, a long one."""
+    rng = random.Random(11)
+    base = [words(rng, rng.randint(1, 220), 5000) for _ in range(40)]
+    texts = [" ".join(b) for b in base]
+    for b in base[:12]:
+        for _ in range(3):
+            c = list(b)
+            for _ in range(max(1, len(c) // 60)):
+                c[rng.randrange(len(c))] = f"new{rng.randrange(10**6)}"
+            texts.append("\n".join(c))
+    passage = " ".join(words(rng, 60, 10**6))
+    texts += [f"{' '.join(words(rng, 30, 10**6))} {passage} {' '.join(words(rng, 20, 10**6))}" for _ in range(15)]
+    texts += [texts[3], texts[3], texts[5].upper(), None, "", " \t\n", "one", "one", "a b c d", "\x1c\x85é ß", " ".join(words(rng, 20_000, 10**6))]
+    return texts
+
+
+# ------------------------------------------------------------------ 1
+
+
+def test_segments_are_maximal():
+    def brute(s):
+        """All maximal segments by the recursive definition: the best run, then left and right of it."""
+        if not len(s) or max(s) <= 0:
+            return []
+        sums = np.concatenate(([0], np.cumsum(s)))
+        best = max(((round(sums[z] - sums[a], 9), -(z - a), a, z) for a in range(len(s)) for z in range(a + 1, len(s) + 1)))
+        _, _, a, z = best
+        return [(x, y) for x, y in brute(s[:a])] + [(a, z)] + [(x + z, y + z) for x, y in brute(s[z:])]
+
+    rng = np.random.default_rng(3)
+    for _ in range(300):
+        s = rng.normal(size=rng.integers(0, 14))
+        assert [(a, z) for a, z, _ in toxicity.maximal_segments(s)] == brute(s)
+
+
+def test_toxicity(spark, corpus):
+    rng = random.Random(2)
+    bad = ["vile", "grubby", "nasty"]
+    texts, labels = [], []
+    for i in range(400):
+        w = words(rng, rng.randint(5, 80))
+        toxic = i % 8 == 0
+        if toxic:
+            for _ in range(3):
+                w[rng.randrange(len(w))] = rng.choice(bad)
+        texts.append(" ".join(w))
+        labels.append((i, 1 if toxic else 0, "clash"))
+    labels += [(None, 1, ""), (3, None, "")]
+    ldf = spark.createDataFrame(labels, "doc_id long, toxic int, text string")
+    rows = toxicity.toxicity(table(spark, texts + [None, "", "vile vile"], [*range(400), 400, 401, 402]), ldf).collect()
+    got = {r.doc_id: r for r in rows}
+    assert all(got[i].held_out == (zlib.crc32(str(i).encode()) % 5 == 0) for i in got)
+    wrong = sum(got[i].predicted != y for i, y, _ in labels[:400])
+    assert wrong <= 4 and got[400].score == got[401].score < 0.5 and got[402].predicted == 1
+    assert got[8].passages and all(0 <= r.score <= 1 for r in rows)
+    none = ldf.where("toxic = 7")
+    assert {r.predicted for r in toxicity.toxicity(table(spark, ["vile", None]), none).collect()} == {0}
+    assert toxicity.toxicity(table(spark, []), ldf).count() == 0
+
+
+# ------------------------------------------------------------------ 2
+
+
+PAGE = """<!doctype html><html><head><title>t</title><style>p{}</style></head><body><header><h1>Site name</h1></header>
+<nav><a href=a>Home</a></nav><div class="content"><h1>Head &amp; tail</h1><p>First   paragraph with <b>bold</b> text,
+long enough to be counted as a part of the article itself.<p>Second one &lt;3, just as long as the first one so that it counts.<br>after break
+<ul><li>item<li>other</ul><script>if (a < b) {document.write("<p>no</p>")}</script></div>
+<aside>More links</aside><div id="comments"><p>A reader's comment that goes on for quite a while, all the same not the article.</p></div>
+<div class="ad-box">Buy!</div><form><p>Name</p></form><footer>&copy; us</footer></body></html>"""
+
+
+def test_html(spark):
+    want = "Head & tail\n\nFirst paragraph with bold text, long enough to be counted as a part of the article itself.\n\nSecond one <3, just as long as the first one so that it counts. after break\n\nitem\n\nother"
+    rows = [(0, "u", PAGE, "x"), (1, "u", None, "x"), (2, None, "", "x"), (None, "u", "plain & simple", "x"), (4, "u", "<p>a<p>b", "x"), (4, "u", "<p>a<p>b", "x"), (5, "u", "<article>" + "<div>" * 3000 + "deep" + "</div>" * 3000, "x"), (6, "u", "<nav>only menu</nav>", "x")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
+    got = sorted(((r.page_id if r.page_id is not None else -1, r.text, r.n_chars) for r in html_extract.extract_pages(df).collect()))
+    assert [g[1] for g in got] == ["plain & simple", want, "", "", "a\n\nb", "a\n\nb", "deep", ""]
+    assert all(len(t) == n for _, t, n in got)
+
+
+# ------------------------------------------------------------------ 3
+
+
+def test_bpe_equals_library_and_round_trips(spark, corpus):
+    ranks = bpe.load_ranks(RANKS)
+    enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    rng = random.Random(4)
+    bits = ["a", "b", " ", "  ", "\n", "é", "ß", "日", "　", "\x1c", "\x85", "'s", "'ll", "1", "²", "Ⅷ", "aaaa", "!!", "\t", "😀", "́", "<|endoftext|>"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 60))) for _ in range(200)] + corpus + ["a" * 30_000]
+    rows = {r.doc_id: r for r in bpe.encode_documents(table(spark, texts), RANKS, public_tokenizers.PATTERN, ids=True).collect()}
+    for i, t in enumerate(texts):
+        want = enc.encode_ordinary(t or "")
+        assert rows[i].token_ids == want and rows[i].n_tokens == len(want)
+        assert rows[i].ids_sha256 == sha(" ".join(map(str, want))) and rows[i].decoded_sha256 == sha(t or "")
+    back = spark.createDataFrame([(i, rows[i].token_ids) for i in (0, 5, 9)] + [(99, None)], "doc_id long, token_ids array<int>")
+    assert {r.doc_id: r.text for r in bpe.decode_ids(back, RANKS).collect()} == {0: texts[0], 5: texts[5], 9: texts[9], 99: ""}
+
+
+# ------------------------------------------------------------------ 4
+
+
+def test_quality(spark, corpus):
+    texts = corpus + ["x y z " * 60, "# a\n# a\n\n \n# a", "*" * 500]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(len(texts))], "doc_id long, quality int")
+    rows = {r.doc_id: r for r in quality.quality(table(spark, texts), labels).collect()}
+    for i, t in enumerate(texts):
+        t = t or ""
+        w = WORD.findall(t)
+        tri = Counter(zip(w, w[1:], w[2:]))
+        hit = {k + d for k in range(len(w) - 2) if tri[tuple(w[k : k + 3])] > 1 for d in range(3)}
+        lines = [x for x in t.split("\n") if WORD.search(x)]
+        dups = sum(x in lines[:k] for k, x in enumerate(lines))
+        r = rows[i]
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == (len(w), sum(map(len, w)), sum(t.count(c) for c in "#*$%&|<>"), dups, len(hit))
+        assert r.base_failed == (len(w) < 50 or 100 * len(hit) > 50 * len(w)) and not (r.base_failed and r.kept)
+    assert quality.quality(table(spark, []), labels).count() == 0
+    assert all(r.kept or r.base_failed for r in quality.quality(table(spark, corpus), labels.where("quality > 5")).collect())
+
+
+def test_trees_learn_and_are_monotone():
+    rng = np.random.default_rng(0)
+    x = rng.uniform(size=(3000, 3))
+    y = ((x[:, 0] < 0.5) & (x[:, 1] > 0.3)).astype(float)
+    t = quality.fit(x, y, [-1, 0, 0])
+    assert ((t.score(x) >= 0.5) == y).mean() > 0.97
+    grid = np.linspace(0, 1, 50)
+    for b in (0.1, 0.5, 0.9):
+        s = t.score(np.stack([grid, np.full(50, b), np.full(50, 0.5)], 1))
+        assert (np.diff(s) <= 1e-12).all()
+
+
+# ------------------------------------------------------------------ 5
+
+
+def brute_repeats(texts, ids, width=50):
+    every = [WORD.findall(t or "") for t in texts]
+    first = {}
+    for i, w in zip(ids, every):
+        for k in range(len(w) - width + 1):
+            key = tuple(w[k : k + width])
+            first[key] = min(first.get(key, i), i)
+    out = []
+    for i, w in zip(ids, every):
+        gone = {k + d for k in range(len(w) - width + 1) if first[tuple(w[k : k + width])] < i for d in range(width)}
+        kept = [x for k, x in enumerate(w) if k not in gone]
+        out.append((i, len(w), len(gone), sha(" ".join(kept))))
+    return sorted(out)
+
+
+def test_substring_dedup(spark, corpus):
+    ids = list(range(len(corpus)))
+    random.Random(9).shuffle(ids)
+    ids[7] = ids[50]  # one id twice, with different texts
+    got = sorted(tuple(r)[:4] for r in substring_dedup.remove_repeats(table(spark, corpus, ids)).collect())
+    assert got == brute_repeats(corpus, ids)
+    assert sum(r[2] for r in got) > 1000
+    assert substring_dedup.remove_repeats(table(spark, [])).count() == 0
+    long = " ".join(f"q{k}" for k in range(80))
+    rows = [tuple(r)[1:3] for r in substring_dedup.remove_repeats(table(spark, [long, long, None], [None, None, None])).collect()]
+    assert sorted(rows) == [(0, 0), (80, 0), (80, 0)]
+
+
+# ------------------------------------------------------------------ 6
+
+
+def test_decontamination(spark, corpus):
+    fold = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    low = lambda t: fold.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    items = [(1, corpus[0]), (2, " ".join((corpus[-1] or "").split()[500:530])), (3, "one"), (4, "w1, W2"), (5, None), (6, "--"), (7, "one"), (None, "one"), (11, "é ß")]
+    bench = spark.createDataFrame([(i, t, "x") for i, t in items], "item_id long, text string, doc_id string")
+    patterns = {}
+    for i, t in items:
+        w = low(t)
+        if i is not None:
+            for k in range(max(1, len(w) - 9) if w else 0):
+                patterns.setdefault(tuple(w[k : k + 10]), set()).add(str(i))
+    want = []
+    for d, t in enumerate(corpus):
+        w = low(t)
+        hit, found = set(), set()
+        for p, owners in patterns.items():
+            for k in range(len(w) - len(p) + 1):
+                if w[k] == p[0] and tuple(w[k : k + len(p)]) == p:
+                    hit |= set(range(k, k + len(p)))
+                    found |= owners
+        want.append((d, len(w), len(hit), len(found), sha(",".join(sorted(found))), bool(hit)))
+    one = sorted(tuple(r) for r in decontaminate.decontaminate(table(spark, corpus), bench).collect())
+    assert one == want and any(r[5] for r in want)
+    parts = sorted(tuple(r) for r in decontaminate.decontaminate(table(spark, corpus), bench, pass_bytes=150).collect())
+    assert parts == want
+    assert {r.contaminated for r in decontaminate.decontaminate(table(spark, corpus), bench.where("item_id = 99")).collect()} == {False}
+
+
+# ------------------------------------------------------------------ 7
+
+
+def brute_groups(texts, ids):
+    sets = []
+    for t in texts:
+        w = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        sets.append({tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set())
+    root = list(range(len(sets)))
+
+    def find(a):
+        while root[a] != a:
+            a = root[a]
+        return a
+
+    for a in range(len(sets)):
+        for b in range(a):
+            both = len(sets[a] & sets[b])
+            if both and 100 * both >= 75 * len(sets[a] | sets[b]):
+                root[find(a)] = find(b)
+    least = {}
+    for a, i in enumerate(ids):
+        least[find(a)] = min(least.get(find(a), i), i)
+    return sorted((i, len(s), least[find(a)]) for a, (i, s) in enumerate(zip(ids, sets)))
+
+
+def test_ngram_join(spark, corpus):
+    ids = list(range(len(corpus)))
+    random.Random(8).shuffle(ids)
+    got = sorted(tuple(r) for r in ngram_join.similar_groups(table(spark, corpus, ids)).collect())
+    assert got == brute_groups(corpus, ids)
+    assert sum(r[0] != r[2] for r in got) > 20
+    assert ngram_join.similar_groups(table(spark, [])).count() == 0
+    assert [r.n_shingles for r in ngram_join.similar_groups(table(spark, [None, " "])).collect()] == [0, 0]
+
+
+def test_ngram_join_of_frequent_shingles(spark):
+    """Large groups around common texts: their shingles are frequent, so combinations and hubs must find the links."""
+    rng = random.Random(6)
+    base = [f"b{k}" for k in range(90)]
+    texts = []
+    for _ in range(60):
+        c = list(base)
+        for _ in range(rng.randint(0, 3)):
+            c[rng.randrange(90)] = f"n{rng.randrange(10**6)}"
+        texts.append(" ".join(c + [f"t{rng.randrange(10**6)}" for _ in range(rng.randint(0, 40))]))
+    ids = list(range(len(texts)))
+    want = brute_groups(texts, ids)
+    assert 1 < len({r[2] for r in want}) < len(texts)
+    for rounds in (0, 4):
+        got = sorted(tuple(r) for r in ngram_join.similar_groups(table(spark, texts, ids), rounds=rounds).collect())
+        assert got == want
+
+
+# ------------------------------------------------------------------ 8
+
+
+def test_secrets(spark):
+    key = "04dbebab91ab85687d33eeaaf9ac699e1188f962"
+    mixed = "9233A8ECF7C5B09FE5949719B6B82BC439E9329B"
+    plain = "the quick brown fox has internationalisation and misunderstandings of counterrevolutionaries "
+    texts = [plain + f'token = "{key}" end', plain + f"é😀 {key} AKIA{'Z' * 16} password:short1 secret=abc", f"{plain} key {mixed} there", None, "", plain, f"API_KEY='{key}'{plain}Passwd=abcdef", "token=token:abcdefg", plain * 200]
+    rows = {r.doc_id: r for r in secrets.scan_secrets(table(spark, texts)).collect()}
+    assign = re.compile(r"""((?:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
+    for i, t in enumerate(texts):
+        t = t or ""
+        found = sorted([(m.start(), 0, m.end()) for m in assign.finditer(t) if len(m[2]) >= 6] + [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 20] + [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 24])
+        text = ",".join(f"{('assign', 'access', 'hex')[k]}:{a}:{z}" for a, k, z in found)
+        r = rows[i]
+        assert [r.n_assign, r.n_access, r.n_hex] == [sum(k == j for _, k, _ in found) for j in range(3)]
+        assert r.base_sha256 == sha(text) and set(filter(None, text.split(","))) <= set(r.spans.split(","))
+    at = texts[2].index(mixed)
+    assert f"markov:{at}:{at + 40}" in rows[2].spans
+    assert "markov" not in rows[5].spans + rows[8].spans
+    assert secrets.scan_secrets(table(spark, [])).count() == 0
+
+
+def test_redaction(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([("abcdefgh", [(1, 0, 3), (2, 2, 4), (6, 0, 8)]), ("xy", [])], "t string, s array<struct<start:bigint,order:int,end:bigint>>")
+    assert [r[0] for r in df.select(secrets.redacted(F.col("t"), F.col("s"), "#")).collect()] == ["a#ef#", "xy"]
+
+
+# ------------------------------------------------------------------ 9
+
+
+@pytest.mark.parametrize("rule", token_counts.RULES)
+def test_token_counts(spark, corpus, rule):
+    texts = corpus[:30] + ["a\n\n\nb  \n é日\n😀x", None, "", "\n", "one line"]
+    ranks = bpe.load_ranks(RANKS)
+    enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    got = {}
+    for r in token_counts.count_tokens(table(spark, texts), RANKS, public_tokenizers.PATTERN, rule).collect():
+        got.setdefault(r.doc_id, {})[r.section] = (r.char_start, r.char_end, r.n_tokens)
+    for i, t in enumerate(texts):
+        t = t or ""
+        owner = [k for k, line in enumerate(t.split("\n")) for _ in line + "\n"][: len(t)]
+        place = [k for k, c in enumerate(t) for _ in c.encode()]
+        n, at = Counter(), 0
+        for tok in enc.encode_ordinary(t):
+            size = len(enc.decode_single_token_bytes(tok))
+            a, z = place[at], place[at + size - 1]
+            at += size
+            share = Counter(owner[a : z + 1])
+            n[owner[a] if rule == "start" else owner[z] if rule == "end" else min(share, key=lambda k: (-share[k], k))] += 1
+        assert sum(v[2] for v in got[i].values()) == sum(n.values())
+        assert {k: v[2] for k, v in got[i].items() if v[2]} == dict(n)
+
+
+def test_token_counts_of_given_sections(spark):
+    df = spark.createDataFrame([(1, "alpha beta gamma", [(11, 16), (0, 5)]), (2, "x", None)], "doc_id long, text string, parts array<struct<a:int,z:int>>")
+    rows = token_counts.count_tokens(df, RANKS, public_tokenizers.PATTERN, "start", sections_col="parts").collect()
+    assert {(r.doc_id, r.section): r.char_start for r in rows} == {(1, -1): None, (1, 0): 0, (1, 1): 11, (2, -1): None}
+
+
+# ------------------------------------------------------------------ 10
+
+
+@pytest.mark.parametrize("hot", [False, True])
+def test_sharding(spark, corpus, hot):
+    texts = corpus[:-1] + (["same text here"] * 400 if hot else [])
+    rows = sharding.shard_bytes(table(spark, texts)).collect()
+    assert sorted((r.doc_id, r.size, r.text_crc32) for r in rows) == [(i, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for i, t in enumerate(texts)]
+    by = {}
+    for r in rows:
+        by.setdefault(r.shard, []).append(r)
+        assert r.law == "bytes" and r.grown_shard is None
+    sizes = [sum(r.size for r in v) for v in by.values()]
+    assert set(by) <= set(range(16)) and max(sizes) - min(sizes) <= 2 * max(r.size for r in rows)
+    assert all(sorted(r.slot for r in v) == list(range(len(v))) for v in by.values())
+    assert sharding.shard_bytes(table(spark, [])).count() == 0
+    twice = sharding.shard_bytes(table(spark, ["a", "a", None, None], [1, 1, None, None])).collect()
+    assert len({(r.shard, r.slot) for r in twice}) == 4
+
+
+# ------------------------------------------------------------------ shared parts
+
+
+def test_sketch_never_underestimates(spark):
+    texts = [" ".join(f"k{j}" for j in range(i, i + 5)) for i in range(200)] + [None]
+    df = table(spark, texts).select("text")
+    bits = common.merged_sketch(df, common.word_hashes, 16, 2, 5)
+    inside = common.word_hashes(" ".join(f"k{j}" for j in range(4, 200)).encode())
+    assert bits.reached(inside).all()
+    assert bits.reached(common.word_hashes(b"k0 k1 k2 k3 k201 k202 k203")).sum() <= 1
+
+
+def test_word_hashes():
+    a, b = common.word_hashes(b"x yy  zzz\tx"), common.word_hashes(b"zzz x")
+    assert len(a) == 4 and a[0] == a[3] and list(a[2:]) == list(b) and len(common.word_hashes(b" \n")) == 0
+    w = common.word_hashes(b"a b c d e a b c")
+    h = common.window_hashes(w, 3)
+    assert h[0] == h[5] and len(set(h.tolist())) == 5
+    assert len(common.word_hashes(b"q" * 10_000 + b" r")) == 2
