@@ -54,9 +54,8 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def train_model(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_docs: int = SAMPLE_DOCS) -> list[int]:
     """Weights of all character pairs: log of (chance in random strings / chance in ordinary words), in thousandths.
 
-    Counted over the first ``sample_docs`` documents in hash order: a bounded labelled sample. Random
-    strings also get a uniform prior (a tenth of a count for each pair, at least), so the model works
-    where no rule has a hit; an empty table gives the ratio of the priors.
+    Counted over the first ``sample_docs`` documents in hash order: a bounded labelled sample. Both models
+    have priors, so they work where no rule has a hit; an empty table gives the ratio of the priors.
     """
     ids = docs.select(F.col(f"`{id_col}`").alias("id")).orderBy(F.xxhash64("id"), "id").limit(sample_docs).distinct()
     some = _texts(docs, id_col, text_col).join(F.broadcast(ids), "id", "left_semi")
@@ -71,14 +70,15 @@ def train_model(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     pairs = tokens.select("random", F.explode(F.transform(F.sequence(F.lit(1), F.length("t") - 1), lambda i: F.substring(F.col("t"), i, F.lit(2)))).alias("pair"))
     counts = {(r["random"], r["pair"]): r["n"] for r in pairs.groupBy("random", "pair").agg(F.count(F.lit(1)).alias("n")).collect()}  # two models of 41 * 41 pairs
     size = len(ALPHABET)
+    # rare pairs: of random strings all characters are as likely, of ordinary words as likely as they are at all
+    often = {b: sum(counts.get((0, a + b), 0) for a in ALPHABET) + 0.1 for b in ALPHABET}
+    every = sum(often.values())
     weights = []
     for a in ALPHABET:
-        own = [[counts.get((k, a + b), 0) for b in ALPHABET] for k in (0, 1)]
-        totals = [sum(x) for x in own]
-        prior = max(0.1, 0.1 * totals[1] / size)
-        for n0, n1 in zip(*own):
-            p1 = (n1 + prior) / (totals[1] + prior * size)
-            p0 = (n0 + 0.1) / (totals[0] + 0.1 * size)
+        n0, n1 = ([counts.get((k, a + b), 0) for b in ALPHABET] for k in (0, 1))
+        for b, x0, x1 in zip(ALPHABET, n0, n1):
+            p0 = (x0 + 2 * often[b] / every) / (sum(n0) + 2)
+            p1 = (x1 + 1) / (sum(n1) + size)
             weights.append(round(1000 * math.log(p1 / p0)))
     return weights
 

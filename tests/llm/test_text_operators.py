@@ -290,6 +290,11 @@ def test_secrets(spark):
     mixed = "9233A8ECF7C5B09FE5949719B6B82BC439E9329B"
     plain = "the quick brown fox has internationalisation and misunderstandings of counterrevolutionaries "
     texts = [plain + f'token = "{key}" end', plain + f"é😀 {key} AKIA{'Z' * 16} password:short1 secret=abc", f"{plain} key {mixed} there", None, "", plain, f"API_KEY='{key}'{plain}Passwd=abcdef", "token=token:abcdefg", plain * 200]
+    rng = random.Random(1)
+    letters = "etaoinshrdlucmfwypvbgkqjxz"
+    for _ in range(60):  # samples to learn from
+        some = " ".join("".join(rng.choices(letters, range(26, 0, -1), k=rng.randint(4, 12))) for _ in range(40))
+        texts.append(f'{some} token = "{"".join(rng.choices("0123456789abcdef", k=40))}" 4{rng.randrange(10**14, 10**15)} {some}')
     rows = {r.doc_id: r for r in secrets.scan_secrets(table(spark, texts)).collect()}
     assign = re.compile(r"""((?:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
     for i, t in enumerate(texts):
@@ -301,7 +306,7 @@ def test_secrets(spark):
         assert r.base_sha256 == sha(text) and set(filter(None, text.split(","))) <= set(r.spans.split(","))
     at = texts[2].index(mixed)
     assert f"markov:{at}:{at + 40}" in rows[2].spans
-    assert "markov" not in rows[5].spans + rows[8].spans
+    assert sum("markov" in r.spans for r in rows.values()) == 1
     assert secrets.scan_secrets(table(spark, [])).count() == 0
 
 
