@@ -68,8 +68,8 @@ def list_to_conversation(turns: Column) -> Column:
 
 def parse_marked_text(text: Column, human: str = "Human:", assistant: str = "Assistant:") -> Column:
     """Text with speaker marks as messages; pieces without text go."""
-    parts = F.filter(F.transform(F.split(text, human), F.trim), lambda p: p != "")
-    both = F.transform(parts, lambda p: F.transform(F.split(p, assistant, 2), F.trim))
+    parts = F.filter(F.transform(F.split(text, human), lambda x: F.trim(x)), lambda p: p != "")
+    both = F.transform(parts, lambda p: F.transform(F.split(p, assistant, 2), lambda x: F.trim(x)))
     return F.filter(F.flatten(F.transform(both, lambda b: F.array(message("user", F.get(b, 0)), message("assistant", F.coalesce(F.get(b, 1), F.lit("")))))), lambda m: m["content"] != "")
 
 
@@ -147,9 +147,9 @@ def render_chat(messages: Column, template: str) -> Column:
 def tool_calls(text: Column) -> Column:
     """Tool calls of an assistant message as (name, arguments JSON): "Action:" lines, or <tool_call> JSON; none if any
     of the JSON can't be read."""
-    names = F.transform(F.regexp_extract_all(text, F.lit(r"(?s)Action:\s*([^\n]+)\s*Action Input:\s*(.+?)(?=\s*Action:|\s*$)"), F.lit(1)), F.trim)
-    inputs = F.transform(F.regexp_extract_all(text, F.lit(r"(?s)Action:\s*([^\n]+)\s*Action Input:\s*(.+?)(?=\s*Action:|\s*$)"), F.lit(2)), F.trim)
-    tagged = F.transform(F.regexp_extract_all(text, F.lit(r"(?s)<tool_call>\s*(.*?)\s*</tool_call>"), F.lit(1)), F.trim)
+    names = F.transform(F.regexp_extract_all(text, F.lit(r"(?s)Action:\s*([^\n]+)\s*Action Input:\s*(.+?)(?=\s*Action:|\s*$)"), F.lit(1)), lambda x: F.trim(x))
+    inputs = F.transform(F.regexp_extract_all(text, F.lit(r"(?s)Action:\s*([^\n]+)\s*Action Input:\s*(.+?)(?=\s*Action:|\s*$)"), F.lit(2)), lambda x: F.trim(x))
+    tagged = F.transform(F.regexp_extract_all(text, F.lit(r"(?s)<tool_call>\s*(.*?)\s*</tool_call>"), F.lit(1)), lambda x: F.trim(x))
     pair = lambda n, a: F.struct(n.alias("name"), a.alias("arguments"))
     none = F.array().cast("array<struct<name:string,arguments:string>>")
     lines = F.when(F.forall(inputs, lambda x: F.try_parse_json(x).isNotNull()), F.zip_with(names, inputs, pair)).otherwise(none)
