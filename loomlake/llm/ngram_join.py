@@ -5,7 +5,8 @@ ones (a merged count-min sketch tells) last. Of two sets similar enough, each on
 shingles as the other may lack, and one more) holds a shared shingle. A rare shingle is a signature on its
 own. Frequent shingles are dealt to classes; two of the same class make a signature together, and a
 class of c shingles then counts as c - 1 towards the prefix, which is extended accordingly. Sets that share
-a signature are verified exactly.
+a signature are compared by parity bitmaps first, of about a bit for each shingle: bits that differ are a
+lower bound of the shingles that differ, so no link is lost. What is left is verified exactly.
 
 Equal sets are one node from the start. In a group of mutually similar sets most pairs are told by
 transitivity: each round verifies only links to one hub of a signature, joins what is linked, and drops
@@ -14,7 +15,7 @@ signatures whose sets all are in one component; the pairs left are then verified
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame, functions as F
 from loomlake.llm.common import LOWER, U64, Bits, log2_at_least, merged_sketch, mix, small_side, window_hashes, word_hashes
 from loomlake.session import materialize
 
-#: Hub rounds before the remaining pairs are verified one by one; fewer if these pairs are few.
+#: Hub rounds before the remaining pairs are verified one by one; fewer if these pairs are few, or a round finds few links.
 ROUNDS = 4
 
 
@@ -77,20 +78,36 @@ def signatures(some: np.ndarray, bits: Bits, percent: int) -> tuple[np.ndarray,
     return np.concatenate((single, pairs)), np.concatenate((np.full(len(single), -1), np.full(len(pairs), len(rare))))
 
 
+def parity(some: np.ndarray) -> bytes:
+    """A bitmap of at least as many cells as shingles, a power of two: each bit tells whether its cell holds an odd number."""
+    cells = 1 << max(6, (len(some) - 1).bit_length())
+    odd = np.bincount((some & U64(cells - 1)).astype(np.int64), minlength=cells) & 1
+    return np.packbits(odd.astype(bool)).tobytes()
+
+
+def parity_distance(x: bytes, y: bytes) -> int:
+    """At most the number of shingles that only one of two sets has. The longer bitmap is folded onto the shorter."""
+    a, b = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+    if len(a) > len(b):
+        a, b = b, a
+    return int(np.bitwise_count(a ^ np.bitwise_xor.reduce(b.reshape(-1, len(a)), 0)).sum())
+
+
 def _sets(docs: DataFrame, width: int) -> DataFrame:
-    """(id, tag, n, h1, h2): size and 128-bit hash of each row's shingle set."""
+    """(id, tag, n, h1, h2, map): size, 128-bit hash and parity bitmap of each row's shingle set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, h1, h2 = [], [], []
+            n, h1, h2, maps = [], [], [], []
             for text in batch.column(1):
                 s = shingles((text.as_py() or "").encode(), width)
                 n.append(len(s))
+                maps.append(parity(s) if len(s) else None)
                 for out, salt in ((h1, 11), (h2, 12)):
                     out.append(int(mix(s + U64(salt)).sum(dtype=U64).view(np.int64)))
-            yield pa.RecordBatch.from_pydict({"id": batch.column(0), "tag": batch.column(2), "n": pa.array(n, pa.int64()), "h1": pa.array(h1, pa.int64()), "h2": pa.array(h2, pa.int64())})
+            yield pa.RecordBatch.from_pydict({"id": batch.column(0), "tag": batch.column(2), "n": pa.array(n, pa.int64()), "h1": pa.array(h1, pa.int64()), "h2": pa.array(h2, pa.int64()), "map": pa.array(maps, pa.binary())})
 
-    return docs.select("id", "text", "tag").mapInArrow(run, "id long, tag long, n long, h1 long, h2 long")
+    return docs.select("id", "text", "tag").mapInArrow(run, "id long, tag long, n long, h1 long, h2 long, map binary")
 
 
 def _postings(docs: DataFrame, bits, width: int, percent: int) -> DataFrame:
@@ -157,6 +174,21 @@ def _packed_sets(docs: DataFrame, width: int) -> DataFrame:
     return docs.select("id", "text").mapInArrow(run, "node long, data binary")
 
 
+def _near(pairs: DataFrame, maps: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that their bitmaps do not rule out: sets differ in (n + m) * (100 - percent) / (100 + percent) shingles at most."""
+    left = maps.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("map").alias("ma"))
+    right = maps.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("map").alias("mb"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.column(2).to_numpy() + batch.column(3).to_numpy()
+            far = np.array([parity_distance(x.as_py(), y.as_py()) for x, y in zip(batch.column(4), batch.column(5))], np.int64)
+            keep = pa.array(far * (100 + percent) <= n * (100 - percent))
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
+
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "ma", "mb").mapInArrow(run, "a long, b long").distinct()
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets are similar enough."""
     left = sets.select(F.col("node").alias("a"), F.col("data").alias("da"))
@@ -217,8 +249,8 @@ def _close(percent: int):
     return F.when(r < 0, sizes).otherwise(F.least(n - r, m - q) * 100 >= (F.greatest(n - r, m - q) + r + q) * percent)
 
 
-def _links(postings: DataFrame, sets: DataFrame, percent: int, rounds: int) -> DataFrame:
-    """(node, comp) of the nodes that are linked to any other.
+def _links(postings: DataFrame, maps: DataFrame, sets: Callable[[DataFrame], DataFrame], percent: int, rounds: int) -> DataFrame:
+    """(node, comp) of the nodes that are linked to any other. ``sets`` gives the shingles of a table of nodes.
 
     A node is heavy at a signature of frequent shingles if its rare ones are so many that, by ``_close``,
     it can only link to nodes with fewer: two heavy nodes are no candidates, and are never paired.
@@ -227,16 +259,21 @@ def _links(postings: DataFrame, sets: DataFrame, percent: int, rounds: int) -> D
     postings = postings.withColumn("heavy", heavy)
     edges, tested, labels = None, None, None
 
-    def add(pairs: DataFrame) -> None:
+    def add(pairs: DataFrame) -> bool:
+        """Verifies pairs. Whether so many were links that another hub round pays."""
         nonlocal edges, tested, labels
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = materialize(pairs, "pairs")
-        found = materialize(_verified(pairs, sets, percent), "links")
+        near = materialize(_near(pairs, maps, percent), "near")
+        ends = materialize(near.select(F.col("a").alias("node")).union(near.select("b")).distinct(), "ends")
+        found = materialize(_verified(near, materialize(sets(ends), "packed"), percent), "links")
         tested = pairs if tested is None else tested.union(pairs)
         edges = found if edges is None else edges.union(found)
         labels = components(edges)
+        return found.count() * 50 > pairs.count()
 
+    more = True
     for turn in range(rounds + 1):
         if labels is not None:
             named = postings.drop("comp").join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
@@ -251,7 +288,7 @@ def _links(postings: DataFrame, sets: DataFrame, percent: int, rounds: int) -> D
         if not pairs:
             break
         postings = materialize(named.join(each.select("sig"), "sig", "left_semi").select("sig", "node", "n", "r", "heavy", "comp"), "postings")
-        if turn == rounds or pairs <= 2 * rows:
+        if turn == rounds or not more or pairs <= 2 * rows:
             light = postings.where("heavy = 0").select("sig", F.col("node").alias("x"), "n", "r", F.col("comp").alias("cx"))
             other = postings.select("sig", F.col("node").alias("y"), F.col("n").alias("m"), F.col("r").alias("q"), F.col("comp").alias("cy"), "heavy")
             both = light.join(other, (light["sig"] == other["sig"]) & (F.col("cx") != F.col("cy")) & ((F.col("heavy") == 1) | (F.col("x") < F.col("y"))) & _close(percent))
@@ -261,7 +298,7 @@ def _links(postings: DataFrame, sets: DataFrame, percent: int, rounds: int) -> D
         place = F.struct("heavy", (F.col("node") if not turn else F.xxhash64("node", F.lit(turn))).alias("place"), "node", "n", "r", "comp")
         hubs = postings.groupBy("sig").agg(F.min(place).alias("hub")).select("sig", F.col("hub.node").alias("hub"), F.col("hub.n").alias("m"), F.col("hub.r").alias("q"), F.col("hub.comp").alias("comp2"))
         star = postings.join(hubs, (postings["sig"] == hubs["sig"]) & (F.col("comp") != F.col("comp2")) & _close(percent))
-        add(star.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct())
+        more = add(star.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct())
     return labels
 
 
@@ -288,7 +325,12 @@ def similar_groups(docs: DataFrame, percent: int = 75, width: int = 5, id_col: s
     bits = spark.sparkContext.broadcast(merged_sketch(alone.select("text"), lambda data: shingles(data, width), log2, 1, often))
     postings = materialize(_postings(alone, bits, width, percent), "postings")
     linked = materialize(postings.select("node").distinct(), "linked")
-    sets = materialize(_packed_sets(alone.join(small_side(linked), alone["id"] == linked["node"], "left_semi"), width), "packed")
-    labels = _links(postings, sets, percent, rounds)
+    maps = each.where("n > 0").join(small_side(copies), ["id", "tag"], "left_anti").select(F.col("id").alias("node"), "n", "map")
+    maps = materialize(maps.join(small_side(linked), "node", "left_semi"), "maps")
+
+    def sets(ends: DataFrame) -> DataFrame:
+        return _packed_sets(alone.join(small_side(ends), alone["id"] == ends["node"], "left_semi"), width)
+
+    labels = _links(postings, maps, sets, percent, rounds)
     out = placed.join(labels, "node", "left") if labels is not None else placed.withColumn("comp", F.lit(None).cast("long"))
     return out.select(F.col("id").cast(kind).alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("comp", "node", "id").cast(kind).alias("component_id"))
