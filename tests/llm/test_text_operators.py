@@ -388,3 +388,13 @@ def test_word_hashes():
     h = common.window_hashes(w, 3)
     assert h[0] == h[5] and len(set(h.tolist())) == 5
     assert len(common.word_hashes(b"q" * 10_000 + b" r")) == 2
+
+
+def test_parity_bitmaps_never_overestimate():
+    rng = np.random.default_rng(1)
+    for _ in range(300):
+        base = rng.integers(0, 1 << 63, 600).astype(np.uint64)
+        n, m, skip = rng.integers(1, 400), rng.integers(1, 400), rng.integers(0, 200)
+        a, b = np.unique(base[:n]), np.unique(base[skip:][:m])
+        assert ngram_join.parity_distance(ngram_join.parity(a), ngram_join.parity(b)) <= len(np.setxor1d(a, b))
+        assert ngram_join.parity_distance(ngram_join.parity(a), ngram_join.parity(a)) == 0
