@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from loomlake.operators.windows import global_rank
+
 
 def grpo(df: DataFrame, group: str = "uid", score: str = "score", eps: float = 1e-6) -> DataFrame:
     """Adds ``advantage``: (score - mean) / (sample deviation + eps) in the group. Groups of one have none and are
@@ -97,16 +99,15 @@ def metrics(df: DataFrame, columns: list[str]) -> DataFrame:
     return values.groupBy("x.metric").agg(F.avg("x.v").alias("mean"), F.max("x.v").alias("max"), F.min("x.v").alias("min"), F.var_samp("x.v").alias("var"))
 
 
-def balance_shards(df: DataFrame, k: int, length: str = "length", order: str = "row_id", block: int = 4096) -> DataFrame:
-    """Adds ``shard``: rows by falling length go forth and back over the ``k`` shards.
+def balance_shards(df: DataFrame, k: int, length: str = "length", order: str = "row_id", block: int = 200) -> DataFrame:
+    """Adds ``shard``: all rows by falling length go forth and back over the ``k`` shards.
 
-    Disjoint, complete, sizes at most one apart in each block. Rows are dealt in blocks (by hash of
-    ``order``), so the sort is distributed: no window holds the whole table.
+    Disjoint, complete, sizes at most one apart. The rank is one over the whole table, taken in ``block`` sorted
+    ranges (see ``global_rank``): their number decides how many tasks share the sort, never the result.
     """
-    blocks = F.pmod(F.xxhash64(order), F.lit(block))
-    rank = F.row_number().over(W.partitionBy(blocks).orderBy(F.col(length).desc(), order)) - 1
-    turn, place = F.floor(rank / k), rank % k
-    return df.withColumn("shard", F.when(turn % 2 == 0, place).otherwise(k - 1 - place).cast("int"))
+    ranked = global_rank(df, [F.col(length).desc(), F.col(order)], "__rank", blocks=block)
+    turn, place = F.floor(F.col("__rank") / k), F.col("__rank") % k
+    return ranked.withColumn("shard", F.when(turn % 2 == 0, place).otherwise(k - 1 - place).cast("int")).drop("__rank")
 
 
 def micro_batches(df: DataFrame, max_tokens: int, group: str = "uid", length: str = "length", order: str = "row_id") -> DataFrame:

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 
-def global_rank(df: DataFrame, order: list[str], name: str, running: str | None = None, blocks: int = 200) -> DataFrame:
+def global_rank(df: DataFrame, order: list[str | Column], name: str, running: str | None = None, blocks: int = 200) -> DataFrame:
     """Adds ``name``: the row's place (from 0) in the order of all rows; with ``running`` also ``__before``, the sum of
     that column over all earlier rows.
 

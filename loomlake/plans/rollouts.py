@@ -117,7 +117,7 @@ def _(spark, sf):
 @query("w16_balance_shards")
 def _(spark, sf):
     """Rows and lengths of eight balanced shards; a test holds it against the contract."""
-    df = R.balance_shards(rows(spark, sf), 8, block=4)
+    df = R.balance_shards(rows(spark, sf), 8)
     return df.groupBy("shard").agg(F.count(F.lit(1)).alias("rows"), F.sum("length").alias("tokens"))
 
 

@@ -108,6 +108,16 @@ def test_balance_shards(spark):
     assert max(r.t for r in rows) - min(r.t for r in rows) <= 97
 
 
+@pytest.mark.parametrize("n", [0, 3, 1003])
+def test_balance_shards_at_the_defaults(spark, n):
+    df = spark.range(n).select(F.col("id").alias("row_id"), (F.col("id") % 97).alias("length"))
+    rows = R.balance_shards(df, 4).collect()
+    sizes = [sum(r.shard == s for r in rows) for s in range(4)]
+    tokens = [sum(r.length for r in rows if r.shard == s) for s in range(4)]
+    assert sorted(r.row_id for r in rows) == list(range(n)) and max(sizes) - min(sizes) <= 1
+    assert max(tokens) - min(tokens) <= 97
+
+
 def test_tool_calls(spark):
     texts = ['Action: f\nAction Input: {"a": 1}', '<tool_call>\n{"name": "g", "arguments": {"b": 2}}\n</tool_call>', "Action: f\nAction Input: {bad", "hello"]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
