@@ -3,7 +3,8 @@
 Every DOM node gets its characters per tag, adjusted by how much of it is link text; the sum of its
 children's densities finds the subtree that holds the article, and the least density on the path from
 the body to that subtree is the threshold that other subtrees must reach to count as content too.
-Parts that say what they are (menus, forms, adverts by element, role or class) are cut off before.
+Parts that say what they are (menus, forms, adverts by element, role or class) are cut off before, but for
+those that hold an article or most of the text: a class may also tell how a wrapper looks. These are left to density.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ VOID = set("area base br col embed hr img input link meta param source track wbr
 RAW = set("script style textarea title xmp iframe noembed noframes".split())
 CUT = set("head script style noscript template iframe svg nav footer aside form button select option input textarea label fieldset dialog menu object embed canvas video audio".split())
 BLOCK = set("address article aside blockquote body center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
+WRAPS = {"form", "fieldset"}  # cut off as a rule, but some pages are one form as a whole
 KEEP = {"html", "body", "article", "main"}
 CLOSES_P = BLOCK - {"body", "html", "li", "dd", "dt", "td", "th", "tr", "tbody", "thead", "tfoot"}
 SIBLINGS = {"li": {"li"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"tr", "td", "th"}, "option": {"option"}}
@@ -37,31 +39,32 @@ WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "items", "cut", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("tag", "parent", "items", "cut", "marked", "chars", "tags", "link_chars", "link_tags", "density", "total")
 
-    def __init__(self, tag: str, parent: Node | None, cut: bool):
-        self.tag, self.parent, self.cut = tag, parent, cut
+    def __init__(self, tag: str, parent: Node | None, cut: bool, marked: bool = False):
+        self.tag, self.parent, self.cut, self.marked = tag, parent, cut, marked
         self.items: list[Node | str] = []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
 
 
-def _marked(tag: str, attributes: str, inside: bool) -> bool:
-    """Whether an element is cut off by its name or by what its attributes say."""
-    if tag in CUT or tag == "header" and not inside:
-        return True
+def _says(tag: str, attributes: str, inside: bool) -> tuple[bool, bool]:
+    """Whether an element is cut off in any case (by its name, or as it isn't shown), and whether it is marked as no part of the article."""
+    if tag in CUT and tag not in WRAPS or tag == "header" and not inside:
+        return True, False
+    marked = tag in WRAPS
     if not attributes or tag in KEEP:
-        return False
+        return False, marked
     for name, value in NAMED.findall(attributes):
         name, value = name.lower(), value.strip("\"'")
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
-            return True
+            return True, False
         if name == "style":
             if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-                return True
+                return True, False
         elif not re.fullmatch(r"h[1-6]", tag) and not MARKS.isdisjoint(w.lower() for w in WORDS.findall(value)):
-            return True
-    return False
+            marked = True
+    return False, marked
 
 
 def parse(page: str) -> Node:
@@ -100,7 +103,7 @@ def parse(page: str) -> Node:
                 x = x.parent
             if x.tag in ends and x.parent is not None:
                 here = x.parent
-        node = Node(tag, here, _marked(tag, m[3] or m[6] or "", depth_kept > 0))
+        node = Node(tag, here, *_says(tag, m[3] or m[6] or "", depth_kept > 0))
         here.items.append(node)
         if tag in RAW:
             end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>|\Z", re.I).search(page, at)
@@ -113,14 +116,54 @@ def parse(page: str) -> Node:
     return root
 
 
-def _count(root: Node) -> list[Node]:
-    """Characters, tags, link characters and link tags of each node that isn't cut off; children come first."""
+def _walk(root: Node) -> list[Node]:
+    """The nodes that aren't cut off; children come first."""
     order, stack = [], [root]
     while stack:
         x = stack.pop()
         order.append(x)
         stack += [c for c in x.items if isinstance(c, Node) and not c.cut]
     order.reverse()
+    return order
+
+
+def _cut_marked(root: Node) -> set[int]:
+    """Cuts marked nodes off that hold neither an article or main element nor most of the body's text outside links.
+
+    A node of most of the text is still cut where article and main elements outside it hold a quarter as much: then
+    the page itself says where its article is, and a short one stays apart from long adverts or comments.
+    Returns the ids of the nodes of most of the text.
+    """
+    order = _walk(root)
+    plain: dict[int, int] = {}
+    whole: set[int] = set()
+    for x in order:
+        n = 0
+        for c in x.items:
+            if isinstance(c, str):
+                n += len(c) - sum(map(c.count, " \n\t\r"))
+            elif not c.cut:
+                n += plain[id(c)]
+                if c.tag in ("article", "main") or id(c) in whole:
+                    whole.add(id(x))
+        plain[id(x)] = 0 if x.tag == "a" else n
+    body = next((x for x in reversed(order) if x.tag == "body"), root)
+    most = plain[id(body)] or plain[id(root)]
+    articles, around = 0, {}  # text of all outermost article and main elements, and of the one around a node
+    for x in reversed(order):  # parents first
+        own = around.get(id(x.parent))
+        if own is None and x.tag in ("article", "main"):
+            own = plain[id(x)]
+            articles += own
+        around[id(x)] = own
+    for x in order:
+        x.cut = x.marked and id(x) not in whole and (2 * plain[id(x)] <= most or 4 * (articles - (around[id(x)] or 0)) >= plain[id(x)] > 0)
+    return {i for i, n in plain.items() if 2 * n > most}
+
+
+def _count(root: Node) -> list[Node]:
+    """Characters, tags, link characters and link tags of each node that isn't cut off; children come first."""
+    order = _walk(root)
     for x in order:
         for c in x.items:
             if isinstance(c, str):
@@ -135,6 +178,7 @@ def _count(root: Node) -> list[Node]:
 
 def content(root: Node) -> list[Node]:
     """The nodes whose whole subtrees are the article, in page order."""
+    large = _cut_marked(root)
     order = _count(root)
     body = next((x for x in reversed(order) if x.tag == "body"), root)
     body = body if body.chars else root
@@ -151,15 +195,28 @@ def content(root: Node) -> list[Node]:
     if not within:
         return []
     best = max(reversed(within), key=lambda x: (x.total or x.density))
-    threshold, x = best.density, best
+    threshold, x, path = best.density, best, set()
     while x is not None and x is not body.parent:
+        path.add(id(x))
         threshold, x = min(threshold, x.density), x.parent
+    # what is marked but holds an article must reach the threshold too, or most of the text
+    for x in within:
+        if x.marked and id(x) not in path and id(x) not in large:
+            x.cut = x.density < threshold or x.link_chars * 2 >= x.chars
     # widen to the article that the densest subtree belongs to
     x, whole = best, None
     while x is not None:
         whole, x = (x if x.tag in ("article", "main") else whole), x.parent
     if whole is not None:
-        return [whole]
+        # and the other articles that reach the threshold, in page order
+        found, stack = [], [body]
+        while stack:
+            x = stack.pop()
+            if x is whole or x.tag in ("article", "main") and x.density >= threshold and x.link_chars * 2 < x.chars:
+                found.append(x)
+            else:
+                stack += [c for c in reversed(x.items) if isinstance(c, Node) and not c.cut]
+        return found if whole in found else [whole]
     # else the densest subtree of each part that reaches the threshold
     marked, stack = [], [best]
     chosen = {id(best)}

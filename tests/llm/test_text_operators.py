@@ -115,6 +115,29 @@ def test_html(spark):
     assert all(len(t) == n for _, t, n in got)
 
 
+LONG = "This paragraph is long enough to be counted as a part of the article itself, as it goes on and on"
+MENU = '<nav><a href=a>Home</a></nav><div class="sidebar"><p>Some words beside</p><a href=b>More</a></div>'
+
+
+@pytest.mark.parametrize("open_, close", [
+    ('<div class="content no-sidebar">', "</div>"), ('<div class="layout has-sidebar"><main>', "</main></div>"), ('<div class="post comment-open">', "</div>"),
+    ('<article><div class="post comment-open">', "</div></article>"), ('<div id="header-image"><div class="related"><article class="share">', "</article></div></div>"), ('<form id="all"><div>', "</div></form>"),
+])
+def test_html_keeps_marked_wrappers(open_, close):
+    page = f"<html><body>{MENU}{open_}<p>{LONG} one.</p><p>{LONG} two.</p>{close}<footer>us</footer></body></html>"
+    assert html_extract.main_text(page) == f"{LONG} one.\n\n{LONG} two."
+
+
+def test_html_keeps_sibling_articles():
+    for a, z in (("<div>", "</div>"), ('<div class="list has-sidebar">', "</div>"), ("", "")):
+        page = f"<html><body>{MENU}{a}<article><p>{LONG} one.</p></article><article><p>{LONG} two.</p><p>{LONG} three.</p></article>{z}<footer>us</footer></body></html>"
+        assert html_extract.main_text(page) == f"{LONG} one.\n\n{LONG} two.\n\n{LONG} three."
+    two = [f'<div class="layout has-sidebar"><div class="sidebar"><a href="x">Menu</a></div><article><p>{LONG} {n}.</p></article></div>' for n in ("one", "two")]
+    assert html_extract.main_text(f"<body>{MENU}{''.join(two)}</body>") == f"{LONG} one.\n\n{LONG} two."
+    teaser = f'<body><article><p>{LONG}</p></article><div class="related"><article><a href="x">Read this other page of ours</a></article></div></body>'
+    assert html_extract.main_text(teaser) == LONG
+
+
 # ------------------------------------------------------------------ 3
 
 
