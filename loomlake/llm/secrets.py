@@ -2,7 +2,9 @@
 
 Two first-order Markov models over case-folded characters, one of random strings and one of ordinary
 identifiers, are counted from labelled samples: values that a rule found are random strings, the other
-words of the same documents are ordinary. A long token whose log-likelihood ratio is high is a secret.
+words of the same documents are ordinary. A long token whose log-likelihood ratio is high is a secret; so is
+a high-scoring stretch of it between separators, where a token as a whole is diluted by ordinary words.
+What rules found is taken out first, so that the parts left and right of it are tokens of their own.
 """
 
 from __future__ import annotations
@@ -19,10 +21,60 @@ ALPHABET = "abcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 CANDIDATE = r"[A-Za-z0-9+/_=-]{16,}"
 #: Log-likelihood ratio in thousandths of a nat: least total, and least mean for each pair of characters.
 LEAST_TOTAL, LEAST_MEAN = 20_000, 400
+#: A stretch of a token ends where its score, less the least mean, falls this far below its best.
+DROP = LEAST_TOTAL // 2
 #: Documents whose words and rule hits are the labelled samples, the first of them in hash order.
 SAMPLE_DOCS = 4_000
 
 
+RANGE = "array<struct<start:bigint,end:bigint>>"
+
+
+def _ratio(t: Column, weights: Column) -> Column:
+    """The log-likelihood ratio of a token of two characters and more, in thousandths."""
+    size = len(ALPHABET)
+    code = lambda i: F.instr(F.lit(ALPHABET), F.substring(t, i, F.lit(1)))
+    return F.aggregate(F.sequence(F.lit(1), F.length(t) - 1), F.lit(0), lambda a, i: a + F.get(weights, (code(i) - 1) * size + code(i + 1) - 1))
+
+
+def _is_random(t: Column, weights: Column) -> Column:
+    score = _ratio(t, weights)
+    return (F.length(t) >= 16) & (score >= LEAST_TOTAL) & (score >= LEAST_MEAN * (F.length(t) - 1))
+
+
+def _stretches(t: Column, weights: Column) -> Column:
+    """Random stretches of a token between / = - and _, as (start, end) in it: runs of words that together score high, and words that do alone.
+
+    Words are taken one by one; a run ends where its score, less the least mean for each pair, is no longer
+    positive, or ``DROP`` below its best, and reaches up to its best. So each of several keys in a token is found.
+    """
+    run = lambda start, end: F.struct(start.alias("start"), end.alias("end"))
+    state = lambda at, start, total, best, end, out: F.struct(at.alias("at"), start.alias("start"), total.alias("total"), best.alias("best"), end.alias("end"), out.alias("out"))
+    zero, empty = F.lit(0).cast("long"), F.array().cast(RANGE)
+    parts = F.transform(F.regexp_extract_all(t, F.lit(r"[^/=_-]+=*|[/=_-]+"), F.lit(0)), lambda p: F.struct(
+        F.length(p).cast("long").alias("n"), (~p.rlike("^[/=_-]")).alias("word"), F.when(F.length(p) > 1, _ratio(p, weights) - LEAST_MEAN * (F.length(p) - 1)).otherwise(0).cast("long").alias("v")))
+    closed = lambda a: F.when(a["best"] > 0, F.concat(a["out"], F.array(run(a["start"], a["end"])))).otherwise(a["out"])
+
+    def step(a: Column, p: Column) -> Column:
+        total, end = a["total"] + p["v"], a["at"] + p["n"]
+        start = F.when(a["best"] > 0, a["start"]).otherwise(a["at"])
+        ends = (total <= 0) | (total <= a["best"] - DROP)
+        return (
+            F.when(~p["word"], state(end, a["start"], a["total"], a["best"], a["end"], a["out"]))
+            .when(ends, state(end, end, zero, zero, end, closed(a)))
+            .when(total > a["best"], state(end, start, total, total, end, a["out"]))
+            .otherwise(state(end, a["start"], total, a["best"], a["end"], a["out"]))
+        )
+
+    runs = F.aggregate(parts, state(zero, zero, zero, zero, zero, empty), step, closed)
+    # single words with their places
+    words = F.aggregate(parts, F.struct(zero.alias("at"), empty.alias("out")), lambda a, p: F.struct((a["at"] + p["n"]).alias("at"), F.when(p["word"] & (p["n"] >= 16), F.concat(a["out"], F.array(run(a["at"], a["at"] + p["n"])))).otherwise(a["out"]).alias("out")), lambda a: a["out"])
+    tell = lambda x: _is_random(F.substring(t, (x["start"] + 1).cast("int"), (x["end"] - x["start"]).cast("int")), weights)
+    good = F.filter(runs, tell)
+    alone = F.filter(words, lambda x: tell(x) & ~F.exists(good, lambda g: (g["start"] <= x["start"]) & (x["end"] <= g["end"])))
+    return F.concat(good, alone)
+
+
 def _spans(pieces: Column, matches: Column, keep, kind: str) -> Column:
     """Spans of the matches that ``keep(index)`` accepts: the texts between and of earlier matches give the start."""
     length = lambda parts: F.aggregate(parts, F.lit(0).cast("long"), lambda a, x: a + F.length(x))
@@ -89,8 +141,8 @@ def find_secrets(docs: DataFrame, weights: list[int], id_col: str = "doc_id", te
     With ``keep``, also these columns (named apart from the others here) and ``given``, the text as it was, null or not.
 
     ``base`` has the rules' spans (leftmost, not overlapping within a kind, failing matches dropped),
-    ``spans`` these and the tokens that the Markov models tell to be random and that touch no base
-    span. ``order`` is the place of the kind in ``KINDS``. A null text counts as empty and has no spans.
+    ``spans`` these and the tokens, or stretches of tokens, outside of base spans that the Markov models tell to
+    be random. ``order`` is the place of the kind in ``KINDS``. A null text counts as empty and has no spans.
     Repeated rows stay; all whole texts are scanned; no shuffle.
     """
     more_cols = [] if keep is None else ["given", *keep]
@@ -102,20 +154,26 @@ def find_secrets(docs: DataFrame, weights: list[int], id_col: str = "doc_id", te
 
     found = [_spans(F.col(f"{k}_p"), F.col(f"{k}_m"), long_enough(k, n), k) for k, _, _, n in RULES]
     df = df.select("id", "text", *more_cols, F.array_sort(F.concat(*found)).alias("base"))
-    df = df.withColumn("tokens", F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0)))
-    size, model = len(ALPHABET), F.lit(weights)
-    code = lambda t, i: F.instr(F.lit(ALPHABET), F.substring(t, i, F.lit(1)))
-    ratio = lambda t: F.aggregate(F.sequence(F.lit(1), F.length(t) - 1), F.lit(0), lambda a, i: a + F.get(model, (code(t, i) - 1) * size + code(t, i + 1) - 1))
-    score = F.transform("tokens", lambda t: ratio(F.lower(t)))
-    df = df.withColumn("scores", F.when(F.size("tokens") > 0, score).otherwise(F.array().cast("array<int>")))
-    random = lambda i: (F.get("scores", i) >= LEAST_TOTAL) & (F.get("scores", i) >= LEAST_MEAN * (F.length(F.get("tokens", i)) - 1))
-    any_random = F.exists("scores", lambda s: s >= LEAST_TOTAL)
+    # base spans as blanks, so that places stay and what is left of a token is a token
+    df = df.withColumn("free", F.when(F.size("base") > 0, _replaced(F.col("text"), F.col("base"), lambda n: F.repeat(F.lit(" "), n.cast("int")))).otherwise(F.col("text")))
+    df = df.withColumn("tokens", F.regexp_extract_all("free", F.lit(CANDIDATE), F.lit(0)))
+    model, none = F.lit(weights), F.array().cast(RANGE)
+
+    def found_in(token: Column) -> Column:
+        t = F.lower(token)
+        whole = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.length(t).cast("long").alias("end")))
+        return F.when(_is_random(t, model), whole).when(t.rlike("[/=_-]"), _stretches(t, model)).otherwise(none)
+
+    df = df.withColumn("random", F.when(F.size("tokens") > 0, F.transform("tokens", found_in)).otherwise(F.array().cast(f"array<{RANGE}>")))
+    some = F.exists("random", lambda r: F.size(r) > 0)
     empty = F.array().cast("array<string>")
-    df = df.withColumn("tokens", F.when(any_random, F.col("tokens")).otherwise(empty))
-    df = df.withColumn("pieces", F.when(F.size("tokens") > 0, F.split("text", CANDIDATE, -1)).otherwise(empty))
-    more = _spans(F.col("pieces"), F.col("tokens"), random, "markov")
-    free = F.filter(more, lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-    return df.select("id", "text", *more_cols, "base", F.array_sort(F.concat("base", free)).alias("spans"))
+    df = df.withColumn("tokens", F.when(some, F.col("tokens")).otherwise(empty))
+    df = df.withColumn("pieces", F.when(F.size("tokens") > 0, F.split("free", CANDIDATE, -1)).otherwise(empty))
+    places = _spans(F.col("pieces"), F.col("tokens"), lambda i: F.size(F.get("random", i)) > 0, "markov")
+    hits = F.filter("random", lambda r: F.size(r) > 0)
+    moved = lambda p, r: F.struct((p["start"] + r["start"]).alias("start"), p["order"].alias("order"), (p["start"] + r["end"]).alias("end"))
+    more = F.flatten(F.zip_with(places, hits, lambda p, rs: F.transform(rs, lambda r: moved(p, r))))
+    return df.select("id", "text", *more_cols, "base", F.array_sort(F.concat("base", more)).alias("spans"))
 
 
 def span_text(spans: Column) -> Column:
@@ -124,6 +182,18 @@ def span_text(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["order"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+def _replaced(text: Column, spans: Column, fill) -> Column:
+    """``text`` with ``fill(n)`` for each n characters of spans; where spans overlap, for those that are new."""
+    first = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
+
+    def step(a: Column, s: Column) -> Column:
+        gap = F.substring(text, (a["at"] + 1).cast("int"), F.greatest(F.lit(0), s["start"] - a["at"]).cast("int"))
+        new = F.greatest(F.lit(0), s["end"] - F.greatest(a["at"], s["start"]))
+        return F.struct(F.greatest(a["at"], s["end"]).alias("at"), F.concat(a["out"], gap, fill(new)).alias("out"))
+
+    return F.aggregate(spans, first, step, lambda a: F.concat(a["out"], F.substring(text, (a["at"] + 1).cast("int"), F.length(text))))
+
+
 def redacted(text: Column, spans: Column, mark: str = "<SECRET>") -> Column:
     """``text`` with each span, or run of overlapping ones, replaced by ``mark``."""
     first = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
