@@ -11,24 +11,44 @@ from loomlake.llm.queries import BPE_FILE
 from loomlake.session import materialize
 
 
-def drop_ids(docs: DataFrame, ids: DataFrame, name: str) -> DataFrame:
-    """``docs`` without the rows whose doc_id is in ``ids``; rows without an id stay."""
-    return docs.join(small_side(materialize(ids.select("doc_id").distinct(), name)), "doc_id", "left_anti").select(docs.columns)
+#: Unique number of each row of a stage's input; doc_id may be null or repeated.
+ROW = "__row"
+
+
+def numbered(docs: DataFrame, name: str) -> DataFrame:
+    """``docs`` with a unique row number, written once so that all later reads see the same numbers."""
+    return materialize(docs.withColumn(ROW, F.monotonically_increasing_id()), name)
+
+
+def drop_rows(rows: DataFrame, gone: DataFrame, name: str) -> DataFrame:
+    """Numbered ``rows`` without those whose numbers are in ``gone``, and without the numbers."""
+    return rows.join(small_side(materialize(gone.select(ROW), name)), ROW, "left_anti").select([c for c in rows.columns if c != ROW])
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are told to be toxic go."""
-    return drop_ids(docs, toxicity.toxicity(docs, table(spark, sf_dir, "labels")).where("predicted = 1"), "toxic")
+    """Documents that are told to be toxic go. Labels are by doc_id, so the model is trained on that; each row is told on its own."""
+    rows, labels = numbered(docs, "toxicity-rows"), table(spark, sf_dir, "labels")
+    told = toxicity.toxicity(rows, labels, id_col=ROW, model=toxicity.train(rows, labels))
+    return drop_rows(rows, told.where("predicted = 1"), "toxic")
 
 
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document of the least id stays."""
-    return drop_ids(docs, ngram_join.similar_groups(docs).where("doc_id <> component_id"), "near")
+    """Of each group of near duplicates one row stays: of the least id, nulls last, and of the least row number among equal ids."""
+    rows = numbered(docs, "near-rows")
+    groups = materialize(ngram_join.similar_groups(rows, id_col=ROW).select(ROW, "component_id"), "near-groups")
+    # a component's least row is its name, so only groups of several rows have others
+    several = small_side(materialize(groups.where(F.col(ROW) != F.col("component_id")).select("component_id").distinct(), "near-several"))
+    members = groups.join(several, "component_id", "left_semi").join(rows.select(ROW, "doc_id"), ROW)
+    members = materialize(members, "near-members")
+    least = members.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", ROW)).alias("least"))
+    stay = materialize(least.select(F.col(f"least.{ROW}").alias(ROW)), "near-stay")
+    return drop_rows(rows, members.join(small_side(stay), ROW, "left_anti"), "near")
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark passage go."""
-    return drop_ids(docs, decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark")).where("contaminated"), "leaks")
+    rows = numbered(docs, "leak-rows")
+    return drop_rows(rows, decontaminate.decontaminate(rows, table(spark, sf_dir, "benchmark"), id_col=ROW).where("contaminated"), "leaks")
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -29,3 +29,31 @@ def test_pipeline(spark, sf):
     final = P.STAGES[-1][1](spark, docs, sf)
     assert {r.doc_id for r in final.collect()} == set(steps["secrets"])
     assert P.run(spark, sf).count() == len(steps["secrets"])
+
+
+def test_pipeline_decides_by_row(spark, tmp_path):
+    """Null and repeated ids: each row goes or stays by its own text."""
+    import random
+
+    import corpus_pipeline as P
+
+    rng = random.Random(2)
+    text = lambda n: " ".join(f"w{rng.randrange(400)}" for _ in range(n))
+    bad = lambda: f"{text(20)} vile grubby nasty {text(20)}"
+    train = [(i, bad() if i % 8 == 0 else text(40)) for i in range(400)]
+    spark.createDataFrame([(i, int(i % 8 == 0)) for i, _ in train], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    passage = text(30)
+    spark.createDataFrame([("b", passage)], "item_id string, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    frame = lambda rows: spark.createDataFrame([(i, t, "en", len(t)) for i, t in rows], "doc_id long, text string, lang string, n_chars long")
+
+    def kept(stage, rows, of):
+        return sorted(((r.doc_id, r.text) for r in stage(spark, frame(rows), str(tmp_path)).collect() if (r.doc_id, r.text) in of), key=repr)
+
+    clean, toxic, leak = [text(40) for _ in range(2)], bad(), f"{text(5)} {passage} {text(5)}"
+    more = [(None, toxic), (None, clean[0]), (500, toxic), (500, clean[1]), (501, toxic), (501, toxic)]
+    assert kept(P.toxicity_stage, train + more, more) == sorted([(None, clean[0]), (500, clean[1])], key=repr)
+    more = [(None, leak), (None, clean[0]), (500, leak), (500, clean[1]), (501, leak), (501, leak)]
+    assert kept(P.decontamination_stage, more, more) == sorted([(None, clean[0]), (500, clean[1])], key=repr)
+    a, b, c, d = (text(60) for _ in range(4))
+    more = [(None, a), (9, a), (9, a), (4, a), (4, d), (None, b), (None, f"{b} end"), (7, c), (7, c), (None, "")]
+    assert kept(P.near_duplicates_stage, more, more) in [sorted([(4, a), (4, d), (None, x), (7, c), (None, "")], key=repr) for x in (b, f"{b} end")]
