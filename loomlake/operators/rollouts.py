@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from loomlake.operators.windows import global_rank
+from loomlake.session import materialize
 
 
 def grpo(df: DataFrame, group: str = "uid", score: str = "score", eps: float = 1e-6) -> DataFrame:
@@ -120,19 +121,43 @@ def micro_batches(df: DataFrame, max_tokens: int, group: str = "uid", length: st
     return df.withColumn("micro", F.when(turn % 2 == 0, place).otherwise(F.col("__k") - 1 - place).cast("int")).drop("__k", "__r")
 
 
+#: Steps of a block of a smoothed series, and blocks that a start looks back: 0.9 ** (256 * 64) times any double is 0.
+BLOCK, BACK = 256, 64
+
+
 def smoothed(df: DataFrame, key: str, step: str, value: str) -> DataFrame:
-    """Exponential smoothing of each series; the weight follows the series' length: 1.8 * (sigmoid(0.05 n) - 0.5)."""
-    series = df.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(step).alias("s"), F.col(value).cast("double").alias("v")))).alias("x"))
-    weight = 1.8 * (1 / (1 + F.exp(-0.05 * F.size("x"))) - 0.5)
-    series = series.withColumn("w", weight)
-    first = F.struct(F.get("x", 0)["v"].alias("last"), F.array().cast("array<double>").alias("out"))
+    """Exponential smoothing of each series; the weight follows the series' length: 1.8 * (sigmoid(0.05 n) - 0.5).
+
+    Series may be of any length: rows are ranked over the whole table, and each ``BLOCK`` of ranks of a series is
+    reduced to its affine map y -> w ** n * y + sum. A window over the blocks (two numbers each) gives each its
+    start, then the steps are run through inside the blocks. The weight is under 0.9, so blocks further back than
+    ``BACK`` add nothing but nulls, infinities and NaN, which are carried on apart.
+    """
+    rows = df.select(F.col(key).alias("k"), F.col(step).alias("s"), F.col(value).cast("double").alias("v"))
+    ranked = global_rank(rows, ["k", "s", "v"], "at").withColumn("b", F.floor(F.col("at") / BLOCK))
+    blocks = ranked.groupBy("k", "b").agg(F.min("at").alias("id"), F.array_sort(F.collect_list(F.struct("at", "s", "v"))).alias("x"))
+    blocks = materialize(blocks, "blocks")
+    weight = 1.8 * (1 / (1 + F.exp(-0.05 * F.sum("n").over(W.partitionBy("k")))) - 0.5)
+    weights = blocks.select("k", "id", F.size("x").alias("n")).select("id", weight.alias("w"))
+    blocks = materialize(blocks.join(weights, "id"), "weighted")
+    total = F.aggregate("x", F.lit(0.0), lambda a, x: a * F.col("w") + (1 - F.col("w")) * x["v"])
+    sums = blocks.select("k", "id", F.get("x", 0)["v"].alias("v0"), F.pow("w", F.size("x")).alias("f"), total.alias("t"))
+    series = W.partitionBy("k").orderBy("id")
+    before = series.rowsBetween(W.unboundedPreceding, -1)
+    odd = F.col("t").isNotNull() & (F.isnan("t") | (F.abs("t") == float("inf")))
+    carry = sums.select(
+        "id", F.first("v0").over(series.rowsBetween(W.unboundedPreceding, 0)).alias("v0"), F.collect_list(F.struct("f", "t")).over(series.rowsBetween(-BACK, -1)).alias("back"),
+        F.coalesce(F.max(F.col("t").isNull()).over(before), F.lit(False)).alias("null"), F.sum(F.when(odd, F.col("t"))).over(before).alias("odd"))
+    start = F.aggregate("back", F.col("v0"), lambda y, x: y * x["f"] + x["t"])
+    starts = carry.select("id", F.when(~F.col("null"), F.coalesce(F.col("odd"), start)).alias("y0"))
+    first = F.struct(F.col("y0").alias("last"), F.array().cast("array<double>").alias("out"))
 
     def go(a: Column, x: Column) -> Column:
         now = a["last"] * F.col("w") + (1 - F.col("w")) * x["v"]
         return F.struct(now.alias("last"), F.concat(a["out"], F.array(now)).alias("out"))
 
-    out = series.withColumn("y", F.aggregate("x", first, go, lambda a: a["out"]))
-    return out.select(key, F.posexplode(F.arrays_zip("x", "y")).alias("i", "z")).select(key, F.col("z.x.s").alias(step), F.col("z.y").alias("smoothed"))
+    out = blocks.join(starts, "id").withColumn("y", F.aggregate("x", first, go, lambda a: a["out"]))
+    return out.select("k", F.explode(F.arrays_zip("x", "y")).alias("z")).select(F.col("k").alias(key), F.col("z.x.s").alias(step), F.col("z.y").alias("smoothed"))
 
 
 def kl_pairs(df: DataFrame, batch: str, order: str, response: str) -> DataFrame:

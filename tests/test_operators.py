@@ -118,6 +118,32 @@ def test_balance_shards_at_the_defaults(spark, n):
     assert max(tokens) - min(tokens) <= 97
 
 
+def test_smoothed_in_blocks(spark):
+    """Long, short and null keys against the recurrence; no row or task holds a whole series."""
+    rng = random.Random(4)
+    series = {"a": [rng.uniform(-9, 9) for _ in range(3000)], "b": [5.0], None: [rng.uniform(0, 1) for _ in range(300)], "n": [1.0, None] + [2.0] * 20_000}
+    rows = [(k, i, v) for k, x in series.items() for i, v in enumerate(x)]
+    rng.shuffle(rows)
+    out = R.smoothed(spark.createDataFrame(rows, "k string, s long, v double"), "k", "s", "v")
+    got = {(r.k, r.s): r.smoothed for r in out.collect()}
+    assert len(got) == len(rows)
+    for k, x in series.items():
+        w, y = 1.8 * (1 / (1 + math.exp(-0.05 * len(x))) - 0.5), x[0]
+        for i, v in enumerate(x):
+            y = None if y is None or v is None else y * w + (1 - w) * v
+            assert got[k, i] == (None if y is None else pytest.approx(y, abs=1e-12))
+
+
+def test_smoothed_collects_blocks_only(spark, monkeypatch):
+    monkeypatch.setattr(R, "BLOCK", 10)
+    monkeypatch.setattr(R, "BACK", 1000)
+    sizes = []
+    keep = R.materialize
+    monkeypatch.setattr(R, "materialize", lambda df, name: (out := keep(df, name), sizes.append(out.agg(F.max(F.size("x"))).first()[0]))[0])
+    R.smoothed(spark.range(95).selectExpr("1 as k", "id as s", "id as v"), "k", "s", "v").count()
+    assert sizes and max(sizes) <= 10
+
+
 def test_tool_calls(spark):
     texts = ['Action: f\nAction Input: {"a": 1}', '<tool_call>\n{"name": "g", "arguments": {"b": 2}}\n</tool_call>', "Action: f\nAction Input: {bad", "hello"]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
