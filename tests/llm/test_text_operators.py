@@ -157,6 +157,15 @@ def test_bpe_equals_library_and_round_trips(spark, corpus):
     assert {r.doc_id: r.text for r in bpe.decode_ids(back, RANKS).collect()} == {0: texts[0], 5: texts[5], 9: texts[9], 99: ""}
 
 
+def test_bpe_of_an_empty_table_and_of_one_long_word(spark):
+    assert bpe.encode_documents(table(spark, []), RANKS, public_tokenizers.PATTERN).collect() == []
+    enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.load_ranks(RANKS), special_tokens={})
+    own, rng = bpe.Encoder(bpe.load_ranks(RANKS), public_tokenizers.PATTERN, memory=1000), random.Random(7)
+    long = ["".join(rng.choice("thesainro") for _ in range(50_000)), "ab" * 20_000, "".join("a" * rng.randint(1, 9) + "b" for _ in range(5_000))]
+    for _ in range(2):  # what is remembered is dropped in between
+        assert [x.tolist() for x in own.encode_all(long)] == [enc.encode_ordinary(x) for x in long]
+
+
 # ------------------------------------------------------------------ 4
 
 
@@ -395,6 +404,28 @@ def test_token_counts_of_given_sections(spark):
     assert {(r.doc_id, r.section): r.char_start for r in rows} == {(1, -1): None, (1, 0): 0, (1, 1): 11, (2, -1): None}
 
 
+@pytest.mark.parametrize("rule", token_counts.RULES)
+def test_token_counts_of_overlapping_and_null_sections(spark, rule):
+    enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.load_ranks(RANKS), special_tokens={})
+    text, rng = "alphabet betamaxes gammaray deltas, epsilonic words", random.Random(3)
+    cases = [[(0, 16), (3, 8)], [(None, 4), (2, None), (5, 9)], [None, (4, 4), (9, 3)], [(0, 50), (0, 50), (0, 20)]] + [[(a, a + rng.randint(-1, 20)) for a in rng.choices(range(-3, 55), k=5)] for _ in range(20)]
+    df = spark.createDataFrame([(i, text, c) for i, c in enumerate(cases)], "doc_id long, text string, parts array<struct<a:int,z:int>>")
+    got = {}
+    for r in token_counts.count_tokens(df, RANKS, public_tokenizers.PATTERN, rule, sections_col="parts").collect():
+        got.setdefault(r.doc_id, {})[r.section] = r.n_tokens
+    assert token_counts.count_tokens(df.limit(0), RANKS, public_tokenizers.PATTERN, rule, sections_col="parts").collect() == []
+    for i, c in enumerate(cases):
+        spans = sorted(s for s in c if s and None not in s and s[0] < s[1])
+        owner = [max((k for k, (a, z) in enumerate(spans) if a <= at < z), default=-1) for at in range(len(text))]
+        want, at = Counter(), 0
+        for tok in enc.encode_ordinary(text):
+            own = owner[at : at + len(enc.decode([tok]))]
+            share = Counter(k for k in own if k >= 0)
+            want[own[0] if rule == "start" else own[-1] if rule == "end" else min(share, key=lambda k: (-share[k], k), default=-1)] += 1
+            at += len(own)
+        assert {k: n for k, n in got[i].items() if n} == dict(want)
+
+
 # ------------------------------------------------------------------ 10
 
 
