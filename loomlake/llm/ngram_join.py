@@ -19,9 +19,9 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-from loomlake.llm.common import LOWER, U64, Bits, log2_at_least, merged_sketch, mix, small_side, window_hashes, word_hashes
+from loomlake.llm.common import LOWER, U64, Bits, distinct, log2_at_least, merged_sketch, mix, small_side, window_hashes, word_hashes
 from loomlake.session import materialize
 
 #: Hub rounds before the remaining pairs are verified one by one; fewer if these pairs are few, or a round finds few links.
@@ -31,7 +31,7 @@ ROUNDS = 4
 def shingles(data: bytes, width: int = 5) -> np.ndarray:
     """Sorted distinct hashes of the ``width``-word shingles; the whole sequence where there are fewer words."""
     words = word_hashes(data.translate(LOWER))
-    return np.unique(window_hashes(words, min(width, len(words)))) if len(words) else np.empty(0, U64)
+    return distinct(window_hashes(words, min(width, len(words)))) if len(words) else np.empty(0, U64)
 
 
 def band(n: int, percent: int) -> int:
@@ -74,7 +74,7 @@ def signatures(some: np.ndarray, bits: Bits, percent: int) -> tuple[np.ndarray,
                         break
                     out.append(mix(token[:-step][same] * U64(0x9E3779B97F4A7C15) + token[step:][same] + U64(b + 2)))
                     step += 1
-    pairs = np.unique(np.concatenate(out)) if out else np.empty(0, U64)
+    pairs = distinct(np.concatenate(out)) if out else np.empty(0, U64)
     return np.concatenate((single, pairs)), np.concatenate((np.full(len(single), -1), np.full(len(pairs), len(rare))))
 
 
@@ -93,25 +93,37 @@ def parity_distance(x: bytes, y: bytes) -> int:
     return int(np.bitwise_count(a ^ np.bitwise_xor.reduce(b.reshape(-1, len(a)), 0)).sum())
 
 
+#: Columns with the parities of 256 cells, to compare sets inside a join.
+PARITIES = ["p0", "p1", "p2", "p3"]
+
+
 def _sets(docs: DataFrame, width: int) -> DataFrame:
-    """(id, tag, n, h1, h2, map): size, 128-bit hash and parity bitmap of each row's shingle set."""
+    """(id, tag, n, h1, h2, map, p0 to p3): each row's shingle set with its size, 128-bit hash and parities."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, h1, h2, maps = [], [], [], []
-            for text in batch.column(1):
-                s = shingles((text.as_py() or "").encode(), width)
-                n.append(len(s))
-                maps.append(parity(s) if len(s) else None)
-                for out, salt in ((h1, 11), (h2, 12)):
-                    out.append(int(mix(s + U64(salt)).sum(dtype=U64).view(np.int64)))
-            yield pa.RecordBatch.from_pydict({"id": batch.column(0), "tag": batch.column(2), "n": pa.array(n, pa.int64()), "h1": pa.array(h1, pa.int64()), "h2": pa.array(h2, pa.int64()), "map": pa.array(maps, pa.binary())})
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                n, h1, h2, maps, few = [], [], [], [], []
+                for text in part.column(1):
+                    s = shingles((text.as_py() or "").encode(), width)
+                    n.append(len(s))
+                    maps.append(parity(s) if len(s) else None)
+                    odd = np.bincount((s & U64(255)).astype(np.int64), minlength=256) & 1
+                    few.append(np.packbits(odd.astype(bool)).view(np.int64))
+                    for out, salt in ((h1, 11), (h2, 12)):
+                        out.append(int(mix(s + U64(salt)).sum(dtype=U64).view(np.int64)))
+                cols = {"id": part.column(0), "tag": part.column(2), "n": pa.array(n, pa.int64()), "h1": pa.array(h1, pa.int64()), "h2": pa.array(h2, pa.int64()), "map": pa.array(maps, pa.binary())}
+                yield pa.RecordBatch.from_pydict(cols | dict(zip(PARITIES, np.stack(few, 1))))
 
-    return docs.select("id", "text", "tag").mapInArrow(run, "id long, tag long, n long, h1 long, h2 long, map binary")
+    return docs.select("id", "text", "tag").mapInArrow(run, "id long, tag long, n long, h1 long, h2 long, map binary, p0 long, p1 long, p2 long, p3 long")
 
 
 def _postings(docs: DataFrame, bits, width: int, percent: int) -> DataFrame:
-    """(sig, node, n, r) of signatures that at least two nodes have: one shuffle, then a pass over sorted rows."""
+    """(sig, node, n, r) of signatures that at least two nodes have: one shuffle, then a pass over sorted rows.
+
+    A set has hundreds of signatures, all different, so even one that all sets have is a small part of all rows.
+    """
 
     def give(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells = bits.value
@@ -136,7 +148,7 @@ def _postings(docs: DataFrame, bits, width: int, percent: int) -> DataFrame:
             cols = [batch.column(i).to_numpy() for i in range(4)]
             if last is not None:
                 cols = [np.concatenate((a[-1:], b)) for a, b in zip(last[0], cols)]
-            new = np.concatenate(([True], (np.diff(cols[0]) != 0) | (np.diff(cols[1]) != 0)))
+            new = np.append(True, np.any([np.diff(c) != 0 for c in cols], 0))
             cols = [c[new] for c in cols]
             after = np.concatenate((cols[0][1:] == cols[0][:-1], [False]))
             before = np.concatenate(([last[1] if last is not None else False], after[:-1]))
@@ -150,28 +162,20 @@ def _postings(docs: DataFrame, bits, width: int, percent: int) -> DataFrame:
 
     names, schema = ("sig", "node", "n", "r"), "sig long, node long, n long, r long"
     every = docs.select("id", "text").mapInArrow(give, schema)
-    return every.repartition("sig").sortWithinPartitions("sig", "node").mapInArrow(shared, schema)
-
-
-def _pack(some: np.ndarray) -> bytes:
-    """The upper 48 bits of each hash, still in order: two sets of a pair hardly ever have different shingles that agree in them."""
-    return (some >> U64(16)).view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+    return every.repartition("sig").sortWithinPartitions("sig", "node", "n", "r").mapInArrow(shared, schema)
 
 
-def _unpack(data: bytes) -> np.ndarray:
-    six = np.frombuffer(data, np.uint8).reshape(-1, 6)
-    return np.concatenate((six, np.zeros((len(six), 2), np.uint8)), 1).reshape(-1).view(U64)
+def _hashes(docs: DataFrame, width: int) -> DataFrame:
+    """(node, hashes): the sorted 64-bit hashes of each row's shingles."""
 
-
-def _packed_sets(docs: DataFrame, width: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                data = [_pack(shingles((t.as_py() or "").encode(), width)) for t in part.column(1)]
-                yield pa.RecordBatch.from_pydict({"node": part.column(0), "data": pa.array(data, pa.binary())})
+                data = [shingles((t.as_py() or "").encode(), width).tobytes() for t in part.column(1)]
+                yield pa.RecordBatch.from_pydict({"node": part.column(0), "hashes": pa.array(data, pa.binary())})
 
-    return docs.select("id", "text").mapInArrow(run, "node long, data binary")
+    return docs.select("id", "text").mapInArrow(run, "node long, hashes binary")
 
 
 def _near(pairs: DataFrame, maps: DataFrame, percent: int) -> DataFrame:
@@ -191,14 +195,14 @@ def _near(pairs: DataFrame, maps: DataFrame, percent: int) -> DataFrame:
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets are similar enough."""
-    left = sets.select(F.col("node").alias("a"), F.col("data").alias("da"))
-    right = sets.select(F.col("node").alias("b"), F.col("data").alias("db"))
+    left = sets.select(F.col("node").alias("a"), F.col("hashes").alias("da"))
+    right = sets.select(F.col("node").alias("b"), F.col("hashes").alias("db"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ok = []
             for x, y in zip(batch.column(2), batch.column(3)):
-                x, y = _unpack(x.as_py()), _unpack(y.as_py())
+                x, y = np.frombuffer(x.as_py(), U64), np.frombuffer(y.as_py(), U64)
                 if len(x) > len(y):
                     x, y = y, x
                 at = np.minimum(np.searchsorted(y, x), len(y) - 1)
@@ -238,6 +242,19 @@ def components(edges: DataFrame) -> DataFrame:
     return nodes.withColumn("comp", F.col("node")) if labels is None else labels
 
 
+def joined(labels: DataFrame | None, links: DataFrame) -> DataFrame:
+    """``labels`` (node, comp) after more links: only these, between the components of before, are worked through."""
+    if labels is None:
+        return components(links)
+    for end in "ab":
+        to = labels.select(F.col("node").alias(end), "comp")
+        links = links.join(to, end, "left").withColumn(end, F.coalesce("comp", end)).drop("comp")
+    named = components(links)
+    new = named.select(F.col("node").alias("comp"), F.col("comp").alias("new"))
+    known = labels.join(new, "comp", "left").select("node", F.coalesce("new", "comp").alias("comp"))
+    return materialize(known.union(named.join(labels, "node", "left_anti").select("node", "comp")), "joined")
+
+
 def _close(percent: int):
     """Whether sets of n and m shingles, r and q of them rare, can be similar enough if they share a signature.
 
@@ -249,6 +266,12 @@ def _close(percent: int):
     return F.when(r < 0, sizes).otherwise(F.least(n - r, m - q) * 100 >= (F.greatest(n - r, m - q) + r + q) * percent)
 
 
+def _alike(percent: int):
+    """Whether the parities p0 to p3 and q0 to q3 of sets of n and m shingles leave them a chance to be similar enough."""
+    apart = sum((F.bit_count(F.col(p).bitwiseXOR(F.col(p.replace("p", "q")))) for p in PARITIES), F.lit(0))
+    return apart * (100 + percent) <= (F.col("n") + F.col("m")) * (100 - percent)
+
+
 def _links(postings: DataFrame, maps: DataFrame, sets: Callable[[DataFrame], DataFrame], percent: int, rounds: int) -> DataFrame:
     """(node, comp) of the nodes that are linked to any other. ``sets`` gives the shingles of a table of nodes.
 
@@ -257,11 +280,11 @@ def _links(postings: DataFrame, maps: DataFrame, sets: Callable[[DataFrame], Dat
     """
     heavy = (F.col("r") * 2 * percent > (F.col("n") - F.col("r")) * (100 - percent)).cast("int")
     postings = postings.withColumn("heavy", heavy)
-    edges, tested, labels = None, None, None
+    tested, labels = None, None
 
     def add(pairs: DataFrame) -> bool:
         """Verifies pairs. Whether so many were links that another hub round pays."""
-        nonlocal edges, tested, labels
+        nonlocal tested, labels
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = materialize(pairs, "pairs")
@@ -269,8 +292,7 @@ def _links(postings: DataFrame, maps: DataFrame, sets: Callable[[DataFrame], Dat
         ends = materialize(near.select(F.col("a").alias("node")).union(near.select("b")).distinct(), "ends")
         found = materialize(_verified(near, materialize(sets(ends), "packed"), percent), "links")
         tested = pairs if tested is None else tested.union(pairs)
-        edges = found if edges is None else edges.union(found)
-        labels = components(edges)
+        labels = joined(labels, found)
         return found.count() * 50 > pairs.count()
 
     more = True
@@ -279,26 +301,36 @@ def _links(postings: DataFrame, maps: DataFrame, sets: Callable[[DataFrame], Dat
             named = postings.drop("comp").join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
         else:
             named = postings.withColumn("comp", F.col("node"))
-        # candidate pairs of each signature: of different components, not both heavy
-        each = named.groupBy("sig", "comp").agg(F.count(F.lit(1)).alias("k"), F.sum("heavy").alias("h"))
-        each = each.groupBy("sig").agg(*[F.sum(c).alias(c) for c in "kh"], *[F.sum(F.col(c) * F.col(c)).alias(f"{c}2") for c in "kh"])
+        # of each signature: candidate pairs (of different components, not both heavy), and a hub that is not heavy if
+        # there is such a node, another one each round
+        place = F.struct("heavy", (F.col("node") if not turn else F.xxhash64("node", F.lit(turn))).alias("place"), "node", "n", "r", "comp")
+        each = named.groupBy("sig", "comp").agg(F.count(F.lit(1)).alias("k"), F.sum("heavy").alias("h"), F.min(place).alias("hub"))
+        each = each.groupBy("sig").agg(*[F.sum(c).alias(c) for c in "kh"], *[F.sum(F.col(c) * F.col(c)).alias(f"{c}2") for c in "kh"], F.min("hub").alias("hub"))
         each = each.withColumn("pairs", (F.col("k") * F.col("k") - F.col("k2") - F.col("h") * F.col("h") + F.col("h2")) / 2).where("pairs > 0")
-        each = materialize(each.select("sig", "k", "pairs"), "mixed")
+        each = materialize(each.select("sig", "k", "pairs", F.col("hub.node").alias("hub"), F.col("hub.n").alias("m"), F.col("hub.r").alias("q"), F.col("hub.comp").alias("comp2")), "mixed")
         rows, pairs = each.agg(F.coalesce(F.sum("k"), F.lit(0)), F.coalesce(F.sum("pairs"), F.lit(0))).first()
         if not pairs:
             break
-        postings = materialize(named.join(each.select("sig"), "sig", "left_semi").select("sig", "node", "n", "r", "heavy", "comp"), "postings")
-        if turn == rounds or not more or pairs <= 2 * rows:
-            light = postings.where("heavy = 0").select("sig", F.col("node").alias("x"), "n", "r", F.col("comp").alias("cx"))
-            other = postings.select("sig", F.col("node").alias("y"), F.col("n").alias("m"), F.col("r").alias("q"), F.col("comp").alias("cy"), "heavy")
-            both = light.join(other, (light["sig"] == other["sig"]) & (F.col("cx") != F.col("cy")) & ((F.col("heavy") == 1) | (F.col("x") < F.col("y"))) & _close(percent))
-            add(both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
-            break
-        # one hub for each signature, not a heavy one: first the least node, later another one each round
-        place = F.struct("heavy", (F.col("node") if not turn else F.xxhash64("node", F.lit(turn))).alias("place"), "node", "n", "r", "comp")
-        hubs = postings.groupBy("sig").agg(F.min(place).alias("hub")).select("sig", F.col("hub.node").alias("hub"), F.col("hub.n").alias("m"), F.col("hub.r").alias("q"), F.col("hub.comp").alias("comp2"))
-        star = postings.join(hubs, (postings["sig"] == hubs["sig"]) & (F.col("comp") != F.col("comp2")) & _close(percent))
-        more = add(star.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct())
+        postings = materialize(named.join(each.drop("k", "pairs"), "sig").select("sig", "node", "n", "r", "heavy", "comp", "hub", "m", "q", "comp2"), "postings")
+        if turn < rounds and more and pairs > 2 * rows:
+            star = postings.where((F.col("comp") != F.col("comp2")) & _close(percent))
+            more = add(star.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct())
+            # the hub was held against all others there
+            postings = postings.where("not (node = hub and n = m and r = q)").select("sig", "node", "n", "r", "heavy")
+            continue
+        # parities keep nearly all pairs that are no links out of the join's rows; and of the many signatures where a
+        # pair meets, those just behind another one are passed over (rare shingles come first, as they say more)
+        order = Window.partitionBy("node", "n").orderBy(F.col("r") >= 0, "sig")
+        told = postings.withColumn("before", F.array_compact(F.array(*[F.lag("sig", k).over(order) for k in range(1, 5)])))
+        own = maps.select("node", "n", *PARITIES, F.count(F.lit(1)).over(Window.partitionBy("node")).alias("texts"))
+        told = told.join(own, ["node", "n"])
+        # an id with several texts is compared wherever it meets another
+        told = told.withColumn("before", F.when(F.col("texts") == 1, F.col("before")).otherwise(F.array().cast("array<long>")))
+        light = told.where("heavy = 0").select("sig", F.col("node").alias("x"), "n", "r", F.col("comp").alias("cx"), F.col("before").alias("bx"), *PARITIES)
+        other = told.select("sig", F.col("node").alias("y"), F.col("n").alias("m"), F.col("r").alias("q"), F.col("comp").alias("cy"), F.col("before").alias("by"), "heavy", *[F.col(p).alias(p.replace("p", "q")) for p in PARITIES])
+        both = light.join(other, (light["sig"] == other["sig"]) & (F.col("cx") != F.col("cy")) & ((F.col("heavy") == 1) | (F.col("x") < F.col("y"))) & _close(percent) & _alike(percent) & ~F.arrays_overlap("bx", "by"))
+        add(both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+        break
     return labels
 
 
@@ -316,8 +348,9 @@ def similar_groups(docs: DataFrame, percent: int = 75, width: int = 5, id_col: s
     source = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"), F.xxhash64(F.col(f"`{text_col}`")).alias("tag"))
     each = materialize(_sets(source, width), "sets")
     nodes = materialize(each.where("n > 0").groupBy("n", "h1", "h2").agg(F.min("id").alias("node"), F.max("id").alias("last")), "nodes")
-    placed = each.join(nodes.select("n", "h1", "h2", "node"), ["n", "h1", "h2"], "left")
-    copies = materialize(each.where("n > 0").join(nodes.where("node < last"), ["n", "h1", "h2"]).where("id > node").select("id", "tag").distinct(), "copies")
+    placed = each.select("id", "n", "h1", "h2").join(nodes.select("n", "h1", "h2", "node"), ["n", "h1", "h2"], "left")
+    several = nodes.where("node < last").select("n", "h1", "h2", "node")
+    copies = materialize(each.where("n > 0").select("id", "tag", "n", "h1", "h2").join(several, ["n", "h1", "h2"]).where("id > node").select("id", "tag").distinct(), "copies")
     alone = source.where("id is not null and text is not null").join(small_side(copies), ["id", "tag"], "left_anti")
     total = each.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     log2 = log2_at_least(total / 4, 16, 27)
@@ -325,11 +358,11 @@ def similar_groups(docs: DataFrame, percent: int = 75, width: int = 5, id_col: s
     bits = spark.sparkContext.broadcast(merged_sketch(alone.select("text"), lambda data: shingles(data, width), log2, 1, often))
     postings = materialize(_postings(alone, bits, width, percent), "postings")
     linked = materialize(postings.select("node").distinct(), "linked")
-    maps = each.where("n > 0").join(small_side(copies), ["id", "tag"], "left_anti").select(F.col("id").alias("node"), "n", "map")
+    maps = each.where("n > 0").join(small_side(copies), ["id", "tag"], "left_anti").select(F.col("id").alias("node"), "n", "map", *PARITIES)
     maps = materialize(maps.join(small_side(linked), "node", "left_semi"), "maps")
 
     def sets(ends: DataFrame) -> DataFrame:
-        return _packed_sets(alone.join(small_side(ends), alone["id"] == ends["node"], "left_semi"), width)
+        return _hashes(alone.join(small_side(ends), alone["id"] == ends["node"], "left_semi"), width)
 
     labels = _links(postings, maps, sets, percent, rounds)
     out = placed.join(labels, "node", "left") if labels is not None else placed.withColumn("comp", F.lit(None).cast("long"))

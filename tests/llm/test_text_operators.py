@@ -297,6 +297,18 @@ def test_ngram_join(spark, corpus):
     assert [r.n_shingles for r in ngram_join.similar_groups(table(spark, [None, " "])).collect()] == [0, 0]
 
 
+def test_joined_components(spark):
+    rng = random.Random(2)
+    links = [(rng.randrange(400), rng.randrange(400)) for _ in range(330)]
+    df = spark.createDataFrame(links, "a long, b long")
+    whole = {r.node: r.comp for r in ngram_join.components(df).collect()}
+    labels = None
+    for part in range(0, 330, 110):
+        labels = ngram_join.joined(labels, spark.createDataFrame(links[part : part + 110], "a long, b long"))
+    assert {r.node: r.comp for r in labels.collect() if r.node in whole} == whole
+    assert all(r.comp == r.node for r in labels.collect() if r.node not in whole)
+
+
 def test_ngram_join_of_frequent_shingles(spark):
     """Large groups around common texts: their shingles are frequent, so combinations and hubs must find the links."""
     rng = random.Random(6)
