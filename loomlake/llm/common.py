@@ -176,59 +176,62 @@ def cells(hashes: np.ndarray, log2_cells: int, row: int) -> np.ndarray:
 
 
 def merged_sketch(df: DataFrame, hashes: Callable[[bytes], np.ndarray], log2_cells: int, depth: int, threshold: int) -> Bits:
-    """Count ``hashes(text)`` of all rows of the one-column ``df`` in a count-min sketch.
+    """Count ``hashes(text)`` of all rows of the one-column ``df`` in a count-min sketch of ``depth`` rows.
 
-    Each task fills a sketch of its rows and gives it out in compressed blocks; blocks are summed
-    by key on the cluster, and only one bit a cell, "count reached the threshold", comes to the
-    driver: depth * 2**log2_cells / 8 bytes, whatever the input. Counts saturate at 255 in a task
-    (so no count under ``threshold`` <= 255 is lost) and are never too small.
+    Each task counts some two million hashes at a time and gives out the cells that they reach, in compressed
+    blocks: no task holds a whole sketch. Blocks are summed by key on the cluster, and only one bit a cell,
+    "count reached the threshold", comes to the driver: depth * 2**log2_cells / 8 bytes, whatever the input.
+    Counts saturate at 255 in each part (so no count under ``threshold`` <= 255 is lost) and are never too small.
     """
     total, size = depth << log2_cells, 1 << min(BLOCK, log2_cells)
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(total, np.uint8)
-        waiting, n = [], 0
-
-        def add() -> None:
-            if not waiting:
-                return
-            every = np.concatenate(waiting)
+        def count(waiting: list[np.ndarray]) -> pa.RecordBatch:
+            every, out = np.concatenate(waiting), ([], [], [])
             for row in range(depth):
-                at, k = np.unique(cells(every, log2_cells, row), return_counts=True)
-                counts[at] = np.minimum(255, counts[at] + np.minimum(k, 255))
+                at = np.sort(cells(every, log2_cells, row))
+                first = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
+                at, k = at[first], np.minimum(np.diff(np.append(first, len(at))), 255).astype(np.uint8)
+                block = at // size
+                for i, j in zip(*(lambda c: (c[:-1], c[1:]))(np.append(np.flatnonzero(np.append(True, block[1:] != block[:-1])), len(at)).tolist())):
+                    gaps = np.diff(at[i:j], prepend=block[i] * size).astype(np.uint32)
+                    for c, v in zip(out, (int(block[i]), pa.compress(gaps.view(np.uint8).reshape(-1, 4).T.tobytes(), "zstd", asbytes=True), pa.compress(k[i:j].tobytes(), "zstd", asbytes=True))):
+                        c.append(v)
+            return pa.RecordBatch.from_pydict({"block": pa.array(out[0], pa.int32()), "gaps": pa.array(out[1], pa.binary()), "counts": pa.array(out[2], pa.binary())})
 
+        waiting, n = [], 0
         for batch in batches:
             for text in batch.column(0):
-                if (t := text.as_py()) is not None:
-                    h = hashes(t.encode())
+                if (t := text.as_py()) is not None and len(h := hashes(t.encode())):
                     waiting.append(h)
                     n += len(h)
-                    if n > 1 << 20:
-                        add()
+                    if n > 1 << 21:
+                        yield count(waiting)
                         waiting, n = [], 0
-        add()
-        for b in range(total // size):
-            part = counts[b * size : (b + 1) * size]
-            if part.any():
-                data = pa.compress(part.tobytes(), "zstd", asbytes=True)
-                yield pa.RecordBatch.from_pydict({"block": pa.array([b], pa.int32()), "data": pa.array([data], pa.binary())})
+        if n:
+            yield count(waiting)
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
-            for b, data in zip(batch.column(0).to_pylist(), batch.column(1)):
-                part = np.frombuffer(pa.decompress(data.as_py(), size, "zstd", asbytes=True), np.uint8)
+            for b, gaps, counts in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
+                k = np.frombuffer(_decompressed(counts.as_py()), np.uint8)
+                at = np.cumsum(np.ascontiguousarray(np.frombuffer(_decompressed(gaps.as_py()), np.uint8).reshape(4, -1).T).view(np.uint32).ravel(), dtype=np.int64)
                 if b not in sums:
                     sums[b] = np.zeros(size, np.uint16)
-                sums[b] = np.minimum(sums[b] + part, 60_000).astype(np.uint16)
+                sums[b][at] = np.minimum(sums[b][at] + k, 60_000)
         for b, s in sums.items():
             bits = np.packbits(s >= threshold).tobytes()
             yield pa.RecordBatch.from_pydict({"block": pa.array([b], pa.int32()), "data": pa.array([bits], pa.binary())})
 
-    schema = "block int, data binary"
-    merged = df.mapInArrow(fill, schema).repartition(max(1, min(32, total // size)), "block").mapInArrow(merge, schema)
+    parts = df.mapInArrow(fill, "block int, gaps binary, counts binary")
+    merged = parts.repartition(max(1, min(32, total // size)), "block").mapInArrow(merge, "block int, data binary")
     return Bits(log2_cells, depth, {r[0]: bytes(r[1]) for r in merged.toLocalIterator()})
 
 
+def _decompressed(data: bytes) -> bytes:
+    return pa.CompressedInputStream(pa.py_buffer(data), "zstd").read()
+
+
 def log2_at_least(n: float, low: int, high: int) -> int:
     return min(high, max(low, int(max(1, n) - 1).bit_length()))

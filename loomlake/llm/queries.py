@@ -28,7 +28,7 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+    return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"), texts=False)
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

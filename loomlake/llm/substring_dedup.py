@@ -1,8 +1,9 @@
 """Substring de-duplication: exact repeated word windows behind a count-min prefilter.
 
 First pass: each window has an anchor, the run of ``ANCHOR`` words inside it with the least hash, so equal
-windows have equal anchors and a window cannot occur more often than its anchor. Anchors are counted in
-count-min sketches of the partitions, which are merged; the estimates are never too small. Second pass:
+windows have equal anchors and a window cannot occur more often than its anchor: the count of the anchor
+overestimates that of the window. Anchors are counted in count-min sketches of two rows, one for each
+partition, which are merged; the estimates are never too small. Second pass:
 only windows whose anchor is estimated to repeat are emitted, as 128-bit hashes, and grouped exactly.
 Nothing that repeats is lost; a wrong estimate only costs a row in the second pass.
 """
@@ -16,10 +17,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from loomlake.llm.common import log2_at_least, merged_sketch, small_side, window_hashes, word_hashes, word_spans
+from loomlake.llm.common import distinct, log2_at_least, merged_sketch, small_side, window_hashes, word_hashes, word_spans
 from loomlake.session import materialize
 
 ANCHOR = 16
+#: Most windows that count as hot.
+HOT = 2_000
 
 
 def anchors(words: np.ndarray, width: int) -> np.ndarray:
@@ -44,7 +47,7 @@ def anchors(words: np.ndarray, width: int) -> np.ndarray:
 def anchor_hashes(data: bytes, width: int) -> np.ndarray:
     words = word_hashes(data)
     at = anchors(words, width)
-    return window_hashes(words, min(ANCHOR, width), 2)[np.unique(at)] if len(at) else np.empty(0, np.uint64)
+    return window_hashes(words, min(ANCHOR, width), 2)[distinct(at)] if len(at) else np.empty(0, np.uint64)
 
 
 def repeated_windows(docs: DataFrame, width: int) -> DataFrame:
@@ -54,8 +57,8 @@ def repeated_windows(docs: DataFrame, width: int) -> DataFrame:
     """
     spark = docs.sparkSession
     text_bytes = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    # an anchor about every 18 words, a word being some 6 bytes: 8 cells for each
-    bits = merged_sketch(docs.select("text"), lambda data: anchor_hashes(data, width), log2_at_least(text_bytes * 8 / 108, 16, 29), 1, 2)
+    # an anchor about every 18 words, a word being some 6 bytes: 4 cells in each of two rows
+    bits = merged_sketch(docs.select("text"), lambda data: anchor_hashes(data, width), log2_at_least(text_bytes * 4 / 108, 16, 28), 2, 2)
     sent = spark.sparkContext.broadcast(bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -89,13 +92,18 @@ def repeated_windows(docs: DataFrame, width: int) -> DataFrame:
 
     windows = materialize(docs.select("id", "tag", "text").mapInArrow(run, "id long, tag long, at int, h1 long, h2 long"), "windows")
     # partial minima go before the shuffle, so a window of very many texts is a row for each task that has it
-    firsts = windows.groupBy("h1", "h2").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("h1", "h2", "first")
-    hits = windows.join(firsts, ["h1", "h2"]).where("id > first").select("id", "tag", "at")
+    firsts = windows.groupBy("h1", "h2").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.count(F.lit(1)).alias("n")).where("first < last")
+    firsts = materialize(firsts.select("h1", "h2", "first", "n"), "firsts")
+    # a window with more than a 2,000th of all rows is hot: these are under 2,000, and meet their rows without a shuffle
+    hot = F.col("n") * HOT > F.lit(windows.count())
+    few = F.broadcast(firsts.where(hot).select("h1", "h2", "first"))
+    rest = windows.join(few.select("h1", "h2"), ["h1", "h2"], "left_anti").join(firsts.where(~hot).select("h1", "h2", "first"), ["h1", "h2"])
+    hits = windows.join(few, ["h1", "h2"]).select("id", "tag", "at", "first").unionByName(rest.select("id", "tag", "at", "first")).where("id > first")
     return hits.groupBy("id", "tag").agg(F.collect_list("at").alias("places"))
 
 
-def remove_repeats(docs: DataFrame, width: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: id, n_words, n_removed, kept_sha256, kept (the words that stay, joined by one space).
+def remove_repeats(docs: DataFrame, width: int = 50, id_col: str = "doc_id", text_col: str = "text", texts: bool = True) -> DataFrame:
+    """One row per document: id, n_words, n_removed, kept_sha256, and with ``texts`` kept (the words that stay, joined by one space).
 
     A word goes if a window of ``width`` words that covers it also starts, word for word, in a document of
     smaller id; windows are judged on the input. Null and empty texts have no words. Rows with a null id
@@ -133,9 +141,10 @@ def remove_repeats(docs: DataFrame, width: int = 50, id_col: str = "doc_id", tex
                         edges[np.array(places) + width] -= 1
                         stay = np.cumsum(edges)[: len(a)] == 0
                     kept = b" ".join([data[x:y] for x, y in zip(a[stay].tolist(), z[stay].tolist())])
-                    for c, v in zip(cols, (len(a), len(a) - int(stay.sum()), hashlib.sha256(kept).hexdigest(), kept.decode())):
+                    for c, v in zip(cols, (len(a), len(a) - int(stay.sum()), hashlib.sha256(kept).hexdigest(), kept.decode() if texts else None)):
                         c.append(v)
-                yield pa.RecordBatch.from_pydict({id_col: part.column(0), "n_words": pa.array(cols[0], pa.int64()), "n_removed": pa.array(cols[1], pa.int64()), "kept_sha256": pa.array(cols[2], pa.string()), "kept": pa.array(cols[3], pa.string())})
+                out = {id_col: part.column(0), "n_words": pa.array(cols[0], pa.int64()), "n_removed": pa.array(cols[1], pa.int64()), "kept_sha256": pa.array(cols[2], pa.string())}
+                yield pa.RecordBatch.from_pydict(out | ({"kept": pa.array(cols[3], pa.string())} if texts else {}))
 
     rows = touched.select("id", "text", "places", "copy").unionByName(whole.select("id", "text", "places", "copy"))
-    return rows.select(F.col("id").cast(kind), "text", "places", "copy").mapInArrow(run, f"`{id_col}` {kind}, n_words long, n_removed long, kept_sha256 string, kept string")
+    return rows.select(F.col("id").cast(kind), "text", "places", "copy").mapInArrow(run, f"`{id_col}` {kind}, n_words long, n_removed long, kept_sha256 string" + ", kept string" * texts)
