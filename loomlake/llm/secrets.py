@@ -1,7 +1,7 @@
 """Secret scans with DataFrame functions only: rules, and character Markov models for strings no rule knows.
 
-Two first-order Markov models over case-folded characters, one of random strings and one of ordinary
-identifiers, are counted from labelled samples: values that a rule found are random strings, the other
+Two first-order Markov models over characters, one of random strings and one of ordinary identifiers (of
+case-folded characters, and of the case of a letter given the kind of the one before), are counted from labelled samples: values that a rule found are random strings, the other
 words of the same documents are ordinary. A long token whose log-likelihood ratio is high is a secret; so is
 a high-scoring stretch of it between separators, where a token as a whole is diluted by ordinary words.
 What rules found is taken out first, so that the parts left and right of it are tokens of their own.
@@ -10,6 +10,7 @@ What rules found is taken out first, so that the parts left and right of it are
 from __future__ import annotations
 
 import math
+from collections import Counter
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -17,12 +18,16 @@ from pyspark.sql import Column, DataFrame, functions as F
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 RULES = [("assign", ASSIGN, 2, 6), ("access", r"AKIA[A-Z0-9]+", 0, 20), ("hex", r"[0-9a-f]{24,}", 0, 24)]  # hex: runs of 24 or more are the runs of [0-9a-f]+ that pass
 KINDS = [k for k, *_ in RULES] + ["markov"]
-ALPHABET = "abcdefghijklmnopqrstuvwxyz0123456789+/_=-"
+FOLDED = "abcdefghijklmnopqrstuvwxyz0123456789+/_=-"
+ALPHABET = FOLDED + "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+SEPARATORS = "/=_-"
 CANDIDATE = r"[A-Za-z0-9+/_=-]{16,}"
 #: Log-likelihood ratio in thousandths of a nat: least total, and least mean for each pair of characters.
 LEAST_TOTAL, LEAST_MEAN = 20_000, 400
 #: A stretch of a token ends where its score, less the least mean, falls this far below its best.
 DROP = LEAST_TOTAL // 2
+#: The most that the case of one letter may say, in thousandths of a nat.
+MOST_CASE = 1_000
 #: Documents whose words and rule hits are the labelled samples, the first of them in hash order.
 SAMPLE_DOCS = 4_000
 
@@ -31,10 +36,14 @@ RANGE = "array<struct<start:bigint,end:bigint>>"
 
 
 def _ratio(t: Column, weights: Column) -> Column:
-    """The log-likelihood ratio of a token of two characters and more, in thousandths."""
-    size = len(ALPHABET)
-    code = lambda i: F.instr(F.lit(ALPHABET), F.substring(t, i, F.lit(1)))
-    return F.aggregate(F.sequence(F.lit(1), F.length(t) - 1), F.lit(0), lambda a, i: a + F.get(weights, (code(i) - 1) * size + code(i + 1) - 1))
+    """The log-likelihood ratio of a token of two characters and more, in thousandths: one pass over its characters."""
+    last = F.struct(F.lit(-1).alias("code"), F.lit(0).alias("sum"))
+
+    def step(a: Column, c: Column) -> Column:
+        code = F.instr(F.lit(ALPHABET), c) - 1
+        return F.struct(code.alias("code"), (a["sum"] + F.when(a["code"] < 0, 0).otherwise(F.get(weights, a["code"] * len(ALPHABET) + code))).alias("sum"))
+
+    return F.aggregate(F.split(t, ""), last, step, lambda a: a["sum"])
 
 
 def _is_random(t: Column, weights: Column) -> Column:
@@ -76,15 +85,12 @@ def _stretches(t: Column, weights: Column) -> Column:
 
 
 def _spans(pieces: Column, matches: Column, keep, kind: str) -> Column:
-    """Spans of the matches that ``keep(index)`` accepts: the texts between and of earlier matches give the start."""
-    length = lambda parts: F.aggregate(parts, F.lit(0).cast("long"), lambda a, x: a + F.length(x))
-
-    def span(i: Column) -> Column:
-        start = length(F.slice(pieces, 1, i + 1)) + length(F.slice(matches, 1, i))
-        return F.struct(start.alias("start"), F.lit(KINDS.index(kind)).alias("order"), (start + F.length(F.get(matches, i))).alias("end"))
-
-    some = F.filter(F.sequence(F.lit(0), F.size(matches) - 1), keep)
-    return F.when(F.size(matches) > 0, F.transform(some, span)).otherwise(F.array().cast("array<struct<start:bigint,order:int,end:bigint>>"))
+    """Spans of the matches that ``keep(index)`` accepts; a running sum over the texts between matches and the matches gives the places."""
+    lens = F.zip_with(F.transform(F.slice(pieces, 1, F.size(matches)), F.length), F.transform(matches, F.length), lambda p, m: F.struct(p.alias("p"), m.alias("m")))
+    first = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<bigint>").alias("out"))
+    starts = F.aggregate(lens, first, lambda a, x: F.struct((a["at"] + x["p"] + x["m"]).alias("at"), F.concat(a["out"], F.array(a["at"] + x["p"])).alias("out")), lambda a: a["out"])
+    spans = F.zip_with(starts, matches, lambda start, m: F.struct(start.alias("start"), F.lit(KINDS.index(kind)).alias("order"), (start + F.length(m)).alias("end")))
+    return F.when(F.size(matches) > 0, F.filter(spans, lambda _, i: keep(i))).otherwise(F.array().cast("array<struct<start:bigint,order:int,end:bigint>>"))
 
 
 def _rule_columns(df: DataFrame) -> DataFrame:
@@ -116,37 +122,57 @@ def train_model(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     for _, pattern, *_ in RULES:
         rest = F.regexp_replace(rest, pattern, " ")
     # long tokens are what is to be told, so they are no samples, but for numbers
-    ordinary = F.filter(F.regexp_extract_all(F.lower(rest), F.lit(r"[a-z0-9+/_=-]{4,}"), F.lit(0)), lambda t: (F.length(t) < 16) | t.rlike("^[0-9]+$"))
-    tokens = some.select(F.explode(F.array(F.struct(F.lit(1).alias("random"), F.transform(values, F.lower).alias("t")), F.struct(F.lit(0).alias("random"), ordinary.alias("t")))).alias("s"))
+    ordinary = F.filter(F.regexp_extract_all(rest, F.lit(r"[A-Za-z0-9+/_=-]{4,}"), F.lit(0)), lambda t: (F.length(t) < 16) | t.rlike("^[0-9]+$"))
+    tokens = some.select(F.explode(F.array(F.struct(F.lit(1).alias("random"), values.alias("t")), F.struct(F.lit(0).alias("random"), ordinary.alias("t")))).alias("s"))
     tokens = tokens.select("s.random", F.explode("s.t").alias("t"))
     pairs = tokens.select("random", F.explode(F.transform(F.sequence(F.lit(1), F.length("t") - 1), lambda i: F.substring(F.col("t"), i, F.lit(2)))).alias("pair"))
-    counts = {(r["random"], r["pair"]): r["n"] for r in pairs.groupBy("random", "pair").agg(F.count(F.lit(1)).alias("n")).collect()}  # two models of 41 * 41 pairs
-    size = len(ALPHABET)
+    counts = pairs.groupBy("random", "pair").agg(F.count(F.lit(1)).alias("n")).collect()  # two models of 67 * 67 pairs
+    return _weights([(r["random"], *r["pair"], r["n"]) for r in counts])
+
+
+def _kind(c: str) -> str:
+    return "lower" if c.islower() else "upper" if c.isupper() else "other"
+
+
+def _weights(counts: list[tuple[int, str, str, int]]) -> list[int]:
+    """Of all pairs of ``ALPHABET``, from counts of (random or not, character, next one, number)."""
+    folded: Counter = Counter()
+    cases: Counter = Counter()
+    for random, a, b, n in counts:
+        folded[random, a.lower(), b.lower()] += n
+        if b.isalpha():
+            cases[random, _kind(a), b.isupper()] += n
     # rare pairs: of random strings all characters are as likely, of ordinary words as likely as they are at all
-    often = {b: sum(counts.get((0, a + b), 0) for a in ALPHABET) + 0.1 for b in ALPHABET}
+    often = {b: sum(folded[0, a, b] for a in FOLDED) + 0.1 for b in FOLDED}
     every = sum(often.values())
-    weights = []
-    for a in ALPHABET:
-        n0, n1 = ([counts.get((k, a + b), 0) for b in ALPHABET] for k in (0, 1))
-        for b, x0, x1 in zip(ALPHABET, n0, n1):
-            p0 = (x0 + 2 * often[b] / every) / (sum(n0) + 2)
-            p1 = (x1 + 1) / (sum(n1) + size)
-            weights.append(round(1000 * math.log(p1 / p0)))
-    return weights
+    upper = (sum(n for (k, _, u), n in cases.items() if u and not k) + 1) / (sum(n for (k, *_), n in cases.items() if not k) + 2)
+
+    def chance(random: int, a: str, b: str) -> float:
+        n, of = folded[random, a, b], sum(folded[random, a, x] for x in FOLDED)
+        return (n + 1) / (of + len(FOLDED)) if random else (n + 2 * often[b] / every) / (of + 2)
+
+    def case(a: str, b: str) -> float:
+        usual = upper if b.isupper() else 1 - upper
+        one, other = ((cases[k, _kind(a), b.isupper()] + 2 * p) / (cases[k, _kind(a), True] + cases[k, _kind(a), False] + 2) for k, p in ((1, 0.5), (0, usual)))
+        return max(-MOST_CASE, min(MOST_CASE, 1000 * math.log(one / other)))
+
+    ratios = {(a, b): 1000 * math.log(chance(1, a, b) / chance(0, a, b)) for a in FOLDED for b in FOLDED}
+    # what stands beside a separator says nothing: words are joined by them as random strings hold them
+    return [0 if {a, b} & set(SEPARATORS) else round(ratios[a.lower(), b.lower()] + (case(a, b) if b.isalpha() else 0)) for a in ALPHABET for b in ALPHABET]
 
 
-def find_secrets(docs: DataFrame, weights: list[int], id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+def find_secrets(docs: DataFrame, weights: list[int], id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:
     """Every row of ``docs`` as (id, text, base, spans): arrays of (start, order, end), sorted, code points, end exclusive.
 
-    With ``keep``, also these columns (named apart from the others here) and ``given``, the text as it was, null or not.
+    With ``keep``, also ``row``, the row as it was in one struct, so that no column's name clashes with these.
 
     ``base`` has the rules' spans (leftmost, not overlapping within a kind, failing matches dropped),
     ``spans`` these and the tokens, or stretches of tokens, outside of base spans that the Markov models tell to
     be random. ``order`` is the place of the kind in ``KINDS``. A null text counts as empty and has no spans.
     Repeated rows stay; all whole texts are scanned; no shuffle.
     """
-    more_cols = [] if keep is None else ["given", *keep]
-    texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"), *([] if keep is None else [F.col(f"`{text_col}`").alias("given"), *(F.col(f"`{c}`") for c in keep)]))
+    more_cols = ["row"] if keep else []
+    texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"), *([F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")] if keep else []))
     df = _rule_columns(texts)
 
     def long_enough(kind: str, least: int):
@@ -160,9 +186,8 @@ def find_secrets(docs: DataFrame, weights: list[int], id_col: str = "doc_id", te
     model, none = F.lit(weights), F.array().cast(RANGE)
 
     def found_in(token: Column) -> Column:
-        t = F.lower(token)
-        whole = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.length(t).cast("long").alias("end")))
-        return F.when(_is_random(t, model), whole).when(t.rlike("[/=_-]"), _stretches(t, model)).otherwise(none)
+        whole = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.length(token).cast("long").alias("end")))
+        return F.when(_is_random(token, model), whole).when(token.rlike("[/=_-]"), _stretches(token, model)).otherwise(none)
 
     df = df.withColumn("random", F.when(F.size("tokens") > 0, F.transform("tokens", found_in)).otherwise(F.array().cast(f"array<{RANGE}>")))
     some = F.exists("random", lambda r: F.size(r) > 0)

@@ -57,3 +57,34 @@ def test_pipeline_decides_by_row(spark, tmp_path):
     a, b, c, d = (text(60) for _ in range(4))
     more = [(None, a), (9, a), (9, a), (4, a), (4, d), (None, b), (None, f"{b} end"), (7, c), (7, c), (None, "")]
     assert kept(P.near_duplicates_stage, more, more) in [sorted([(4, a), (4, d), (None, x), (7, c), (None, "")], key=repr) for x in (b, f"{b} end")]
+
+
+@pytest.mark.parametrize("empty", [False, True])
+def test_pipeline_with_nulls_empty_tables_and_clashing_names(spark, tmp_path, empty):
+    import corpus_pipeline as P
+
+    names = ["id", "spans", "base", "node", "comp", "sig", "tag", "n", "words", "score", "component_id"]
+    rows = [(1, "a b c d e f g", "en"), (None, None, None), (2, "", None), (2, None, "x"), (3, "token=abcdefgh12345 rest of it", "en")]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} string" for n in names)
+    docs = spark.createDataFrame([] if empty else [(i, t, lang, "s", len(t or ""), *names) for i, t, lang in rows], schema)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([], "item_id string, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    step = docs
+    for name, stage in P.STAGES[:-1]:
+        step = P.materialize(stage(spark, step, str(tmp_path)), name)
+        assert step.columns == docs.columns
+    assert sorted(((r.doc_id or 0, r.text or "") for r in step.collect())) == ([] if empty else [(0, ""), (1, "a b c d e f g"), (2, ""), (2, ""), (3, "<SECRET> rest of it")])
+    out = P.run(spark, str(tmp_path)).collect()
+    assert len(out) == len(rows) * (not empty) and all(len(r.token_ids) == r.n_tokens for r in out)
+
+
+def test_empty_tables(spark):
+    from loomlake.llm import decontaminate, html_extract, quality, substring_dedup, toxicity
+
+    docs = spark.createDataFrame([], "doc_id long, text string, id string, tag string")
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    bench = spark.createDataFrame([("a", "some words of a test")], "item_id string, text string")
+    pages = spark.createDataFrame([], "page_id long, url string, html string")
+    for made in (decontaminate.decontaminate(docs, bench), html_extract.extract_pages(pages), quality.quality(docs, labels), substring_dedup.remove_repeats(docs), toxicity.toxicity(docs, labels)):
+        assert made.collect() == []

@@ -377,6 +377,61 @@ def test_secrets_beside_rules_and_words(spark, paths):
     assert got == cases
 
 
+def test_secrets_find_planted_keys(spark):
+    """Recall and precision of the Markov spans on keys of several alphabets among plain words and paths."""
+    rng = random.Random(11)
+    letters = "etaoinshrdlucmfwypvbgkqjxz"
+    plain = lambda: "".join(rng.choices(letters, range(26, 0, -1), k=rng.randint(3, 11)))
+    kinds = ["ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", "abcdefghijklmnopqrstuvwxyz0123456789"]
+    learn = [f"{' '.join(plain() for _ in range(60))} token = {''.join(rng.choices(kinds[k % 3], k=40))}" for k in range(90)]
+    planted, texts = [], []
+    for k in range(120):
+        key = "".join(rng.choices(kinds[k % 3], k=40))
+        long = "_".join(plain() for _ in range(4))
+        before = " ".join([*(plain() for _ in range(30)), long]) + " "
+        planted.append((len(before), len(before) + 40))
+        texts.append(f"{before}{key} {'/'.join(plain() for _ in range(5))} {plain()}")
+    df = table(spark, learn + texts)
+    found = {r.id: [(x.start, x.end) for x in r.spans if x.order == 3] for r in secrets.find_secrets(df, secrets.train_model(df)).collect()}
+    every = [(i, a, z) for i in range(len(texts)) for a, z in found[len(learn) + i]]
+    right = sum(a < planted[i][1] and z > planted[i][0] for i, a, z in every)
+    hit = sum(any(a < e and z > b for a, z in found[len(learn) + i]) for i, (b, e) in enumerate(planted))
+    assert hit >= 0.95 * len(planted) and right >= 0.95 * len(every)
+
+
+def test_markov_ratio_is_the_sum_over_pairs(spark):
+    rng = random.Random(3)
+    weights = [rng.randint(-3000, 3000) for _ in range(len(secrets.ALPHABET) ** 2)]
+    tokens = ["".join(rng.choices(secrets.ALPHABET, k=n)) for n in (2, 3, 16, 40, 300)]
+    df = spark.createDataFrame([(t,) for t in tokens], "t string")
+    got = [r[0] for r in df.select(secrets._ratio(F.col("t"), F.lit(weights))).collect()]
+    at, size = secrets.ALPHABET.index, len(secrets.ALPHABET)
+    assert got == [sum(weights[at(x) * size + at(y)] for x, y in zip(t, t[1:])) for t in tokens]
+
+
+def test_secrets_of_a_long_token_and_of_many_matches(spark):
+    import time
+
+    rng = random.Random(5)
+    token = "".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", k=1_000_000))
+    many = " ".join(f"token={rng.randrange(10**9):010d}" for _ in range(3_000))
+    df = table(spark, ["warm up", token, many])
+    weights = secrets.train_model(table(spark, ["token=abcdef12345678abc some plain words"]))
+    secrets.find_secrets(df.where("doc_id = 0"), weights).collect()
+    began = time.time()
+    rows = {r.id: r for r in secrets.find_secrets(df, weights).drop("text").collect()}
+    assert time.time() - began < 20 and len(rows[2].base) == 3_000
+    assert [(x.start, x.end) for x in rows[2].base][:2] == [(0, 16), (17, 33)]
+
+
+def test_secrets_beside_columns_of_the_same_names(spark):
+    key = "04dbebab91ab85687d33eeaaf9ac699e1188f962"
+    names = ["id", "spans", "base", "tokens", "scores", "pieces", "given", "row", "free", "random", "hex_m"]
+    df = spark.createDataFrame([(1, f"a {key}", *names), (None, None, *names)], "doc_id long, text string, " + ", ".join(f"{n} string" for n in names))
+    rows = secrets.find_secrets(df, secrets.train_model(df), keep=True).collect()
+    assert sorted((r.row.doc_id or 0, len(r.spans), r.row.spans) for r in rows) == [(0, 0, "spans"), (1, 1, "spans")]
+
+
 def test_redaction(spark):
     from pyspark.sql import functions as F
 
