@@ -53,14 +53,15 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are replaced by a mark; n_chars follows the new text."""
-    found = secrets.find_secrets(docs, secrets.train_model(docs), keep=[c for c in docs.columns if c not in ("doc_id", "text")])
-    out = found.withColumn("text", F.when(F.col("given").isNull(), F.lit(None)).otherwise(secrets.redacted(F.col("text"), F.col("spans"))))
-    return out.withColumnRenamed("id", "doc_id").withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+    found = secrets.find_secrets(docs, secrets.train_model(docs), keep=True)
+    found = found.withColumn("clean", F.when(F.col("row.text").isNotNull(), secrets.redacted(F.col("text"), F.col("spans"))))
+    new = {"text": F.col("clean"), "n_chars": F.length("clean").cast(docs.schema["n_chars"].dataType)}
+    return found.select([new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def tokens_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and hashes of the encoded and decoded texts."""
-    return bpe.encode_documents(docs, public_tokenizers.path(BPE_FILE), public_tokenizers.PATTERN)
+    """Token ids of the cleaned texts, with their number and the hashes of the encoded and decoded texts."""
+    return bpe.encode_documents(docs, public_tokenizers.path(BPE_FILE), public_tokenizers.PATTERN, ids=True)
 
 
 STAGES = [("toxicity", toxicity_stage), ("near_duplicates", near_duplicates_stage), ("decontamination", decontamination_stage), ("secrets", secrets_stage), ("tokens", tokens_stage)]
