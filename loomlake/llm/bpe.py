@@ -208,7 +208,7 @@ class Numbers(dict):
 class Encoder:
     """Encodes and decodes whole texts. Ids of pre-tokens are remembered, up to about ``memory`` characters of these."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, memory: int = 10_000_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, memory: int = 2_000_000):
         self.merges, self.memory = Merges(ranks), memory
         self.find_bmp, self.pattern = splitter(pattern, 0xFFFF), pattern
         strings = [b""] * self.merges.size
@@ -269,7 +269,7 @@ def encoder(ranks: bytes, pattern: str) -> Encoder:
     return Encoder(parse_ranks(ranks), pattern)
 
 
-def text_batches(batches: Iterator[pa.RecordBatch], column: int, size: int = 4_000_000) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+def text_batches(batches: Iterator[pa.RecordBatch], column: int, size: int = 2_000_000) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     """Slices of the batches with their texts (null: empty), a slice ending after about ``size`` bytes of text."""
     for batch in batches:
         texts = batch.column(column)
@@ -310,7 +310,8 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str
             b = [hashlib.sha256(enc.decode(found)).hexdigest() for found in every]
             out = {id_col: part.column(0), "n_tokens": pa.array([len(x) for x in every], pa.int64()), "ids_sha256": pa.array(a, pa.string()), "decoded_sha256": pa.array(b, pa.string())}
             if ids:
-                out["token_ids"] = pa.array(every, pa.list_(pa.int32()))
+                ends = np.cumsum([0, *map(len, every)], dtype=np.int32)
+                out["token_ids"] = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(every)))
             yield pa.RecordBatch.from_pydict(out)
 
     schema = f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", token_ids array<int>" * ids

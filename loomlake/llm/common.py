@@ -178,7 +178,7 @@ def cells(hashes: np.ndarray, log2_cells: int, row: int) -> np.ndarray:
 def merged_sketch(df: DataFrame, hashes: Callable[[bytes], np.ndarray], log2_cells: int, depth: int, threshold: int) -> Bits:
     """Count ``hashes(text)`` of all rows of the one-column ``df`` in a count-min sketch of ``depth`` rows.
 
-    Each task counts some two million hashes at a time and gives out the cells that they reach, in compressed
+    Each task counts half a million hashes at a time and gives out the cells that they reach, in compressed
     blocks: no task holds a whole sketch. Blocks are summed by key on the cluster, and only one bit a cell,
     "count reached the threshold", comes to the driver: depth * 2**log2_cells / 8 bytes, whatever the input.
     Counts saturate at 255 in each part (so no count under ``threshold`` <= 255 is lost) and are never too small.
@@ -205,7 +205,7 @@ def merged_sketch(df: DataFrame, hashes: Callable[[bytes], np.ndarray], log2_cel
                 if (t := text.as_py()) is not None and len(h := hashes(t.encode())):
                     waiting.append(h)
                     n += len(h)
-                    if n > 1 << 21:
+                    if n > 1 << 19:
                         yield count(waiting)
                         waiting, n = [], 0
         if n:
