@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from loomlake.operators.windows import global_rank
+
 
 
 
@@ -88,18 +90,53 @@ def greedy_match(pairs: DataFrame, keys: list[str]) -> DataFrame:
     return m.select(*keys, F.explode(F.arrays_zip(F.col("m.p").alias("pred"), F.col("m.g").alias("gt"), F.col("m.i").alias("iou"))).alias("z")).select(*keys, "z.*")
 
 
-def average_precision(preds: DataFrame, truths: DataFrame, matches: DataFrame, keys: list[str], cls: str, threshold: float) -> DataFrame:
-    """AP over 101 recall points per class. ``preds``: (keys, pred, confidence), ``matches``: those of ``greedy_match``."""
+def average_precision(preds: DataFrame, truths: DataFrame, matches: DataFrame, keys: list[str], cls: str) -> DataFrame:
+    """(class, threshold, ap): AP over 101 recall points. ``preds``: (keys, pred, confidence), ``matches``: (keys, threshold, pred).
+
+    Classes with ground truths only; one without a match at a threshold has AP 0. Predictions are ranked once over the
+    whole table by range partitions, and matches once more, so no class meets in one task; what is left
+    for windows are 101 recall points for each class and threshold.
+    """
+    starts = lambda df, by, name: df.groupBy(*by).agg(F.min("__at").alias(name))
+    ranked = global_rank(preds.select(*keys, "pred", "confidence"), [cls, F.col("confidence").desc(), *[k for k in keys if k != cls], "pred"], "__at")
+    ranked = ranked.join(F.broadcast(starts(ranked, [cls], "__first")), cls).select(*keys, "pred", (F.col("__at") - F.col("__first") + 1).alias("n"))
+    hits = global_rank(matches.select(*keys, "threshold", "pred").join(ranked, [*keys, "pred"]).select(cls, "threshold", "n"), [cls, "threshold", "n"], "__at")
+    hits = hits.join(F.broadcast(starts(hits, [cls, "threshold"], "__first")), [cls, "threshold"]).withColumn("hits", F.col("__at") - F.col("__first") + 1)
     total = truths.groupBy(cls).agg(F.count("*").alias("total"))
-    marked = preds.join(matches.where(F.col("iou") >= threshold).select(*keys, "pred", F.lit(1).alias("tp")), [*keys, "pred"], "left")
-    w = W.partitionBy(cls).orderBy(F.col("confidence").desc(), *[k for k in keys if k != cls], "pred").rowsBetween(W.unboundedPreceding, 0)
-    run = marked.withColumn("hits", F.count("tp").over(w)).withColumn("n", F.count("*").over(w)).join(F.broadcast(total), cls)
-    # of all places with the same number of hits the first has the best precision; then a running maximum from the right
-    best = run.groupBy(cls, "hits").agg(F.max(F.col("hits") / F.col("n")).alias("precision"), F.max("total").alias("total"))
-    env = best.withColumn("precision", F.max("precision").over(W.partitionBy(cls).orderBy("hits").rowsBetween(0, W.unboundedFollowing)))
     reach = F.floor(F.col("hits") / F.col("total") * 100 + 1e-9).cast("int")
-    got = env.withColumn("r", reach).withColumn("before", F.coalesce(F.lag("r").over(W.partitionBy(cls).orderBy("hits")), F.lit(-1)))
-    return got.groupBy(cls).agg((F.sum((F.col("r") - F.col("before")) * F.col("precision")) / 101).alias("ap"))
+    best = hits.join(F.broadcast(total), cls).groupBy(cls, "threshold", reach.alias("r")).agg(F.max(F.col("hits") / F.col("n")).alias("precision"))
+    w = W.partitionBy(cls, "threshold")
+    # a running maximum from the right; recall point 0 is reached by the first hit
+    env = best.withColumn("precision", F.max("precision").over(w.orderBy(F.col("r").desc()).rowsBetween(W.unboundedPreceding, 0)))
+    env = env.withColumn("before", F.coalesce(F.lag("r").over(w.orderBy("r")), F.lit(-1)))
+    ap = env.groupBy(cls, "threshold").agg((F.sum((F.col("r") - F.col("before")) * F.col("precision")) / 101).alias("ap"))
+    every = total.select(cls).crossJoin(F.broadcast(matches.select("threshold").distinct()))
+    return every.join(ap, [cls, "threshold"], "left").select(cls, "threshold", F.coalesce("ap", F.lit(0.0)).alias("ap"))
+
+
+def detection_ap(pairs: DataFrame, preds: DataFrame, truths: DataFrame, keys: list[str], cls: str, thresholds: list[float]) -> DataFrame:
+    """(class, threshold, ap) with, besides each class and threshold, rows of class null: mean over classes of each
+    threshold, and of threshold null: mean over thresholds. ``pairs``: (keys, pred, confidence, gt, iou)."""
+    each = pairs.where(F.col("iou") >= min(thresholds)).withColumn("threshold", F.explode(F.filter(F.array(*map(F.lit, thresholds)), lambda t: t <= F.col("iou"))))
+    ap = average_precision(preds, truths, greedy_match(each, [*keys, "threshold"]), keys, cls)
+    return ap.cube(cls, "threshold").agg(F.avg("ap").alias("ap"))
+
+
+def detection_summary(pairs: DataFrame, queries: DataFrame, query: str, thresholds: list[float]) -> DataFrame:
+    """(threshold, matches, precision, recall, f1, mean_iou, negative_accuracy), threshold by threshold.
+
+    ``queries``: (query, n_pred, n_gt), ``pairs``: (query, pred, gt, iou). Each query's pairs are matched one to one by
+    falling IoU; unmatched ground truths count with IoU 0, and ``negative_accuracy`` is the share of queries
+    without ground truths that have no predictions.
+    """
+    some = pairs.withColumn("confidence", F.col("iou"))
+    m = greedy_match(some, [query]).withColumn("threshold", F.explode(F.array(*map(F.lit, thresholds))))
+    tp = m.groupBy("threshold").agg(F.count_if(F.col("iou") >= F.col("threshold")).alias("matches"), F.sum("iou").alias("__s"))
+    all_ = queries.agg(F.sum("n_pred").alias("__p"), F.sum("n_gt").alias("__g"), F.count_if(F.col("n_gt") == 0).alias("__neg"), F.count_if((F.col("n_gt") == 0) & (F.col("n_pred") == 0)).alias("__ok"))
+    x = tp.crossJoin(F.broadcast(all_))
+    share = lambda a, b: F.when(b > 0, a / b).otherwise(F.lit(0.0))
+    p, r = share(F.col("matches"), F.col("__p")), share(F.col("matches"), F.col("__g"))
+    return x.select("threshold", "matches", p.alias("precision"), r.alias("recall"), share(2 * p * r, p + r).alias("f1"), share(F.col("__s"), F.col("__g")).alias("mean_iou"), F.when(F.col("__neg") > 0, F.col("__ok") / F.col("__neg")).alias("negative_accuracy"))
 
 
 def length_cdf(df: DataFrame, length: Column, width: int) -> DataFrame:
@@ -138,7 +175,9 @@ def id_gaps(df: DataFrame, key: str) -> DataFrame:
     inside = edges.withColumn("next", after).where(F.col("next") > F.col(key) + 1).select(F.col(key).alias("a"), "next")
     ends = edges.groupBy(F.floor(F.col(key) / 100_000).alias("b")).agg(F.min(key).alias("lo"), F.max(key).alias("hi"))
     across = ends.withColumn("next", F.lead("lo").over(W.orderBy("b"))).where("next > hi + 1").select(F.col("hi").alias("a"), "next")
-    gone = inside.union(across).select(F.lit("gap").alias("kind"), F.explode(F.sequence(F.col("a") + 1, F.col("next") - 1)).alias("id"))
+    # a long gap is dealt out in stretches of 100,000 ids
+    gone = inside.union(across).select(F.explode(F.sequence(F.col("a") + 1, F.col("next") - 1, F.lit(100_000))).alias("from"), "next")
+    gone = gone.select(F.lit("gap").alias("kind"), F.explode(F.sequence("from", F.least(F.col("from") + 99_999, F.col("next") - 1))).alias("id"))
     return twice.unionByName(gone)
 
 

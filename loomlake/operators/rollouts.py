@@ -20,7 +20,8 @@ def rloo(df: DataFrame, group: str = "uid", score: str = "score") -> DataFrame:
     """Adds ``advantage``: score less the mean of the group's other scores; groups of one are left out."""
     w = W.partitionBy(group)
     df = df.withColumn("__n", F.count(score).over(w)).where("__n > 1")
-    return df.withColumn("advantage", F.col(score) - (F.sum(score).over(w) - F.col(score)) / (F.col("__n") - 1)).drop("__n")
+    total = F.sum(F.col(score).cast("decimal(38,12)")).over(w).cast("double")  # exact, so the order of rows does not matter
+    return df.withColumn("advantage", F.col(score) - (total - F.col(score)) / (F.col("__n") - 1)).drop("__n")
 
 
 def remax(df: DataFrame, baselines: DataFrame, group: str = "uid", score: str = "score", baseline: str = "baseline") -> DataFrame:
@@ -41,7 +42,7 @@ def discounted(rewards: Column, mask: Column, gamma: float) -> Column:
 
 
 def gae(rewards: Column, values: Column, gamma: float, lam: float) -> Column:
-    """Generalised advantage of each token: delta + gamma * lam * (advantage of the next token)."""
+    """Generalised advantage of each token, not whitened: delta + gamma * lam * (advantage of the next token)."""
     n = F.size(rewards)
     deltas = F.transform(rewards, lambda r, i: r + gamma * F.coalesce(F.get(values, i + 1), F.lit(0.0)) - F.get(values, i))
     first = F.struct(F.lit(0.0).alias("run"), F.array().cast("array<double>").alias("out"))
@@ -49,6 +50,13 @@ def gae(rewards: Column, values: Column, gamma: float, lam: float) -> Column:
     return F.when(n > 0, F.aggregate(F.reverse(deltas), first, step, lambda a: a["out"])).otherwise(F.array().cast("array<double>"))
 
 
+def gae_advantages(df: DataFrame, rewards: str, values: str, mask: str, gamma: float, lam: float) -> DataFrame:
+    """Adds ``returns`` (advantages plus values) and ``advantages``, whitened by the masked tokens of all rows."""
+    df = df.withColumn("advantages", gae(F.col(rewards), F.col(values), gamma, lam))
+    df = df.withColumn("returns", F.zip_with("advantages", values, lambda a, v: a + v))
+    return whitened(df, "advantages", mask)
+
+
 def whitened(df: DataFrame, values: str, mask: str, eps: float = 1e-8) -> DataFrame:
     """Array ``values`` less their masked mean, over their masked sample deviation, over all rows.
 

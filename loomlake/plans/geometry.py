@@ -89,13 +89,13 @@ def _(spark, sf):
 @query("g8_to_int1000", f"""with s as (select image_id, object_index, case when image_id % 3 = 0 then 0.001 when image_id % 3 = 1 then 0.1 else 1 end as k, cx, cy, w, h from ({O})),
  m as (select image_id, max(greatest(cx, cy) * k) as largest from s group by image_id)
  select image_id, object_index, cast(least(1000, greatest(0, round_even(cx * k * f, 0))) as int) as x, cast(least(1000, greatest(0, round_even(cy * k * f, 0))) as int) as y
- from (select *, case when largest <= 1.5 then 1000.0 when largest <= 100.5 then 10.0 else 1.0 end as f from s join m using (image_id)) where w > 12""")
+ from (select *, case when largest <= 1.5 then 1000.0 when largest <= 100.5 then 10.0 else 1.0 end as f from s join m using (image_id))""")
 def _(spark, sf):
     from pyspark.sql import Window as W
 
     k = F.when(F.col("image_id") % 3 == 0, 0.001).when(F.col("image_id") % 3 == 1, 0.1).otherwise(1.0)
     df = boxes(spark, sf).withColumn("x", F.col("cx") * k).withColumn("y", F.col("cy") * k).withColumn("m", F.max(F.greatest("x", "y")).over(W.partitionBy("image_id")))
-    return df.where("w > 12").select(*ID, *[G.scale_int1000(F.col(c), F.col("m")).alias(c) for c in "xy"])
+    return df.select(*ID, *[G.scale_int1000(F.col(c), F.col("m")).alias(c) for c in "xy"])
 
 
 _REASONS = """list_filter([case when w * h <= 400 then 'degenerate_area' end, case when cx - w/2 < 0 or cy - h/2 + least(tilt, 0) < 0 or cx + w/2 > 899 or cy + h/2 + greatest(tilt, 0) > 899 then 'out_of_bounds' end], lambda x: x is not null)"""
@@ -129,10 +129,10 @@ def _(spark, sf):
 
 @query("g12_shape", f"""with e as (select image_id, object_index, w, h, tilt, sqrt(w*w + tilt*tilt) as s from ({O})),
  a as (select *, greatest(s, h) / least(s, h) as aspect from e)
- select image_id, object_index, round(aspect, 4) as aspect_ratio, case when aspect >= 3.5 then 'strongly elongated' when aspect >= 1.8 then 'elongated' when aspect <= 1.25 then 'compact' else 'moderately rectangular' end as shape_phrase from a""")
+ select image_id, object_index, round_even(aspect, 4) as aspect_ratio, case when aspect >= 3.5 then 'strongly elongated' when aspect >= 1.8 then 'elongated' when aspect <= 1.25 then 'compact' else 'moderately rectangular' end as shape_phrase from a""")
 def _(spark, sf):
     df = G.shape_columns(boxes(spark, sf))
-    return df.select(*ID, F.round("aspect_ratio", 4).alias("aspect_ratio"), "shape_phrase")
+    return df.select(*ID, "aspect_ratio", "shape_phrase")
 
 
 @query("g13_region", f"""select image_id, object_index, case when rx = 1 and ry = 1 then 'central area' else ['upper', 'middle', 'lower'][ry + 1] || '-' || ['left', 'center', 'right'][rx + 1] || ' area' end as region

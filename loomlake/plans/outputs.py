@@ -69,11 +69,11 @@ def _(spark, sf):
     return df.select(*ID, "kind", F.get("values", 0).cast("int").alias("first"))
 
 
-@query("p4_focus_from_text", f"select image_id, object_index, case when object_index % 3 > 0 then a + d end as total from (select *, {_X} from ({O})) where a >= 0 and b >= 0")
+@query("p4_focus_from_text", f"select image_id, object_index, case when object_index % 3 > 0 and least(a, b, c, d) >= 0 then a + d end as total from (select *, {_X} from ({O}))")
 def _(spark, sf):
     a, b, c, d = _four()
     text = F.when(F.col("object_index") % 3 > 0, F.concat(F.lit("Look at Region [ "), F.concat_ws(" , ", a, b, c, d), F.lit("] closely"))).otherwise("Look at the region")
-    df = objects(spark, sf).where("bround(cx - w / 2, 0) >= 0 and bround(cy - h / 2, 0) >= 0").withColumn("f", P.focus_from_text(text))
+    df = objects(spark, sf).withColumn("f", P.focus_from_text(text))
     return df.select(*ID, (F.get("f", 0) + F.get("f", 3)).alias("total"))
 
 
@@ -90,21 +90,25 @@ def _(spark, sf):
     return frame(spark, sf, ROLLOUTS).withColumn("m", P.parse_message(t)).select("row_id", "m.action", F.coalesce("m.question", "m.answer").alias("said"))
 
 
-@query("f5_mutated_convention", f"select row_id, row_id % 3 = 0 as mutated from ({E})")
+@query("f5_mutated_convention", f"select image_id, object_index, w <> h or (part % 3 = 0) as mutated from ({O})")
 def _(spark, sf):
-    after = F.when(F.col("row_id") % 3 == 0, "box in [0, 1000]").otherwise("give the box within [0,100] please")
-    return frame(spark, sf, ROLLOUTS).select("row_id", U.mutated_convention(F.lit("box in [0,100]"), after).alias("mutated"))
+    """Ranges named by width before and by height after, at times with one range more."""
+    before = F.concat("class_name", F.lit(" in [0,"), F.col("w").cast("int").cast("string"), F.lit("]"))
+    after = F.concat(F.lit("give the "), "class_name", F.lit(" within [0, "), F.col("h").cast("int").cast("string"), F.when(F.col("part") % 3 == 0, "] or [0,7]").otherwise("] please"))
+    return objects(spark, sf).select(*ID, U.mutated_convention(before, after).alias("mutated"))
 
 
-@query("f7_leading_question", f"select image_id, object_index, object_index % 3 < 2 as leading from ({O})")
+_SAID = "concat(case p_size % 4 when 0 then 'What kind of object is the ' when 1 then 'Name the CATEGORY of the ' else 'How long is the ' end, p_name, ' by the ', lower(p_type), '?')"
+
+
+@query("f7_leading_question", rf"select p_partkey, regexp_matches({_SAID}, '\b(?:class|category|label|what (?:kind|type) of object)\b', 'i') or regexp_matches({_SAID}, '\b(?:ring|bolt|small)s?\b', 'i') as leading from part")
 def _(spark, sf):
-    k = F.col("object_index") % 3
-    q = F.when(k == 0, "What category is it?").when(k == 1, F.concat(F.lit("Is that a "), F.col("class_name"), F.lit("?"))).otherwise("How long is the shadow?")
-    return objects(spark, sf).select(*ID, U.leading_question(q, ["plane", "ship", "storage tank", "harbor", "small vehicle"]).alias("leading"))
+    """Questions about parts, with some names as class names."""
+    return spark.read.parquet(f"{sf}/part.parquet").select("p_partkey", U.leading_question(F.expr(_SAID), ["ring", "bolt", "small"]).alias("leading"))
 
 
-@query("f11_usable_evidence", f"select row_id, row_id % 3 = 0 as usable from ({E})")
+@query("f11_usable_evidence", r"select conv_id, turn, length(trim(text)) >= 20 and turn % 5 <> 4 as usable from conversations")
 def _(spark, sf):
-    k = F.col("row_id") % 3
-    t = F.when(k == 0, "a grey roof with two long shadows").when(k == 1, "short").otherwise("the request failed: service unavailable")
-    return frame(spark, sf, ROLLOUTS).select("row_id", U.usable_evidence(t).alias("usable"))
+    """Turns as observations; every fifth one ends in a service's error."""
+    said = F.concat("text", F.when(F.col("turn") % 5 == 4, " API error").otherwise(""))
+    return spark.read.parquet(f"{sf}/conversations.parquet").select("conv_id", "turn", U.usable_evidence(said).alias("usable"))

@@ -258,9 +258,9 @@ def answers(spark, sf):
     return spark.read.parquet(f"{sf}/part.parquet").select("p_partkey", "p_name", "p_size", F.col("p_size").cast("string").alias("gt"), F.expr("case p_partkey % 4 when 0 then concat('The answer is: ', p_size) when 1 then concat(p_size, '.0') when 2 then concat('maybe ', p_size + 1) else p_name end").alias("pred"))
 
 
-@query("a18_vqa_score", f"select p_partkey, p_partkey % 4 = 0 or (p_partkey % 4 = 3 and trim(regexp_replace(lower(p_name), '[^a-z0-9]+', ' ', 'g')) = gt) as exact_or_number from {_P} where p_partkey % 4 <> 1")
+@query("a18_vqa_score", f"select p_partkey, p_partkey % 4 = 0 or (p_partkey % 4 = 3 and trim(regexp_replace(lower(p_name), '[^a-z0-9]+', ' ', 'g')) = gt) as exact_or_number from {_P}")
 def _(spark, sf):
-    df = answers(spark, sf).where("p_partkey % 4 <> 1")
+    df = answers(spark, sf)
     return df.select("p_partkey", (U.answer_score(F.col("pred"), F.col("gt")) != "wrong").alias("exact_or_number"))
 
 
@@ -272,16 +272,16 @@ def _(spark, sf):
     return df.select("p_partkey", F.round(U.token_f1(F.col("p_name"), F.concat_ws(" ", "p_type", "p_name")), 6).alias("f1"))
 
 
-@query("f1_answer_kind", f"select p_partkey, case when p_partkey % 4 = 1 then 'number' else 'other' end as kind from {_P} where p_partkey % 4 < 3")
+@query("f1_answer_kind", f"select p_partkey, case when regexp_full_match(pred, '[+-]?([0-9]+([.][0-9]+)?|[.][0-9]+)(e[+-]?[0-9]+)?') then 'number' when pred in ('yes', 'no') then 'yes_no' else 'other' end as kind from {_P}")
 def _(spark, sf):
-    return answers(spark, sf).where("p_partkey % 4 < 3").select("p_partkey", U.answer_kind(F.col("pred")).alias("kind"))
+    return answers(spark, sf).select("p_partkey", U.answer_kind(F.col("pred")).alias("kind"))
 
 
-@query("f6_repeated_sentence", "select doc_id, doc_id % 3 = 0 as repeated from documents")
+@query("f6_repeated_sentence", r"""with s as (select doc_id, trim(regexp_replace(lower(unnest(regexp_split_to_array(text, '[.!?\n]+'))), '\s+', ' ', 'g')) as s from documents),
+ n as (select doc_id, s, count(*) as n from s where len(string_split(s, ' ')) >= 7 group by all)
+ select doc_id, coalesce(max(n) >= 3, false) as repeated from documents left join n using (doc_id) group by doc_id""")
 def _(spark, sf):
-    s = "this sentence has quite a few words in it number "
-    text = F.when(F.col("doc_id") % 3 == 0, F.lit(f"{s} one. other. " * 3)).otherwise(F.lit(f"{s} one. {s} two. {s} three."))
-    return documents(spark, sf).select("doc_id", U.repeated_sentence(text).alias("repeated"))
+    return documents(spark, sf).select("doc_id", U.repeated_sentence(F.col("text")).alias("repeated"))
 
 
 @query("f2_reference_flags", """with t as (select l_orderkey as id, l_linenumber, case l_linenumber % 5 when 0 then 'the second ship' when 1 then 'ship at (10, 20)' when 2 then 'the leftmost of its class' when 3 then 'the area area on top' else 'the ship in the central area' end as s from lineitem)
@@ -304,10 +304,19 @@ def _(spark, sf):
     return df.groupBy("reason").agg(F.count("*").alias("n"))
 
 
-@query("f19_question_kind", "select doc_id, case doc_id % 4 when 0 then 'bbox' when 1 then 'obb' when 2 then 'either' else 'none' end as coordinates, case doc_id % 4 when 0 then 'shape' when 1 then 'orientation' when 2 then 'context' else 'other' end as dimension from documents")
+_ASKED = "concat(case p_size % 6 when 0 then 'Give the bounding  box ' when 1 then 'Which rotated box ' when 2 then 'Give all four corners ' when 3 then 'State the location ' when 4 then 'Is the position top-left or bottom-right ' else 'What is there ' end, 'of the ', p_name, ', ', lower(p_type), ' in ', case p_size % 5 when 0 then 'size' when 1 then 'colour and material' when 2 then 'direction' when 3 then 'outline' else 'view' end, '?')"
+
+
+@query("f19_question_kind", rf"""with q as (select p_partkey, regexp_replace(lower({_ASKED}), '\s+', ' ', 'g') as q from part)
+ select p_partkey, case when not regexp_matches(q, '\b(coordinate|coordinates|bbox|bounding box|box_2d|hbb|obb|corner|corners|polygon|position|location|extent|envelope|locali[sz])\b') then 'none'
+  when regexp_matches(q, '\b(?:obb(?:_8)?|rotated\s+(?:box|bounding\s+box)|polygon|four\s+corners?|clockwise)\b') then 'obb'
+  when regexp_matches(q, '\b(?:bbox(?:_2d)?|box_2d|bounding\s+box|coarse\s+(?:box|hbb)|axis[- ]aligned|envelope|top[- ]left.*bottom[- ]right)\b') then 'bbox' else 'either' end as coordinates,
+  case when regexp_matches(q, 'shape|outline|geometry|boundary|form') then 'shape' when regexp_matches(q, 'part|wing|tail|deck|roof|island|support') then 'parts' when regexp_matches(q, 'orient|direction|axis|horizontal|vertical|diagonal') then 'orientation'
+   when regexp_matches(q, 'size|scale|length|width|relative|larger|smaller') then 'scale' when regexp_matches(q, 'surface|texture|color|material|reflective') then 'surface' when regexp_matches(q, 'marking|line|stripe|lane|goal|net') then 'markings'
+   when regexp_matches(q, 'surround|adjacent|beneath|support|road|water|paved') then 'context' else 'other' end as dimension from q""")
 def _(spark, sf):
-    q = F.get(F.array(*map(F.lit, ["Give the bounding box of its shape", "Which oriented box and direction?", "Give coordinates of what is nearby", "What?"])), (F.col("doc_id") % 4).cast("int"))
-    return documents(spark, sf).select("doc_id", U.coordinate_kind(q).alias("coordinates"), U.visual_dimension(q).alias("dimension"))
+    q = F.expr(_ASKED)
+    return spark.read.parquet(f"{sf}/part.parquet").select("p_partkey", U.coordinate_kind(q).alias("coordinates"), U.visual_dimension(q).alias("dimension"))
 
 
 # rewards: responses with a box or number in them, made from part rows

@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from loomlake.operators import conversations as C, geometry as G, metrics as M, rollouts as R, sampling as S, tokens as K
+from loomlake.operators import conversations as C, geometry as G, metrics as M, rollouts as R, sampling as S, tokens as K, traces as T
 
 
 def quad(rng):
@@ -97,10 +97,63 @@ def test_greedy_match_and_ap(spark):
     assert m == {(0, 1), (1, 0)}
     preds = pairs.select("image_id", "class_id", "pred", "confidence").distinct()
     truths = spark.createDataFrame([(1, 0, 0), (1, 0, 1)], "image_id int, class_id int, gt long")
-    ap = M.average_precision(preds, truths, M.greedy_match(pairs, ["image_id", "class_id"]), ["image_id", "class_id"], "class_id", 0.5).first().ap
+    some = M.greedy_match(pairs, ["image_id", "class_id"]).withColumn("threshold", F.lit(0.5))
+    ap = M.average_precision(preds, truths, some, ["image_id", "class_id"], "class_id").first().ap
     assert ap == pytest.approx(1.0)
 
 
+def test_detection_ap_and_summary_against_loops(spark):
+    import random
+
+    rng = random.Random(4)
+    truths, preds, iou = [], [], {}
+    for image in range(12):
+        for cls in range(3):
+            gts, ps = range(rng.randint(0, 5)), range(rng.randint(0, 5))
+            truths += [(image, cls, g) for g in gts]
+            preds += [(image, cls, p, rng.randrange(50) / 50) for p in ps]
+            iou |= {(image, cls, p, g): rng.random() for p in ps for g in gts if rng.random() < 0.7}
+    conf = {x[:3]: x[3] for x in preds}
+    pairs = spark.createDataFrame([(i, c, p, conf[i, c, p], g, v) for (i, c, p, g), v in iou.items()], "image_id int, class_id int, pred long, confidence double, gt long, iou double")
+    p, t = spark.createDataFrame(preds, "image_id int, class_id int, pred long, confidence double"), spark.createDataFrame(truths, "image_id int, class_id int, gt long")
+    got = {(r.class_id, r.threshold): r.ap for r in M.detection_ap(pairs, p, t, ["image_id", "class_id"], "class_id", [0.5, 0.75]).collect()}
+
+    def ap(cls, least):
+        used, hits, n, points = set(), 0, 0, []
+        for i, _, k, _ in sorted((x for x in preds if x[1] == cls), key=lambda x: (-x[3], x[0], x[2])):
+            n += 1
+            best = max(((iou.get((i, cls, k, g), 0), g) for (j, c, g) in truths if (j, c) == (i, cls) and (i, g) not in used), default=(0, None))
+            if best[0] >= least:
+                used.add((i, best[1]))
+                hits += 1
+            points.append((hits / sum(x[1] == cls for x in truths), hits / n))
+        return sum(max((q for r, q in points if r >= k / 100 - 1e-12), default=0) for k in range(101)) / 101
+
+    for cls in range(3):
+        for least in (0.5, 0.75):
+            assert got[cls, least] == pytest.approx(ap(cls, least))
+    assert got[None, 0.5] == pytest.approx(sum(got[c, 0.5] for c in range(3)) / 3)
+    # the summary: one query for each image and class
+    queries = {}
+    for i, c, *_ in preds:
+        queries.setdefault((i, c), [0, 0])[0] += 1
+    for i, c, _ in truths:
+        queries.setdefault((i, c), [0, 0])[1] += 1
+    ious = []
+    for (i, c), (_, n) in queries.items():
+        up, ug = set(), set()
+        for v, k, g in sorted(((v, k, g) for (j, d, k, g), v in iou.items() if (j, d) == (i, c)), reverse=True):
+            if k not in up and g not in ug:
+                up.add(k), ug.add(g), ious.append(v)
+    df = spark.createDataFrame([(f"{i}#{c}", a, b) for (i, c), (a, b) in queries.items()], "query string, n_pred long, n_gt long")
+    row = M.detection_summary(pairs.selectExpr("concat(image_id, '#', class_id) as query", "pred", "gt", "iou"), df, "query", [0.5]).first()
+    tp = sum(v >= 0.5 for v in ious)
+    assert (row.matches, row.precision, row.recall) == (tp, pytest.approx(tp / len(preds)), pytest.approx(tp / len(truths)))
+    assert row.mean_iou == pytest.approx(sum(ious) / len(truths))
+    negative = [a == 0 for a, b in queries.values() if b == 0]
+    assert row.negative_accuracy == pytest.approx(sum(negative) / len(negative))
+
+
 def test_balance_shards(spark):
     df = spark.range(1000).select(F.col("id").alias("row_id"), (F.col("id") % 97).alias("length"))
     rows = R.balance_shards(df, 4, block=1).groupBy("shard").agg(F.count("*").alias("n"), F.sum("length").alias("t")).collect()
@@ -155,3 +208,29 @@ def test_empty_tables(spark):
     none = spark.createDataFrame([], "uid int, score double, row_id long, length int")
     assert R.grpo(none).count() == 0 and R.micro_batches(none, 10).count() == 0
     assert S.exact_n(none, 5, "row_id").count() == 0
+
+
+def test_similar_questions_against_a_loop(spark):
+    from difflib import SequenceMatcher
+
+    rng = random.Random(2)
+    words = ["shape", "of", "the", "roof", "colour", "is", "wing", "what", "long", "tail"]
+    rows = [(t, k, " ".join(rng.choices(words, k=rng.randint(0, 5)))) for t in range(20) for k in range(6)]
+    got = {(r.trace, r.right): (r.left, round(r.similarity, 9)) for r in T.similar_questions(spark.createDataFrame(rows, "trace int, k int, q string"), "trace", "k", "q", 0.8).collect()}
+    want, text = {}, {(t, k): [w for w in q.split() if w not in T.STOPWORDS] for t, k, q in rows}
+    for t in range(20):
+        for k in range(6):
+            for j in range(k):
+                a, b = text[t, j], text[t, k]
+                if a and b:
+                    score = max(SequenceMatcher(None, " ".join(a), " ".join(b)).ratio(), len({*a} & {*b}) / len({*a} | {*b}))
+                    if score >= 0.8:
+                        want[t, k] = (j, round(score, 9))
+                        break
+    assert got == want and want
+
+
+def test_claims_need_no_negation_before(spark):
+    texts = ["The object is a ship.", "There is no doubt: not the object is a ship.", "No, the target appears to be a truck or it is a harbor.", "a scene without much to see at all; then the object is a car"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert [sorted(r[0]) for r in df.select(T.claimed_classes(F.col("t"))).collect()] == [["ship"], [], [], ["small vehicle"]]
