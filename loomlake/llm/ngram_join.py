@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from loomlake.llm.common import LOWER, U64, Bits, distinct, log2_at_least, merged_sketch, mix, small_side, window_hashes, word_hashes
 from loomlake.session import materialize
 
-#: Hub rounds before the remaining pairs are verified one by one; fewer if these pairs are few, or a round finds few links.
+#: Hub rounds before the remaining pairs are verified one by one; fewer if these pairs are few, or the last of two and more finds few links.
 ROUNDS = 4
 
 
@@ -302,8 +302,9 @@ def _links(postings: DataFrame, maps: DataFrame, sets: Callable[[DataFrame], Dat
         else:
             named = postings.withColumn("comp", F.col("node"))
         # of each signature: candidate pairs (of different components, not both heavy), and a hub that is not heavy if
-        # there is such a node, another one each round
-        place = F.struct("heavy", (F.col("node") if not turn else F.xxhash64("node", F.lit(turn))).alias("place"), "node", "n", "r", "comp")
+        # there is such a node. Every other round it is one with few shingles of its own, as the middle of a group of near
+        # copies has; four choices for the signatures of a group, so that one bad hub does not spoil a round
+        place = F.struct("heavy", (F.lit(0) if turn % 2 else F.col("r")).cast("long").alias("own"), F.xxhash64("node", F.pmod("sig", F.lit(4)), F.lit(turn)).alias("place"), "node", "n", "r", "comp")
         each = named.groupBy("sig", "comp").agg(F.count(F.lit(1)).alias("k"), F.sum("heavy").alias("h"), F.min(place).alias("hub"))
         each = each.groupBy("sig").agg(*[F.sum(c).alias(c) for c in "kh"], *[F.sum(F.col(c) * F.col(c)).alias(f"{c}2") for c in "kh"], F.min("hub").alias("hub"))
         each = each.withColumn("pairs", (F.col("k") * F.col("k") - F.col("k2") - F.col("h") * F.col("h") + F.col("h2")) / 2).where("pairs > 0")
@@ -312,7 +313,7 @@ def _links(postings: DataFrame, maps: DataFrame, sets: Callable[[DataFrame], Dat
         if not pairs:
             break
         postings = materialize(named.join(each.drop("k", "pairs"), "sig").select("sig", "node", "n", "r", "heavy", "comp", "hub", "m", "q", "comp2"), "postings")
-        if turn < rounds and more and pairs > 2 * rows:
+        if turn < rounds and (more or turn < 2) and pairs > 2 * rows:
             star = postings.where((F.col("comp") != F.col("comp2")) & _close(percent))
             more = add(star.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct())
             # the hub was held against all others there
