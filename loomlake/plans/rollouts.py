@@ -43,9 +43,9 @@ def _(spark, sf):
     return R.grpo(rows(spark, sf)).select("row_id", F.round("advantage", 4).alias("advantage"))
 
 
-@query("w10_rloo", f"select row_id, round(score - (cast(sum(cast(score as decimal(38,12))) over g as double) - score) / (count(*) over g - 1), 4) as advantage from ({E}) window g as (partition by uid) qualify count(*) over g > 1")
+@query("w10_rloo", f"select row_id, round(score - (cast(sum(cast(score as decimal(38,12))) over g as double) - score) / (count(*) over g - 1), 9) as advantage from ({E}) window g as (partition by uid) qualify count(*) over g > 1")
 def _(spark, sf):
-    return R.rloo(rows(spark, sf)).select("row_id", F.round("advantage", 4).alias("advantage"))
+    return R.rloo(rows(spark, sf)).select("row_id", F.round("advantage", 9).alias("advantage"))
 
 
 @query("w11_remax", f"with b as (select uid, max(score) as baseline from ({E}) where event_type = 'view' group by uid) select row_id, round(score - baseline, 6) as advantage from ({E}) join b using (uid) where event_type <> 'view'")
