@@ -75,7 +75,7 @@ def _affirmed(t: Column, pattern: str) -> Column:
 def claimed_classes(text: Column) -> Column:
     """Classes that an observation attributes to its subject, but not where one of no, not, without, isn't or aren't stands in the 25 characters before."""
     t = F.lower(text)
-    return F.array_compact(F.array(*[F.when(_affirmed(t, SUBJECT + r"[^.!?]{0,100}?" + ATTRIBUTES + _words(c) + r"s?\b"), F.lit(c)) for c in CLAIM_WORDS]))
+    return F.array_compact(F.array(*[F.when(t.rlike(_words(c)) & _affirmed(t, SUBJECT + r"[^.!?]{0,100}?" + ATTRIBUTES + _words(c) + r"s?\b"), F.lit(c)) for c in CLAIM_WORDS]))
 
 
 def claims_another(text: Column, target: Column) -> Column:
