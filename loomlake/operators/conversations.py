@@ -155,3 +155,9 @@ def tool_calls(text: Column) -> Column:
     lines = F.when(F.forall(inputs, lambda x: F.try_parse_json(x).isNotNull()), F.zip_with(names, inputs, pair)).otherwise(none)
     json = F.when(F.forall(tagged, lambda x: F.get_json_object(x, "$.name").isNotNull()), F.transform(tagged, lambda x: pair(F.get_json_object(x, "$.name"), F.get_json_object(x, "$.arguments")))).otherwise(none)
     return F.when(F.size(tagged) > 0, json).otherwise(lines)
+
+
+def first_nonempty(df: DataFrame, *names: str) -> Column:
+    """The first of the columns that is neither null nor an empty text or array; null if there is none."""
+    some = lambda n: F.size(F.col(f"`{n}`")) > 0 if df.schema[n].dataType.typeName() == "array" else F.col(f"`{n}`").cast("string") != ""
+    return F.coalesce(*[F.when(some(n), F.col(f"`{n}`")) for n in names])

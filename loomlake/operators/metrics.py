@@ -186,3 +186,26 @@ def completeness(results: DataFrame, expected: int, bad: Column, degraded: Colum
     s = results.agg(F.count("*").alias("rows"), F.count_if(degraded | bad).alias("failed"))
     status = F.when(F.col("rows") < expected, "INVALID").when(F.col("failed") > 0, "DEGRADED").otherwise("VALID")
     return s.select("rows", F.lit(expected).alias("expected"), "failed", status.alias("status"))
+
+
+#: What a detection score near zero most likely comes from.
+CAUSES = ["no_parsed_predictions", "most_images_without_predictions", "boxes_elsewhere", "class_names_wrong", "training_or_prompt"]
+
+
+def diagnose(images: DataFrame, preds: DataFrame, truths: DataFrame, pairs: DataFrame, image: str = "image_id") -> DataFrame:
+    """One row on why a detection score is near zero: totals, means of each prediction's best IoU, and likely causes.
+
+    ``images`` has one row an image, ``preds`` (image, pred), ``truths`` (image, gt), and ``pairs`` (image, pred, iou,
+    same_class) the overlapping pairs of any class. A prediction without a pair counts as 0; without predictions both means are 0.
+    """
+    best = pairs.groupBy(image, "pred").agg(F.max("iou").alias("any"), F.max(F.when(F.col("same_class"), F.col("iou"))).alias("same"))
+    held = preds.select(image, "pred").join(best, [image, "pred"], "left").agg(
+        F.count(F.lit(1)).alias("pred_total"), F.coalesce(F.avg(F.coalesce("any", F.lit(0.0))), F.lit(0.0)).alias("mean_best_iou_any_class"), F.coalesce(F.avg(F.coalesce("same", F.lit(0.0))), F.lit(0.0)).alias("mean_best_iou_same_class")
+    )
+    rows = images.join(preds.select(image).distinct().withColumn("__p", F.lit(1)), image, "left").agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col("__p").isNull()).alias("rows_no_predictions"))
+    out = rows.crossJoin(held).crossJoin(truths.agg(F.count(F.lit(1)).alias("gt_total")))  # one row each
+    anyc, same = F.col("mean_best_iou_any_class"), F.col("mean_best_iou_same_class")
+    told = [F.col("pred_total") == 0, F.col("rows_no_predictions") * 2 > F.greatest("rows", F.lit(1)), (anyc < 0.1) & (F.col("pred_total") > 0), (anyc > 0.3) & (same < 0.1)]
+    causes = F.array_compact(F.array(*[F.when(c, F.lit(n)) for c, n in zip(told, CAUSES)]))
+    rest = (F.size(causes) == 0) & (F.col("gt_total") > 0) & (F.col("pred_total") > 0)
+    return out.withColumn("causes", F.when(rest, F.array(F.lit(CAUSES[4]))).otherwise(causes))

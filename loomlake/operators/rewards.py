@@ -96,3 +96,62 @@ def class_box_reward(df: DataFrame, response: str, cls: Column, truth: list[Colu
     df = df.withColumn("iou", F.when(F.size("__j.bbox") == 4, iou(b, truth)).otherwise(F.lit(0.0)))
     rest = max(0.0, 1 - format_weight - class_weight)
     return df.withColumn("overall", format_weight * F.col("format") + class_weight * F.col("class_score") + rest * F.col("iou")).drop("__j")
+
+
+def box_in_tags(text: Column) -> Column:
+    """Four numbers between box tags, after the first </think> if there is one, as an array; null otherwise."""
+    tail = F.when(text.rlike("(?i)</think>"), F.regexp_extract(text, r"(?is)^.*?</think>(.*)$", 1)).otherwise(text)
+    parts = F.transform(F.split(F.regexp_extract(tail, r"<\|box_start\|>\s*(.*?)\s*<\|box_end\|>", 1), ","), lambda v: F.trim(v))
+    return F.when((F.size(parts) == 4) & F.forall(parts, lambda v: v.rlike(f"^{NUMBER}$")), F.transform(parts, lambda v: v.cast("double")))
+
+
+def box_tag_accuracy(df: DataFrame, response: str, truth: list[Column], k: float = 2.5) -> DataFrame:
+    """Adds iou and accuracy of a box between tags: exp(k * iou - 1) / (e^k - 1), at most 1; both 0 without four numbers.
+
+    Corners of both boxes are put in order and clipped to 0..1. A null response counts as one without a box.
+    """
+    unit = lambda v: F.least(F.lit(1.0), F.greatest(F.lit(0.0), v))
+    ordered = lambda b: [unit(F.least(b[0], b[2])), unit(F.least(b[1], b[3])), unit(F.greatest(b[0], b[2])), unit(F.greatest(b[1], b[3]))]
+    df = df.withColumn("__b", box_in_tags(F.col(response)))
+    some = F.col("__b").isNotNull()
+    df = df.withColumn("iou", F.when(some, iou(ordered([F.get("__b", i) for i in range(4)]), ordered(truth))).otherwise(F.lit(0.0)))
+    shaped = F.least(F.lit(1.0), F.exp(F.col("iou") * k - 1) / math.expm1(k))
+    return df.withColumn("accuracy", F.when(some, shaped).otherwise(F.lit(0.0))).drop("__b")
+
+
+# Fixed values of the final-answer convention: replacements, then removals, each in this order.
+REPLACED = [("an ", ""), ("a ", ""), (".$", "$"), ("\\$", ""), ("\\ ", ""), (" ", ""), ("mbox", "text"), (",\\text{and}", ","), ("\\text{and}", ","), ("\\text{m}", "\\text{}")]
+REMOVED = [
+    "square", "ways", "integers", "dollars", "mph", "inches", "hours", "km", "units", "\\ldots", "sue", "points", "feet", "minutes", "digits", "cents", "degrees", "cm", "gm", "pounds", "meters", "meals", "edges",
+    "students", "childrentickets", "multiples", "\\text{s}", "\\text{.}", "\\text{\ns}", "\\text{}^2", "\\text{}^3", "\\text{\n}", "\\text{}", "\\mathrm{th}", "^\\circ", "^{\\circ}", "\\;", ",\\!", "{,}", '"', "\\dots",
+]
+# Fixed patterns of the same convention: math between dollars, wrappers, shorthand of fractions and roots.
+REWRITTEN = [(r"(.*?)\$(.*?)\$(.*)", r"\$$2\$"), (r"\\text\{(.*?)\}", "$1"), (r"\\textbf\{(.*?)\}", "$1"), (r"\\overline\{(.*?)\}", "$1"), (r"\\boxed\{(.*)\}", "$1"), (r"frac([^{])(.)", "frac{$1}{$2}"), (r"sqrt([^{])", "sqrt{$1}")]
+
+
+def normal_answer(text: Column) -> Column:
+    """What follows the last equals sign, without units, fillers, spaces and TeX wrappers; no commas in plain whole numbers."""
+    out = F.substring_index(text, "=", -1)
+    for old, new in [*REPLACED, *((r, "") for r in REMOVED)]:
+        out = F.replace(out, F.lit(old), F.lit(new))
+    for pattern, new in REWRITTEN:
+        out = F.regexp_replace(out, f"(?d){pattern}", new)
+    out = F.replace(out, F.lit("$"), F.lit(""))
+    out = F.when(out.rlike(r"^,*\d[\d,]*$"), F.replace(out, F.lit(","), F.lit(""))).otherwise(out)
+    return F.regexp_replace(out, r"^\s+|\s+$", "")
+
+
+def answer_reward(df: DataFrame, response: str, truth: str, length: str, most: int, buffer: int, factor: float) -> DataFrame:
+    """Adds accuracy (1 or -1), overlong (0 to -1), overall and accuracy_normalized (1 or 0).
+
+    The answer is the rest of the line after the last "Answer:" in the last 300 characters. Responses of more than
+    ``most - buffer`` tokens lose in proportion, of more than ``most`` fully. Without an answer, or with a null
+    response or truth, accuracy is -1.
+    """
+    found = F.regexp_extract_all(F.right(F.col(response), F.lit(300)), F.lit(r"(?i)Answer\s*:\s*([^\n]+)"), F.lit(1))
+    answer = F.coalesce(F.get(found, F.size(found) - 1), F.lit("[INVALID]"))
+    free = most - buffer
+    n = F.col(length)
+    overlong = F.when(n <= free, F.lit(0.0)).when(n <= most, (F.lit(free) - n) / F.lit(buffer)).otherwise(F.lit(-1.0))
+    df = df.withColumn("accuracy", F.when(normal_answer(answer) == normal_answer(F.col(truth)), 1.0).otherwise(-1.0)).withColumn("overlong", overlong)
+    return df.withColumn("overall", F.col("accuracy") + F.col("overlong") * factor).withColumn("accuracy_normalized", (F.col("accuracy") + 1) / 2)

@@ -257,3 +257,17 @@ def _(spark, sf):
 def _(spark, sf):
     df = spark.read.parquet(f"{sf}/orders.parquet").select((F.col("o_orderkey") * 7 + F.col("o_custkey") % 3).alias("id"))
     return M.id_gaps(df, "id")
+
+
+@query("a19_diagnose", f"""with d as ({D}), b as (select p.image_id, p.object_index as pred, p.class_id = t.class_id as same, greatest(0, least(t.x2, p.px2) - greatest(t.x1, p.px1)) * greatest(0, least(t.y2, p.py2) - greatest(t.y1, p.py1)) as i,
+ (t.x2-t.x1)*(t.y2-t.y1) + (p.px2-p.px1)*(p.py2-p.py1) as s from d p join d t on p.image_id = t.image_id where p.found),
+ e as (select image_id, pred, max(i / (s - i)) as a, max(case when same then i / (s - i) else 0 end) as c from b group by all)
+ select (select count(distinct image_id) from d) as rows, (select count(*) from (select image_id from d group by all having not bool_or(found))) as rows_no_predictions, (select count(*) from e) as pred_total,
+ (select count(*) from d) as gt_total, round(avg(a), 6) as mean_best_iou_any_class, round(avg(c), 6) as mean_best_iou_same_class, 'training_or_prompt' as causes from e""")
+def _(spark, sf):
+    d = detections(spark, sf)
+    p = d.where("found").select("image_id", F.col("object_index").alias("pred"), F.col("class_id").alias("told"), *PBOX)
+    t = d.select("image_id", "class_id", *BOX)
+    both = p.join(t, "image_id").withColumn("iou", G.iou([F.col(c) for c in BOX], [F.col(c) for c in PBOX])).where("iou > 0").withColumn("same_class", F.col("told") == F.col("class_id"))
+    out = M.diagnose(d.select("image_id").distinct(), p, t, both)
+    return out.select("rows", "rows_no_predictions", "pred_total", "gt_total", *[F.round(c, 6).alias(c) for c in ("mean_best_iou_any_class", "mean_best_iou_same_class")], F.concat_ws(",", "causes").alias("causes"))

@@ -361,3 +361,63 @@ def _(spark, sf):
     a = F.when(k % 2 == 0, "<think>a\nb</think>\n <answer>c</answer>").otherwise("x<think>a</think><answer>c</answer>")
     b = F.when(k % 3 == 0, "<think>a</think> \\boxed{1} end").otherwise("\\boxed{1}")
     return documents(spark, sf).select("doc_id", R.format_flag(a, "answer").alias("answer"), R.format_flag(b, "boxed").alias("boxed"))
+
+
+def _nested(sql: str, steps, form: str) -> str:
+    """``form`` (with {x}, {old}, {new}) around ``sql`` once for each step."""
+    for old, new in steps:
+        q = lambda v: "'" + v.replace("'", "''") + "'"
+        sql = form.replace("{x}", sql).replace("{old}", q(old)).replace("{new}", q(new))
+    return sql
+
+
+# answers in many notations and the truth in one; chr(92) is a backslash in either engine
+_SAID = """case p_partkey % 7 when 0 then concat('$', chr(92), 'boxed{', p_size, '}$ feet') when 1 then concat('x = ', chr(92), 'frac', p_size % 9 + 1, p_partkey % 5 + 1) when 2 then concat('1,', 100 + p_size, ' dollars')
+ when 3 then concat(chr(92), 'text{', p_name, '}.$') when 4 then concat('a ', p_name, ' in ', p_size, ' square km') when 5 then concat(chr(92), 'sqrt', p_size, '^', chr(92), 'circ') else concat('"', p_type, '"  or an ', p_brand) end"""
+_TRUE = """case p_partkey % 7 when 0 then concat(p_size, '') when 1 then concat(chr(92), 'frac{', p_size % 9 + 1, '}{', p_partkey % 4 + 1, '}') when 2 then concat('1', 100 + p_size, '')
+ when 3 then p_name when 4 then concat(p_name, 'in', p_size) when 5 then concat(chr(92), 'sqrt{', p_size % 10, '}') else concat(p_type, 'or', p_brand) end"""
+
+
+def _normal(sql: str) -> str:
+    out = _nested(f"string_split({sql}, '=')[-1]", [*R.REPLACED, *((r, "") for r in R.REMOVED)], "replace({x}, {old}, {new})")
+    wrappers = [(r"(.*?)(\$)(.*?)(\$)(.*)", r"$\3$"), *((rf"(\\{w}\{{)(.*?)(\}})", r"\2") for w in ("text", "textbf", "overline")), (r"(\\boxed\{)(.*)(\})", r"\2"), (r"(frac)([^{])(.)", r"frac{\2}{\3}"), (r"(sqrt)([^{])", r"sqrt{\2}")]
+    return f"replace({_nested(out, wrappers, "regexp_replace({x}, {old}, {new}, 'g')")}, '$', '')"
+
+
+@query("r7_answer_reward", f"""with p as (select p_partkey, p_size * 10 as n, case when p_partkey % 11 > 0 then {_normal(_SAID)} else '[INVALID]' end as said, {_normal(_TRUE)} as truth from part),
+ t as (select *, trim(case when regexp_full_match(replace(said, ',', ''), '[0-9]+') then replace(said, ',', '') else said end) as a, trim(case when regexp_full_match(replace(truth, ',', ''), '[0-9]+') then replace(truth, ',', '') else truth end) as b from p),
+ s as (select p_partkey, case when a = b then 1.0 else -1.0 end as accuracy, case when n <= 300 then 0.0 when n <= 400 then (300 - n) / 100.0 else -1.0 end as overlong from t)
+ select p_partkey, accuracy, round(overlong, 6) as overlong, round(accuracy + 0.5 * overlong, 6) as overall, (accuracy + 1) / 2 as accuracy_normalized from s""")
+def _(spark, sf):
+    said = F.concat(F.lit("Answer: 0 at first\nanswer : "), F.expr(_SAID), F.lit("\nend"))
+    df = spark.read.parquet(f"{sf}/part.parquet").select("p_partkey", (F.col("p_size") * 10).alias("n"), F.when(F.col("p_partkey") % 11 > 0, said).otherwise("no more").alias("response"), F.expr(_TRUE).alias("truth"))
+    return R.answer_reward(df, "response", "truth", "n", 400, 100, 0.5).select("p_partkey", "accuracy", F.round("overlong", 6).alias("overlong"), F.round("overall", 6).alias("overall"), "accuracy_normalized")
+
+
+@query("r5_box_tag_accuracy", """with p as (select p_partkey, p_partkey % 4 as k, 0.3 + (p_size % 5) / 10.0 as x2 from part),
+ i as (select *, (least(x2, 0.5) - 0.1) * 0.4 / ((x2 - 0.1) * 0.4 + 0.16 - (least(x2, 0.5) - 0.1) * 0.4) as iou from p)
+ select p_partkey, round(case when k < 2 then iou else 0 end, 6) as iou, round(case when k < 2 then least(1, exp(2.5 * iou - 1) / (exp(2.5) - 1)) else 0 end, 6) as accuracy from i""")
+def _(spark, sf):
+    k, x2 = F.col("p_partkey") % 4, F.format_string("%.1f", F.lit(0.3) + F.col("p_size") % 5 / 10)
+    box = lambda *v: F.concat(F.lit("<|box_start|> "), F.concat_ws(", ", *v), F.lit(" <|box_end|>"))
+    n = {v: F.lit(v) for v in ("0.1", "0.2", "0.6", "nan")}
+    some = F.when(k == 0, box(n["0.1"], n["0.2"], x2, n["0.6"])).when(k == 1, box(x2, n["0.6"], n["0.1"], n["0.2"])).when(k == 2, box(n["0.1"], n["0.2"], x2)).otherwise(box(n["0.1"], n["0.2"], x2, n["nan"]))
+    df = spark.read.parquet(f"{sf}/part.parquet").select("p_partkey", F.concat(F.lit("<think>"), box(n["0.2"]), F.lit("</THINK> at "), some).alias("response"))
+    return R.box_tag_accuracy(df, "response", [F.lit(v) for v in (0.1, 0.2, 0.5, 0.6)]).select("p_partkey", F.round("iou", 6).alias("iou"), F.round("accuracy", 6).alias("accuracy"))
+
+
+@query("c29_first_nonempty", "select doc_id, coalesce(nullif(case when doc_id % 3 = 0 then '' else source end, ''), nullif(nullif(lang, 'en'), ''), cast(doc_id as varchar)) as name from documents")
+def _(spark, sf):
+    df = documents(spark, sf).select("doc_id", F.when(F.col("doc_id") % 3 == 0, "").otherwise(F.col("source")).alias("a"), F.nullif("lang", F.lit("en")).alias("b"), F.col("doc_id").cast("string").alias("c"))
+    return df.select("doc_id", C.first_nonempty(df, "a", "b", "c").alias("name"))
+
+
+_NUMERAL = "case p_partkey % 3 when 0 then cast(p_size - 3 as string) when 1 then cast(cast(p_retailprice as decimal(12, 2)) as string) else concat(p_size, '.5e', p_size % 4) end"
+
+
+@query("b12_perturb_number", f"""with p as (select p_partkey, p_partkey % 3 as k, {_NUMERAL} as t, case when p_size % 2 = 0 then 1 else -1 end as s from part), v as (select *, cast(t as double) as v from p),
+ w as (select *, v + s * (case when k = 0 then greatest(round_even(case when v = 0 then 1 else abs(v) * 0.2 end, 0), 1) else abs(v) * 0.2 end) as w from v)
+ select p_partkey, t as answer, case k when 0 then cast(cast(w as bigint) as varchar) when 1 then printf('%.2f', w) else printf('%.1e', w) end as wrong from w""")
+def _(spark, sf):
+    df = spark.read.parquet(f"{sf}/part.parquet").withColumn("answer", F.expr(_NUMERAL))
+    return df.select("p_partkey", "answer", U.perturb_number(F.col("answer"), F.col("p_size") % 2 == 0).alias("wrong"))

@@ -234,3 +234,27 @@ def test_claims_need_no_negation_before(spark):
     texts = ["The object is a ship.", "There is no doubt: not the object is a ship.", "No, the target appears to be a truck or it is a harbor.", "a scene without much to see at all; then the object is a car"]
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     assert [sorted(r[0]) for r in df.select(T.claimed_classes(F.col("t"))).collect()] == [["ship"], [], [], ["small vehicle"]]
+
+
+def test_answers_and_numerals(spark):
+    from loomlake.operators import rewards, rules
+
+    told = {"x = \\frac12": "\\frac{1}{2}", "\\boxed{1,234} dollars": "1234", "1,234": "1234", "so $a b$ it": "b", "\\sqrt3": "\\sqrt{3}", "": "", "\\text{red fish}": "redfish"}
+    df = spark.createDataFrame([(k, v) for k, v in told.items()] + [(None, None)], "a string, b string")
+    assert df.where(~rewards.normal_answer(F.col("a")).eqNullSafe(F.col("b"))).count() == 0
+    rows = [("a", "Answer: 3\nAnswer: 4", "4", 10), ("b", "no", "4", 150), ("c", None, "4", 201), ("d", "Answer: 4", None, 200)]
+    out = rewards.answer_reward(spark.createDataFrame(rows, "k string, r string, t string, n int"), "r", "t", "n", 200, 100, 0.5).orderBy("k").collect()
+    assert [(r.accuracy, r.overlong, r.overall) for r in out] == [(1, 0, 1), (-1, -0.5, -1.25), (-1, -1, -1.5), (-1, -1, -1.5)]
+    wrong = {"10": "12", "0": "1", "-3": "-2", "2.50": "3.00", "1.5e3": "1.8e+03", "none": None, "": None, None: None, "0.0": "1.0"}
+    df = spark.createDataFrame(list(wrong.items()), "a string, b string")
+    assert [r for r in df.select("a", "b", rules.perturb_number(F.col("a"), F.lit(True)).alias("c")).collect() if r.b != r.c] == []
+
+
+def test_diagnose_empty_and_wrong_classes(spark):
+    images = spark.createDataFrame([(1,), (2,)], "image_id int")
+    preds = spark.createDataFrame([(1, 0), (2, 0)], "image_id int, pred int")
+    truths = spark.createDataFrame([(1, 0), (2, 0)], "image_id int, gt int")
+    both = spark.createDataFrame([(1, 0, 0.9, False), (2, 0, 0.7, False)], "image_id int, pred int, iou double, same_class boolean")
+    r = M.diagnose(images, preds, truths, both).first()
+    assert (r.rows, r.pred_total, r.gt_total, r.rows_no_predictions, r.mean_best_iou_same_class, r.causes) == (2, 2, 2, 0, 0, ["class_names_wrong"])
+    assert M.diagnose(images, preds.limit(0), truths, both.limit(0)).first().causes == ["no_parsed_predictions", "most_images_without_predictions"]
