@@ -47,21 +47,19 @@ def _words(cls: str) -> str:
     return "(?:" + "|".join(map(re.escape, CLAIM_WORDS[cls])) + ")"
 
 
-def _for_class(target: Column, rule) -> Column:
-    """``rule(class)`` for the class that ``target`` names, false for others."""
-    cases = [F.when(target == c, rule(c)) for c in CLAIM_WORDS]
-    return F.coalesce(*cases, F.lit(False))
+def _for_class(text: Column, target: Column, pattern) -> Column:
+    """Whether ``text`` matches ``pattern(words)`` for the words of the class that ``target`` names; another target stands for itself, null for none."""
+    cases = [F.when(target == c, text.rlike(pattern(_words(c)))) for c in CLAIM_WORDS]
+    head, tail = pattern("\0").split("\0", 1)  # the word may come several times
+    own = F.concat(F.lit("(?:\\Q"), F.replace(target, F.lit("\\E"), F.lit("")), F.lit("\\E)"))
+    pieces = [x for t in tail.split("\0") for x in (own, F.lit(t))]
+    return F.coalesce(*cases, F.rlike(text, F.concat(F.lit(head), *pieces)), F.lit(False))
 
 
 def denies(text: Column, target: Column) -> Column:
     """Whether an observation says that the target's class is not there."""
-    t = F.lower(text)
-
-    def rule(c: str) -> Column:
-        w = _words(c)
-        return t.rlike(rf"\bno\s+(?:such\s+|clear\s+)?{w}s?\b|\bnot\s+(?:an?\s+|the\s+)?{w}\b|\bwithout\s+(?:an?\s+|any\s+)?{w}s?\b|\b(?:does|do)\s+not\s+(?:appear|look|seem)[^.!?]{{0,35}}\b{w}\b")
-
-    return _for_class(target, rule)
+    # The patterns
+    return _for_class(F.lower(text), target, lambda w: rf"\bno\s+(?:such\s+|clear\s+)?{w}s?\b|\bnot\s+(?:an?\s+|the\s+)?{w}\b|\bwithout\s+(?:an?\s+|any\s+)?{w}s?\b|\b(?:does|do)\s+not\s+(?:appear|look|seem)[^.!?]{{0,35}}\b{w}\b")
 
 
 def _affirmed(t: Column, pattern: str) -> Column:
@@ -94,13 +92,13 @@ def scene_instead(text: Column, target: Column) -> Column:
 
 def many_instead(text: Column, target: Column) -> Column:
     """Whether several of the target's class are described instead of one."""
-    t = F.lower(text)
-    return _for_class(target, lambda c: t.rlike(rf"\b(?:multiple|numerous|several|many|rows?\s+of)\s+(?:\w+\s+){{0,2}}{_words(c)}s?\b"))
+    return _for_class(F.lower(text), target, lambda w: rf"\b(?:multiple|numerous|several|many|rows?\s+of)\s+(?:\w+\s+){{0,2}}{w}s?\b")
 
 
 def unsafe_question(q: Column) -> Column:
     """Why a question about coordinates leads the answer, or null."""
     t = F.regexp_replace(F.lower(F.coalesce(q, F.lit(""))), r"\s+", " ")
+    # The patterns
     corner = t.rlike(r"\b(top[- ]left|top[- ]right|bottom[- ]left|bottom[- ]right) corner\b") & ~t.rlike(r"four corners|all four|complete.*(?:obb|box)")
     return F.when(corner, "partial_corner_coordinate_question").when(t.rlike(r"\bare (?:the )?(?:four )?corners?.*\d"), "proposed_coordinates_for_confirmation").when(t.rlike(r"orientation angle.*degrees"), "numeric_angle_instead_of_direct_visual_geometry")
 
@@ -153,8 +151,8 @@ def _sequence_ratio(a: Column, b: Column) -> Column:
     return ratio(a, b)
 
 
-def similar_questions(df: DataFrame, trace: str, order: str, question: str, threshold: float) -> DataFrame:
-    """(trace, left, right, similarity): for each question the first earlier one of its trace that is similar enough.
+def similar_questions(df: DataFrame, trace: str, order: str, question: str, threshold: float, best: bool = False) -> DataFrame:
+    """(trace, left, right, similarity): for each question the first earlier one of its trace that is similar enough, with ``best`` all of them.
 
     Similarity is the larger of the Jaccard index of the words without stop words and the sequence ratio of
     these words' text; a question without such words is like none. Traces are short lists of turns, so pairs
@@ -166,7 +164,8 @@ def similar_questions(df: DataFrame, trace: str, order: str, question: str, thre
     both = one.join(two, trace).where("left < right").withColumn("j", F.size(F.array_intersect("w", "v")) / F.size(F.array_union("w", "v")))
     sure = both.where(F.col("j") >= threshold).select(trace, "left", "right")
     rest = both.where(F.col("j") < threshold).withColumn("s", _sequence_ratio(F.array_join("v", " "), F.array_join("w", " "))).where(F.col("s") >= threshold).select(trace, "left", "right")
-    first = sure.unionByName(rest).groupBy(trace, "right").agg(F.min("left").alias("left"))
+    found = sure.unionByName(rest)
+    first = found if best else found.groupBy(trace, "right").agg(F.min("left").alias("left"))
     told = both.join(first, [trace, "left", "right"]).withColumn("s", _sequence_ratio(F.array_join("v", " "), F.array_join("w", " ")))
     return told.select(trace, "left", "right", F.greatest("j", "s").alias("similarity"))
 

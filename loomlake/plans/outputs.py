@@ -101,7 +101,7 @@ def _(spark, sf):
 _SAID = "concat(case p_size % 4 when 0 then 'What kind of object is the ' when 1 then 'Name the CATEGORY of the ' else 'How long is the ' end, p_name, ' by the ', lower(p_type), '?')"
 
 
-@query("f7_leading_question", rf"select p_partkey, regexp_matches({_SAID}, '\b(?:class|category|label|what (?:kind|type) of object)\b', 'i') or regexp_matches({_SAID}, '\b(?:ring|bolt|small)s?\b', 'i') as leading from part")
+@query("f7_leading_question", rf"select p_partkey, regexp_matches({_SAID}, '\b(?:class|category|label)\b', 'i') or regexp_matches({_SAID}, '\b(?:ring|bolt|small)s?\b', 'i') as leading from part")
 def _(spark, sf):
     """Questions about parts, with some names as class names."""
     return spark.read.parquet(f"{sf}/part.parquet").select("p_partkey", U.leading_question(F.expr(_SAID), ["ring", "bolt", "small"]).alias("leading"))
@@ -110,5 +110,5 @@ def _(spark, sf):
 @query("f11_usable_evidence", r"select conv_id, turn, length(trim(text)) >= 20 and turn % 5 <> 4 as usable from conversations")
 def _(spark, sf):
     """Turns as observations; every fifth one ends in a service's error."""
-    said = F.concat("text", F.when(F.col("turn") % 5 == 4, " API error").otherwise(""))
+    said = F.concat("text", F.when(F.col("turn") % 5 == 4, " APIConnectionError: refused").otherwise(""))
     return spark.read.parquet(f"{sf}/conversations.parquet").select("conv_id", "turn", U.usable_evidence(said).alias("usable"))
