@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from loomlake.operators.windows import global_rank
@@ -209,3 +210,63 @@ def diagnose(images: DataFrame, preds: DataFrame, truths: DataFrame, pairs: Data
     causes = F.array_compact(F.array(*[F.when(c, F.lit(n)) for c, n in zip(told, CAUSES)]))
     rest = (F.size(causes) == 0) & (F.col("gt_total") > 0) & (F.col("pred_total") > 0)
     return out.withColumn("causes", F.when(rest, F.array(F.lit(CAUSES[4]))).otherwise(causes))
+
+
+def _common_length(a: list, b: list) -> int:
+    """Length of the longest common subsequence: a row of bits for the shorter list, one step for each item of the longer."""
+    if len(a) > len(b):
+        a, b = b, a
+    places: dict = {}
+    for i, t in enumerate(a):
+        places[t] = places.get(t, 0) | 1 << i
+    full = (1 << len(a)) - 1
+    row = full
+    for t in b:
+        hit = row & places.get(t, 0)
+        row = (row + hit | row - hit) & full
+    return len(a) - row.bit_count()
+
+
+def text_overlap(df: DataFrame, key: list[str], pred: str, label: str) -> DataFrame:
+    """(key, rouge_1, rouge_2, rouge_l, bleu_4) in percent, four decimals, of each prediction against its label.
+
+    ROUGE-N is the F1 of clipped n-gram counts of words (between white space), ROUGE-L that of the longest common subsequence of
+    words; 0 where either has none. BLEU-4 is over characters, with brevity penalty, and the orders without a match smoothed: the
+    k-th of them counts 1 / (2^k n-grams). N-grams are counted on both sides by one shuffle on (key, n-gram), summed
+    before it; so a long text is no large group. ``key`` is unique; null texts are empty.
+    """
+    text = lambda c: F.coalesce(F.col(c), F.lit(""))
+    chars = lambda c: F.regexp_extract_all(text(c), F.lit("(?s)."), F.lit(0))
+    words = lambda c: F.regexp_extract_all(text(c), F.lit(r"\S+"), F.lit(0))
+    base = df.select(*key, *[f(c).alias(n) for f, k in ((chars, "c"), (words, "w")) for c, n in ((pred, f"__{k}p"), (label, f"__{k}l"))])
+
+    def grams(kind: str, side: str, n: int) -> Column:
+        tokens = F.col(f"__{kind}{side}")
+        every = F.when(F.size(tokens) >= n, F.transform(F.sequence(F.lit(1), F.size(tokens) - n + 1), lambda i: F.array_join(F.slice(tokens, i, n), "\x01"))).otherwise(F.array().cast("array<string>"))
+        return F.transform(every, lambda g: F.struct(F.lit(f"{kind}{n}").alias("kind"), g.alias("gram"), F.lit(int(side == "p")).alias("p")))
+
+    rows = base.select(*key, F.explode(F.concat(*[grams(k, s, n) for k, top in (("c", 4), ("w", 2)) for n in range(1, top + 1) for s in "pl"])).alias("g")).select(*key, "g.*")
+    counts = rows.groupBy(*key, "kind", "gram").agg(F.sum("p").alias("p"), F.sum(1 - F.col("p")).alias("l"))
+    kinds = ["c1", "c2", "c3", "c4", "w1", "w2"]
+    of = lambda k, v: F.coalesce(F.sum(F.when(F.col("kind") == k, v)), F.lit(0))
+    sums = counts.groupBy(*key).agg(*[x for k in kinds for x in (of(k, F.least("p", "l")).alias(f"m{k}"), of(k, F.col("p")).alias(f"p{k}"), of(k, F.col("l")).alias(f"l{k}"))])
+
+    @F.pandas_udf("long")
+    def common(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([_common_length(list(x), list(y)) for x, y in zip(a, b)], dtype="int64")
+
+    long = base.select(*key, F.size("__wp").alias("np"), F.size("__wl").alias("nl"), common("__wp", "__wl").alias("lcs"))
+    out = long.join(sums, key, "left").na.fill(0)
+
+    def f1(m: Column, p: Column, l: Column) -> Column:  # noqa: E741
+        a, b = m / p, m / l
+        return F.when((p > 0) & (l > 0), 2 * a * b / (a + b + 1e-8)).otherwise(F.lit(0.0))
+
+    logs, empty = F.lit(0.0), F.lit(0)
+    for n in range(1, 5):
+        m, d = F.col(f"mc{n}"), F.greatest(F.lit(1), F.col("pc1") - (n - 1))
+        empty = empty + (m == 0).cast("int")
+        logs = logs + 0.25 * F.log(F.when(m > 0, m / d).otherwise(1 / (F.pow(F.lit(2.0), empty) * d)))
+    bleu = F.when(F.col("mc1") == 0, 0.0).otherwise(F.when(F.col("pc1") > F.col("lc1"), 1.0).otherwise(F.exp(1 - F.col("lc1") / F.col("pc1"))) * F.exp(logs))
+    score = lambda v, name: F.round(v * 100, 4).alias(name)
+    return out.select(*key, score(f1(F.col("mw1"), F.col("pw1"), F.col("lw1")), "rouge_1"), score(f1(F.col("mw2"), F.col("pw2"), F.col("lw2")), "rouge_2"), score(f1(F.col("lcs"), F.col("np"), F.col("nl")), "rouge_l"), score(bleu, "bleu_4"))
