@@ -202,20 +202,33 @@ def with_obb_iou(df: DataFrame, a: str, b: str, out: str = "iou") -> DataFrame:
     return df.drop(*[c for c in df.columns if c.startswith("__")])
 
 
-def split_rois(df: DataFrame, keys: list[str], max_objects: int, x: str = "cx", y: str = "cy", order: str = "object_index") -> DataFrame:
-    """Adds ``roi``: groups of at most ``max_objects`` rows by median cuts of the longer extent.
+def split_rois(df: DataFrame, keys: list[str], max_objects: int, width: Column | float = 1000.0, height: Column | float = 1000.0, x: str = "cx", y: str = "cy", order: str = "object_index", inseparable: str = "fail") -> DataFrame:
+    """Adds ``roi`` and its box rx1, ry1, rx2, ry2: groups of at most ``max_objects`` rows, in disjoint regions of the image.
 
-    Each level halves every node that is too large, with one window per level, as often as the largest group
-    needs; rows that share a place on both axes are told apart by ``order``, so every node can be cut.
-    Groups are disjoint and complete by construction.
+    A group that is too large is cut between its two middle centres on the axis of larger extent, or, if these two are
+    equal there, on the other one; each level cuts every such node, with windows over the node, as often as the largest group needs.
+    Where neither axis can tell the two middle rows apart, the job fails, or with ``inseparable="keep"`` the group stays as it is.
     """
+    size = lambda v: v if isinstance(v, Column) else F.lit(float(v))
     largest = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
-    levels = max(0, (-(-largest // max_objects) - 1).bit_length())
-    df = df.withColumn("roi", F.lit(1).cast("long"))
+    levels = max(0, (-(-largest // max(1, max_objects)) - 1).bit_length())
+    df = df.withColumns({"roi": F.lit(1).cast("long"), "rx1": F.lit(0.0), "ry1": F.lit(0.0), "rx2": size(width).cast("double"), "ry2": size(height).cast("double")})
     for _ in range(levels):
         node = W.partitionBy(*keys, "roi")
-        wide = F.max(x).over(node) - F.min(x).over(node) >= F.max(y).over(node) - F.min(y).over(node)
-        df = df.withColumn("__n", F.count(F.lit(1)).over(node)).withColumn("__v", F.when(wide, F.col(x)).otherwise(F.col(y)))
-        rank = F.row_number().over(node.orderBy("__v", order))
-        df = df.withColumn("roi", F.when(F.col("__n") > max_objects, F.col("roi") * 2 + (rank > F.floor(F.col("__n") / 2)).cast("long")).otherwise(F.col("roi"))).drop("__n", "__v")
+        df = df.withColumns({"__n": F.count(F.lit(1)).over(node), "__rx": F.row_number().over(node.orderBy(x, order)), "__ry": F.row_number().over(node.orderBy(y, order)), "__wide": F.max(x).over(node) - F.min(x).over(node) >= F.max(y).over(node) - F.min(y).over(node)})
+        middle = F.floor(F.col("__n") / 2)
+        edge = {f"__{k}{a}": f(F.when((F.col(f"__r{a}") <= middle) == low, F.col(c))).over(node).cast("double") for a, c in (("x", x), ("y", y)) for k, f, low in (("l", F.max, True), ("h", F.min, False))}
+        df = df.withColumns(edge)
+        fits = lambda a: F.col(f"__l{a}") < F.col(f"__h{a}")
+        large = F.col("__n") > max_objects
+        along = F.when(F.col("__wide") & fits("x"), "x").when(fits("y"), "y").when(fits("x"), "x")
+        if inseparable == "fail":
+            along = F.coalesce(along, F.when(large, F.raise_error(F.lit("too many objects share a centre: no disjoint regions"))))
+        df = df.withColumn("__a", F.when(large, along))
+        cut = lambda a: (F.col(f"__l{a}") + F.col(f"__h{a}")) / 2
+        right = F.when(F.col("__a") == "x", F.col("__rx") > middle).otherwise(F.col("__ry") > middle)
+        df = df.withColumn("__r", F.when(F.col("__a").isNotNull(), right))
+        move = lambda a, side: F.when((F.col("__a") == a) & (F.col("__r") == side), cut(a))
+        df = df.withColumns({"rx1": F.coalesce(move("x", True), "rx1"), "ry1": F.coalesce(move("y", True), "ry1"), "rx2": F.coalesce(move("x", False), "rx2"), "ry2": F.coalesce(move("y", False), "ry2"), "roi": F.when(F.col("__r").isNotNull(), F.col("roi") * 2 + F.col("__r").cast("long")).otherwise(F.col("roi"))})
+        df = df.drop(*[c for c in df.columns if c.startswith("__")])
     return df

@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from loomlake.operators.windows import global_rank
+from loomlake.session import materialize
 
 
 
@@ -73,14 +74,18 @@ def localisation(df: DataFrame, iou: str, group: str, thresholds: list[float]) -
     return x.groupBy(group, "threshold").agg(F.count("*").alias("n"), F.avg(iou).alias("mean_iou"), F.avg((F.col(iou) >= F.col("threshold")).cast("double")).alias("accuracy"))
 
 
-def greedy_match(pairs: DataFrame, keys: list[str]) -> DataFrame:
-    """Predictions by falling confidence take their best free ground truth: rows (keys, pred, gt, iou).
+def greedy_match(pairs: DataFrame, keys: list[str], thresholds: list[float] | None = None) -> DataFrame:
+    """Predictions by falling confidence take their best free ground truth: rows (keys, pred, gt, iou), or with ``thresholds``
+    (keys, threshold, pred, gt, iou), where each threshold has a matching of its own among the pairs that reach it.
 
     ``pairs`` holds the candidate pairs (keys, pred, confidence, gt, iou). Groups are those of one image and
-    class, so the sorted pairs of a group are a small array that one ``aggregate`` goes through.
+    class, so the sorted pairs of a group are a small array that one ``aggregate`` goes through; they are shuffled once for all thresholds.
     """
     order = F.array_sort(F.collect_list(F.struct((-F.col("confidence")).alias("c"), "pred", (-F.col("iou")).alias("i"), "gt")))
     g = pairs.groupBy(*keys).agg(order.alias("x"))
+    if thresholds is not None:
+        g = g.withColumn("threshold", F.explode(F.array(*map(F.lit, thresholds)))).withColumn("x", F.filter("x", lambda p: -p["i"] >= F.col("threshold"))).where(F.size("x") > 0)
+        keys = [*keys, "threshold"]
     first = F.struct(F.array().cast("array<bigint>").alias("p"), F.array().cast("array<bigint>").alias("g"), F.array().cast("array<double>").alias("i"))
 
     def step(a: Column, x: Column) -> Column:
@@ -91,10 +96,10 @@ def greedy_match(pairs: DataFrame, keys: list[str]) -> DataFrame:
     return m.select(*keys, F.explode(F.arrays_zip(F.col("m.p").alias("pred"), F.col("m.g").alias("gt"), F.col("m.i").alias("iou"))).alias("z")).select(*keys, "z.*")
 
 
-def average_precision(preds: DataFrame, truths: DataFrame, matches: DataFrame, keys: list[str], cls: str) -> DataFrame:
+def average_precision(preds: DataFrame, truths: DataFrame, matches: DataFrame, keys: list[str], cls: str, thresholds: list[float] | None = None) -> DataFrame:
     """(class, threshold, ap): AP over 101 recall points. ``preds``: (keys, pred, confidence), ``matches``: (keys, threshold, pred).
 
-    Classes with ground truths only; one without a match at a threshold has AP 0. Predictions are ranked once over the
+    Classes with ground truths only; one without a match at a threshold has AP 0. ``thresholds``: all that there are, if some may be without any match. Predictions are ranked once over the
     whole table by range partitions, and matches once more, so no class meets in one task; what is left
     for windows are 101 recall points for each class and threshold.
     """
@@ -111,15 +116,18 @@ def average_precision(preds: DataFrame, truths: DataFrame, matches: DataFrame, k
     env = best.withColumn("precision", F.max("precision").over(w.orderBy(F.col("r").desc()).rowsBetween(W.unboundedPreceding, 0)))
     env = env.withColumn("before", F.coalesce(F.lag("r").over(w.orderBy("r")), F.lit(-1)))
     ap = env.groupBy(cls, "threshold").agg((F.sum((F.col("r") - F.col("before")) * F.col("precision")) / 101).alias("ap"))
-    every = total.select(cls).crossJoin(F.broadcast(matches.select("threshold").distinct()))
+    if thresholds is None:
+        every = total.select(cls).join(F.broadcast(matches.select("threshold").distinct()), how="cross")
+    else:
+        every = total.select(cls, F.explode(F.array(*map(F.lit, thresholds))).alias("threshold"))
     return every.join(ap, [cls, "threshold"], "left").select(cls, "threshold", F.coalesce("ap", F.lit(0.0)).alias("ap"))
 
 
 def detection_ap(pairs: DataFrame, preds: DataFrame, truths: DataFrame, keys: list[str], cls: str, thresholds: list[float]) -> DataFrame:
     """(class, threshold, ap) with, besides each class and threshold, rows of class null: mean over classes of each
     threshold, and of threshold null: mean over thresholds. ``pairs``: (keys, pred, confidence, gt, iou)."""
-    each = pairs.where(F.col("iou") >= min(thresholds)).withColumn("threshold", F.explode(F.filter(F.array(*map(F.lit, thresholds)), lambda t: t <= F.col("iou"))))
-    ap = average_precision(preds, truths, greedy_match(each, [*keys, "threshold"]), keys, cls)
+    matches = materialize(greedy_match(pairs.where(F.col("iou") >= min(thresholds)), keys, thresholds), "matches")
+    ap = average_precision(preds, truths, matches, keys, cls, thresholds)
     return ap.cube(cls, "threshold").agg(F.avg("ap").alias("ap"))
 
 
@@ -128,16 +136,16 @@ def detection_summary(pairs: DataFrame, queries: DataFrame, query: str, threshol
 
     ``queries``: (query, n_pred, n_gt), ``pairs``: (query, pred, gt, iou). Each query's pairs are matched one to one by
     falling IoU; unmatched ground truths count with IoU 0, and ``negative_accuracy`` is the share of queries
-    without ground truths that have no predictions.
+    without ground truths that have no predictions. What has nothing to count is 0.
     """
-    some = pairs.withColumn("confidence", F.col("iou"))
-    m = greedy_match(some, [query]).withColumn("threshold", F.explode(F.array(*map(F.lit, thresholds))))
-    tp = m.groupBy("threshold").agg(F.count_if(F.col("iou") >= F.col("threshold")).alias("matches"), F.sum("iou").alias("__s"))
-    all_ = queries.agg(F.sum("n_pred").alias("__p"), F.sum("n_gt").alias("__g"), F.count_if(F.col("n_gt") == 0).alias("__neg"), F.count_if((F.col("n_gt") == 0) & (F.col("n_pred") == 0)).alias("__ok"))
-    x = tp.crossJoin(F.broadcast(all_))
+    m = greedy_match(pairs.withColumn("confidence", F.col("iou")), [query])
+    reached = F.array(*[F.count_if(F.col("iou") >= t) for t in thresholds])
+    found = m.agg(F.arrays_zip(F.array(*map(F.lit, thresholds)).alias("threshold"), reached.alias("matches")).alias("__m"), F.coalesce(F.sum("iou"), F.lit(0.0)).alias("__s"))
+    all_ = queries.agg(F.coalesce(F.sum("n_pred"), F.lit(0)).alias("__p"), F.coalesce(F.sum("n_gt"), F.lit(0)).alias("__g"), F.count_if(F.col("n_gt") == 0).alias("__neg"), F.count_if((F.col("n_gt") == 0) & (F.col("n_pred") == 0)).alias("__ok"))
+    x = found.join(all_, how="cross").select("*", F.inline("__m"))  # one row each
     share = lambda a, b: F.when(b > 0, a / b).otherwise(F.lit(0.0))
     p, r = share(F.col("matches"), F.col("__p")), share(F.col("matches"), F.col("__g"))
-    return x.select("threshold", "matches", p.alias("precision"), r.alias("recall"), share(2 * p * r, p + r).alias("f1"), share(F.col("__s"), F.col("__g")).alias("mean_iou"), F.when(F.col("__neg") > 0, F.col("__ok") / F.col("__neg")).alias("negative_accuracy"))
+    return x.select("threshold", "matches", p.alias("precision"), r.alias("recall"), share(2 * p * r, p + r).alias("f1"), share(F.col("__s"), F.col("__g")).alias("mean_iou"), share(F.col("__ok"), F.col("__neg")).alias("negative_accuracy"))
 
 
 def length_cdf(df: DataFrame, length: Column, width: int) -> DataFrame:

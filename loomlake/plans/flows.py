@@ -107,8 +107,9 @@ def _(spark, sf):
 
 @query("x2_event_health", f"select date_trunc('day', ts)::timestamp as start, event_type, count(*) as calls, count(*) filter (event_type = 'error') as errors, max(tokens) as max_tokens from ({E}) group by 1, 2")
 def _(spark, sf):
-    """The batch replay of the stream's windows."""
-    return X.event_health(frame(spark, sf, ROLLOUTS))
+    """A stream of the events; the watermark is wide, so none is late."""
+    health = X.event_health(_event_stream(spark, sf), watermark="20000 days")
+    return X.run_latest(health, ["start", "event_type"], scratch(spark, "health"), scratch(spark, "mark"))
 
 
 @query("x3_convert_stream", f"select row_id, upper(event_type) as kind from ({E}) where row_id % 10 <> 0")
@@ -123,3 +124,11 @@ def _(spark, sf):
 def _(spark, sf):
     df = X.blocks(spark.read.parquet(f"{sf}/events.parquet"), 100, "event_id")
     return df.groupBy("block").agg(F.count("*").alias("n"), F.min("event_id").alias("first"))
+
+
+@query("x4_stream_blocks", f"select uid, row_id, row_number() over (partition by uid order by ts, row_id) - 1 as place, (row_number() over (partition by uid order by ts, row_id) - 1) // 10 as block from ({E})")
+def _(spark, sf):
+    """Blocks of ten of each user's events, by state that is kept for each user."""
+    out = scratch(spark, "blocks")
+    X.run_available(X.stream_blocks(_event_stream(spark, sf), "uid", "row_id", "ts", 10, "20000 days"), out, scratch(spark, "mark"))
+    return spark.read.parquet(out).select("uid", "row_id", "place", "block")

@@ -179,9 +179,21 @@ def _(spark, sf):
     return df.select(*ID, F.round(G.center_score([F.col(c) for c in ("x1", "y1", "x2", "y2")], [F.col(c) for c in ("px1", "py1", "px2", "py2")]), 6).alias("score"))
 
 
-@query("g19_split_rois")
-def _(spark, sf):
-    """Scenes of many objects cut into regions of at most 40."""
-    df = boxes(spark, sf).withColumn("scene", F.col("image_id") % 50)
-    df = G.split_rois(df.withColumn("key", F.concat_ws(":", "image_id", "object_index")), ["scene"], 40, order="key")
-    return df.groupBy("scene", "roi").agg(F.count(F.lit(1)).alias("objects"), F.min("cx").alias("x1"), F.max("cx").alias("x2"))
+def _cut(level: int) -> str:
+    """One level of cuts of all nodes that are too large, in SQL."""
+    w = "partition by scene, roi"
+    return f"""n{level} as (select *, count(*) over ({w}) as n, row_number() over ({w} order by cx, key) as ox, row_number() over ({w} order by cy, key) as oy, max(cx) over ({w}) - min(cx) over ({w}) >= max(cy) over ({w}) - min(cy) over ({w}) as wide from s{level}),
+ e{level} as (select *, max(case when ox <= n // 2 then cx end) over ({w}) as lx, min(case when ox > n // 2 then cx end) over ({w}) as hx, max(case when oy <= n // 2 then cy end) over ({w}) as ly, min(case when oy > n // 2 then cy end) over ({w}) as hy from n{level}),
+ a{level} as (select *, case when n <= 8 then null when wide and lx < hx then 'x' when ly < hy then 'y' when lx < hx then 'x' end as along from e{level}),
+ r{level} as (select *, case along when 'x' then ox > n // 2 when 'y' then oy > n // 2 end as r from a{level}),
+ s{level + 1} as (select scene, key, cx, cy, case when r is null then roi else roi * 2 + cast(r as int) end as roi, case when along = 'x' and r then (lx + hx) / 2 else rx1 end as rx1, case when along = 'y' and r then (ly + hy) / 2 else ry1 end as ry1,
+  case when along = 'x' and not r then (lx + hx) / 2 else rx2 end as rx2, case when along = 'y' and not r then (ly + hy) / 2 else ry2 end as ry2 from r{level})"""
+
+
+@query("g19_split_rois", f"""with s0 as (select image_id // 10 as scene, image_id || ':' || object_index as key, cx, cy, 1 as roi, 0.0 as rx1, 0.0 as ry1, 1000.0 as rx2, 1000.0 as ry2 from ({O})), {', '.join(map(_cut, range(6)))}
+ select scene, roi, count(*) as objects, any_value(rx1) as x1, any_value(ry1) as y1, any_value(rx2) as x2, any_value(ry2) as y2 from s6 group by scene, roi""")
+def _(spark, sf):
+    """Scenes of ten images cut into regions of at most eight objects; what shares a centre stays together."""
+    df = boxes(spark, sf).withColumns({"scene": F.floor(F.col("image_id") / 10), "key": F.concat_ws(":", "image_id", "object_index")})
+    df = G.split_rois(df, ["scene"], 8, order="key", inseparable="keep")
+    return df.groupBy("scene", "roi").agg(F.count(F.lit(1)).alias("objects"), *[F.first(f"r{c}").alias(c) for c in ("x1", "y1", "x2", "y2")])

@@ -207,30 +207,35 @@ def _(spark, sf):
     return M.greedy_match(pairs(spark, sf)[0], ["image_id", "class_id"])
 
 
-@query("a16_detection_ap")
-def _(spark, sf):
-    """AP of each class at ten thresholds of rotated IoU, with the means; tests hold the operators against loops."""
+def rotated_pairs(spark, sf):
+    """(pairs of one image and class with their rotated IoU, predictions, ground truths): predictions are moved tilted boxes."""
     d = detections(spark, sf).join(objects(spark, sf).select(*ID, "cx", "cy", "w", "h", "tilt"), ID).withColumn("points", G.corners(tilt="tilt"))
     # the moved box lies as far from its ground truth as the plain one
     moved = d.where("found").withColumn("moved", F.transform("points", lambda p: G.point(p["x"] + F.col("px1") - F.col("x1"), p["y"] + F.col("py1") - F.col("y1"))))
     p = moved.select("image_id", "class_id", F.col("object_index").cast("long").alias("pred"), "confidence", "moved", F.col("px1").alias("a1"), F.col("px2").alias("a2"), F.col("py1").alias("b1"), F.col("py2").alias("b2"), F.col("tilt").alias("slope"))
     t = d.select("image_id", "class_id", F.col("object_index").cast("long").alias("gt"), "points", "x1", "x2", "y1", "y2", "tilt")
+    p, t = materialize(p, "predictions"), materialize(t, "truths")
     near = p.join(t, ["image_id", "class_id"]).where("a1 < x2 and x1 < a2 and b1 + least(slope, 0) < y2 + greatest(tilt, 0) and y1 + least(tilt, 0) < b2 + greatest(slope, 0)")
     # written before and after, as the long sum of the IoU must not be merged with other steps
     near = materialize(near.select("image_id", "class_id", "pred", "confidence", "gt", "moved", "points"), "near-boxes")
     both = materialize(G.with_obb_iou(near, "moved", "points").select("image_id", "class_id", "pred", "confidence", "gt", "iou"), "box-pairs")
-    p = p.select("image_id", "class_id", "pred", "confidence")
+    return both, p.select("image_id", "class_id", "pred", "confidence"), t.select("image_id", "class_id", "gt")
+
+
+@query("a16_detection_ap")
+def _(spark, sf):
+    """AP of each class at ten thresholds of rotated IoU, with the means; tests hold the operators against loops."""
+    both, p, t = rotated_pairs(spark, sf)
     ap = M.detection_ap(both, p, t, ["image_id", "class_id"], "class_id", [x / 100 for x in range(50, 100, 5)])
     return ap.select("class_id", "threshold", F.round("ap", 6).alias("ap"))
 
 
 @query("a17_detection_summary")
 def _(spark, sf):
-    """One-to-one matches of each image and class by falling IoU; a test holds the operator against a loop."""
-    both, p, t = pairs(spark, sf)
-    key = lambda df: df.withColumn("query", F.concat_ws("#", "image_id", "class_id"))
-    n = key(t).groupBy("query").agg(F.count("*").alias("n_gt")).join(key(p).groupBy("query").agg(F.count("*").alias("n_pred")), "query", "full").na.fill(0)
-    out = M.detection_summary(key(both).select("query", "pred", "gt", "iou"), n, "query", [0.5, 0.7, 0.9])
+    """One-to-one matches of each image's boxes of a class by falling rotated IoU; a test holds the operator against a loop."""
+    both, p, t = rotated_pairs(spark, sf)
+    n = t.groupBy("image_id").agg(F.count("*").alias("n_gt")).join(p.groupBy("image_id").agg(F.count("*").alias("n_pred")), "image_id", "full").na.fill(0)
+    out = M.detection_summary(both.select("image_id", "pred", "gt", "iou"), n, "image_id", [0.5, 0.7, 0.9])
     return out.select("threshold", "matches", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1", "mean_iou", "negative_accuracy")])
 
 

@@ -57,6 +57,39 @@ def test_split_rois(spark):
     assert len(groups) >= 3 and max(groups) <= 40 and sum(groups) == 95
 
 
+def test_split_rois_makes_disjoint_regions_or_fails(spark):
+    import random
+
+    rng = random.Random(3)
+    rows = [("a", i, float(rng.randrange(60)), rng.random() * 60) for i in range(200)] + [("b", i, 5.0, float(i)) for i in range(50)]
+    df = spark.createDataFrame(rows, "k string, object_index int, cx double, cy double")
+    out = G.split_rois(df, ["k"], 7, 60, 60).collect()
+    assert len(out) == 250
+    boxes = {(r.k, r.roi): (r.rx1, r.ry1, r.rx2, r.ry2) for r in out}
+    for r in out:
+        x1, y1, x2, y2 = boxes[r.k, r.roi]
+        assert x1 <= r.cx <= x2 and y1 <= r.cy <= y2
+    for k in "ab":
+        mine = [v for (q, _), v in boxes.items() if q == k]
+        assert sum((x2 - x1) * (y2 - y1) for x1, y1, x2, y2 in mine) == pytest.approx(3600)  # they tile the image
+        assert max(sum(r.k == k and r.roi == i for r in out) for (q, i) in boxes if q == k) <= 7
+    same = spark.createDataFrame([("a", i, 1.0, 2.0) for i in range(5)], "k string, object_index int, cx double, cy double")
+    with pytest.raises(Exception, match="share a centre"):
+        G.split_rois(same, ["k"], 2).collect()
+    assert {r.roi for r in G.split_rois(same, ["k"], 2, inseparable="keep").collect()} == {1}
+
+
+def test_thresholds_that_nothing_reaches_count(spark):
+    pairs = spark.createDataFrame([(1, 0, 0, 0.9, 0, 0.62)], "image_id int, class_id int, pred long, confidence double, gt long, iou double")
+    preds, truths = pairs.select("image_id", "class_id", "pred", "confidence"), pairs.select("image_id", "class_id", "gt")
+    levels = [x / 100 for x in range(50, 100, 5)]
+    got = {(r.class_id, r.threshold): r.ap for r in M.detection_ap(pairs, preds, truths, ["image_id", "class_id"], "class_id", levels).collect()}
+    assert [got[0, t] for t in levels] == [1.0] * 3 + [0.0] * 7 and got[None, None] == got[0, None] == pytest.approx(0.3)
+    queries = spark.createDataFrame([("a", 1, 2), ("b", 0, 0)], "query string, n_pred long, n_gt long")
+    rows = M.detection_summary(pairs.where("iou > 1").selectExpr("'a' as query", "pred", "gt", "iou"), queries, "query", [0.5, 0.7]).collect()
+    assert [tuple(r) for r in rows] == [(t, 0, 0.0, 0.0, 0.0, 0.0, 1.0) for t in (0.5, 0.7)]
+
+
 def test_label_file_example(spark):
     """Three boxes, one with a corner left of the image: two are valid."""
     box = lambda x: [{"x": x, "y": 10.0}, {"x": x + 50, "y": 10.0}, {"x": x + 50, "y": 60.0}, {"x": x, "y": 60.0}]
