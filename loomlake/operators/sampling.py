@@ -109,6 +109,40 @@ def interleave(sources: list[DataFrame], key: str, stop: str = "first") -> DataF
     return reduce(DataFrame.unionByName, out)
 
 
+def interleave_drawn(sources: list[DataFrame], probabilities: list[float], key: str, stop: str = "first", seed: int = 0) -> DataFrame:
+    """Rows of the sources, each place's source drawn by its probability from a hash of (seed, place); ``place`` orders them.
+
+    The n-th draw of a source takes its n-th row by ``key``. With "first" the last place is where some source has given its last row,
+    with "all" where all have, and sources that end earlier begin anew. Draws are ranked by range partitions and
+    joined to ranked rows; sources are never collected.
+    """
+    if stop not in ("first", "all") or len(sources) != len(probabilities) or min(probabilities) <= 0 or abs(sum(probabilities) - 1) > 1e-9:
+        raise ValueError("one positive probability for each source, of sum 1, and stop first or all")
+    spark, sizes = sources[0].sparkSession, [s.count() for s in sources]
+    if min(sizes) == 0:
+        return reduce(DataFrame.unionByName, [s.limit(0) for s in sources]).withColumns({"source": F.lit(0), "place": F.lit(0).cast("long")})
+    bounds = [sum(probabilities[: i + 1]) for i in range(len(sources))]
+    unit = F.conv(F.substring(F.sha1(F.concat_ws("||", F.lit(str(seed)), F.col("id").cast("string"))), 1, 8), 16, 10).cast("long") / F.lit(2.0**32)
+    which = F.lit(len(sources) - 1)
+    for i in range(len(sources) - 2, -1, -1):
+        which = F.when(unit < bounds[i], i).otherwise(which)
+    ends, places = [], int(max(n / p for n, p in zip(sizes, probabilities)) * 1.2) + 100
+    while True:
+        draws = spark.range(places).select(F.col("id").alias("place"), which.alias("source"))
+        ranked = global_rank(draws, ["source", "place"], "__at")
+        starts = ranked.groupBy("source").agg(F.min("__at").alias("__first"))
+        ranked = ranked.join(F.broadcast(starts), "source").withColumn("__k", F.col("__at") - F.col("__first"))
+        last = F.create_map(*[x for i, n in enumerate(sizes) for x in (F.lit(i), F.lit(n - 1).cast("long"))])
+        ends = [r.place for r in ranked.where(F.col("__k") == F.element_at(last, F.col("source"))).select("place").collect()]  # one row a source at most
+        if len(ends) == len(sources) or (stop == "first" and ends):
+            break
+        places *= 2
+    end = min(ends) if stop == "first" else max(ends)
+    ranked = ranked.where(F.col("place") <= end).select("place", "source", "__k")
+    out = [global_rank(s, [key], "__r").join(ranked.where(F.col("source") == i).withColumn("__r", F.col("__k") % n).drop("__k"), "__r").drop("__r") for i, (s, n) in enumerate(zip(sources, sizes))]
+    return reduce(DataFrame.unionByName, out)
+
+
 def id_difference(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     """(key, side): ids in one table only."""
     only = lambda x, y, s: x.select(key).distinct().join(y.select(key).distinct(), key, "left_anti").withColumn("side", F.lit(s))

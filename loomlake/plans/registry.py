@@ -6,7 +6,7 @@ from importlib import import_module
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _name in ("geometry", "references", "rollouts", "text", "mixing", "flows", "outputs", "traces", "evidence", "building"):
+for _name in ("geometry", "references", "rollouts", "text", "mixing", "flows", "outputs", "traces", "evidence", "building", "records"):
     _plans = import_module(f"loomlake.plans.{_name}")
     QUERIES |= _plans.QUERIES
     ORACLES |= _plans.ORACLES

@@ -180,7 +180,13 @@ def _(spark, sf):
     return df.select("doc_id", *_ends(df, "input_ids"), F.aggregate("labels", F.lit(0).cast("long"), lambda a, v: a + v).alias("label_total"))
 
 
-@query("k3_encode_pairwise")
+def _fitted(s: str, t: str, c: str) -> tuple[str, str]:
+    """SQL of the source and target lengths that ``infer_seqlen`` leaves of lengths s and t within c."""
+    most = f"(case when {t} * 2 < {c} then {c} when {s} * 2 < {c} then {c} - {s} else cast(floor({c} * ({t} / ({s} + {t}))) as bigint) end)"
+    return f"least(greatest({c} - least({most}, {t}), 0), {s})", f"least({most}, {t})"
+
+
+@query("k3_encode_pairwise", f"with t as (select doc_id, {_SPLIT_AT} from {_T}), l as (select doc_id, len(src) as s, len(tgt) as t from t) select doc_id, {' + '.join(_fitted('s', 't', '300'))} as n_chosen, {' + '.join(_fitted('s', 't', '300'))} as n_rejected from l")
 def _(spark, sf):
     """Chosen and rejected encodings of one prompt; the rejected answer is the chosen one reversed."""
     df = split_docs(spark, sf).withColumn("rej", F.reverse("tgt"))
@@ -188,7 +194,9 @@ def _(spark, sf):
     return df.select("doc_id", F.size("chosen_input_ids").alias("n_chosen"), F.size("rejected_input_ids").alias("n_rejected"))
 
 
-@query("k2_mask_labels")
+@query("k2_mask_labels", f"""with q as (select doc_id, len(ids) as n, greatest(len(ids) // 4, 1) as q from {_T}), l as (select doc_id, {', '.join(f'least(q, greatest(0, n - {k} * q)) as p{k}' for k in range(4))} from q),
+ a as (select *, {_fitted('p2', 'p3', '256')[0]} as s2, {_fitted('p2', 'p3', '256')[1]} as t2 from l), r as (select *, 256 - s2 - t2 as room from a)
+ select doc_id, s2 + t2 + case when room <= 0 then 0 else {' + '.join(_fitted('p0', 'p1', 'room'))} end as n, t2 as n_labels from r""")
 def _(spark, sf):
     """Turn pairs of a document's quarters; tests hold the masks against a loop."""
     q = F.greatest(F.floor(F.size("ids") / 4), F.lit(1)).cast("int")
@@ -338,6 +346,16 @@ def _(spark, sf):
     return df.select("p_partkey", *[F.round(c, 6).alias(c) for c in ("iou", "accuracy", "format")])
 
 
+@query("r1_box_reward_adjusted", """with p as (select p_partkey, p_size % 5 as k, 0.3 + (p_size % 5) / 10.0 as x2, (p_size % 9) / 10.0 as e from part),
+ i as (select *, (least(x2, 0.5) - 0.1) * 0.4 / ((x2 - 0.1) * 0.4 + 0.16 - (least(x2, 0.5) - 0.1) * 0.4) as iou, abs((x2 + 0.1) / 2 - 0.3) as d, sqrt(0.32) / 2 as r from p),
+ a as (select *, 0.8 * least(1, exp(iou * 5 - 1) / (exp(5) - 1)) + 0.2 * r / greatest(d, r) as raw, (exp(case when k < 3 then 5 else 4 end) - 1) / (exp(5) - 1) as format from i)
+ select p_partkey, round(raw, 6) as accuracy_raw, round((raw - e) / (1 - e), 6) as accuracy, round(case when k < 3 then 1 else 0.67 + 0.33 * 0.5 end, 6) as thinking, round(0.9 * (raw - e) / (1 - e) + 0.1 * format, 6) as overall from a""")
+def _(spark, sf):
+    df = boxed(spark, sf).withColumns({"words": F.when(F.col("size") % 5 < 3, 10).otherwise(3), "e": F.col("size") % 9 / 10})
+    df = R.box_reward(df, "response", [F.lit(v) for v in (0.1, 0.2, 0.5, 0.6)], opening=F.lit("let me"), words=F.col("words"), waits=F.lit(1), expected=F.col("e"))
+    return df.select("p_partkey", *[F.round(c, 6).alias(c) for c in ("accuracy_raw", "accuracy", "thinking", "overall")])
+
+
 @query("r6_class_box_reward", """with p as (select p_partkey, p_partkey % 3 as k, 100 + p_size % 50 as x from part),
  i as (select *, (300.0 - x) / (300 - 100 + x - 100) as iou from p)
  select p_partkey, case k when 2 then 0 when 1 then 0.5 else 1 end as format, case k when 0 then 1 else 0 end as class_score, round(case when k = 2 then 0 else iou end, 6) as iou, round(0.1 * (case k when 2 then 0 when 1 then 0.5 else 1 end) + 0.2 * (case k when 0 then 1 else 0 end) + 0.7 * (case when k = 2 then 0 else iou end), 6) as overall from i""")
@@ -406,6 +424,66 @@ def _(spark, sf):
     return R.box_tag_accuracy(df, "response", [F.lit(v) for v in (0.1, 0.2, 0.5, 0.6)]).select("p_partkey", F.round("iou", 6).alias("iou"), F.round("accuracy", 6).alias("accuracy"))
 
 
+#: Responses of boxes of 0 to 1000 in five layouts: c and d are the far corner.
+_LAYOUTS = "(select *, p_partkey % 6 as k, 300 + p_size as c, 700 - p_size as d, (p_size % 10) / 20.0 as e from part)"
+_OVERLAP = "(least(c, 320) - 100) * (least(d, 680) - 200) as i, (c - 100) * (d - 200) + 220.0 * 480 as s"
+
+
+def layouts(spark, sf):
+    df = spark.read.parquet(f"{sf}/part.parquet").select("p_partkey", (F.col("p_partkey") % 6).alias("k"), (300 + F.col("p_size")).alias("c"), (700 - F.col("p_size")).alias("d"), (F.col("p_size") % 10 / 20).alias("e"))
+    box = F.concat(F.lit("[100, 200, "), F.col("c").cast("string"), F.lit(", "), F.col("d").cast("string"), F.lit("]"))
+    j = F.concat(F.lit('{"bbox": '), box, F.lit("}"))
+    k = F.col("k")
+    text = F.when(k == 0, F.concat(F.lit("<think> look </think> Answer: "), j)).when(k == 1, F.concat(F.lit("< think >look< / think >"), j)).when(k == 2, F.concat(F.lit("<think>"), F.replace(j, F.lit('"'), F.lit("")), F.lit(" "), j, F.lit("</think> Answer: none"))).when(k == 3, F.concat(F.lit("done</think> answer: at "), box)).when(k == 4, j).otherwise(F.concat(F.lit("<think>x</think> [1, 2] Answer: { bbox: "), box, F.lit("}")))
+    return df.select("p_partkey", "e", text.alias("response"), F.array(*[F.lit(v) for v in (100.0, 200.0, 320.0, 680.0)]).alias("truth"))
+
+
+@query("r3_json_box_reward", f"""with p as (select *, {_OVERLAP} from {_LAYOUTS}), i as (select *, case when k < 2 then i / (s - i) else 0 end as iou from p),
+ f as (select *, case when k < 2 then least(1, exp(2.5 * iou - 1) / (exp(2.5) - 1)) else 0 end as raw, case k when 0 then 1.0 when 1 then 2 / 3.0 when 2 then 1 / 3.0 when 5 then 2 / 3.0 else 0 end as format from i)
+ select p_partkey, round(iou, 6) as iou, round((raw - e) / (1 - e), 6) as accuracy, round(format, 6) as format_total, round(0.9 * (raw - e) / (1 - e) + 0.1 * format, 6) as overall from f""")
+def _(spark, sf):
+    df = R.json_box_reward(layouts(spark, sf), "response", "truth", F.col("e"))
+    return df.select("p_partkey", *[F.round(c, 6).alias(c) for c in ("iou", "accuracy", "format_total", "overall")])
+
+
+@query("r4_answer_box_reward", f"""with p as (select *, {_OVERLAP} from {_LAYOUTS}), i as (select *, case when k in (0, 1, 3, 5) then i / (s - i) else 0 end as iou from p),
+ f as (select *, case k when 0 then 1.0 when 1 then 1.0 when 2 then 0.25 when 3 then 0.25 when 5 then 1.0 else 0 end as format from i)
+ select p_partkey, round(iou, 6) as iou, k = 3 as fallback, round((iou - e) / (1 - e), 6) as accuracy, format as format_total, round(0.9 * (iou - e) / (1 - e) + 0.1 * format, 6) as overall from f""")
+def _(spark, sf):
+    df = R.answer_box_reward(layouts(spark, sf), "response", "truth", F.col("e"))
+    return df.select("p_partkey", "fallback", *[F.round(c, 6).alias(c) for c in ("iou", "accuracy", "format_total", "overall")])
+
+
+@query("p7_response_boxes", f"""select p_partkey, case when k < 2 then c end as json, case when k in (0, 1, 3, 5) then c end as answer, k = 3 as fallback from {_LAYOUTS}""")
+def _(spark, sf):
+    """The far corner's x as two of the conventions read it."""
+    t = layouts(spark, sf).withColumn("t", R.tight(F.col("response")))
+    return t.select("p_partkey", F.get(R.response_box(F.col("t"), "json")["box"], 2).alias("json"), F.get(R.response_box(F.col("t"), "answer")["box"], 2).alias("answer"), R.response_box(F.col("t"), "answer")["fallback"].alias("fallback"))
+
+
+@query("r2_iou_reward", """with p as (select p_partkey, p_size % 5 as k, 0.3 + (p_size % 5) / 10.0 as x2, case when p_size % 5 < 3 then 10 else 3 end as words, p_size % 3 as waits from part),
+ i as (select *, (least(x2, 0.5) - 0.1) * 0.4 / ((x2 - 0.1) * 0.4 + 0.16 - (least(x2, 0.5) - 0.1) * 0.4) as iou, 3 + cast(words >= 6 as int) + cast(waits = 1 as int) as m from p)
+ select p_partkey, round(iou, 6) as iou, m as format_m, round((exp(iou) - 1) / (exp(1) - 1), 6) as accuracy_raw, round(0.34 + 0.33 * least(1, words / 6.0) + 0.33 * case waits when 0 then 0 when 1 then 1 else 0.5 end, 6) as thinking, round(0.9 * iou + 0.1 * (exp(m) - 1) / (exp(5) - 1), 6) as overall from i""")
+def _(spark, sf):
+    """Six words and one wait are there; budgets and waits asked for vary."""
+    df = boxed(spark, sf).withColumns({"words": F.when(F.col("size") % 5 < 3, 10).otherwise(3), "waits": F.col("size") % 3, "truth": F.array(*[F.lit(v) for v in (0.1, 0.2, 0.5, 0.6)])})
+    df = R.iou_reward(df, "response", "truth", F.lit(" 'Let  me' "), F.col("words"), F.col("waits"), F.lit(0.1))
+    return df.select("p_partkey", *[F.round(c, 6).alias(c) for c in ("iou", "accuracy_raw", "thinking", "overall")], "format_m")
+
+
+@query("r6_class_obb_reward", """with p as (select p_partkey, p_partkey % 4 as k, 100 + p_size % 50 as x from part), i as (select *, case when k in (0, 1) then (300.0 - x) / (100 + x) else 0 end as iou from p)
+ select p_partkey, case k when 3 then 0 when 1 then 0.5 else 1 end as format, case when k in (0, 2) then 1 else 0 end as class_score, round(iou, 6) as iou, round(0.1 * (case k when 3 then 0 when 1 then 0.5 else 1 end) + 0.2 * case when k in (0, 2) then 1 else 0 end + 0.7 * iou, 6) as overall from i""")
+def _(spark, sf):
+    """Boxes moved to the right, one of six numbers, one answer without an object."""
+    x, k = F.col("x"), F.col("k")
+    df = spark.read.parquet(f"{sf}/part.parquet").select("p_partkey", (F.lit(100) + F.col("p_size") % 50).alias("x"), (F.col("p_partkey") % 4).alias("k"))
+    numbers = F.concat_ws(", ", x, F.lit(0), x + 200, F.lit(0), x + 200, F.lit(100), *[F.when(k != 2, v) for v in (x, F.lit(100))])
+    body = F.concat(F.lit('Answer: {"class_name": "'), F.when(k == 1, "plane").otherwise("Storage_Tank"), F.lit('", "obb": ['), numbers, F.lit("]}"))
+    df = df.withColumn("response", F.when(k == 1, body).when(k == 3, "Answer: none").otherwise(F.concat(F.lit("<think>x</think>\n"), body)))
+    df = df.withColumn("truth", F.array(*[F.struct(F.lit(a).alias("x"), F.lit(b).alias("y")) for a, b in ((100.0, 0.0), (300.0, 0.0), (300.0, 100.0), (100.0, 100.0))]))
+    return R.class_obb_reward(df, "response", F.lit("storage tank"), "truth").select("p_partkey", "format", "class_score", F.round("iou", 6).alias("iou"), F.round("overall", 6).alias("overall"))
+
+
 @query("c29_first_nonempty", "select doc_id, coalesce(nullif(case when doc_id % 3 = 0 then '' else source end, ''), nullif(nullif(lang, 'en'), ''), cast(doc_id as varchar)) as name from documents")
 def _(spark, sf):
     df = documents(spark, sf).select("doc_id", F.when(F.col("doc_id") % 3 == 0, "").otherwise(F.col("source")).alias("a"), F.nullif("lang", F.lit("en")).alias("b"), F.col("doc_id").cast("string").alias("c"))
