@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import html as html_lib
 import re
+from collections import Counter
 from collections.abc import Iterator
 from math import e, log
 
@@ -33,86 +34,138 @@ MARKS = set(
     "header masthead topbar comment comments commentlist respond disqus notice notices alert cookie cookies consent gdpr popup modal overlay newsletter subscribe signup share sharing social "
     "related recommended recommendations widget toolbar pagination pager login search copyright disclaimer hidden skip complementary contentinfo dialog form".split()
 )
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?][^>]*>""", re.S)
+#: Of these, words that also name parts of an article: inside one they cut only what is mostly links.
+WEAK = {"header", "related", "recommended", "side"}
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>|<[!?][^>]*+>""", re.S)
 NAMED = re.compile(r"""(?:^|\s)(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?(?=\s|/|$|")""", re.I | re.S)
 WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "items", "cut", "marked", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("tag", "parent", "items", "cut", "marked", "weak", "chars", "tags", "link_chars", "link_tags", "density", "total")
 
-    def __init__(self, tag: str, parent: Node | None, cut: bool, marked: bool = False):
-        self.tag, self.parent, self.cut, self.marked = tag, parent, cut, marked
+    def __init__(self, tag: str, parent: Node | None, cut: bool, marked: bool = False, weak: bool = False):
+        self.tag, self.parent, self.cut, self.marked, self.weak = tag, parent, cut, marked, weak
         self.items: list[Node | str] = []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
 
 
-def _says(tag: str, attributes: str, inside: bool) -> tuple[bool, bool]:
-    """Whether an element is cut off in any case (by its name, or as it isn't shown), and whether it is marked as no part of the article."""
+def _says(tag: str, attributes: str, inside: bool) -> tuple[bool, bool, bool]:
+    """Whether an element is cut off in any case (by its name, or as it isn't shown), whether it is marked as no part of the article, and
+    whether only by words that name parts of articles, too."""
     if tag in CUT and tag not in WRAPS or tag == "header" and not inside:
-        return True, False
-    marked = tag in WRAPS
+        return True, False, False
+    marked, words = tag in WRAPS, set()
     if not attributes or tag in KEEP:
-        return False, marked
+        return False, marked, False
     for name, value in NAMED.findall(attributes):
         name, value = name.lower(), value.strip("\"'")
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
-            return True, False
+            return True, False, False
         if name == "style":
             if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-                return True, False
-        elif not re.fullmatch(r"h[1-6]", tag) and not MARKS.isdisjoint(w.lower() for w in WORDS.findall(value)):
-            marked = True
-    return False, marked
+                return True, False, False
+        elif tag not in HEADINGS:
+            words |= MARKS.intersection(w.lower() for w in WORDS.findall(value))
+    return False, marked or bool(words), not marked and inside and bool(words) and words <= WEAK
+
+
+class _Open:
+    """The open elements, counted by name in each part that bounds a search, so that a name that isn't open is told at once.
+
+    ``scopes``: since each of the elements that end the search for an implied end tag; ``kept``: since each article or main element.
+    """
+
+    def __init__(self, root: Node):
+        self.here, self.every = root, Counter()
+        self.scopes: list[tuple[Node, Counter]] = [(root, Counter())]
+        self.kept: list[tuple[Node, Counter]] = [(root, Counter())]
+
+    def push(self, x: Node) -> None:
+        for counts in (self.every, self.scopes[-1][1], self.kept[-1][1]):
+            counts[x.tag] += 1
+        if x.tag in SCOPES or x.tag == "td":
+            self.scopes.append((x, Counter()))
+        if x.tag in ("article", "main"):
+            self.kept.append((x, Counter()))
+        self.here = x
+
+    def close(self, x: Node) -> None:
+        """Closes ``x`` and all that is open in it."""
+        y = self.here
+        while y is not x.parent:
+            for frames in (self.scopes, self.kept):
+                if frames[-1][0] is y:
+                    frames.pop()
+            for counts in (self.every, self.scopes[-1][1], self.kept[-1][1]):
+                counts[y.tag] -= 1
+            y = y.parent
+        self.here = x.parent
+
+    def up_to(self, names: set[str]) -> Node:
+        x = self.here
+        while x.tag not in names:
+            x = x.parent
+        return x
+
+    def ended_by(self, tag: str) -> Node | None:
+        """The open element that a start tag ends."""
+        ends = SIBLINGS.get(tag, {"p"})
+        for node, counts in reversed(self.scopes):
+            if any(counts[t] for t in ends):
+                return self.up_to(ends)
+            if node.tag in ends:
+                return node
+            if node.tag != "td" or tag == "p":
+                return None
+        return None
+
+    def named(self, tag: str) -> Node | None:
+        """The open element that an end tag names; none outside of the article or main element around."""
+        counts = self.every if tag in KEEP else self.kept[-1][1]
+        return self.up_to({tag}) if counts[tag] else None
 
 
 def parse(page: str) -> Node:
-    """The page as a tree; missing end tags are implied, stray ones are skipped, text is decoded."""
-    root = here = Node("html", None, False)
-    depth_kept = 0  # open article or main elements
-    at = 0
+    """The page as a tree; missing end tags are implied, stray ones are skipped, text is decoded. Time is linear in the page."""
+    root = Node("html", None, False)
+    tree = _Open(root)
+    at, last = 0, page.rfind(">")  # behind it no tag ends
     scan = TOKEN.search
-    while (m := scan(page, at)) is not None:
+    while at <= last and (m := scan(page, at)) is not None:
         if m.start() > at:
-            here.items.append(html_lib.unescape(page[at : m.start()]))
+            tree.here.items.append(html_lib.unescape(page[at : m.start()]))
         at = m.end()
         tag = m[2] or m[5]
         if not tag:
             continue
         tag, closing = tag.lower(), m[1] or m[4]
         if closing:
-            x = here
-            while x is not None and x.tag != tag:
-                x = None if tag not in KEEP and x.tag in KEEP and x.tag not in ("html", "body") else x.parent
+            x = tree.named(tag)
             if tag == "br":
-                here.items.append(Node("br", here, False))
+                tree.here.items.append(Node("br", tree.here, False))
             elif x is not None and x.parent is not None:
-                y = here
-                while y is not x.parent:
-                    depth_kept -= y.tag in ("article", "main")
-                    y = y.parent
-                here = x.parent
+                tree.close(x)
             continue
-        if tag in ("html",):
+        if tag == "html":
             continue
-        if tag in CLOSES_P or tag in SIBLINGS:
-            ends = SIBLINGS.get(tag, {"p"})
-            x = here
-            while x.parent is not None and x.tag not in ends and not (x.tag in SCOPES or x.tag == "td" and tag == "p"):
-                x = x.parent
-            if x.tag in ends and x.parent is not None:
-                here = x.parent
-        node = Node(tag, here, *_says(tag, m[3] or m[6] or "", depth_kept > 0))
-        here.items.append(node)
+        if (tag in CLOSES_P or tag in SIBLINGS) and (x := tree.ended_by(tag)) is not None and x.parent is not None:
+            tree.close(x)
+        attributes = m[3] or m[6] or ""
+        node = Node(tag, tree.here, *_says(tag, attributes, len(tree.kept) > 1))
+        tree.here.items.append(node)
         if tag in RAW:
             end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>|\Z", re.I).search(page, at)
             at = end.end()
-        elif tag not in VOID and not (m[3] or m[6] or "").endswith("/"):
-            here = node
-            depth_kept += tag in ("article", "main")
-    if at < len(page):
-        here.items.append(html_lib.unescape(page[at:]))
+        elif tag not in VOID and not attributes.endswith("/"):
+            tree.push(node)
+    rest = page[at:]
+    if (cut := rest.find("<!--")) >= 0 and at > last:
+        rest = rest[:cut]
+    if rest:
+        tree.here.items.append(html_lib.unescape(rest))
     return root
 
 
@@ -135,18 +188,20 @@ def _cut_marked(root: Node) -> set[int]:
     Returns the ids of the nodes of most of the text.
     """
     order = _walk(root)
-    plain: dict[int, int] = {}
+    plain: dict[int, int] = {}  # text outside links, and all text
+    total: dict[int, int] = {}
     whole: set[int] = set()
     for x in order:
-        n = 0
+        n = k = 0
         for c in x.items:
             if isinstance(c, str):
-                n += len(c) - sum(map(c.count, " \n\t\r"))
+                own = len(c) - sum(map(c.count, " \n\t\r"))
+                n, k = n + own, k + own
             elif not c.cut:
-                n += plain[id(c)]
+                n, k = n + plain[id(c)], k + total[id(c)]
                 if c.tag in ("article", "main") or id(c) in whole:
                     whole.add(id(x))
-        plain[id(x)] = 0 if x.tag == "a" else n
+        plain[id(x)], total[id(x)] = 0 if x.tag == "a" else n, k
     body = next((x for x in reversed(order) if x.tag == "body"), root)
     most = plain[id(body)] or plain[id(root)]
     articles, around = 0, {}  # text of all outermost article and main elements, and of the one around a node
@@ -157,7 +212,10 @@ def _cut_marked(root: Node) -> set[int]:
             articles += own
         around[id(x)] = own
     for x in order:
-        x.cut = x.marked and id(x) not in whole and (2 * plain[id(x)] <= most or 4 * (articles - (around[id(x)] or 0)) >= plain[id(x)] > 0)
+        if x.weak and id(x) not in whole:  # a header or section of the article: only what is mostly links goes
+            x.cut = 2 * plain[id(x)] <= total[id(x)]
+        else:
+            x.cut = x.marked and id(x) not in whole and (2 * plain[id(x)] <= most or 4 * (articles - (around[id(x)] or 0)) >= plain[id(x)] > 0)
     return {i for i, n in plain.items() if 2 * n > most}
 
 
@@ -201,7 +259,7 @@ def content(root: Node) -> list[Node]:
         threshold, x = min(threshold, x.density), x.parent
     # what is marked but holds an article must reach the threshold too, or most of the text
     for x in within:
-        if x.marked and id(x) not in path and id(x) not in large:
+        if x.marked and not x.weak and id(x) not in path and id(x) not in large:
             x.cut = x.density < threshold or x.link_chars * 2 >= x.chars
     # widen to the article that the densest subtree belongs to
     x, whole = best, None
@@ -222,8 +280,10 @@ def content(root: Node) -> list[Node]:
     chosen = {id(best)}
     siblings = best
     while siblings is not body and siblings.parent is not None:
+        before = True  # a heading above the article belongs to it, however short
         for c in siblings.parent.items:
-            if isinstance(c, Node) and not c.cut and c is not siblings and c.chars and c.density >= threshold and c.link_chars * 2 < c.chars:
+            before &= c is not siblings
+            if isinstance(c, Node) and not c.cut and c is not siblings and c.chars and (c.density >= threshold or before and c.tag in HEADINGS) and c.link_chars * 2 < c.chars:
                 chosen.add(id(c))
         siblings = siblings.parent
     stack = [body]
