@@ -84,11 +84,25 @@ def _stretches(t: Column, weights: Column) -> Column:
     return F.concat(good, alone)
 
 
+#: Elements whose results are gathered before they join all others, and code points of a piece of text: so that arrays and
+#: texts are not copied, or counted through from the beginning, for each element.
+TOGETHER, PIECE = 128, 4096
+
+
+def _running(items: Column, kind: str, emit, advance) -> Column:
+    """emit(at, x) of each x of ``items``, in order, where at begins with 0 and becomes advance(at, x) behind each."""
+    zero, none, more = F.lit(0).cast("long"), F.array().cast(f"array<{kind}>"), F.array().cast(f"array<array<{kind}>>")
+    state = lambda at, out: F.struct(at.alias("at"), out.alias("out"))
+    inner = lambda a, x: state(advance(a["at"], x), F.concat(a["out"], F.array(emit(a["at"], x))))
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(items) - 1) / TOGETHER).cast("int")), lambda i: F.slice(items, i * TOGETHER + 1, TOGETHER))
+    outer = lambda a, block: F.get(F.transform(F.array(F.aggregate(block, state(a["at"], none), inner)), lambda r: state(r["at"], F.concat(a["out"], F.array(r["out"])))), 0)
+    return F.when(F.size(items) > 0, F.flatten(F.aggregate(blocks, state(zero, more), outer)["out"])).otherwise(none)
+
+
 def _spans(pieces: Column, matches: Column, keep, kind: str) -> Column:
     """Spans of the matches that ``keep(index)`` accepts; a running sum over the texts between matches and the matches gives the places."""
     lens = F.zip_with(F.transform(F.slice(pieces, 1, F.size(matches)), F.length), F.transform(matches, F.length), lambda p, m: F.struct(p.alias("p"), m.alias("m")))
-    first = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<bigint>").alias("out"))
-    starts = F.aggregate(lens, first, lambda a, x: F.struct((a["at"] + x["p"] + x["m"]).alias("at"), F.concat(a["out"], F.array(a["at"] + x["p"])).alias("out")), lambda a: a["out"])
+    starts = _running(lens, "bigint", lambda at, x: at + x["p"], lambda at, x: at + x["p"] + x["m"])
     spans = F.zip_with(starts, matches, lambda start, m: F.struct(start.alias("start"), F.lit(KINDS.index(kind)).alias("order"), (start + F.length(m)).alias("end")))
     return F.when(F.size(matches) > 0, F.filter(spans, lambda _, i: keep(i))).otherwise(F.array().cast("array<struct<start:bigint,order:int,end:bigint>>"))
 
@@ -181,7 +195,7 @@ def find_secrets(docs: DataFrame, weights: list[int], id_col: str = "doc_id", te
     found = [_spans(F.col(f"{k}_p"), F.col(f"{k}_m"), long_enough(k, n), k) for k, _, _, n in RULES]
     df = df.select("id", "text", *more_cols, F.array_sort(F.concat(*found)).alias("base"))
     # base spans as blanks, so that places stay and what is left of a token is a token
-    df = df.withColumn("free", F.when(F.size("base") > 0, _replaced(F.col("text"), F.col("base"), lambda n: F.repeat(F.lit(" "), n.cast("int")))).otherwise(F.col("text")))
+    df = df.withColumn("free", _blanked(F.col("text"), F.col("base")))
     df = df.withColumn("tokens", F.regexp_extract_all("free", F.lit(CANDIDATE), F.lit(0)))
     model, none = F.lit(weights), F.array().cast(RANGE)
 
@@ -207,28 +221,32 @@ def span_text(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["order"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def _replaced(text: Column, spans: Column, fill) -> Column:
-    """``text`` with ``fill(n)`` for each n characters of spans; where spans overlap, for those that are new."""
-    first = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
+def _cut(pieces: Column, start: Column, end: Column) -> Column:
+    """Code points from ``start`` to before ``end`` of a text in pieces of ``PIECE``."""
+    i, j = (F.floor(x / PIECE).cast("int") for x in (start, end))
+    from_, to = ((x % PIECE).cast("int") for x in (start, end))
+    some = F.concat(F.substring(F.get(pieces, i), from_ + 1, F.lit(PIECE)), F.array_join(F.slice(pieces, i + 2, F.greatest(F.lit(0), j - i - 1)), ""), F.coalesce(F.substring(F.get(pieces, j), F.lit(1), to), F.lit("")))
+    return F.when(start >= end, "").when(i == j, F.substring(F.get(pieces, i), from_ + 1, (end - start).cast("int"))).otherwise(some)
 
-    def step(a: Column, s: Column) -> Column:
-        gap = F.substring(text, (a["at"] + 1).cast("int"), F.greatest(F.lit(0), s["start"] - a["at"]).cast("int"))
-        new = F.greatest(F.lit(0), s["end"] - F.greatest(a["at"], s["start"]))
-        return F.struct(F.greatest(a["at"], s["end"]).alias("at"), F.concat(a["out"], gap, fill(new)).alias("out"))
 
-    return F.aggregate(spans, first, step, lambda a: F.concat(a["out"], F.substring(text, (a["at"] + 1).cast("int"), F.length(text))))
+def _without(text: Column, spans: Column, fill) -> Column:
+    """``text`` with ``fill(n, begins)`` for the n characters of each of the sorted spans that no earlier one covers; ``begins``: none are covered."""
+    gap = "struct<a:bigint,z:bigint,n:bigint,begins:boolean>"
+    step = lambda at, s: F.struct(at.alias("a"), F.greatest(at, s["start"]).alias("z"), F.greatest(F.lit(0).cast("long"), s["end"] - F.greatest(at, s["start"])).alias("n"), (s["start"] >= at).alias("begins"))
+    parts = _running(spans, gap, step, lambda at, s: F.greatest(at, s["end"]))
+    whole = F.array(F.struct(F.regexp_extract_all(text, F.lit(rf"(?s).{{1,{PIECE}}}"), F.lit(0)).alias("p"), parts.alias("g"), F.array_max(F.transform(spans, lambda s: s["end"])).alias("at")))
+    join = lambda w: F.concat(F.array_join(F.transform(w["g"], lambda g: F.concat(_cut(w["p"], g["a"], g["z"]), fill(g["n"], g["begins"]))), ""), _cut(w["p"], w["at"], F.length(text).cast("long")))
+    return F.when(F.size(spans) > 0, F.get(F.transform(whole, join), 0)).otherwise(text)
 
 
-def redacted(text: Column, spans: Column, mark: str = "<SECRET>") -> Column:
-    """``text`` with each span, or run of overlapping ones, replaced by ``mark``."""
-    first = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
+def _blanked(text: Column, spans: Column) -> Column:
+    """``text`` with blanks for its spans, so that places stay."""
+    return _without(text, spans, lambda n, _: F.repeat(F.lit(" "), n.cast("int")))
 
-    def step(a: Column, s: Column) -> Column:
-        gap = F.substring(text, (a["at"] + 1).cast("int"), F.greatest(F.lit(0), s["start"] - a["at"]).cast("int"))
-        return F.when(s["start"] >= a["at"], F.struct(s["end"].alias("at"), F.concat(a["out"], gap, F.lit(mark)).alias("out"))).otherwise(F.struct(F.greatest(a["at"], s["end"]).alias("at"), a["out"].alias("out")))
 
-    done = F.aggregate(spans, first, step, lambda a: F.concat(a["out"], F.substring(text, (a["at"] + 1).cast("int"), F.length(text))))
-    return F.when(F.size(spans) > 0, done).otherwise(text)
+def redacted(text: Column, spans: Column, mark: str = "<SECRET>") -> Column:
+    """``text`` with each span, or run of overlapping ones, replaced by ``mark``."""
+    return _without(text, spans, lambda _, begins: F.when(begins, mark).otherwise(""))
 
 
 def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
