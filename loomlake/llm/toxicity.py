@@ -3,8 +3,9 @@
 Tokens, and the beginnings of tokens, get the log-odds of being in toxic rather than clean documents, with
 a Dirichlet prior from the whole sample; only as much of it counts as is certain. Other tokens cost a
 little. A linear-time scan finds every maximal segment, and extreme-value statistics of segments in clean
-text (Karlin-Altschul: how often such a score turns up by chance in so many tokens) make scores of short
-and long documents comparable. A logistic curve on that evidence gives the score.
+text (Karlin-Altschul: how often such scores turn up by chance in so many tokens) make those of short
+and long documents comparable and add up all significant segments of one. A logistic curve on that evidence gives the
+score. Statistics and curve are fitted on documents that the log-odds used for them have not seen.
 """
 
 from __future__ import annotations
@@ -21,8 +22,10 @@ from loomlake.llm.common import map_rows
 from loomlake.session import materialize
 
 TOKEN = re.compile(r"[^\W\d_]+")
-#: Labelled documents that the model is fitted on, the first of them in hash order.
+#: Labelled documents that the model is fitted on, and rows of them, the first in hash order.
 SAMPLE_DOCS = 8_000
+#: Parts of the sample, each scored with the log-odds of the others, and segments of a document that are added up at most: more of them could not be told from certainty.
+FOLDS, ADDED = 5, 12
 #: Lengths of token beginnings that are units like the token itself; a longer token's rare forms share them.
 STEMS = (3, 4, 5, 6, 7)
 #: Cost of a token without evidence; standard deviations taken off each log-odds; prior counts as a share of the sample, and for a single unit at least.
@@ -81,12 +84,25 @@ class Model:
         """How many segments of at least ``score`` chance gives in ``n`` clean tokens."""
         return self.k * np.maximum(n, 1) * np.exp(-self.lam * np.maximum(score, 0))
 
-    def evidence(self, score: np.ndarray | float, n: np.ndarray | float):
-        """Minus log10 of the chance of so high a best segment in a clean document of ``n`` tokens."""
-        return -np.log10(np.maximum(-np.expm1(-self.expected(score, n)), 1e-30))
+    def evidence(self, scores: list[float], n: int) -> float:
+        """Minus log10 of the chance of segments like these in a clean document of ``n`` tokens.
+
+        For the r best segments together the chance is about e^-t t^(r-1) / (r! (r-1)!), t being the sum of their scores in units of chance
+        (Karlin and Altschul, 1993); of all r the least chance counts, times 2^r for having tried so many.
+        """
+        least = -np.log10(max(-np.expm1(-float(self.expected(scores[0] if scores else 0.0, n))), 1e-30))
+        t, usual, ways = 0.0, np.log(self.k * max(1, n)), 0.0
+        for r, s in enumerate(scores[:ADDED], 1):
+            own = self.lam * s - usual
+            if own <= 0:
+                break
+            t, ways = t + own, ways + np.log(r) + np.log(max(1, r - 1))
+            if r > 1 and t > r:
+                least = max(least, (t - (r - 1) * np.log(t) + ways - r * np.log(2)) / np.log(10))
+        return float(min(least, 30.0))
 
-    def chance(self, score: np.ndarray | float, n: np.ndarray | float):
-        return 1 / (1 + np.exp(-(self.a + self.b * self.evidence(score, n))))
+    def chance(self, evidence: np.ndarray):
+        return 1 / (1 + np.exp(-(self.a + self.b * evidence)))
 
 
 class Scorer:
@@ -107,29 +123,56 @@ class Scorer:
             out.append(s)
         return np.array(out)
 
-    def best(self, text: str) -> tuple[float, int, list[tuple[int, int, float]]]:
+    def segments(self, text: str) -> tuple[int, list[tuple[int, int, float]]]:
         scores = self.tokens(text)
-        segments = maximal_segments(scores)
-        return max((s for *_, s in segments), default=0.0), len(scores), segments
+        return len(scores), maximal_segments(scores)
+
+
+def best(segments: list[tuple[int, int, float]]) -> list[float]:
+    """Scores of the segments that are added up, the best first."""
+    return sorted((s for *_, s in segments), reverse=True)[:ADDED]
 
 
 def _sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, sample_docs: int) -> DataFrame:
+    """(text, y, fold) of at most ``sample_docs`` labelled documents and as many rows; equal rows count once."""
     named = labels.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{label_col}`").cast("int").alias("y")).dropna()
     named = named.where(F.crc32(F.col("id").cast("string").cast("binary")) % 5 != 0).groupBy("id").agg(F.max("y").alias("y"))
-    named = named.orderBy(F.xxhash64("id"), "id").limit(sample_docs)
-    return docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).where("text is not null").join(F.broadcast(named), "id").select("text", "y")
+    named = materialize(named.orderBy(F.xxhash64("id"), "id").limit(sample_docs), "toxic-labels")
+    text = F.col(f"`{text_col}`")
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), text.alias("text"), F.xxhash64(text).alias("tag")).where("text is not null").join(F.broadcast(named), "id")
+    # an id may stand on any number of rows: keys are counted first, without their texts
+    keys = rows.select("id", "tag").distinct().orderBy(F.xxhash64("id"), "id", "tag").limit(sample_docs)
+    some = rows.join(F.broadcast(materialize(keys, "toxic-keys")), ["id", "tag"], "left_semi").groupBy("id", "tag").agg(F.first("text").alias("text"), F.first("y").alias("y"))
+    return some.select("text", "y", F.pmod("tag", F.lit(FOLDS)).cast("int").alias("fold"))
+
+
+def _odds(toxic: dict[str, int], clean: dict[str, int], bad: int, good: int) -> dict[str, float]:
+    """Scores of the units whose log-odds are certain."""
+    scores, strength = {}, max(20.0, PRIOR_SHARE * (bad + good))
+    for u, y1 in toxic.items():
+        if y1 < max(3, bad // 400):
+            continue
+        y0 = clean.get(u, 0)
+        prior = max(LEAST_PRIOR, strength * (y1 + y0) / (bad + good))
+        odds = np.log((y1 + prior) / (bad + strength - y1)) - np.log((y0 + prior) / (good + strength - y0))
+        certain = odds - CERTAIN * np.sqrt(1 / (y1 + prior) + 1 / (y0 + prior))
+        if certain > 0:
+            scores[u] = round(float(certain), 6)
+    return scores
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_docs: int = SAMPLE_DOCS) -> Model:
     """A model from at most ``sample_docs`` labelled documents whose crc32(id) mod 5 is not 0.
 
-    Units are counted by documents on the cluster: first in the toxic ones, then, for units found in
-    several of these, in the clean ones. What comes to the driver is bounded by the sample. Without toxic
+    Units are counted by documents and fold on the cluster: first in the toxic ones, then, for units found in
+    several of these, in the clean ones. Each fold is scored with the log-odds of the others, and that fits statistics and curve; the
+    model itself has the log-odds of all. What comes to the driver is bounded by the sample. Without toxic
     or without clean labels no unit has evidence, and every text gets the same low score.
     """
+    spark = docs.sparkSession
     some = materialize(_sample(docs, labels, id_col, text_col, label_col, sample_docs), "toxic-sample").repartition(32)
-    n = {r["y"]: r["n"] for r in some.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
-    bad, good = n.get(1, 0), n.get(0, 0)
+    n = {(r["y"], r["fold"]): r["n"] for r in some.groupBy("y", "fold").agg(F.count(F.lit(1)).alias("n")).collect()}
+    bad, good = (sum(v for (y, _), v in n.items() if y == of) for of in (1, 0))
     if not bad or not good:
         return Model({}, a=-4.0, b=0.0)
 
@@ -139,48 +182,60 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
             def f(row: dict):
                 found = {u for t in set(TOKEN.findall(row["text"].lower())) for u in units(t)}
-                return [(u,) for u in (found & keep if keep is not None else found)]
+                return [(u, row["fold"]) for u in (found & keep if keep is not None else found)]
 
             return f
 
-        return map_rows(rows.select("text"), "unit string", make).groupBy("unit").agg(F.count(F.lit(1)).alias("n"))
+        each = map_rows(rows.select("text", "fold"), "unit string, fold int", make).groupBy("unit", "fold").agg(F.count(F.lit(1)).alias("n"))
+        folds = F.array(*[F.coalesce(F.sum(F.when(F.col("fold") == k, F.col("n"))), F.lit(0)) for k in range(FOLDS)])
+        return each.groupBy("unit").agg(F.sum("n").alias("n"), folds.alias("folds"))
 
-    toxic = {r["unit"]: r["n"] for r in counted(some.where("y = 1"), None).where(F.col("n") >= max(3, bad // 400)).toLocalIterator()}
-    shared = docs.sparkSession.sparkContext.broadcast(frozenset(toxic))
-    clean = {r["unit"]: r["n"] for r in counted(some.where("y = 0"), shared).toLocalIterator()}
-    scores, strength = {}, max(20.0, PRIOR_SHARE * (bad + good))
-    for u, y1 in toxic.items():
-        y0 = clean.get(u, 0)
-        prior = max(LEAST_PRIOR, strength * (y1 + y0) / (bad + good))
-        odds = np.log((y1 + prior) / (bad + strength - y1)) - np.log((y0 + prior) / (good + strength - y0))
-        certain = odds - CERTAIN * np.sqrt(1 / (y1 + prior) + 1 / (y0 + prior))
-        if certain > 0:
-            scores[u] = round(float(certain), 6)
-    model = Model(scores)
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    toxic = {r["unit"]: (r["n"], r["folds"]) for r in counted(some.where("y = 1"), None).where(F.col("n") >= max(3, bad // 400)).toLocalIterator()}
+    shared = spark.sparkContext.broadcast(frozenset(toxic))
+    clean = {r["unit"]: (r["n"], r["folds"]) for r in counted(some.where("y = 0"), shared).toLocalIterator()}
+    whole = lambda counts: {u: v for u, (v, _) in counts.items()}
+    without = lambda counts, k: {u: v - f[k] for u, (v, f) in counts.items()}
+    model = Model(_odds(whole(toxic), whole(clean), bad, good))
+    others = [Model(_odds(without(toxic, k), without(clean, k), max(1, bad - n.get((1, k), 0)), max(1, good - n.get((0, k), 0)))) for k in range(FOLDS)]
+    sent = spark.sparkContext.broadcast(others)
 
-    def make():
-        scorer = Scorer(sent.value)
+    def scored():
+        scorers = [Scorer(m, 100_000) for m in sent.value]
 
         def f(row: dict):
-            best, size, _ = scorer.best(row["text"])
-            tokens = scorer.tokens(row["text"])
-            return [(best, size, row["y"], float(np.exp(np.minimum(tokens, 20)).sum()) if len(tokens) else 0.0, tokens[tokens > 0].tolist())]
+            size, segments = scorers[row["fold"]].segments(row["text"])
+            return [(best(segments), size, row["y"])]
 
         return f
 
-    rows = sorted(tuple(r) for r in map_rows(some, "best double, n long, y int, total double, hits array<double>", make).toLocalIterator())
-    best, size, y = (np.array([r[i] for r in rows], float) for i in range(3))
-    hits = np.array([h for r in rows if r[2] == 0 for h in r[4]])
-    _calibrate(model, best, size, y, hits)
+    def found():
+        scorers = [Scorer(m, 100_000) for m in sent.value]
+
+        def f(row: dict):
+            values, counts = np.unique(np.round(scorers[row["fold"]].tokens(row["text"]), 3), return_counts=True)
+            return [(float(v), int(c)) for v, c in zip(values, counts) if v > 0]
+
+        return f
+
+    rows = sorted((list(r["best"]), r["n"], r["y"]) for r in map_rows(some, "best array<double>, n long, y int", scored).toLocalIterator())
+    hits = {r["v"]: r["n"] for r in map_rows(some.where("y = 0"), "v double, n long", found).groupBy("v").agg(F.sum("n").alias("n")).toLocalIterator()}
+    _calibrate(model, rows, hits)
     return model
 
 
-def _calibrate(model: Model, best: np.ndarray, size: np.ndarray, y: np.ndarray, hits: np.ndarray) -> None:
-    """lam: where the mean of exp(lam * score) of a clean token is 1. k: most likely given clean documents' best segments."""
+def _calibrate(model: Model, rows: list[tuple[list[float], int, int]], hits: dict[float, int]) -> None:
+    """lam: where the mean of exp(lam * score) of a clean token is 1. k: most likely given clean documents' best segments.
+
+    ``rows``: (best scores, tokens, label) of each document, ``hits``: how often clean documents' tokens have each positive score.
+    """
+    y = np.array([r[2] for r in rows], float)
+    top, size = np.array([max(r[0], default=0.0) for r in rows]), np.array([r[1] for r in rows], float)
     clean = y == 0
     tokens = max(1.0, size[clean].sum())
-    values, counts = np.unique(np.append(hits, max(model.units.values(), default=1.0)), return_counts=True)  # one more, so that none is impossible
+    hits = dict(hits)
+    most = max(model.units.values(), default=1.0)
+    hits[most] = hits.get(most, 0) + 1  # one more, so that none is impossible
+    values, counts = (np.array(x, float) for x in zip(*sorted(hits.items())))
     low, high = 1e-6, 20.0
     for _ in range(80):
         mid = (low + high) / 2
@@ -188,8 +243,8 @@ def _calibrate(model: Model, best: np.ndarray, size: np.ndarray, y: np.ndarray,
             mean = ((tokens - counts.sum()) * np.exp(-mid * GAP) + (counts * np.exp(mid * values)).sum()) / tokens
         low, high = (mid, high) if mean < 1 else (low, mid)
     model.lam = low
-    model.k = float(((best[clean] > 0).sum() + 0.5) / max(1e-9, (size[clean] * np.exp(-model.lam * best[clean])).sum()))
-    x = model.evidence(best, size)
+    model.k = float(((top[clean] > 0).sum() + 0.5) / max(1e-9, (size[clean] * np.exp(-model.lam * top[clean])).sum()))
+    x = np.array([model.evidence(r[0], r[1]) for r in rows])
     a, b = -3.0, 1.0
     for _ in range(100):  # Newton steps with a small ridge: the classes may be separable
         p = 1 / (1 + np.exp(-np.clip(a + b * x, -30, 30)))
@@ -221,13 +276,13 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                best, size, passages = [], [], []
+                evidence, size, passages = [], [], []
                 for text in part.column(2):
-                    s, n, segments = scorer.best(text.as_py() or "")
-                    best.append(s)
+                    n, segments = scorer.segments(text.as_py() or "")
+                    evidence.append(m.evidence(best(segments), n))
                     size.append(n)
                     passages.append([{"first": a, "end": z, "score": x, "expected": ex} for a, z, x in segments if (ex := float(m.expected(x, n))) < SIGNIFICANT])
-                score = m.chance(np.array(best), np.array(size, float))
+                score = m.chance(np.array(evidence))
                 yield pa.RecordBatch.from_pydict({id_col: part.column(0), "held_out": part.column(1), "score": pa.array(score), "predicted": pa.array((score >= 0.5).astype(np.int32)), "n_tokens": pa.array(size, pa.int64()), "passages": pa.array(passages, pa.list_(passage))})
 
     ids = F.col(f"`{id_col}`")
