@@ -115,7 +115,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 10, id_col
     Null and empty texts have no words; benchmark rows without words match nothing; a null item id is
     left out; items with equal windows are all found; repeated document rows each give a row. No shuffle
     for a benchmark of up to ``pass_bytes`` bytes, which is broadcast; a larger one is split by item into
-    parts of about that size, each searched in its own pass, and the spans are united by row.
+    parts of about that size, each searched in its own pass before the next one is sent, and the spans are united by row.
     """
     spark = docs.sparkSession
     bench = benchmark.select(F.col(f"`{item_col}`").cast("string").alias("item"), F.col(f"`{text_col}`").alias("text")).where("item is not null and text is not null")
@@ -168,9 +168,12 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 10, id_col
     from loomlake.session import materialize
 
     numbered = materialize(source.select(F.monotonically_increasing_id().alias("row"), F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")), "decontaminate")
-    found = spans_of(part(0))
-    for k in range(1, parts):
-        found = found.unionByName(spans_of(part(k)))
+    found = None
+    for k in range(parts):  # one part at a time is on the driver and on the executors
+        index = part(k)
+        one = materialize(spans_of(index), "decontaminate-spans")
+        index.destroy()
+        found = one if found is None else found.unionByName(one)
     joined = found.groupBy("row").agg(F.first("id").alias("id"), F.first("n_words").alias("n_words"), F.flatten(F.collect_list("a")).alias("a"), F.flatten(F.collect_list("z")).alias("z"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
     ordered = F.array_sort(F.arrays_zip("a", "z"))
     start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("reach"))
