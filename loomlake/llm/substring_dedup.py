@@ -99,7 +99,8 @@ def repeated_windows(docs: DataFrame, width: int) -> DataFrame:
     few = F.broadcast(firsts.where(hot).select("h1", "h2", "first"))
     rest = windows.join(few.select("h1", "h2"), ["h1", "h2"], "left_anti").join(firsts.where(~hot).select("h1", "h2", "first"), ["h1", "h2"])
     hits = windows.join(few, ["h1", "h2"]).select("id", "tag", "at", "first").unionByName(rest.select("id", "tag", "at", "first")).where("id > first")
-    return hits.groupBy("id", "tag").agg(F.collect_list("at").alias("places"))
+    # a set, as equal rows of one id have the same places, once each already before the shuffle
+    return hits.groupBy("id", "tag").agg(F.collect_set("at").alias("places"))
 
 
 def remove_repeats(docs: DataFrame, width: int = 50, id_col: str = "doc_id", text_col: str = "text", texts: bool = True) -> DataFrame:
