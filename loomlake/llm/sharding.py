@@ -24,30 +24,30 @@ def shard_bytes(docs: DataFrame, n_shards: int = 16, rows_per_range: int = 200_0
     The order of all rows by (md5 of text, id) is cut where the running size passes each multiple of
     total / ``n_shards`` (a row belongs where its middle byte lies), so shards differ by less than two rows'
     sizes. Slots count from 0 in that order. Rows with equal keys (the same id and text twice, or null
-    ids) get different slots in any order. An empty table gives no rows. Texts are read once; all further
+    ids) get different slots in the order of row numbers that are written with them, so many of them make many ranges. An empty table gives no rows. Texts are read once; all further
     steps use about 60 bytes a row. Boundaries on the driver: one key a range.
     """
     text = F.col(f"`{text_col}`")
     key = F.md5(F.coalesce(text, F.lit("")).cast("binary"))
     narrow = docs.select(F.col(f"`{id_col}`").alias("id"), (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long").alias("size"), F.coalesce(F.crc32(text.cast("binary")), F.lit(0)).cast("long").alias("crc"), key.alias("key"))
-    narrow = materialize(narrow, "shard")
+    narrow = materialize(narrow.withColumn("row", F.monotonically_increasing_id()), "shard")  # tells equal keys apart
     rows, total = narrow.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
     ranges = min(4096, max(48, -(-rows // rows_per_range)))
-    point = F.struct("key", F.col("id").cast("string").alias("id"))
+    point = F.struct("key", F.col("id").cast("string").alias("id"), "row")
     # each row is drawn with a chance in proportion to its size: about SAMPLES * ranges keys in all
     chance = F.col("size") * F.lit(SAMPLES * ranges / max(1, total))
-    drawn = narrow.where((F.pmod(F.xxhash64("key", "id", F.lit(7)), F.lit(1 << 30)) / F.lit(float(1 << 30))) < chance).select(point.alias("p"))
+    drawn = narrow.where((F.pmod(F.xxhash64("key", "id", "row", F.lit(7)), F.lit(1 << 30)) / F.lit(float(1 << 30))) < chance).select(point.alias("p"))
     place = F.ntile(ranges).over(W.orderBy("p"))
     bounds = [r[0] for r in drawn.select("p", place.alias("t")).groupBy("t").agg(F.min("p").alias("p")).where("t > 1").orderBy("p").select("p").toLocalIterator()]
     # 64 boundaries at a time, so that a row is compared with few of them however many ranges there are
     place_of = lambda cut: F.size(F.filter(cut, lambda s: s <= point))
-    keys = lambda some: F.array(*[F.struct(F.lit(b["key"]).alias("key"), F.lit(b["id"]).cast("string").alias("id")) for b in some])
+    keys = lambda some: F.array(*[F.struct(F.lit(b["key"]).alias("key"), F.lit(b["id"]).cast("string").alias("id"), F.lit(b["row"]).cast("long").alias("row")) for b in some])
     if bounds:
         coarse = place_of(keys(bounds[63::64])) if len(bounds) > 63 else F.lit(0)
         ranged = narrow.withColumn("coarse", coarse).withColumn("range", F.col("coarse") * 64 + place_of(F.slice(keys(bounds), F.col("coarse") * 64 + 1, 64)))
     else:
         ranged = narrow.withColumn("range", F.lit(0))
-    inside = W.partitionBy("range").orderBy("key", F.col("id").cast("string"), "size")
+    inside = W.partitionBy("range").orderBy("key", F.col("id").cast("string"), "row")
     upto = ranged.withColumn("upto", F.sum("size").over(inside.rowsBetween(W.unboundedPreceding, 0))).withColumn("n", F.row_number().over(inside).cast("long"))
     upto = materialize(upto, "ranges")
     before = W.orderBy("range").rowsBetween(W.unboundedPreceding, -1)
