@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from loomlake.llm.common import window_hashes, word_hashes
+from loomlake.session import materialize
 
 SPACE = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
@@ -154,13 +155,18 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_rows: int = SAMPLE_ROWS) -> Trees:
     """Trees from at most ``sample_rows`` labelled rows, the first in hash order, whose crc32(id) mod 5 is not 0.
 
-    Rows with a null id or label are left out, an id with several labels counts once with the largest.
+    Rows with a null id or label are left out, an id with several labels counts once with the largest, equal rows count once.
     Only the sample's statistics come to the driver.
     """
     named = labels.select(F.col(f"`{id_col}`").alias(id_col), F.col(f"`{label_col}`").cast("double").alias("__y")).dropna()
     named = named.where(F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 != 0).groupBy(id_col).agg(F.max("__y").alias("__y"))
     named = named.orderBy(F.xxhash64(id_col), id_col).limit(sample_rows)
-    some = docs.select(F.col(f"`{id_col}`").alias(id_col), F.col(f"`{text_col}`").alias("__text")).join(F.broadcast(named.select(id_col)), id_col, "left_semi")
+    named = materialize(named, "quality-labels")
+    text = F.col(f"`{text_col}`")
+    some = docs.select(F.col(f"`{id_col}`").alias(id_col), text.alias("__text"), F.xxhash64(text).alias("__tag")).join(F.broadcast(named.select(id_col)), id_col, "left_semi")
+    # an id may stand on any number of rows: keys are counted first, without their texts
+    keys = materialize(some.select(id_col, "__tag").distinct().orderBy(F.xxhash64(id_col), id_col, "__tag").limit(sample_rows), "quality-keys")
+    some = some.join(F.broadcast(keys), [id_col, "__tag"], "left_semi").groupBy(id_col, "__tag").agg(F.first("__text").alias("__text")).drop("__tag")
     rows = features(some, id_col, "__text").join(F.broadcast(named), id_col).select("features", "__y").toLocalIterator()
     data = sorted((tuple(r[0]), r[1]) for r in rows)  # the same model whatever the order of rows
     x, y = np.array([r[0] for r in data]).reshape(-1, len(FEATURES)), np.array([r[1] for r in data])
