@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -139,6 +140,25 @@ def test_html_keeps_sibling_articles():
     assert html_extract.main_text(teaser) == LONG
 
 
+@pytest.mark.parametrize("page", ["<span>" * 50_000 + "x" + "</i>" * 100_000, "<a " * 350_000, '<a "' * 250_000, "<a '\">" * 100_000, "<p>" + "<span>" * 20_000 + "<hr>" * 20_000, "<i><article>" + "<span>" * 20_000 + "</i>" * 20_000, "<table><tr>" + "<td><b>" * 20_000 + "<li>" * 20_000, "<!x " * 200_000])
+def test_html_takes_linear_time(page):
+    began = time.process_time()
+    html_extract.main_text(page)
+    assert time.process_time() - began < 5
+
+
+def test_html_parts_of_an_article_stay():
+    body = "<p>" + "Some text of the article. " * 5 + "</p>"
+    page = f"<body><article><div class='article-header'><h1>Title</h1></div>{body}<section id='related-work'><h2>Related work</h2><p>Others did this, too.</p></section><div class='related'><ul><li><a>One</a><li><a>Two</a></ul></div><div class='comments'><p>I like it</p></div></article></body>"
+    assert html_extract.main_text(page).split("\n\n") == ["Title", ("Some text of the article. " * 5).strip(), "Related work", "Others did this, too."]
+
+
+def test_html_threshold_decides_without_an_article():
+    text = "Words of a long paragraph that goes on and on. " * 12
+    page = f"<body><div class='menu'><a>Home</a><a>News</a></div><div><h1>Head</h1><div><p>{text}</p><p>{text}</p></div></div><div><p>{text}</p></div><div><a>far away</a> <a>and on</a> x</div><div>tiny</div></body>"
+    assert html_extract.main_text(page).split("\n\n") == ["Head", text.strip(), text.strip(), text.strip()]
+
+
 # ------------------------------------------------------------------ 3
 
 
@@ -187,6 +207,22 @@ def test_quality(spark, corpus):
     assert all(r.kept or r.base_failed for r in quality.quality(table(spark, corpus), labels.where("quality > 5")).collect())
 
 
+def test_quality_verdicts_on_held_out_labels(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    rows = quality.quality(docs, labels).join(labels, "doc_id").where("crc32(cast(cast(doc_id as string) as binary)) % 5 = 0 and not base_failed").select("kept", F.col("quality").alias("y")).collect()
+    for y in (0, 1):
+        mine = [r.kept == bool(y) for r in rows if r.y == y]
+        assert len(mine) > 50 and sum(mine) >= 0.95 * len(mine)
+
+
+def test_samples_are_bounded_by_rows(spark):
+    """One labelled id stands on thousands of rows, most of them equal."""
+    docs = spark.createDataFrame([(1, f"some words {i % 50}") for i in range(4000)] + [(i, f"other vile words {i}") for i in range(2, 60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i == 1), int(i > 1)) for i in range(1, 60)], "doc_id long, quality int, toxic int")
+    assert toxicity._sample(docs, labels, "doc_id", "text", "toxic", 30).count() <= 30
+    assert len(quality.quality(docs, labels).collect()) == docs.count()
+
+
 def test_trees_learn_and_are_monotone():
     rng = np.random.default_rng(0)
     x = rng.uniform(size=(3000, 3))
@@ -424,6 +460,19 @@ def test_secrets_of_a_long_token_and_of_many_matches(spark):
     assert [(x.start, x.end) for x in rows[2].base][:2] == [(0, 16), (17, 33)]
 
 
+def test_many_secrets_in_one_text(spark):
+    def seconds(n):
+        df = spark.createDataFrame([(1, " ".join(f"é token = abc{i:05d}x" for i in range(n)))], "doc_id long, text string")
+        began = time.time()
+        r = secrets.find_secrets(df, [0] * len(secrets.ALPHABET) ** 2).select("text", "spans", secrets.redacted(F.col("text"), F.col("spans")).alias("clean")).first()
+        assert [r.text[s.start : s.end] for s in r.spans[:: n // 7]] == [f"token = abc{i:05d}x" for i in range(0, n, n // 7)]
+        assert r.clean == " ".join(["é <SECRET>"] * n)
+        return time.time() - began
+
+    few = min(seconds(2000) for _ in range(2))
+    assert seconds(24_000) < 12 * few + 5
+
+
 def test_secrets_beside_columns_of_the_same_names(spark):
     key = "04dbebab91ab85687d33eeaaf9ac699e1188f962"
     names = ["id", "spans", "base", "tokens", "scores", "pieces", "given", "row", "free", "random", "hex_m"]
@@ -516,6 +565,30 @@ def test_sharding(spark, corpus, hot):
 # ------------------------------------------------------------------ shared parts
 
 
+def test_equal_rows_are_split_over_ranges(spark):
+    docs = spark.range(20_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("same").alias("text"))
+    rows = sharding.shard_bytes(docs, rows_per_range=500).collect()
+    assert sorted((r.shard, r.slot) for r in rows) == [(s, i) for s in range(16) for i in range(1250)]
+
+
+def test_decontamination_in_parts_with_null_ids(spark):
+    rng = random.Random(8)
+    items = [(None if i % 9 == 0 else f"i{i}", " ".join(words(rng, rng.randint(1, 30), 300))) for i in range(60)]
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    docs = table(spark, [f"{' '.join(words(rng, 20, 300))} {t} end" for _, t in items] + [None, ""], [None if i % 5 == 0 else i for i in range(62)])
+    one, many = (sorted(map(tuple, decontaminate.decontaminate(docs, bench, pass_bytes=b).collect()), key=repr) for b in (1 << 20, 1000))
+    assert one == many and any(r[-1] for r in one)
+
+
+def test_repeated_rows_of_one_id_count_places_once(spark):
+    rng = random.Random(3)
+    passage = " ".join(words(rng, 80, 10**6))
+    docs = table(spark, [passage] + [f"a {passage} b"] * 300, [1] + [2] * 300)
+    alone = docs.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("tag"), "text")
+    places = substring_dedup.repeated_windows(alone, 50).collect()
+    assert [(r.id, sorted(r.places)) for r in places] == [(2, list(range(1, 32)))]
+
+
 def test_sketch_never_underestimates(spark):
     texts = [" ".join(f"k{j}" for j in range(i, i + 5)) for i in range(200)] + [None]
     df = table(spark, texts).select("text")
