@@ -29,25 +29,38 @@ def remax(df: DataFrame, baselines: DataFrame, group: str = "uid", score: str =
     return df.join(baselines.select(group, baseline), group).withColumn("advantage", F.col(score) - F.col(baseline))
 
 
-def discounted(rewards: Column, mask: Column, gamma: float) -> Column:
-    """Discounted return of each token, from the end, starting anew where the mask is 0."""
-    first = F.struct(F.lit(0.0).alias("run"), F.array().cast("array<double>").alias("out"))
+#: Values that are gathered before they join all others, so that arrays are not copied for each value.
+TOGETHER = 128
+
+
+def _from_the_end(values: Column, step) -> Column:
+    """(run, shown) = step(run, x) of each of ``values`` from the last to the first; the shown numbers in the order of ``values``.
+
+    Results are appended in blocks and turned round once, so the time is near linear in the length.
+    """
+    state = lambda run, out: F.struct(run.alias("run"), out.alias("out"))
+    none, more = F.array().cast("array<double>"), F.array().cast("array<array<double>>")
+    back = F.reverse(values)
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(values) - 1) / TOGETHER).cast("int")), lambda i: F.slice(back, i * TOGETHER + 1, TOGETHER))
+
+    def inner(a: Column, x: Column) -> Column:
+        run, shown = step(a["run"], x)
+        return state(run, F.concat(a["out"], F.array(shown)))
+
+    outer = lambda a, block: F.get(F.transform(F.array(F.aggregate(block, state(a["run"], none), inner)), lambda r: state(r["run"], F.concat(a["out"], F.array(r["out"])))), 0)
+    return F.when(F.size(values) > 0, F.reverse(F.flatten(F.aggregate(blocks, state(F.lit(0.0), more), outer)["out"]))).otherwise(none)
 
-    def step(a: Column, x: Column) -> Column:
-        now = x["r"] + gamma * a["run"]
-        return F.struct((now * x["m"]).alias("run"), F.concat(F.array(now), a["out"]).alias("out"))
 
-    pairs = F.zip_with(F.reverse(rewards), F.reverse(mask), lambda r, m: F.struct(r.alias("r"), m.cast("double").alias("m")))
-    return F.aggregate(pairs, first, step, lambda a: a["out"])
+def discounted(rewards: Column, mask: Column, gamma: float) -> Column:
+    """Discounted return of each token, from the end, starting anew where the mask is 0."""
+    pairs = F.zip_with(rewards, mask, lambda r, m: F.struct(r.alias("r"), m.cast("double").alias("m")))
+    return _from_the_end(pairs, lambda run, x: ((x["r"] + gamma * run) * x["m"], x["r"] + gamma * run))
 
 
 def gae(rewards: Column, values: Column, gamma: float, lam: float) -> Column:
     """Generalised advantage of each token, not whitened: delta + gamma * lam * (advantage of the next token)."""
-    n = F.size(rewards)
     deltas = F.transform(rewards, lambda r, i: r + gamma * F.coalesce(F.get(values, i + 1), F.lit(0.0)) - F.get(values, i))
-    first = F.struct(F.lit(0.0).alias("run"), F.array().cast("array<double>").alias("out"))
-    step = lambda a, d: F.struct((d + gamma * lam * a["run"]).alias("run"), F.concat(F.array(d + gamma * lam * a["run"]), a["out"]).alias("out"))
-    return F.when(n > 0, F.aggregate(F.reverse(deltas), first, step, lambda a: a["out"])).otherwise(F.array().cast("array<double>"))
+    return _from_the_end(deltas, lambda run, d: (d + gamma * lam * run, d + gamma * lam * run))
 
 
 def gae_advantages(df: DataFrame, rewards: str, values: str, mask: str, gamma: float, lam: float) -> DataFrame:
@@ -108,7 +121,7 @@ def metrics(df: DataFrame, columns: list[str]) -> DataFrame:
     return values.groupBy("x.metric").agg(F.avg("x.v").alias("mean"), F.max("x.v").alias("max"), F.min("x.v").alias("min"), F.var_samp("x.v").alias("var"))
 
 
-def balance_shards(df: DataFrame, k: int, length: str = "length", order: str = "row_id", block: int = 200) -> DataFrame:
+def balance_shards(df: DataFrame, k: int, length: str = "length", order: str = "row_id", block: int | None = None) -> DataFrame:
     """Adds ``shard``: all rows by falling length go forth and back over the ``k`` shards.
 
     Disjoint, complete, sizes at most one apart. The rank is one over the whole table, taken in ``block`` sorted

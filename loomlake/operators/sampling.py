@@ -14,12 +14,17 @@ def dice(seed: int, *keys: str) -> Column:
     return F.sha1(F.concat_ws("||", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys]))
 
 
+def _first(df: DataFrame, order: Column, n: int) -> DataFrame:
+    """The first ``n`` rows in an order, where n may grow with the table: ranked in ranges, so no task holds them all."""
+    return global_rank(df.withColumn("__o", order), ["__o"], "__r").where(F.col("__r") < n).drop("__o", "__r")
+
+
 def sample(df: DataFrame, ratio: float, key: str, mode: str = "random", seed: int = 0) -> DataFrame:
     """max(1, floor(n * ratio)) rows: the first in random order, or every floor(n / k)-th in order of ``key``."""
     n = df.count()
     k = max(1, int(n * ratio))
     if mode == "random":
-        return df.orderBy(dice(seed, key)).limit(k)
+        return _first(df, dice(seed, key), k)
     step = max(1, n // k)
     ranked = global_rank(df, [key], "__r")
     return ranked.where((F.col("__r") % step == 0) & (F.col("__r") < step * k)).drop("__r")
@@ -33,7 +38,7 @@ def exact_n(df: DataFrame, n: int, key: str, seed: int = 0) -> DataFrame:
     whole, rest = divmod(n, size)
     parts = [df.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(whole - 1))))] if whole else []
     if rest:
-        parts.append(df.orderBy(dice(seed, key)).limit(rest).withColumn("copy", F.lit(whole)))
+        parts.append(_first(df, dice(seed, key), rest).withColumn("copy", F.lit(whole)))
     return reduce(DataFrame.unionByName, parts) if parts else df.limit(0).withColumn("copy", F.lit(0))
 
 
@@ -88,7 +93,7 @@ def pad_to(df: DataFrame, divisor: int, key: str) -> DataFrame:
     more = -n % divisor
     out = df.withColumn("pad", F.lit(False))
     while more > 0:
-        out = out.unionByName(df.orderBy(key).limit(more).withColumn("pad", F.lit(True)))
+        out = out.unionByName(_first(df, F.col(key), more).withColumn("pad", F.lit(True)))
         more -= min(more, max(1, n))
     return out
 

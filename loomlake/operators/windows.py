@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 
-def global_rank(df: DataFrame, order: list[str | Column], name: str, running: str | None = None, blocks: int = 200) -> DataFrame:
+def global_rank(df: DataFrame, order: list[str | Column], name: str, running: str | None = None, blocks: int | None = None) -> DataFrame:
     """Adds ``name``: the row's place (from 0) in the order of all rows; with ``running`` also ``__before``, the sum of
     that column over all earlier rows.
 
     Rows go to sorted range partitions; a small table has each partition's size. No task holds more than
-    its own range.
+    its own range. There are as many ranges as spark.sql.shuffle.partitions tells, or ``blocks`` of them.
     """
-    ranged = df.repartitionByRange(blocks, *order).withColumn("__b", F.spark_partition_id())
+    ranged = (df.repartitionByRange(blocks, *order) if blocks else df.repartitionByRange(*order)).withColumn("__b", F.spark_partition_id())
     inside = W.partitionBy("__b").orderBy(*order)
     ranged = ranged.withColumn("__n", F.row_number().over(inside))
     if running:

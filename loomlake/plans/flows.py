@@ -132,3 +132,78 @@ def _(spark, sf):
     out = scratch(spark, "blocks")
     X.run_available(X.stream_blocks(_event_stream(spark, sf), "uid", "row_id", "ts", 10, "20000 days"), out, scratch(spark, "mark"))
     return spark.read.parquet(out).select("uid", "row_id", "place", "block")
+
+
+@query("s2_read_json_list", "select doc_id, lang, length(text) as n from documents")
+def _(spark, sf):
+    """Documents as whole-file lists of up to 500, some bare, some under a key."""
+    path = scratch(spark, "lists")
+    d = spark.read.parquet(f"{sf}/documents.parquet").withColumn("g", F.floor(F.col("doc_id") / 500))
+    items = F.to_json(F.collect_list(F.struct("doc_id", "lang", "text")))
+    d.groupBy("g").agg(F.when(F.col("g") % 2 == 0, items).otherwise(F.concat(F.lit('{"samples": '), items, F.lit("}"))).alias("value")).write.partitionBy("g").text(path)
+    return S.read_json_list(spark, path, "doc_id: long, lang: string, text: string").select("doc_id", "lang", F.length("text").alias("n"))
+
+
+def _label_lines():
+    corner = F.concat_ws(" ", *[F.format_string("%.4f", v / 1000) for v in (F.col("cx") - F.col("w") / 2, F.col("cy") - F.col("h") / 2, F.col("cx") + F.col("w") / 2, F.col("cy") - F.col("h") / 2, F.col("cx") + F.col("w") / 2, F.col("cy") + F.col("h") / 2, F.col("cx") - F.col("w") / 2, F.col("cy") + F.col("h") / 2)])
+    return F.when(F.col("part") % 11 == 0, "no label").otherwise(F.concat_ws(" ", "class_id", corner))
+
+
+@query("s6_read_box_labels", f"select image_id // 500 as scene, count(*) as lines, count(*) filter (part % 11 = 0) as bad, round(sum(case when part % 11 > 0 then cx - w/2 end), 3) as x from ({O}) where image_id // 500 % 7 <> 3 group by 1")
+def _(spark, sf):
+    """Scenes of 500 images as label files in shares of the size."""
+    path = scratch(spark, "labels")
+    o = frame(spark, sf, OBJECTS).withColumn("scene", F.floor(F.col("image_id") / 500)).where("scene % 7 <> 3")
+    o.groupBy("scene").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("image_id", "object_index", _label_lines().alias("t")))), lambda x: x["t"]), "\n").alias("value")).write.partitionBy("scene").text(path)
+    rows = S.read_box_labels(spark, path, 1000, 1000, r"scene=([^/]+)/")
+    return rows.groupBy(F.col("image").cast("long").alias("scene")).agg(F.count(F.lit(1)).alias("lines"), F.count_if("bad").alias("bad"), F.round(F.sum(F.when(~F.col("bad"), F.get("points", 0)["x"])), 3).alias("x"))
+
+
+@query("s6_label_report", f"with s as (select image_id // 500 as scene, count(*) filter (part % 11 > 0) as objects, count(*) filter (part % 11 = 0) as bad_lines from ({O}) group by 1) select cast(scene as varchar) as image, case when scene % 7 = 3 then 'no_label' when bad_lines > 0 then 'bad_lines' else 'ok' end as status, case when scene % 7 = 3 then 0 else objects end as objects, case when scene % 7 = 3 then 0 else bad_lines end as bad_lines from s")
+def _(spark, sf):
+    """Scenes against their label lines; every seventh has no file."""
+    o = frame(spark, sf, OBJECTS).select(F.floor(F.col("image_id") / 500).cast("string").alias("image"), (F.col("part") % 11 == 0).alias("bad"))
+    return S.label_report(o, o.where("image % 7 <> 3"), "report")
+
+
+@query("s7_read_voc_xml", f"select image_id // 200 as scene, count(*) as objects, cast(sum(cx) as bigint) as x, count(*) filter (part % 3 <> 1) as called, min(case when part % 3 = 1 then 'the ' || class_name else class_name end) as first from ({O}) group by 1")
+def _(spark, sf):
+    """Annotation files of 200 images; the phrase and the box stand in several places."""
+    path = scratch(spark, "voc")
+    n, k = lambda c: F.col(c).cast("long").cast("string"), F.col("part") % 3
+    box = F.when(k == 2, F.concat(F.lit("<a/><b/><c><q>"), n("cx"), F.lit("</q><q>1</q><q>2</q><q>3</q></c><d>"), "class_name", F.lit("</d>"))).otherwise(F.concat(F.lit("<bndbox><ymin>1</ymin><xmin>"), n("cx"), F.lit("</xmin><xmax>2</xmax><ymax>3</ymax></bndbox>")))
+    said = F.when(k == 0, F.concat(F.lit("<name>"), "class_name", F.lit("</name>"))).when(k == 1, F.concat(F.lit("<name>no</name><phrase>the "), "class_name", F.lit("</phrase>"))).otherwise("")
+    one = F.concat(F.lit("<object>"), said, box, F.lit("</object>"))
+    o = frame(spark, sf, OBJECTS).withColumn("scene", F.floor(F.col("image_id") / 200))
+    o.groupBy("scene").agg(F.concat(F.lit("<annotation><filename>f"), F.col("scene").cast("string"), F.lit("</filename>"), F.array_join(F.collect_list(one), "\n"), F.lit("</annotation>")).alias("value")).write.partitionBy("scene").text(path, lineSep="\n")
+    rows = S.read_voc_xml(spark, path)
+    scene = F.substring("filename", 2, 20).cast("long")
+    return rows.groupBy(scene.alias("scene")).agg(F.count(F.lit(1)).alias("objects"), F.sum("x1").cast("long").alias("x"), F.count_if(~F.col("phrase").startswith("the ") & (F.col("y1") == 1) & (F.col("x2") == 2)).alias("__c"), F.min("phrase").alias("first")).withColumnRenamed("__c", "called")
+
+
+@query("s11_generation_parquet", "select count(*) filter (doc_id % 10 > 0) as written, count(*) filter (doc_id % 10 = 0 or doc_id % 4 = 0) as rejected, count(*) filter (doc_id % 10 = 0 and doc_id % 4 > 0) as without_id from documents")
+def _(spark, sf):
+    """A batch whose rows are all valid is written, one with invalid rows is rejected as a whole, with its errors."""
+    d = spark.read.parquet(f"{sf}/documents.parquet")
+    row = lambda bad: d.select("doc_id", F.when(F.col("doc_id") % 10 > 0, F.col("doc_id").cast("string")).alias("id"), F.when(bad, " ").otherwise("ask").alias("query"), F.lit("").alias("gt"), F.array(F.struct(F.lit("rgb").alias("modality"), F.lit("a").alias("name"))).alias("image"), F.lit("r").alias("image_root"), F.lit("s").alias("data_source"), F.lit("t").alias("task"))
+    good, wrong, none = (scratch(spark, n) for n in ("batch", "errors", "unwritten"))
+    S.to_generation_parquet(row(F.lit(False)).where("doc_id % 10 > 0"), good, wrong)
+    S.to_generation_parquet(row(F.col("doc_id") % 4 == 0), none, wrong)
+    errors = spark.read.parquet(wrong)
+    w = spark.read.parquet(good).agg(F.count(F.lit(1)).alias("written"))
+    return w.join(errors.agg(F.count(F.lit(1)).alias("rejected"), F.count_if(F.array_join("faults", ",") == "id").alias("without_id")), how="cross")  # one row each
+
+
+@query("s12_write_jsonl", f"select count(*) as n, cast(sum(object_index) as bigint) as total, count(distinct class_name) as classes from ({O})")
+def _(spark, sf):
+    path = scratch(spark, "jsonl-sink")
+    S.write_jsonl(frame(spark, sf, OBJECTS).select("image_id", "object_index", "class_name", F.array("cx", "cy").alias("center")), path)
+    j = spark.read.text(path).select(F.from_json("value", "image_id long, object_index long, class_name string, center array<double>").alias("j"))
+    return j.where("size(j.center) = 2").agg(F.count(F.lit(1)).alias("n"), F.sum("j.object_index").alias("total"), F.count_distinct("j.class_name").alias("classes"))
+
+
+@query("s13_write_csv", f"select image_id, object_index, class_name || ' ; ' || object_index as joined from ({O})")
+def _(spark, sf):
+    path = scratch(spark, "csv-sink")
+    S.write_csv(frame(spark, sf, OBJECTS).select("image_id", "object_index", F.array("class_name", F.col("object_index").cast("string")).alias("joined")), path)
+    return spark.read.csv(path, header=True, schema="image_id long, object_index long, joined string")

@@ -28,8 +28,8 @@ def objects(spark, sf):
 
 
 # the steps as SQL, each on top of the one before
-_EXT = f"""o as ({O}),
-e as (select image_id, object_index, list_filter([
+_EXT = f"""o as materialized ({O}),
+e as materialized (select image_id, object_index, list_filter([
   case when row_number() over (partition by image_id, class_id order by cx) = 1 and abs(lead(cx) over (partition by image_id, class_id order by cx) - cx) >= 25 then 'leftmost' end,
   case when row_number() over (partition by image_id, class_id order by cx desc) = 1 and abs(lead(cx) over (partition by image_id, class_id order by cx desc) - cx) >= 25 then 'rightmost' end,
   case when row_number() over (partition by image_id, class_id order by cy) = 1 and abs(lead(cy) over (partition by image_id, class_id order by cy) - cy) >= 25 then 'topmost' end,
@@ -42,19 +42,19 @@ def rel(dx: str, dy: str) -> str:
 
 
 _ANC = f"""{_EXT},
-lone as (select * from (select *, count(*) over (partition by image_id, class_id) as n from o) where n = 1),
-a as (select o.image_id, o.object_index, l.class_id as anchor_class, l.cx as anchor_x, l.cy as anchor_y, {rel('l.cx - o.cx', 'l.cy - o.cy')} as relation
+lone as materialized (select * from (select *, count(*) over (partition by image_id, class_id) as n from o) where n = 1),
+a as materialized (select o.image_id, o.object_index, l.class_id as anchor_class, l.cx as anchor_x, l.cy as anchor_y, {rel('l.cx - o.cx', 'l.cy - o.cy')} as relation
   from o join lone l on o.image_id = l.image_id and o.class_id <> l.class_id where sqrt((l.cx-o.cx)**2 + (l.cy-o.cy)**2) <= 0.35 * sqrt(2000000)
   qualify row_number() over (partition by o.image_id, o.object_index order by sqrt((l.cx-o.cx)**2 + (l.cy-o.cy)**2), l.object_index) = 1)"""
 _VAR = f"""{_ANC},
 r as (select *, case when rx = 1 and ry = 1 then 'central area' else ['upper', 'middle', 'lower'][ry + 1] || '-' || ['left', 'center', 'right'][rx + 1] || ' area' end as region
   from (select *, cast(least(2, floor(cx / 1000 * 3)) as int) as rx, cast(least(2, floor(cy / 1000 * 3)) as int) as ry from o)),
-d as (select r.*, e.extremes, a.anchor_class, a.anchor_x, a.anchor_y, a.relation from r join e using (image_id, object_index) left join a using (image_id, object_index)),
+d as materialized (select r.*, e.extremes, a.anchor_class, a.anchor_x, a.anchor_y, a.relation from r join e using (image_id, object_index) left join a using (image_id, object_index)),
 k as (select * from (values ('base', 1.0, 1, false, false), ('extreme', 4.0, 2, true, false), ('anchor', 3.6, 2, false, true), ('extreme_anchor', 6.6, 3, true, true)) t(kind, score, features, ue, ua)),
-v as (select d.*, k.*, 'the ' || (case when ue then extremes[1] || ' ' else '' end) || class_name || ' in the ' || region || (case when ua then ' ' || relation || ' the only object of class ' || cast(anchor_class as varchar) else '' end) as text
+v as materialized (select d.*, k.*, 'the ' || (case when ue then extremes[1] || ' ' else '' end) || class_name || ' in the ' || region || (case when ua then ' ' || relation || ' the only object of class ' || cast(anchor_class as varchar) else '' end) as text
   from d, k where (not ue or len(extremes) > 0) and (not ua or relation is not null))"""
 _RES = f"""{_VAR},
-m as (select v.image_id, v.object_index, v.kind, count(*) as n_matches, max(cast(c.object_index = v.object_index as int)) as own from v join d c on v.image_id = c.image_id and v.class_id = c.class_id and v.region = c.region
+m as materialized (select v.image_id, v.object_index, v.kind, count(*) as n_matches, max(cast(c.object_index = v.object_index as int)) as own from v join d c on v.image_id = c.image_id and v.class_id = c.class_id and v.region = c.region
   where (not v.ue or list_contains(c.extremes, v.extremes[1])) and (not v.ua or (sqrt((v.anchor_x-c.cx)**2 + (v.anchor_y-c.cy)**2) <= 0.35 * sqrt(2000000) and {rel('v.anchor_x - c.cx', 'v.anchor_y - c.cy')} = v.relation)) group by all),
 u as (select v.*, coalesce(n_matches, 0) as n_matches, coalesce(n_matches = 1 and own = 1, false) as is_unique from v left join m using (image_id, object_index, kind))"""
 _CHO = f"""{_RES},

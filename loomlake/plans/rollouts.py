@@ -114,7 +114,7 @@ def _(spark, sf):
     return R.metrics(rows(spark, sf), ["score", "length"]).select("metric", F.round("mean", 6).alias("mean"), "max", "min", F.round("var", 4).alias("var"))
 
 
-@query("w16_balance_shards")
+@query("w16_balance_shards", f"with r as (select length, row_number() over (order by length desc, row_id) - 1 as k from ({E})), s as (select length, case when (k // 8) % 2 = 0 then k % 8 else 7 - k % 8 end as shard from r) select cast(shard as int) as shard, count(*) as rows, cast(sum(length) as bigint) as tokens from s group by shard")
 def _(spark, sf):
     """Rows and lengths of eight balanced shards; a test holds it against the contract."""
     df = R.balance_shards(rows(spark, sf), 8)

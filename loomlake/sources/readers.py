@@ -30,7 +30,9 @@ def read_json_list(spark: SparkSession, path: str, item: str, keys: tuple[str, .
 
 def load_table(spark: SparkSession, path: str, kind: str | None = None, **options) -> DataFrame:
     """A table by its extension: csv (with header), json, jsonl, parquet or txt. ``path@split`` keeps rows of a split."""
-    path, _, part = path.partition("@")
+    # only what follows the last @ of the last step can name a split
+    head, at, part = path.rpartition("@")
+    path, part = (head, part) if at and head and "/" not in part else (path, "")
     kind = kind or path.rstrip("/").rsplit(".", 1)[-1].lower()
     if kind not in FORMATS:
         raise ValueError(f"no reader for {kind!r}; one of {sorted(FORMATS)}")
@@ -39,12 +41,12 @@ def load_table(spark: SparkSession, path: str, kind: str | None = None, **option
     return df.where(F.col("split") == part) if part else df
 
 
-def read_box_labels(spark: SparkSession, path: str, width: int, height: int) -> DataFrame:
+def read_box_labels(spark: SparkSession, path: str, width: int, height: int, name: str = r"([^/]+?)(?:\.\w+)?$") -> DataFrame:
     """Label files of lines "class x1 y1 ... x4 y4" (shares of the size, or pixels): one row a line.
 
-    ``bad`` names lines of other form; ``object_index`` counts the lines of a file in order.
+    ``bad`` names lines of other form; ``object_index`` counts the lines of a file in order. ``name``: where a file's path has its image's name.
     """
-    lines = spark.read.text(path, wholetext=True).select(F.regexp_extract(F.input_file_name(), r"([^/]+?)(?:\.\w+)?$", 1).alias("image"), F.posexplode(F.split("value", r"\r?\n")).alias("line", "text"))
+    lines = spark.read.text(path, wholetext=True).select(F.regexp_extract(F.input_file_name(), name, 1).alias("image"), F.posexplode(F.split("value", r"\r?\n")).alias("line", "text"))
     lines = lines.withColumn("parts", F.split(F.trim("text"), r"\s+")).where(F.trim("text") != "")
     v = F.transform(F.slice("parts", 2, 8), lambda x: x.try_cast("double"))
     lines = lines.withColumn("v", v)
@@ -55,15 +57,30 @@ def read_box_labels(spark: SparkSession, path: str, width: int, height: int) ->
     return out.withColumn("object_index", F.row_number().over(W.partitionBy("image").orderBy("line")) - 1)
 
 
+def label_report(images: DataFrame, labels: DataFrame, missing: str = "fail") -> DataFrame:
+    """(image, status, objects, bad_lines) of all ``images`` (image): no_label, bad_lines, or ok.
+
+    An image without a label file fails the job when the row is computed, unless ``missing`` is "report". A file without lines
+    leaves no row of ``labels`` and counts as absent.
+    """
+    n = labels.groupBy("image").agg(F.count_if(~F.col("bad")).alias("objects"), F.count_if("bad").alias("bad_lines"))
+    out = images.select("image").distinct().join(n, "image", "left")
+    absent = F.raise_error(F.concat(F.lit("no label file for image "), "image")).cast("string") if missing == "fail" else F.lit("no_label")
+    status = F.when(F.col("objects").isNull(), absent).when(F.col("bad_lines") > 0, "bad_lines").otherwise("ok")
+    return out.select("image", status.alias("status"), F.coalesce("objects", F.lit(0)).alias("objects"), F.coalesce("bad_lines", F.lit(0)).alias("bad_lines"))
+
+
 def read_voc_xml(spark: SparkSession, path: str) -> DataFrame:
-    """Objects of annotation XML files: filename, phrase, x1, y1, x2, y2, by XPath; one row an object."""
-    files = spark.read.text(path, wholetext=True).withColumn("n", F.expr("xpath_int(value, 'count(//object)')")).where("n > 0")
-    each = files.select(F.expr("xpath_string(value, '//filename')").alias("filename"), F.explode(F.sequence(F.lit(1), "n")).alias("i"), "n", "value")
-    names = ("content", "phrase", "text", "description", "name")
-    values = {k: F.expr(f"xpath(value, '//object/{k}/text()')") for k in names}
-    first = F.coalesce(*[F.when(F.size(values[k]) == F.col("n"), F.get(values[k], F.col("i") - 1)) for k in names])
-    side = lambda k: F.get(F.expr(f"xpath(value, '//object/bndbox/{k}/text()')"), F.col("i") - 1).cast("double")
-    return each.select("filename", F.col("i").alias("object"), first.alias("phrase"), side("xmin").alias("x1"), side("ymin").alias("y1"), side("xmax").alias("x2"), side("ymax").alias("y2"))
+    """Objects of annotation XML files: filename, object (from 1), phrase, x1, y1, x2, y2, by XPath; one row an object.
+
+    The phrase is the first filled one of content, phrase, text, description and name, else the object's fourth child; the box is
+    bndbox (by its names, else in order), else the third child's four children. What an object lacks is null.
+    """
+    files = spark.read.text(path, wholetext=True).select(F.expr("xpath_string(value, '//filename')").alias("filename"), F.posexplode(F.regexp_extract_all("value", F.lit(r"(?s)<object(?:\s[^>]*)?>.*?</object>"), F.lit(0))).alias("i", "o"))
+    told = lambda p: F.nullif(F.trim(F.expr(f"xpath_string(o, '{p}')")), F.lit(""))
+    phrase = F.coalesce(*[told(f"/object/{k}") for k in ("content", "phrase", "text", "description", "name")], told("/object/*[4]"))
+    side = lambda k, i: F.coalesce(told(f"/object/bndbox/{k}"), told(f"/object/bndbox/*[{i}]"), told(f"/object/*[3]/*[{i}]")).try_cast("double")
+    return files.select("filename", (F.col("i") + 1).alias("object"), phrase.alias("phrase"), *[side(k, i).alias(c) for i, (k, c) in enumerate((("xmin", "x1"), ("ymin", "y1"), ("xmax", "x2"), ("ymax", "y2")), 1)])
 
 
 def filter_by_index(df: DataFrame, index: DataFrame, key: str) -> DataFrame:
@@ -95,6 +112,30 @@ def merge_sources(sources: dict[str, DataFrame], path: str = "image", split: str
     return out.withColumn("k", k).withColumn("new_path", F.when(F.col("k") > 0, suffixed).otherwise(F.col("new_path"))).drop("k")
 
 
+#: The columns of a generation table.
+GENERATION = "id string, query string, gt string, image array<struct<modality:string,name:string>>, image_root string, data_source string, task string"
+
+
+def to_generation_parquet(df: DataFrame, path: str, errors: str, schema: str = GENERATION) -> int:
+    """Writes ``df`` as a table of exactly the columns of ``schema`` at ``path`` if every row is valid; returns 0.
+
+    A row is invalid if one of these is null, or an empty text or array where no answer is meant (all but gt). If any row is, nothing is written at
+    ``path``: the invalid rows go to ``errors`` with the names of their faults, and their number is returned.
+    """
+    kind = StructType.fromDDL(schema)
+    rows = df.select(*[(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in kind])
+    empty = lambda f: F.size(f.name) == 0 if f.dataType.typeName() == "array" else F.trim(F.col(f.name)) == "" if f.name != "gt" else F.lit(False)
+    faults = F.array_compact(F.array(*[F.when(F.col(f.name).isNull() | empty(f), F.lit(f.name)) for f in kind]))
+    rows = rows.withColumn("faults", faults)
+    bad = rows.where(F.size("faults") > 0)
+    n = bad.count()
+    if n:
+        bad.write.parquet(errors)
+    else:
+        rows.drop("faults").write.parquet(path)
+    return n
+
+
 def write_jsonl(df: DataFrame, path: str) -> None:
     df.write.json(path)
 

@@ -37,3 +37,35 @@ def test_jsonl_modes(spark, tmp_path):
         S.read_jsonl(spark, path, "a long").collect()
     with pytest.raises(ValueError):
         S.load_table(spark, "x.arrow")
+
+
+def test_labels_are_reported(spark, tmp_path):
+    (tmp_path / "P1.txt").write_text("1 0.1 0.1 0.2 0.1 0.2 0.2 0.1 0.2\nbad line\n")
+    labels = S.read_box_labels(spark, str(tmp_path), 100, 200)
+    images = spark.createDataFrame([("P1",), ("P2",)], "image string")
+    assert sorted(map(tuple, S.label_report(images, labels, "report").collect())) == [("P1", "bad_lines", 1, 1), ("P2", "no_label", 0, 0)]
+    with pytest.raises(Exception, match="no label file for image P2"):
+        S.label_report(images, labels).collect()
+
+
+def test_voc_xml_of_objects_with_other_children(spark, tmp_path):
+    box = "<bndbox><xmin>1</xmin><ymin>2</ymin><xmax>3</xmax><ymax>4</ymax></bndbox>"
+    (tmp_path / "a.xml").write_text(f"<annotation><filename>i.jpg</filename><object>{box}<name> </name><text>a tank</text></object><object><a/><b/><c><q>5</q><q>6</q><q>7</q><q>8</q></c><d> grey ship </d></object><object><name>x</name></object></annotation>")
+    rows = S.read_voc_xml(spark, str(tmp_path)).orderBy("object").collect()
+    assert [tuple(r)[1:] for r in rows] == [(1, "a tank", 1.0, 2.0, 3.0, 4.0), (2, "grey ship", 5.0, 6.0, 7.0, 8.0), (3, "x", None, None, None, None)]
+
+
+def test_splits_of_paths_with_signs(spark, tmp_path):
+    spark.createDataFrame([(1, "a"), (2, "b")], "x int, split string").write.parquet(f"{tmp_path}/me@home/t.parquet")
+    assert S.load_table(spark, f"{tmp_path}/me@home/t.parquet").count() == 2
+    assert [r.x for r in S.load_table(spark, f"{tmp_path}/me@home/t.parquet@b").collect()] == [2]
+
+
+def test_a_batch_with_errors_is_rejected_as_a_whole(spark, tmp_path):
+    image = [("rgb", "a.png")]
+    ok = ("1", "q", "", image, "r", "s", "t")
+    df = lambda *rows: spark.createDataFrame(list(rows), S.GENERATION)
+    assert S.to_generation_parquet(df(ok), f"{tmp_path}/good", f"{tmp_path}/e1") == 0
+    assert [tuple(r) for r in spark.read.parquet(f"{tmp_path}/good").select("id", "gt", "task").collect()] == [("1", "", "t")]
+    assert S.to_generation_parquet(df(ok, (None, "q", None, [], "r", "s", "t")), f"{tmp_path}/bad", f"{tmp_path}/e2") == 1
+    assert not (tmp_path / "bad").exists() and spark.read.parquet(f"{tmp_path}/e2").first().faults == ["id", "gt", "image"]
