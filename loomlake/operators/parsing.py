@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from loomlake.operators import geometry as G
+from loomlake.operators.joins import canonical_class
+
 NUMBER = r"-?\d+(?:\.\d+)?"
 
 
@@ -74,3 +77,55 @@ def parse_message(text: Column) -> Column:
     j = F.from_json(text, "action string, thinking string, question string, answer string")
     ok = ((j["action"] == "inspect") & (F.trim(j["question"]) != "")) | ((j["action"] == "final") & (F.trim(j["answer"]) != ""))
     return F.when(ok, j)
+
+
+def structured_answer(text: Column) -> Column:
+    """(class_name, values) of "class|eight numbers"; values are null with another number of them, or without a bar."""
+    t = F.trim(F.coalesce(text, F.lit("")))
+    numbers = F.transform(F.regexp_extract_all(F.regexp_extract(t, r"(?s)^[^|]*\|(.*)$", 1), F.lit(NUMBER), F.lit(0)), lambda v: v.cast("double"))
+    return F.struct(canonical_class(F.substring_index(t, "|", 1)).alias("class_name"), F.when(F.contains(t, F.lit("|")) & (F.size(numbers) == 8), numbers).alias("values"))
+
+
+def rule_verdict(prompt: Column, least_iou: float = 0.1, ratio: float = 0.35) -> Column:
+    """ACCEPT, or REJECT with the reason, of a verifier's prompt "Query: ... Answer: ... GT: ..."; null for a prompt of other form.
+
+    Both must name a class, the same one. Where the query asks for a class, or the truth has no corners, that is all; else the
+    answer needs corners of a simple quadrilateral whose box meets the truth's by ``least_iou`` and whose centre lies in it, widened by ``ratio``.
+    """
+    form = r"(?is)(?:^|.*?\n)Query:\s*(.*?)\nAnswer:\s*(.*?)\nGT:\s*([^\n]*)\s*$"
+    query, said, truth = (F.regexp_extract(prompt, form, i) for i in (1, 2, 3))
+
+    def told(x: Column) -> Column:
+        p, g = x["p"], x["g"]
+        corners = lambda v: F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: G.point(F.get(v, i * 2), F.get(v, i * 2 + 1)))
+        box = lambda v: [G.hbb(corners(v))[k] for k in ("x1", "y1", "x2", "y2")]
+        a, b, status = box(p["values"]), box(g["values"]), G.quad_status(corners(p["values"]))
+        iou = G.iou(a, b)
+        asks = x["q"].rlike(r"(?i)\b(?:which|what)\b[^?.]*\b(?:category|class)\b|classif")
+        near = (iou >= least_iou) & G.center_in_expanded((a[0] + a[2]) / 2, (a[1] + a[3]) / 2, b, ratio, 1.0)
+        return (
+            F.when(p["class_name"].isNull() | g["class_name"].isNull(), "REJECT: answer is not a valid canonical label or structured grounding output")
+            .when(p["class_name"] != g["class_name"], "REJECT: canonical class mismatch").when(asks | g["values"].isNull(), "ACCEPT").when(p["values"].isNull(), "REJECT: missing complete clockwise OBB")
+            .when(status != "ok", F.concat(F.lit("REJECT: invalid predicted OBB ("), status, F.lit(")"))).when(~near, F.concat(F.lit("REJECT: predicted region mismatches target geometry (HBB IoU="), F.format_string("%.3f", iou), F.lit(")"))).otherwise("ACCEPT")
+        )
+
+    parsed = F.array(F.struct(query.alias("q"), structured_answer(said).alias("p"), structured_answer(truth).alias("g")))
+    return F.when(prompt.rlike(form), F.get(F.transform(parsed, told), 0))
+
+
+def tagged_message(text: Column) -> Column:
+    """(action, thinking, question, answer) of a message in JSON, else in tags: <question> inspects, <answer> or "Final Answer:" ends; null where
+    neither form holds, or both a question and an answer are there."""
+    j = parse_message(text)
+    tag = lambda t: F.nullif(F.trim(F.regexp_extract(text, rf"(?is)<{t}>(.*?)</{t}>", 1)), F.lit(""))
+    question, answer = tag("question"), F.coalesce(tag("answer"), F.nullif(F.trim(F.regexp_extract(text, r"(?i)\[?Final Answer\]?\s*:\s*(.+)", 1)), F.lit("")))
+    one = question.isNull() != answer.isNull()
+    tags = F.struct(F.when(question.isNotNull(), "inspect").otherwise("final").alias("action"), F.coalesce(tag("thinking"), tag("think")).alias("thinking"), question.alias("question"), answer.alias("answer"))
+    return F.coalesce(j, F.when(one, tags))
+
+
+def verifier_json(text: Column) -> Column:
+    """(passed, score, reason) of a verifier's JSON object; the score from 0 to 1, 0 if it is no number; null for other texts."""
+    j = F.from_json(F.regexp_extract(text, r"(?s)(\{.*\})", 1), "pass boolean, score string, reason string")
+    score = F.coalesce(j["score"].try_cast("double"), F.lit(0.0))
+    return F.when(j["pass"].isNotNull() | j["score"].isNotNull(), F.struct(F.coalesce(j["pass"], F.lit(False)).alias("passed"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)).alias("score"), F.coalesce(j["reason"], F.lit("")).alias("reason")))

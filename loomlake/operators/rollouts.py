@@ -121,6 +121,26 @@ def metrics(df: DataFrame, columns: list[str]) -> DataFrame:
     return values.groupBy("x.metric").agg(F.avg("x.v").alias("mean"), F.max("x.v").alias("max"), F.min("x.v").alias("min"), F.var_samp("x.v").alias("var"))
 
 
+def token_metrics(df: DataFrame, tokens: list[str], mask: str, most: int, values: str | None = None, returns: str = "returns") -> DataFrame:
+    """(metric, mean, max, min) of token arrays over tokens where ``mask`` is 1; of response_length, with the share of responses of ``most``
+    tokens as clip_ratio; and with ``values`` explained_variance: 1 - var(returns - values) / (var(returns) + 1e-5).
+
+    One pass explodes all arrays side by side; one aggregation sums them.
+    """
+    every = [*tokens, *([values] if values and values not in tokens else [])]
+    t = df.select(F.explode(F.arrays_zip(*[F.col(c).alias(c) for c in every], F.col(mask).alias("__m"))).alias("t")).where("t.__m = 1")
+    cols = [x for c in every for x in (F.avg(f"t.{c}").alias(f"{c}.mean"), F.max(f"t.{c}").cast("double").alias(f"{c}.max"), F.min(f"t.{c}").cast("double").alias(f"{c}.min"))]
+    if values:
+        cols.append((1 - F.var_samp(F.col(f"t.{returns}") - F.col(f"t.{values}")) / (F.var_samp(f"t.{returns}") + 1e-5)).alias("explained"))
+    one = t.agg(*cols)
+    n = F.aggregate(mask, F.lit(0), lambda a, v: a + v)
+    lengths = df.select(n.alias("n")).agg(F.avg("n").alias("mean"), F.max("n").cast("double").alias("max"), F.min("n").cast("double").alias("min"), F.avg((F.col("n") == most).cast("double")).alias("clip"))
+    row = lambda name, *v: F.struct(F.lit(name).alias("metric"), *[x.cast("double").alias(k) for x, k in zip(v, ("mean", "max", "min"))])
+    none = F.lit(None)
+    a = one.select(F.inline(F.array(*[row(c, *[F.col(f"`{c}.{k}`") for k in ("mean", "max", "min")]) for c in every], *([row("explained_variance", F.col("explained"), none, none)] if values else []))))
+    return a.union(lengths.select(F.inline(F.array(row("response_length", F.col("mean"), F.col("max"), F.col("min")), row("clip_ratio", F.col("clip"), none, none)))))
+
+
 def balance_shards(df: DataFrame, k: int, length: str = "length", order: str = "row_id", block: int | None = None) -> DataFrame:
     """Adds ``shard``: all rows by falling length go forth and back over the ``k`` shards.
 

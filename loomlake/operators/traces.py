@@ -220,8 +220,16 @@ def final_only(df: DataFrame, query: str, answer: str, thinking: bool = True) ->
     return df.withColumn("messages", F.when(a != "", F.array(turn("user", F.trim(query)), turn("assistant", said))))
 
 
-def matched_datasets(direct: DataFrame, finals: DataFrame, traces: DataFrame) -> DataFrame:
-    """Both training sets in one table, ``dataset`` A (direct and final-only rows) and B (direct rows and traces)."""
+def matched_datasets(direct: DataFrame, finals: DataFrame, traces: DataFrame, key: str | None = None) -> DataFrame:
+    """Both training sets in one table, ``dataset`` A (direct and final-only rows) and B (direct rows and traces).
+
+    With ``key`` the job fails unless finals and traces have the same keys, each as often: then the sets differ in their answers only.
+    """
+    if key:
+        side = lambda df, n: df.select(key, F.lit(n).alias("__n"))
+        odd = side(finals, 1).unionByName(side(traces, -1)).groupBy(key).agg(F.sum("__n").alias("n")).where("n <> 0")
+        wrong = odd.agg(F.count(F.lit(1)).alias("__odd"))
+        traces = traces.join(F.broadcast(wrong), how="cross").withColumn("__odd", F.when(F.col("__odd") > 0, F.raise_error(F.concat(F.lit("training sets differ in "), F.col("__odd").cast("string"), F.lit(" keys"))))).where("__odd is null").drop("__odd")  # one row
     a, b = (direct.unionByName(x).withColumn("dataset", F.lit(n)) for x, n in ((finals, "A"), (traces, "B")))
     return a.unionByName(b)
 

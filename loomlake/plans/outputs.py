@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from loomlake.operators import parsing as P, rules as U
+from loomlake.operators.joins import LEAK_WORDS
 from loomlake.plans.fixtures import OBJECTS, ROLLOUTS, duck, frame
 
 QUERIES, ORACLES = {}, {}
@@ -112,3 +113,72 @@ def _(spark, sf):
     """Turns as observations; every fifth one ends in a service's error."""
     said = F.concat("text", F.when(F.col("turn") % 5 == 4, " APIConnectionError: refused").otherwise(""))
     return spark.read.parquet(f"{sf}/conversations.parquet").select("conv_id", "turn", U.usable_evidence(said).alias("usable"))
+
+
+_GROUND = f"""select *, cast(floor(cx - w / 2) as int) as a, cast(floor(cy - h / 2) as int) as b, cast(floor(cx + w / 2) as int) as c, cast(floor(cy + h / 2) as int) as d, part % 41 - 20 as s, part % 7 as k from ({OBJECTS}) o"""
+
+
+@query("p5_rule_verdict", f"""with o as ({duck(_GROUND)}), i as (select *, greatest(0, c - a - abs(s)) * (d - b) as i, 2.0 * (c - a) * (d - b) as u from o)
+ select image_id, object_index, case k when 0 then null when 1 then 'REJECT: answer is not a valid canonical label or structured grounding output' when 2 then case when class_name = 'ship' then 'ACCEPT' else 'REJECT: canonical class mismatch' end when 3 then 'ACCEPT' when 4 then 'REJECT: missing complete clockwise OBB'
+  when 5 then 'REJECT: invalid predicted OBB (repeated_points)' else case when i / (u - i) >= 0.1 and abs(s) <= greatest(1, (c - a) * 0.35) + (c - a) / 2.0 then 'ACCEPT' else 'REJECT: predicted region mismatches target geometry' end end as verdict from i""")
+def _(spark, sf):
+    """Prompts of another form, of unknown and wrong classes, about classes, without corners, with double ones, and with moved boxes."""
+    n = lambda *v: F.concat_ws(",", *[x.cast("string") for x in v])
+    a, b, c, d, s, k = map(F.col, ("a", "b", "c", "d", "s", "k"))
+    truth = F.concat("class_name", F.lit("|"), n(a, b, c, b, c, d, a, d))
+    said = F.when(k == 1, "a cow").when(k == 2, "ship").when(k == 3, F.col("class_name")).when(k == 4, F.concat("class_name", F.lit("|1,2,3"))).when(k == 5, F.concat("class_name", F.lit("|"), n(a, b, a, b, c, d, a, d))).otherwise(F.concat("class_name", F.lit("|"), n(a + s, b, c + s, b, c + s, d, a + s, d)))
+    asks = F.when(k.isin(2, 3), "Which class is it?").otherwise("Where\nis it?")
+    prompt = F.when(k == 0, truth).otherwise(F.concat(F.lit("Judge.\nQuery: "), asks, F.lit("\nAnswer: "), said, F.lit("\nGT: "), truth))
+    return frame(spark, sf, _GROUND).select(*ID, F.regexp_replace(P.rule_verdict(prompt), r" \(HBB.*", "").alias("verdict"))
+
+
+@query("p8_tagged_messages", f"select row_id, case row_id % 6 when 0 then 'inspect' when 1 then 'final' when 2 then 'inspect' when 3 then 'final' end as action, case row_id % 6 when 0 then 'what' when 1 then event_type when 2 then 'which ' || event_type when 3 then event_type end as said, case when row_id % 6 in (2, 3) then 'hm' end as thinking from ({E})")
+def _(spark, sf):
+    """JSON, tags, both a question and an answer, and neither."""
+    k, e = F.col("row_id") % 6, F.col("event_type")
+    t = F.when(k == 0, '{"action": "inspect", "question": "what"}').when(k == 1, F.concat(F.lit('{"action": "final", "answer": "'), e, F.lit('"}'))).when(k == 2, F.concat(F.lit("<Think>hm</Think><question> which "), e, F.lit("</question>"))).when(k == 3, F.concat(F.lit("<thinking>hm</thinking>\n[Final Answer]: "), e)).when(k == 4, F.concat(F.lit("<question>a</question> Final Answer: "), e)).otherwise("nothing")
+    return frame(spark, sf, ROLLOUTS).withColumn("m", P.tagged_message(t)).select("row_id", "m.action", F.coalesce("m.question", "m.answer").alias("said"), "m.thinking")
+
+
+@query("p8_verifier_json", f"select row_id, case row_id % 4 when 0 then true when 3 then null else false end as passed, case row_id % 4 when 0 then least(1, tokens / 50.0) when 3 then null else 0 end as score from ({E})")
+def _(spark, sf):
+    k = F.col("row_id") % 4
+    t = F.when(k == 0, F.concat(F.lit('so {"pass": true, "score": '), (F.col("tokens") / 50).cast("string"), F.lit(', "reason": "x"}'))).when(k == 1, '{"pass": false, "score": -2}').when(k == 2, '{"score": "high"}').otherwise("no object")
+    return frame(spark, sf, ROLLOUTS).withColumn("v", P.verifier_json(t)).select("row_id", "v.passed", "v.score")
+
+
+_TALKS = "select p_partkey, p_name, p_size, case p_size % 5 when 0 then 'yes' when 1 then cast(p_size as {string}) when 2 then 'The ' || p_name when 3 then 'three ' || p_name else '' end as truth, case p_partkey % 6 when 0 then 'Answer: ' || p_name when 1 then 'YES, I see ' || cast(p_size as {string}) || ' of a ' || p_name when 2 then 'no or yes' when 3 then '<b>3</b> ' || p_name || '!' when 4 then cast(p_size as {string}) || '0 things' else 'the answer is: ' || cast(p_size as {string}) end as said from {part}"
+
+
+@query("a18_answer_rules", f"""with t as ({_TALKS.replace('{string}', 'varchar').replace('{part}', 'part')}),
+ n as (select *, case p_size % 5 when 2 then p_name when 3 then '3 ' || p_name else truth end as a, case p_partkey % 6 when 0 then p_name when 1 then 'yes i see ' || p_size || ' of ' || p_name when 2 then 'no or yes' when 3 then '3 ' || p_name when 4 then p_size || '0 things' else cast(p_size as varchar) end as b from t)
+ select p_partkey, p_size % 5 < 4 and (a = b or case p_size % 5 when 0 then p_partkey % 6 = 1 when 1 then regexp_extract(b, '[0-9]+') = a else contains(' ' || b || ' ', ' ' || a || ' ') end) as right from n""")
+def _(spark, sf):
+    """Answers with prefixes, tags, articles, number words and more words around."""
+    t = spark.sql(_TALKS.replace("{string}", "string"), part=spark.read.parquet(f"{sf}/part.parquet"))
+    return t.select("p_partkey", U.answer_holds(F.col("truth"), F.col("said")).alias("right"))
+
+
+_LEAKY = f"""select image_id, object_index, class_name, part, supp, concat('the ', case part % 4 when 0 then 'Roughly Vertical' when 1 then 'diagonally descending' else 'grey' end, ' one') as ground,
+ concat('what is the ', case supp % 6 when 0 then class_name when 1 then 'tanks' when 2 then 'Boat' when 3 then 'thing' when 4 then 'roughly horizontal thing' else 'tanker' end, ' there') as asked from ({OBJECTS}) o"""
+
+
+@query("f2_class_leaks", f"""select image_id, object_index, array_to_string(list_filter([case when class_name in ('storage tank', 'harbor') and (part % 4 = 0 or supp % 6 = 4) then 'unstable_orientation_phrase' end, case when supp % 6 = 0 then 'classification_label_leak' end,
+ case when supp % 6 = 0 or supp % 6 = 1 and class_name = 'storage tank' or supp % 6 = 2 and class_name = 'ship' then 'classification_alias_leak' end], lambda x: x is not null), ',') as flags from ({duck(_LEAKY)})""")
+def _(spark, sf):
+    return frame(spark, sf, _LEAKY).select(*ID, F.array_join(U.class_leaks(F.col("ground"), F.col("asked"), F.col("class_name"), LEAK_WORDS), ",").alias("flags"))
+
+
+@query("f14_contract_reasons", f"""select image_id, object_index, case when line = 7 then 'messages_invalid' when line = 6 then 'images_invalid' else array_to_string(list_filter([case when part % 5 = 0 then 'image_tag_count_mismatch' end, case when supp % 7 = 0 then 'last_message_not_assistant' end, case when part % 9 = 8 then 'assistant_content_empty' end,
+ case when supp % 2 = 0 and part % 9 = 0 then 'opening_think' end, case when supp % 2 = 0 and part % 9 > 2 then 'missing_closing_think' end, case when supp % 2 = 0 and part % 3 = 0 then 'final_not_teacher_forced' end,
+ case when supp % 2 = 1 and line = 1 and part % 9 <> 3 then 'direct_detection_markers_missing' end, case when supp % 2 = 1 and line = 2 and part % 9 not in (0, 1, 2, 4) then 'final_only_gt_mismatch' end], lambda x: x is not null), ',') end as reasons from ({O})""")
+def _(spark, sf):
+    """Traces (even suppliers) and other rows whose answers, roles, marks and images break the contracts in turn."""
+    k, c = F.col("part") % 9, F.col("class_name")
+    text = F.when(k == 0, F.concat(F.lit("<think>a</think> "), c)).when(k.isin(1, 2), F.concat(F.lit("a</think>\n"), c)).when(k == 3, "FINAL_DETECTIONS\nEND_DETECTIONS").when(k == 4, c).when(k == 8, " ").otherwise("other")
+    turn = lambda r, t: F.struct(r.alias("role"), t.alias("content"))
+    user = turn(F.lit("user"), F.when(F.col("part") % 5 == 0, "ask").otherwise("<image>ask"))
+    messages = F.when(F.col("line") == 7, F.array(user)).otherwise(F.array(user, turn(F.when(F.col("supp") % 7 == 0, "user").otherwise("assistant"), text)))
+    images = F.when(F.col("line") != 6, F.array(F.lit("a.png")))
+    task = F.when(F.col("line") == 1, "detection_obb_by_class").when(F.col("line") == 2, "ref_classification").otherwise("vqa")
+    return objects(spark, sf).select(*ID, F.array_join(U.contract_reasons(messages, images, task, F.col("supp") % 2 == 0, F.col("part") % 3 > 0, c), ",").alias("reasons"))

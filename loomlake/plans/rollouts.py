@@ -114,6 +114,16 @@ def _(spark, sf):
     return R.metrics(rows(spark, sf), ["score", "length"]).select("metric", F.round("mean", 6).alias("mean"), "max", "min", F.round("var", 4).alias("var"))
 
 
+@query("a25_token_metrics", f"""with t as (select row_id, length, unnest(range(length)) as i from ({E})), v as (select ((row_id * 7 + i * 3) % 11) / 10.0 as rewards, ((row_id * 5 + i * 13) % 9) / 10.0 as vals from t where i < length - row_id % 2)
+ select 'rewards' as metric, round(avg(rewards), 6) as mean, max(rewards) as max, min(rewards) as min from v union all select 'vals', round(avg(vals), 6), max(vals), min(vals) from v
+ union all select 'explained_variance', round(1 - var_samp(rewards - vals) / (var_samp(rewards) + 1e-5), 6), null, null from v union all select 'response_length', round(avg(length - row_id % 2), 6), max(length - row_id % 2), min(length - row_id % 2) from ({E}) union all select 'clip_ratio', round(avg(cast(length - row_id % 2 = 9 as int)), 6), null, null from ({E})""")
+def _(spark, sf):
+    """Rewards as returns against values; the last token of every other response is masked."""
+    df = arrays(spark, sf).withColumn("mask", F.transform("rewards", lambda _, i: F.when(i < F.col("length") - F.col("row_id") % 2, 1).otherwise(0)))
+    out = R.token_metrics(df, ["rewards"], "mask", 9, "vals", "rewards")
+    return out.select("metric", F.round("mean", 6).alias("mean"), "max", "min")
+
+
 @query("w16_balance_shards", f"with r as (select length, row_number() over (order by length desc, row_id) - 1 as k from ({E})), s as (select length, case when (k // 8) % 2 = 0 then k % 8 else 7 - k % 8 end as shard from r) select cast(shard as int) as shard, count(*) as rows, cast(sum(length) as bigint) as tokens from s group by shard")
 def _(spark, sf):
     """Rows and lengths of eight balanced shards; a test holds it against the contract."""
