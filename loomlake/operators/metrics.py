@@ -123,6 +123,20 @@ def average_precision(preds: DataFrame, truths: DataFrame, matches: DataFrame, k
     return every.join(ap, [cls, "threshold"], "left").select(cls, "threshold", F.coalesce("ap", F.lit(0.0)).alias("ap"))
 
 
+def cumulative_counts(preds: DataFrame, cls: str, confidence: str, hit: str, key: list[str], totals: DataFrame) -> DataFrame:
+    """Adds tp, fp, precision and recall of the predictions of a class down to each one, by falling confidence (ties by ``key``).
+
+    ``hit``: whether a prediction is right; ``totals``: (class, total) ground truths. Ranks and counts of right ones run over ranges of the whole table.
+    """
+    df = preds.withColumn("__h", F.coalesce(F.col(hit), F.lit(False)).cast("long"))
+    ranked = global_rank(df, [cls, F.col(confidence).desc(), *key], "__at", running="__h")
+    starts = ranked.groupBy(cls).agg(F.min("__at").alias("__first"), F.min("__before").alias("__none"))
+    out = ranked.join(starts, cls).join(totals, cls, "left")
+    tp, n = F.col("__before") + F.col("__h") - F.col("__none"), F.col("__at") - F.col("__first") + 1
+    out = out.withColumns({"tp": tp, "fp": n - tp, "precision": tp / n, "recall": tp / F.greatest(F.coalesce("total", F.lit(0)), F.lit(1))})
+    return out.drop("__h", "__at", "__before", "__first", "__none", "total")
+
+
 def detection_ap(pairs: DataFrame, preds: DataFrame, truths: DataFrame, keys: list[str], cls: str, thresholds: list[float]) -> DataFrame:
     """(class, threshold, ap) with, besides each class and threshold, rows of class null: mean over classes of each
     threshold, and of threshold null: mean over thresholds. ``pairs``: (keys, pred, confidence, gt, iou)."""

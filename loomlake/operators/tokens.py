@@ -28,27 +28,30 @@ def encode_pair(df: DataFrame, source: str, target: str, cutoff: int, prefix: st
     return df.withColumn(f"{prefix}input_ids", ids).withColumn(f"{prefix}labels", labels).drop("__s", "__t", "__src", "__tgt")
 
 
-def mask_labels(df: DataFrame, pairs: str, cutoff: int, mask_history: bool = False, train_on_prompt: bool = False) -> DataFrame:
+def mask_labels(df: DataFrame, pairs: str, cutoff: int, mask_history: bool = False, train_on_prompt: bool = False, eos: int | None = None) -> DataFrame:
     """Adds input_ids and labels over turn pairs (array of (source, target) token arrays).
 
     Turns are fitted one after the other into what is left of ``cutoff``; with ``mask_history`` from the last
-    turn back, and only that one keeps its labels.
+    turn back, and only that one keeps its labels. With ``eos`` (templates that mark the end of a turn by the begin of the next) that token
+    ends the row, for which a place of ``cutoff`` is kept, and is the label of the first source token of each turn but the first one fitted.
     """
     none = F.array().cast("array<int>")
-    first = F.struct(F.lit(0).alias("used"), F.lit(0).alias("turn"), none.alias("ids"), none.alias("labels"))
+    first = F.struct(F.lit(0 if eos is None else 1).alias("used"), F.lit(0).alias("turn"), none.alias("ids"), none.alias("labels"))
 
     def step(a: Column, p: Column) -> Column:
         s, t = infer_seqlen(F.size(p["source"]), F.size(p["target"]), F.lit(cutoff) - a["used"])
         src, tgt = F.slice(p["source"], F.lit(1), s), F.slice(p["target"], F.lit(1), t)
         hidden = lambda x: F.transform(x, lambda _: F.lit(IGNORE))
-        own = F.concat(src if train_on_prompt else hidden(src), F.when(a["turn"] > 0, hidden(tgt)).otherwise(tgt) if mask_history else tgt)
+        shown = hidden(src) if eos is None else F.when((a["turn"] > 0) & (s > 0), F.concat(F.array(F.lit(eos)), F.slice(hidden(src), F.lit(2), s))).otherwise(hidden(src))
+        own = F.concat(src if train_on_prompt else shown, F.when(a["turn"] > 0, hidden(tgt)).otherwise(tgt) if mask_history else tgt)
         ids = F.concat(src, tgt)
         now = F.struct((a["used"] + s + t).alias("used"), (a["turn"] + 1).alias("turn"), (F.concat(ids, a["ids"]) if mask_history else F.concat(a["ids"], ids)).alias("ids"), (F.concat(own, a["labels"]) if mask_history else F.concat(a["labels"], own)).alias("labels"))
         return F.when(a["used"] >= cutoff, a).otherwise(now)
 
     order = F.reverse(pairs) if mask_history else F.col(pairs)
     df = df.withColumn("__o", order).withColumn("__r", F.aggregate("__o", first, step))
-    return df.withColumn("input_ids", F.col("__r.ids")).withColumn("labels", F.col("__r.labels")).drop("__o", "__r")
+    end = (lambda c: c) if eos is None else (lambda c: F.concat(c, F.array(F.lit(eos))))
+    return df.withColumn("input_ids", end(F.col("__r.ids"))).withColumn("labels", end(F.col("__r.labels"))).drop("__o", "__r")
 
 
 def pad_truncate(ids: Column, n: int, pad: int = 0, side: str = "right") -> Column:
@@ -98,6 +101,19 @@ def pack_knapsack(df: DataFrame, batch: str, key: str, length: str, cutoff: int)
     return df.select(batch, key, length).groupBy(batch).applyInPandas(run, f"{batch} {kinds[batch]}, {key} {kinds[key]}, pack long, at long")
 
 
+def packed_rows(packs: DataFrame, df: DataFrame, batch: str, key: str, ids: str, cutoff: int, pad: int = 0) -> DataFrame:
+    """(batch, pack, input_ids, attention_mask, position_ids) of ``pack_knapsack``'s packs, each of ``cutoff`` tokens.
+
+    attention_mask numbers the rows of a pack from 1, so that they do not see each other, and is 0 on the padding; position_ids begin anew with
+    each row. A pack is bounded by ``cutoff``.
+    """
+    rows = packs.join(df.select(batch, key, ids), [batch, key]).groupBy(batch, "pack").agg(F.array_sort(F.collect_list(F.struct("at", F.col(ids).alias("t")))).alias("x"))
+    fill = lambda c, v: F.concat(c, F.array_repeat(F.lit(v), F.lit(cutoff) - F.size(c)))
+    every = lambda f: F.flatten(F.transform("x", f))
+    mask, place = every(lambda x, i: F.transform(x["t"], lambda _: i + 1)), every(lambda x: F.transform(x["t"], lambda _, j: j))
+    return rows.select(batch, "pack", fill(every(lambda x: x["t"]), pad).alias("input_ids"), fill(mask, 0).alias("attention_mask"), fill(place, 0).alias("position_ids"))
+
+
 def thumbnail_flags(n_marks: Column, n_images: Column) -> Column:
     """For each image whether it is one of the first ``n_marks``."""
     return F.when(n_images > 0, F.transform(F.sequence(F.lit(0), n_images - 1), lambda i: i < n_marks)).otherwise(F.array().cast("array<boolean>"))

@@ -207,3 +207,12 @@ def _(spark, sf):
     path = scratch(spark, "csv-sink")
     S.write_csv(frame(spark, sf, OBJECTS).select("image_id", "object_index", F.array("class_name", F.col("object_index").cast("string")).alias("joined")), path)
     return spark.read.csv(path, header=True, schema="image_id long, object_index long, joined string")
+
+
+@query("s5_read_remote_json", "select doc_id, source from documents")
+def _(spark, sf):
+    """JSON lines under a URI with a scheme: any store that the session has a file system for is read the same way."""
+    path = scratch(spark, "remote")
+    path = path if "://" in path else f"file://{path}"
+    S.write_jsonl(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "source"), path)
+    return S.read_jsonl(spark, path, "doc_id long, source string", bad="fail")

@@ -222,6 +222,25 @@ def rotated_pairs(spark, sf):
     return both, p.select("image_id", "class_id", "pred", "confidence"), t.select("image_id", "class_id", "gt")
 
 
+@query("w7_cumulative_counts", f"""with p as (select image_id, object_index, class_id, confidence, (px1 + py1) % 3 < 2 as hit from ({D}) where found), t as (select class_id, count(*) as total from ({D}) group by class_id),
+ r as (select *, sum(cast(hit as int)) over w as tp, row_number() over w as n from p window w as (partition by class_id order by confidence desc, image_id, object_index rows unbounded preceding))
+ select image_id, object_index, cast(tp as bigint) as tp, cast(n - tp as bigint) as fp, round(tp / n, 6) as precision, round(tp / total, 6) as recall from r join t using (class_id)""")
+def _(spark, sf):
+    """True and false positives of each class down the confidences."""
+    d = detections(spark, sf)
+    p = d.where("found").withColumn("hit", (F.col("px1") + F.col("py1")) % 3 < 2)
+    out = M.cumulative_counts(p, "class_id", "confidence", "hit", ID, d.groupBy("class_id").agg(F.count(F.lit(1)).alias("total")))
+    return out.select(*ID, "tp", "fp", F.round("precision", 6).alias("precision"), F.round("recall", 6).alias("recall"))
+
+
+@query("w2_topk_references", f"""with r as (select image_id, class_id, object_index, part % 4 as score, repeat('x', cast(supp % 3 + 1 as int)) as text from ({O}))
+ select image_id, object_index, rank from (select *, row_number() over (partition by image_id, class_id order by score desc, length(text), object_index) as rank from r) where rank <= 2""")
+def _(spark, sf):
+    """At most two references of each image and class, with ties in score and length."""
+    r = objects(spark, sf).select(*ID, "class_id", (F.col("part") % 4).alias("score"), F.expr("repeat('x', cast(supp % 3 + 1 as int))").alias("text"))
+    return R.topk_refs(r, 2).select(*ID, "rank")
+
+
 @query("a16_detection_ap")
 def _(spark, sf):
     """AP of each class at ten thresholds of rotated IoU, with the means; tests hold the operators against loops."""

@@ -221,6 +221,30 @@ def _(spark, sf):
     return K.pack_knapsack(df, "batch", "doc_id", "n", 1024)
 
 
+@query("k7_packed_rows", f"""with t as (select doc_id // 500 as batch, len(ids) as n, cast(list_sum(ids) as bigint) as total from {_T})
+ select batch, cast(sum(n) as bigint) as tokens, cast(sum(total) as bigint) as total, cast(sum(n * (n - 1) // 2) as bigint) as places, count(*) as rows from t where n <= 1024 group by batch""")
+def _(spark, sf):
+    """What all packs of a batch hold together: tokens, their sum, their positions, and rows."""
+    df = tokens(spark, sf).select("doc_id", F.floor(F.col("doc_id") / 500).alias("batch"), "ids", F.size("ids").alias("n"))
+    packs = K.packed_rows(K.pack_knapsack(df, "batch", "doc_id", "n", 1024), df, "batch", "doc_id", "ids", 1024)
+    add = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, v: a + v)
+    per = packs.where((F.size("input_ids") == 1024) & (F.size("attention_mask") == 1024)).select("batch", F.size(F.filter("attention_mask", lambda v: v > 0)).alias("tokens"), add(F.col("input_ids")).alias("total"), add(F.col("position_ids")).alias("places"), F.array_max("attention_mask").alias("rows"))
+    return per.groupBy("batch").agg(*[F.sum(c).alias(c) for c in ("tokens", "total", "places", "rows")])
+
+
+@query("k2_mask_labels_eos", f"""with q as (select doc_id, len(ids) as n, greatest(len(ids) // 4, 1) as q from {_T}), l as (select doc_id, {', '.join(f'least(q, greatest(0, n - {k} * q)) as p{k}' for k in range(4))} from q),
+ a as (select *, {_fitted('p0', 'p1', '255')[0]} as s1, {_fitted('p0', 'p1', '255')[1]} as t1 from l), r as (select *, 255 - s1 - t1 as room from a),
+ f as (select *, case when room <= 0 then 0 else {_fitted('p2', 'p3', 'room')[0]} end as s2, case when room <= 0 then 0 else {_fitted('p2', 'p3', 'room')[1]} end as t2 from r)
+ select doc_id, s1 + t1 + s2 + t2 + 1 as n, t1 + t2 + 1 + cast(s2 > 0 as int) as n_labels from f""")
+def _(spark, sf):
+    """The same pairs with the end of a turn as a label, and at the end of the row."""
+    q = F.greatest(F.floor(F.size("ids") / 4), F.lit(1)).cast("int")
+    part = lambda k: F.slice("ids", (q * k + 1).cast("int"), q)
+    df = tokens(spark, sf).withColumn("pairs", F.array(*[F.struct(part(2 * i).alias("source"), part(2 * i + 1).alias("target")) for i in (0, 1)]))
+    df = K.mask_labels(df, "pairs", 256, eos=2)
+    return df.select("doc_id", F.size("input_ids").alias("n"), F.size(F.filter("labels", lambda x: x != K.IGNORE)).alias("n_labels"))
+
+
 @query("k8_pad_truncate", f"select doc_id, cast(list_sum(ids[:64]) as bigint) as head, cast(list_sum(ids[greatest(1, len(ids) - 63):]) as bigint) as tail, 64 as n from {_T}")
 def _(spark, sf):
     right, left = K.pad_truncate(F.col("ids"), 64), K.pad_truncate(F.col("ids"), 64, side="left")
