@@ -54,11 +54,19 @@ def mask_labels(df: DataFrame, pairs: str, cutoff: int, mask_history: bool = Fal
     return df.withColumn("input_ids", end(F.col("__r.ids"))).withColumn("labels", end(F.col("__r.labels"))).drop("__o", "__r")
 
 
-def pad_truncate(ids: Column, n: int, pad: int = 0, side: str = "right") -> Column:
-    """Exactly ``n`` tokens: cut on the right (left side: the left), padded on ``side``."""
-    cut = F.slice(ids, 1, n) if side == "right" else F.when(F.size(ids) > n, F.slice(ids, -n, n)).otherwise(ids)
+def pad_truncate(ids: Column, n: int, pad: int = 0, side: str = "right", cut: str | None = None) -> Column:
+    """Exactly ``n`` tokens: padded on ``side``; longer ones are cut on the ``cut`` side (that of the padding if not given), or
+    with "error" fail the job."""
+    if side not in ("left", "right") or cut not in (None, "left", "right", "error"):
+        raise ValueError(f"unknown side {side} or {cut}")
+    cut = cut or side
+    long = F.size(ids) > n
+    if cut == "error":
+        kept = F.when(long, F.raise_error(F.concat(F.lit(f"more than {n} tokens: "), F.size(ids).cast("string")))).otherwise(ids)
+    else:
+        kept = F.slice(ids, 1, n) if cut == "right" else F.when(long, F.slice(ids, -n, n)).otherwise(ids)
     fill = F.array_repeat(F.lit(pad), F.greatest(F.lit(0), F.lit(n) - F.size(ids)))
-    return F.concat(cut, fill) if side == "right" else F.concat(fill, cut)
+    return F.concat(kept, fill) if side == "right" else F.concat(fill, kept)
 
 
 def pack_blocks(df: DataFrame, batch: str, order: str, ids: str, block: int) -> DataFrame:

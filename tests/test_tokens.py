@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from loomlake.operators import metrics as M, tokens as K
 
@@ -52,3 +53,14 @@ def test_counts_down_the_confidences(spark):
     totals = spark.createDataFrame([("a", 4)], "c string, total long")
     got = {r.k: (r.tp, r.fp, r.precision, r.recall) for r in M.cumulative_counts(preds, "c", "p", "h", ["k"], totals).collect()}
     assert got == {1: (1, 0, 1.0, 0.25), 2: (1, 1, 0.5, 0.25), 3: (1, 2, pytest.approx(1 / 3), 0.25), 4: (2, 2, 0.5, 0.5), 5: (0, 1, 0.0, 0.0)}
+
+
+def test_pad_and_cut_sides(spark):
+    df = spark.createDataFrame([([1, 2, 3],), ([4, 5, 6, 7, 8],)], "x array<int>")
+    got = lambda **how: [r[0] for r in df.select(K.pad_truncate(F.col("x"), 4, 0, **how)).collect()]
+    assert got() == [[1, 2, 3, 0], [4, 5, 6, 7]] and got(side="left") == [[0, 1, 2, 3], [5, 6, 7, 8]]
+    assert got(side="left", cut="right") == [[0, 1, 2, 3], [4, 5, 6, 7]] and got(cut="left") == [[1, 2, 3, 0], [5, 6, 7, 8]]
+    with pytest.raises(Exception, match="more than 4 tokens: 5"):
+        got(cut="error")
+    with pytest.raises(ValueError):
+        got(side="middle")
