@@ -98,6 +98,23 @@ def pad_to(df: DataFrame, divisor: int, key: str) -> DataFrame:
     return out
 
 
+def chunks(df: DataFrame, n: int, key: str, name: str = "chunk") -> DataFrame:
+    """Adds ``name``, 0 to n - 1: consecutive rows by ``key`` in n parts whose sizes differ by at most one, larger ones first.
+
+    Ranks are of the whole table, in ranges; the table is counted once.
+    """
+    size = df.count()
+    small, more = divmod(size, n)
+    r = F.col("__r")
+    part = F.when(r < more * (small + 1), F.floor(r / (small + 1))).otherwise(F.lit(more) + F.floor((r - more * (small + 1)) / max(1, small)))
+    return global_rank(df, [key], "__r").withColumn(name, part.cast("int")).drop("__r")
+
+
+def unpad(df: DataFrame) -> DataFrame:
+    """The rows that ``pad_to`` was given."""
+    return df.where(~F.col("pad")).drop("pad")
+
+
 def interleave(sources: list[DataFrame], key: str, stop: str = "first") -> DataFrame:
     """Rows of the sources in turn: ``place`` orders them. Stops when the first source ends, or goes on until the
     last one ends, beginning shorter ones anew."""

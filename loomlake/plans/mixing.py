@@ -83,6 +83,13 @@ def _(spark, sf):
     return global_rank(df, ["place"], "n").select("event_id", F.col("copy").cast("long").alias("copy"), (F.col("n") + 1).alias("n"))
 
 
+@query("l8_chunks", "with n as (select count(*) as n from documents), r as (select doc_id, row_number() over (order by doc_id) - 1 as r from documents) select doc_id, cast(case when r < (n % 7) * (n // 7 + 1) then r // (n // 7 + 1) else n % 7 + (r - (n % 7) * (n // 7 + 1)) // (n // 7) end as int) as chunk from r, n")
+def _(spark, sf):
+    """Padded to a multiple, unpadded again, and dealt to seven parts in order."""
+    d = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id")
+    return S.chunks(S.unpad(S.pad_to(d, 64, "doc_id")), 7, "doc_id").select("doc_id", "chunk")
+
+
 @query("l8_pad_to", "with n as (select count(*) as n from documents), r as (select doc_id, row_number() over (order by doc_id) as r from documents) select doc_id, false as pad from documents union all select doc_id, true from r, n where r <= (64 - n.n % 64) % 64")
 def _(spark, sf):
     return S.pad_to(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id"), 64, "doc_id")

@@ -68,3 +68,10 @@ def test_status_of_empty_runs(spark):
     df = spark.createDataFrame([(0, 0, True, 0, 0, 0, 0), (5, 5, True, 2, 1, 1, 0), (5, 5, None, 2, 2, 1, 3)], "attempted int, perceiver_calls int, log_present boolean, total_grounding int, strict_grounding int, both_pass int, bad int")
     got = [(r.status, r.hard_failures, r.quality_failures) for r in R.run_status(df, {"grounding": 0.5}, ["bad"], []).collect()]
     assert got == [("WARN", [], ["no_grounding_samples"]), ("PASS", [], []), ("FAIL", ["api_log_missing", "bad=3", "strict_grounding_contains_iou_or_center_only_pass"], [])]
+
+
+def test_chunks_of_short_tables(spark):
+    for size in (0, 3, 7, 20):
+        got = sorted((r.id, r.chunk) for r in S.chunks(spark.range(size), 7, "id").collect())
+        sizes = [sum(c == k for _, c in got) for k in range(7)]
+        assert [c for _, c in got] == sorted(c for _, c in got) and sum(sizes) == size and max(sizes) - min(sizes) <= 1 and sizes == sorted(sizes, reverse=True)
