@@ -75,3 +75,22 @@ def test_format_of_similar_questions(spark):
 def test_targets_outside_the_list_stand_for_themselves(spark, target, text, denied, many):
     df = spark.createDataFrame([(target, text)], "c string, t string")
     assert tuple(df.select(T.denies(F.col("t"), F.col("c")), T.many_instead(F.col("t"), F.col("c"))).first()) == (denied, many)
+
+
+def test_an_output_is_parsed_once(spark):
+    """Values that are used several times are bound, so a plan holds each pattern once."""
+    df = spark.createDataFrame([("x",)], "t string")
+    of = lambda c: df.select(c.alias("c"))._jdf.queryExecution().optimizedPlan().toString()
+    plan = of(E.obb_output(F.col("t"), F.lit(200), F.lit(100), F.lit("pixel"), strict=True, one=True))
+    assert plan.count("END_DETECTIONS") == 1 and plan.count("FINAL_ANSWER:") == 1
+    assert of(T.claimed_classes(F.col("t"))).count("lower(") == 1
+
+
+def test_ratios_below_the_threshold_are_only_bounded(monkeypatch):
+    pairs = [("plain words", "plain words"), ("plain words", "plane words"), ("abc", "xyz"), ("a" * 30, "a"), ("listen", "silent")]
+    full = [T.SequenceMatcher(None, a, b).ratio() for a, b in pairs]
+    for (a, b), r in zip(pairs, full):
+        assert T._ratio(a, b, 0.0) == r
+        assert (T._ratio(a, b, 0.82) >= 0.82) == (r >= 0.82)
+    monkeypatch.setattr(T, "SequenceMatcher", None)
+    assert T._ratio("abc", "xyz", 0.82) == 0.0 and T._ratio("a" * 30, "a", 0.82) < 0.82
