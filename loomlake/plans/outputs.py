@@ -100,12 +100,16 @@ def _(spark, sf):
 
 
 _SAID = "concat(case p_size % 4 when 0 then 'What kind of object is the ' when 1 then 'Name the CATEGORY of the ' else 'How long is the ' end, p_name, ' by the ', lower(p_type), '?')"
+_ASKED = "concat(case object_index % 5 when 0 then 'Which CLASS lies at ' when 1 then 'What label has it at ' when 2 then 'How long is it at ' when 3 then 'Are there small ones near ' else 'What outline has it at ' end, cast(part as {string}), ' beside the ', upper(class_name), case when supp % 4 = 0 then 's' else '' end, case when line = 6 then ' with bolts?' else '?' end)"
+_LEADS = r"regexp_matches({q}, '\b(?:class|category|label)\b', 'i') or regexp_matches({q}, '\b(?:ring|bolt|small|ship|harbor)s?\b', 'i')"
 
 
-@query("f7_leading_question", rf"select p_partkey, regexp_matches({_SAID}, '\b(?:class|category|label)\b', 'i') or regexp_matches({_SAID}, '\b(?:ring|bolt|small)s?\b', 'i') as leading from part")
+@query("f7_leading_question", rf"select 'part' as kind, p_partkey as id, 0 as n, {_LEADS.format(q=_SAID)} as leading from part union all select 'object', image_id, object_index, {_LEADS.format(q=_ASKED.replace('{string}', 'varchar'))} from ({O})")
 def _(spark, sf):
-    """Questions about parts, with some names as class names."""
-    return spark.read.parquet(f"{sf}/part.parquet").select("p_partkey", U.leading_question(F.expr(_SAID), ["ring", "bolt", "small"]).alias("leading"))
+    """Questions about every object and every part, with some names as class names."""
+    leading = lambda q: U.leading_question(F.expr(q), ["ring", "bolt", "small", "ship", "harbor"]).alias("leading")
+    of_parts = spark.read.parquet(f"{sf}/part.parquet").select(F.lit("part").alias("kind"), F.col("p_partkey").alias("id"), F.lit(0).alias("n"), leading(_SAID))
+    return of_parts.unionByName(objects(spark, sf).select(F.lit("object").alias("kind"), F.col("image_id").alias("id"), F.col("object_index").alias("n"), leading(_ASKED.replace("{string}", "string"))))
 
 
 @query("f11_usable_evidence", r"select conv_id, turn, length(trim(text)) >= 20 and turn % 5 <> 4 as usable from conversations")
