@@ -69,3 +69,10 @@ def test_a_batch_with_errors_is_rejected_as_a_whole(spark, tmp_path):
     assert [tuple(r) for r in spark.read.parquet(f"{tmp_path}/good").select("id", "gt", "task").collect()] == [("1", "", "t")]
     assert S.to_generation_parquet(df(ok, (None, "q", None, [], "r", "s", "t")), f"{tmp_path}/bad", f"{tmp_path}/e2") == 1
     assert not (tmp_path / "bad").exists() and spark.read.parquet(f"{tmp_path}/e2").first().faults == ["id", "gt", "image"]
+
+
+def test_an_annotated_object_is_read_once(spark, tmp_path):
+    (tmp_path / "a.xml").write_text("<annotation><filename>i</filename><object><name>a</name></object></annotation>")
+    plan = S.read_voc_xml(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("/object/name") == 1  # one path for all of an object
+    assert plan.rindex("Generate") < plan.index("//filename")  # the name below the rows of objects, once for each file
