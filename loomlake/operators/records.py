@@ -111,10 +111,14 @@ def sharegpt_samples(df: DataFrame, key: str) -> DataFrame:
     the task says obb or detection, hbb if it is a box of four numbers or the task says ground, else vqa.
     """
     users, helpers = F.filter("messages", lambda m: m["role"].isin("user", "human")), F.filter("messages", lambda m: m["role"].isin("assistant", "gpt"))
-    df = df.withColumns({"__u": F.get(users, 0)["content"], "__a": F.get(helpers, F.size(helpers) - 1)["content"], "__i": F.get("images", 0)})
+    told = F.struct(F.get(users, 0)["content"].alias("__u"), F.try_element_at(helpers, F.lit(-1))["content"].alias("__a"), F.get("images", 0).alias("__i"))
+    # out of an explode, as the filter would compute them again
+    df = df.select("*", F.explode(F.array(told)).alias("__t")).select(*df.columns, "__t.*")
     df = df.where((F.coalesce("__u", F.lit("")) != "") & (F.coalesce("__a", F.lit("")) != "") & (F.coalesce("__i", F.lit("")) != ""))
-    df = df.withColumn("__g", final_text(F.col("__a")))
-    df = df.withColumns({"__o": F.size(obb_output(F.col("__g"), F.col("width"), F.col("height"), F.lit("auto"))["predictions"]), "__h": parse_box(F.col("__g"))})
+    df = df.select("*", F.explode(F.array(final_text(F.col("__a")))).alias("__g"))
+    # a line of a box has a bar
+    boxes = F.when(F.contains("__g", F.lit("|")), F.size(obb_output(F.col("__g"), F.col("width"), F.col("height"), F.lit("auto"))["predictions"])).otherwise(0)
+    df = df.select("*", F.explode(F.array(F.struct(boxes.alias("__o"), parse_box(F.col("__g")).alias("__h")))).alias("__p")).select("*", "__p.*")
     task = F.coalesce("task", F.lit(""))
     kind = F.when((F.col("__o") > 0) | task.contains("obb") | task.contains("detection"), "obb").when(F.col("__h").isNotNull() | task.contains("ground"), "hbb").otherwise("vqa")
     return df.select(key, F.col("__u").alias("question"), F.col("__g").alias("gt"), F.col("__i").alias("image"), kind.alias("target_type"), F.col("__o").alias("n_obb"), F.col("__h").alias("gt_hbb"))
