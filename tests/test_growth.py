@@ -2,6 +2,9 @@
 
 import re
 
+from pyspark.sql import functions as F
+
+from loomlake.operators import geometry as G
 from loomlake.operators.records import sharegpt_samples
 
 
@@ -17,3 +20,18 @@ def test_words_are_not_parsed_as_boxes(spark):
     assert {r.id: (r.target_type, r.n_obb, r.gt_hbb) for r in out.collect()} == {1: ("hbb", 0, [1, 2, 3, 4]), 2: ("vqa", 0, None), 3: ("obb", 1, None), 4: ("hbb", 0, [1, 2, 3, 4])}
     # both parsers of JSON stand behind a test of the text
     assert re.search(r"CASE WHEN Contains\([^)]*\{\) THEN coalesce\(get_json_object", out._jdf.queryExecution().optimizedPlan().toString(), re.I)
+
+
+def test_regions_take_one_shuffle_of_rows(spark):
+    df = spark.range(400).select((F.col("id") % 2).alias("image_id"), "id", (F.col("id") * 37 % 401).cast("double").alias("cx"), (F.col("id") * 53 % 401).cast("double").alias("cy"))
+    out = G.split_rois(df, ["image_id"], 4, order="id")
+    assert out.groupBy("image_id", "roi").count().agg(F.max("count")).first()[0] <= 4
+    assert plan(out).count("Exchange") == 1
+
+
+def test_rotated_iou_is_a_short_plan(spark):
+    df = spark.sql("select array(named_struct('x', 0D, 'y', 0D), named_struct('x', 2D, 'y', 0D), named_struct('x', 2D, 'y', 2D), named_struct('x', 0D, 'y', 2D)) as a")
+    df = df.unionByName(df.select(F.lit(None).cast(df.schema["a"].dataType).alias("a"))).withColumn("b", F.transform("a", lambda p: G.point(p["x"] + 1, p["y"])))
+    out = G.with_obb_iou(df, "a", "b")
+    assert sorted(r.iou for r in out.collect()) == [0.0, 1 / 3]
+    assert len(plan(out)) < 20_000
