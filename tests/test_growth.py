@@ -4,7 +4,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from loomlake.operators import geometry as G
+from loomlake.operators import geometry as G, references as R
 from loomlake.operators.records import sharegpt_samples
 
 
@@ -35,3 +35,11 @@ def test_rotated_iou_is_a_short_plan(spark):
     out = G.with_obb_iou(df, "a", "b")
     assert sorted(r.iou for r in out.collect()) == [0.0, 1 / 3]
     assert len(plan(out)) < 20_000
+
+
+def test_references_take_one_shuffle(spark):
+    df = spark.range(60).select((F.col("id") % 4).alias("image_id"), F.floor(F.col("id") / 4).alias("object_index"), (F.col("id") % 3).cast("int").alias("class_id"), F.lit("ship").alias("class_name"), F.lit(1000).alias("image_width"), F.lit(1000).alias("image_height"))
+    df = df.withColumns({"cx": F.col("object_index") * 61.0 % 1000, "cy": F.col("object_index") * 433.0 % 1000, "w": F.lit(30.0), "h": F.lit(30.0)})
+    out = R.build_references(df)
+    assert out.count() > 0
+    assert plan(out).count("Exchange") == 1 and "FileScan" not in plan(out)
