@@ -13,12 +13,16 @@ from loomlake.session import materialize
 
 def audit(df: DataFrame, split: str, reasons: str = "reasons", cls: str = "class_id", image: str = "image_id") -> DataFrame:
     """Long table (split, metric, key, value): images, objects, valid, invalid, counts of reasons and classes."""
-    long = lambda m, k, v: F.struct(F.lit(m).alias("metric"), k.cast("string").alias("key"), v.cast("long").alias("value"))
-    top = df.groupBy(split).agg(F.countDistinct(image).alias("i"), F.count("*").alias("n"), F.count_if(F.size(reasons) == 0).alias("v"))
-    none = F.lit("")
-    top = top.select(split, F.explode(F.array(long("images", none, F.col("i")), long("objects", none, F.col("n")), long("valid", none, F.col("v")), long("invalid", none, F.col("n") - F.col("v")))).alias("x")).select(split, "x.*")
-    by = lambda frame, m, k: frame.groupBy(split, F.col(k).cast("string").alias("key")).agg(F.count("*").alias("value")).select(split, F.lit(m).alias("metric"), "key", "value")
-    return top.unionByName(by(df.select(split, F.explode(reasons).alias("r")), "reason", "r")).unionByName(by(df, "class", cls))
+    # one pass: each object gives its counts, which are summed before the shuffle
+    valid = F.coalesce((F.size(reasons) == 0).cast("long"), F.lit(0).cast("long"))
+    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
+    count = lambda m, k, v: F.struct(F.lit(m).alias("metric"), k.cast("string").alias("key"), v.alias("v"))
+    whole = F.array(*[count(m, F.lit(""), v) for m, v in (("images", none), ("objects", one), ("valid", valid), ("invalid", 1 - valid))], count("class", F.col(cls), one))
+    why = F.transform(reasons, lambda r: count("reason", r, one))
+    each = df.select(split, F.col(image).alias("__image"), F.explode(F.concat(whole, F.coalesce(why, F.slice(whole, 1, 0)))).alias("x"))
+    seen = F.countDistinct(F.when(F.col("x.metric") == "images", F.col("__image")))
+    sums = each.groupBy(split, F.col("x.metric").alias("metric"), F.col("x.key").alias("key")).agg(F.sum("x.v").alias("n"), seen.alias("i"))
+    return sums.select(split, "metric", "key", F.when(F.col("metric") == "images", F.col("i")).otherwise(F.col("n")).alias("value"))
 
 
 def split_overlap(df: DataFrame, key: str, split: str) -> DataFrame:

@@ -4,7 +4,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from loomlake.operators import geometry as G, references as R
+from loomlake.operators import building as B, geometry as G, metrics as M, references as R, traces as T
 from loomlake.operators.records import sharegpt_samples
 
 
@@ -43,3 +43,21 @@ def test_references_take_one_shuffle(spark):
     out = R.build_references(df)
     assert out.count() > 0
     assert plan(out).count("Exchange") == 1 and "FileScan" not in plan(out)
+
+
+def test_an_audit_reads_objects_once(spark):
+    df = spark.sql("select * from values ('a', 1, 0, array('x')), ('a', 1, 1, array()), ('b', 2, 0, array('x', 'y')), ('b', null, null, null) as t(split, image_id, class_id, reasons)")
+    out = M.audit(df, "split")
+    got = {(r.split, r.metric, r.key): r.value for r in out.collect()}
+    assert got == {
+        ("a", "images", ""): 1, ("a", "objects", ""): 2, ("a", "valid", ""): 1, ("a", "invalid", ""): 1, ("a", "class", "0"): 1, ("a", "class", "1"): 1, ("a", "reason", "x"): 1,
+        ("b", "images", ""): 1, ("b", "objects", ""): 2, ("b", "valid", ""): 0, ("b", "invalid", ""): 2, ("b", "class", "0"): 1, ("b", "class", None): 1, ("b", "reason", "x"): 1, ("b", "reason", "y"): 1,
+    }
+    assert "Union" not in plan(out)  # three passes before
+
+
+def test_points_of_a_box_are_bound(spark):
+    """The reasons of a box don't compute its corners again for each of them."""
+    df = spark.sql("select 5D as cx, 5D as cy, 4D as w, 4D as h")
+    shown = df.select(G.object_reasons(G.corners(), F.lit(9), F.lit(9)).alias("r"))
+    assert shown.first().r == [] and shown._jdf.queryExecution().optimizedPlan().toString().count("named_struct(x, (") <= 4
