@@ -61,3 +61,19 @@ def test_points_of_a_box_are_bound(spark):
     df = spark.sql("select 5D as cx, 5D as cy, 4D as w, 4D as h")
     shown = df.select(G.object_reasons(G.corners(), F.lit(9), F.lit(9)).alias("r"))
     assert shown.first().r == [] and shown._jdf.queryExecution().optimizedPlan().toString().count("named_struct(x, (") <= 4
+
+
+def test_entries_without_a_name_are_spread(spark):
+    """Entries without a name met the files under one key, so in one task."""
+    old = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    try:
+        for k, v in zip(old, ("-1", "false")):
+            spark.conf.set(k, v)
+        entries = spark.sql("select id as entry, if(id < 900, ' ', concat('f', id)) as image, array(named_struct('obj_coord', array(0D, 0D, 1D, 1D), 'obj_corner', cast(null as array<double>), 'referring_sentence', '', 'obj_cls', 'Ship')) as objects from range(1000)")
+        files = spark.sql("select concat('f', id) as image from range(950)")
+        rows, seen, _ = B.explode_annotations(entries, files)
+        assert rows.count() == 50 and seen.get == {"bad_entry": 900, "missing_image": 50}
+        assert re.search(r"hashpartitioning\(__key#\d+", plan(rows))  # a bad entry's key is its own hash
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
