@@ -4,7 +4,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from loomlake.operators import building as B, geometry as G, metrics as M, references as R, traces as T
+from loomlake.operators import building as B, geometry as G, metrics as M, parsing as P, references as R, rules as U, traces as T
 from loomlake.operators.records import sharegpt_samples
 
 
@@ -45,6 +45,18 @@ def test_references_take_one_shuffle(spark):
     assert plan(out).count("Exchange") == 1 and "FileScan" not in plan(out)
 
 
+def test_texts_without_a_claim_meet_one_pattern(spark):
+    """Classes and scenes are told pattern by pattern only in texts that hold any of them, and once for each row."""
+    df = spark.createDataFrame([("The target is a ship.", "ship"), ("The object looks like an industrial building.", "ship"), ("It lies beside several ships", "ship"), ("grey", "plane"), (None, "plane")], "t string, c string")
+    t, c = F.col("t"), F.col("c")
+    out = df.select(T.claimed_classes(t).alias("a"), T.claims_another(t, c).alias("b"), T.scene_instead(t, c).alias("s"), T.many_instead(t, c).alias("m"))
+    assert [tuple(r) for r in out.collect()] == [(["ship"], False, None, False), ([], False, "industrial building", False), ([], False, None, True), ([], False, None, False), ([], False, None, False)]
+    shown = lambda x: df.select(x.alias("x"))._jdf.queryExecution().optimizedPlan().toString()
+    assert shown(T.claims_another(t, c)).count("lower(") == 1  # it was told twice
+    assert re.search(r"CASE WHEN RLIKE\(lambda \w+#\d+, [^\n]*?airport\|", shown(T.scene_instead(t, c)), re.I)
+    assert "CASE WHEN ((((Contains(" in shown(T.many_instead(t, c))
+
+
 def test_an_audit_reads_objects_once(spark):
     df = spark.sql("select * from values ('a', 1, 0, array('x')), ('a', 1, 1, array()), ('b', 2, 0, array('x', 'y')), ('b', null, null, null) as t(split, image_id, class_id, reasons)")
     out = M.audit(df, "split")
@@ -77,3 +89,8 @@ def test_entries_without_a_name_are_spread(spark):
     finally:
         for k, v in old.items():
             spark.conf.set(k, v)
+
+
+def shown(spark, c, **values):
+    df = spark.createDataFrame([tuple(v for v, _ in values.values())], ", ".join(f"{k} {t}" for k, (_, t) in values.items()))
+    return df.select(c.alias("c"))._jdf.queryExecution().optimizedPlan().toString()
