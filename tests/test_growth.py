@@ -94,3 +94,12 @@ def test_entries_without_a_name_are_spread(spark):
 def shown(spark, c, **values):
     df = spark.createDataFrame([tuple(v for v, _ in values.values())], ", ".join(f"{k} {t}" for k, (_, t) in values.items()))
     return df.select(c.alias("c"))._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_questions_of_other_lengths_are_not_compared(spark):
+    """Pairs that fail by their lengths are dropped before the Arrow function."""
+    df = spark.createDataFrame([(1, 0, "ship"), (1, 1, "a far longer question about grey harbor walls"), (1, 2, "ship"), (1, 3, "ships")], "t int, k int, q string")
+    out = T.similar_questions(df, "t", "k", "q", 0.8)
+    assert sorted((r.left, r.right, round(r.similarity, 4)) for r in out.collect()) == [(0, 2, 1.0), (0, 3, 0.8889)]
+    text = out._jdf.queryExecution().optimizedPlan().toString()
+    assert re.search(r"length\(__t#\d+\)", text[text.index("ArrowEvalPython") :])
