@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from loomlake.operators import geometry as G
+from loomlake.operators.columns import let
 from loomlake.operators.joins import canonical_class
 
 NUMBER = r"-?\d+(?:\.\d+)?"
@@ -83,9 +84,13 @@ def parse_message(text: Column) -> Column:
 
 def structured_answer(text: Column) -> Column:
     """(class_name, values) of "class|eight numbers"; values are null with another number of them, or without a bar."""
-    t = F.trim(F.coalesce(text, F.lit("")))
-    numbers = F.transform(F.regexp_extract_all(F.regexp_extract(t, r"(?s)^[^|]*\|(.*)$", 1), F.lit(NUMBER), F.lit(0)), lambda v: v.cast("double"))
-    return F.struct(canonical_class(F.substring_index(t, "|", 1)).alias("class_name"), F.when(F.contains(t, F.lit("|")) & (F.size(numbers) == 8), numbers).alias("values"))
+
+    def told(t: Column) -> Column:
+        found = F.regexp_extract_all(F.regexp_extract(t, r"(?s)^[^|]*\|(.*)$", 1), F.lit(NUMBER), F.lit(0))
+        values = F.when(F.contains(t, F.lit("|")), let(found, lambda v: F.when(F.size(v) == 8, F.transform(v, lambda x: x.cast("double")))))
+        return F.struct(canonical_class(F.substring_index(t, "|", 1)).alias("class_name"), values.alias("values"))
+
+    return let(F.trim(F.coalesce(text, F.lit(""))), told)
 
 
 def rule_verdict(prompt: Column, least_iou: float = 0.1, ratio: float = 0.35) -> Column:
@@ -95,24 +100,35 @@ def rule_verdict(prompt: Column, least_iou: float = 0.1, ratio: float = 0.35) ->
     answer needs corners of a simple quadrilateral whose box meets the truth's by ``least_iou`` and whose centre lies in it, widened by ``ratio``.
     """
     form = r"(?is)(?:^|.*?\n)Query:\s*(.*?)\nAnswer:\s*(.*?)\nGT:\s*([^\n]*)\s*$"
-    query, said, truth = (F.regexp_extract(prompt, form, i) for i in (1, 2, 3))
+    # corners, boxes and the IoU are bound, and only computed for answers that get so far
+    corners = lambda v: F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: G.point(F.get(v, i * 2), F.get(v, i * 2 + 1)))
+    sides = lambda b: [b[k] for k in ("x1", "y1", "x2", "y2")]
+
+    def placed(x: Column) -> Column:
+        a, b, iou = sides(x["a"]), sides(x["b"]), x["iou"]
+        near = (iou >= least_iou) & G.center_in_expanded((a[0] + a[2]) / 2, (a[1] + a[3]) / 2, b, ratio, 1.0)
+        return F.when(~near, F.concat(F.lit("REJECT: predicted region mismatches target geometry (HBB IoU="), F.format_string("%.3f", iou), F.lit(")"))).otherwise("ACCEPT")
+
+    def shaped(p: Column, g: Column) -> Column:
+        boxes = lambda c: F.struct(G.hbb(c).alias("a"), G.hbb(corners(g)).alias("b"))
+        judged = lambda c: let(let(boxes(c), lambda x: F.struct(x["a"].alias("a"), x["b"].alias("b"), G.iou(sides(x["a"]), sides(x["b"])).alias("iou"))), placed)
+        bad = lambda status: F.concat(F.lit("REJECT: invalid predicted OBB ("), status, F.lit(")"))
+        return let(corners(p), lambda c: let(G.quad_status(c), lambda status: F.when(status != "ok", bad(status)).otherwise(judged(c))))
 
     def told(x: Column) -> Column:
         p, g = x["p"], x["g"]
-        corners = lambda v: F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: G.point(F.get(v, i * 2), F.get(v, i * 2 + 1)))
-        box = lambda v: [G.hbb(corners(v))[k] for k in ("x1", "y1", "x2", "y2")]
-        a, b, status = box(p["values"]), box(g["values"]), G.quad_status(corners(p["values"]))
-        iou = G.iou(a, b)
         asks = x["q"].rlike(r"(?i)\b(?:which|what)\b[^?.]*\b(?:category|class)\b|classif")
-        near = (iou >= least_iou) & G.center_in_expanded((a[0] + a[2]) / 2, (a[1] + a[3]) / 2, b, ratio, 1.0)
         return (
             F.when(p["class_name"].isNull() | g["class_name"].isNull(), "REJECT: answer is not a valid canonical label or structured grounding output")
             .when(p["class_name"] != g["class_name"], "REJECT: canonical class mismatch").when(asks | g["values"].isNull(), "ACCEPT").when(p["values"].isNull(), "REJECT: missing complete clockwise OBB")
-            .when(status != "ok", F.concat(F.lit("REJECT: invalid predicted OBB ("), status, F.lit(")"))).when(~near, F.concat(F.lit("REJECT: predicted region mismatches target geometry (HBB IoU="), F.format_string("%.3f", iou), F.lit(")"))).otherwise("ACCEPT")
+            .otherwise(shaped(p["values"], g["values"]))
         )
 
-    parsed = F.array(F.struct(query.alias("q"), structured_answer(said).alias("p"), structured_answer(truth).alias("g")))
-    return F.when(prompt.rlike(form), F.get(F.transform(parsed, told), 0))
+    def parsed(t: Column) -> Column:
+        query, said, truth = (F.regexp_extract(t, form, i) for i in (1, 2, 3))
+        return F.struct(query.alias("q"), structured_answer(said).alias("p"), structured_answer(truth).alias("g"))
+
+    return let(prompt, lambda t: F.when(t.rlike(form), let(parsed(t), told)))
 
 
 def tagged_message(text: Column) -> Column:

@@ -103,3 +103,8 @@ def test_questions_of_other_lengths_are_not_compared(spark):
     assert sorted((r.left, r.right, round(r.similarity, 4)) for r in out.collect()) == [(0, 2, 1.0), (0, 3, 0.8889)]
     text = out._jdf.queryExecution().optimizedPlan().toString()
     assert re.search(r"length\(__t#\d+\)", text[text.index("ArrowEvalPython") :])
+
+
+def test_a_verdict_parses_its_prompt_once(spark):
+    text = shown(spark, P.rule_verdict(F.concat(F.lit("a"), F.upper("p"))), p=("x", "string"))
+    assert text.count("upper(p") == 1 and text.count("sequence(") + text.count("[0,1,2,3]") <= 4
