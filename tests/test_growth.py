@@ -108,3 +108,9 @@ def test_questions_of_other_lengths_are_not_compared(spark):
 def test_a_verdict_parses_its_prompt_once(spark):
     text = shown(spark, P.rule_verdict(F.concat(F.lit("a"), F.upper("p"))), p=("x", "string"))
     assert text.count("upper(p") == 1 and text.count("sequence(") + text.count("[0,1,2,3]") <= 4
+
+
+def test_statements_are_drawn_in_a_lambda(spark):
+    df = spark.sql("select 1 as a, 'ship' as c, 0.1D as x1, 0.1D as y1, 0.5D as x2, 0.6D as y2")
+    out = B.mc_from_boxes(df, ["a"], F.col("c"), [F.col(c) for c in ("x1", "y1", "x2", "y2")])
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("sha1(") <= 5  # eleven of the order before
