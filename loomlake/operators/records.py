@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from loomlake.operators import geometry as G
+from loomlake.operators.columns import let
 from loomlake.operators.conversations import final_text
 from loomlake.operators.evidence import _FOCUS, _PLAIN_NUMBER, obb_output
 from loomlake.operators.parsing import parse_box
@@ -79,8 +80,7 @@ def rl_rows(df: DataFrame) -> DataFrame:
     """
     whole = lambda v, size: F.bround(G.to_norm(v, F.col(size), 1000.0), 0).cast("int")
     corners = G.canonical_corners(F.col("points"))
-    b = G.hbb(F.col("points"))
-    bbox = F.array(*[whole(b[k], s) for k, s in (("x1", "image_width"), ("y1", "image_height"), ("x2", "image_width"), ("y2", "image_height"))])
+    bbox = let(G.hbb(F.col("points")), lambda b: F.array(*[whole(b[k], s) for k, s in (("x1", "image_width"), ("y1", "image_height"), ("x2", "image_width"), ("y2", "image_height"))]))
     obb = F.flatten(F.transform(corners, lambda p: F.array(whole(p["x"], "image_width"), whole(p["y"], "image_height"))))
     answer = F.struct("class_name", bbox.alias("bbox"), obb.alias("obb"), F.array(F.lit(0), F.lit(1000)).alias("coordinate_range"), F.col("id").alias("source_id"))
     meta = F.struct(F.lit("ref_grounding_rl").alias("task"), "image_width", "image_height", "reference", "class_id")

@@ -114,3 +114,9 @@ def test_statements_are_drawn_in_a_lambda(spark):
     df = spark.sql("select 1 as a, 'ship' as c, 0.1D as x1, 0.1D as y1, 0.5D as x2, 0.6D as y2")
     out = B.mc_from_boxes(df, ["a"], F.col("c"), [F.col(c) for c in ("x1", "y1", "x2", "y2")])
     assert out._jdf.queryExecution().optimizedPlan().toString().count("sha1(") <= 5  # eleven of the order before
+
+
+def test_sorts_compare_natively(spark):
+    """Corners and sentences are not compared by a lambda for each pair."""
+    text = shown(spark, G.canonical_corners(F.col("p")), p=([(0.0, 0.0)], "array<struct<x double, y double>>")) + shown(spark, U.repeated_sentence(F.col("t")), t=("x", "string"))
+    assert text.count("sort_array(") == 2 and "array_sort(" not in text
