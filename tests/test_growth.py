@@ -120,3 +120,11 @@ def test_sorts_compare_natively(spark):
     """Corners and sentences are not compared by a lambda for each pair."""
     text = shown(spark, G.canonical_corners(F.col("p")), p=([(0.0, 0.0)], "array<struct<x double, y double>>")) + shown(spark, U.repeated_sentence(F.col("t")), t=("x", "string"))
     assert text.count("sort_array(") == 2 and "array_sort(" not in text
+
+
+def test_pairs_and_their_sides_come_from_one_pass(spark, sf):
+    from loomlake.plans.references import rotated_pairs
+
+    both, p, t = rotated_pairs(spark, sf)
+    assert set(both.inputFiles()) == set(p.inputFiles()) == set(t.inputFiles())
+    assert t.count() == spark.read.parquet(f"{sf}/lineitem.parquet").count() and 0 < p.count() < t.count()
